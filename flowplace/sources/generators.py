@@ -1,0 +1,57 @@
+"""Seeded test streams. Numbers come from ``spark.range``, so any volume spreads over tasks."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from flowplace.operators.metrics import div
+
+# The sentence words are drawn from, and the default rate per source and second.
+SENTENCE = (
+    "is simply dummy text of the printing and typesetting industry. Lorem Ipsum has been "
+    "the industry's standard dummy text ever since the 1500s, when an unknown printer took a galley of type"
+    " and scrambled it to make a type specimen book. It has survived not only five centuries, but also the "
+    "leap into electronic typesetting, remaining essentially unchanged. It was popularised in the 1960s with "
+    "the release of Letraset sheets containing Lorem Ipsum passages, and more recently with desktop publishing"
+    " software like Aldus PageMaker including versions of Lorem Ipsum."
+)
+ROWS_PER_SECOND = 10_000
+
+
+def _draw(seed: str, number: Column, sides: int) -> Column:
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}#"), number.cast("string"))), 1, 8)
+    return F.conv(digits, 16, 10).cast("bigint") % sides
+
+
+def keyed_events(spark: SparkSession, n_sources: int, per_source: int, payload_factor: int = 1) -> DataFrame:
+    """``per_source`` messages from each source: a fixed key per source, ids from 1."""
+    source = div(F.col("id"), per_source)
+    key = F.md5(source.cast("string"))
+    return spark.range(n_sources * per_source).select(
+        source.cast("int").alias("source"),
+        (F.col("id") % per_source + 1).alias("msg_id"),
+        key.alias("keyfield"),
+        F.repeat(key, F.lit(payload_factor)).alias("payload"),
+    )
+
+
+def word_events(spark: SparkSession, n: int, words: list[str] | None = None, seed: str = "words") -> DataFrame:
+    """``n`` rows, each with one word drawn evenly from ``words``."""
+    words = SENTENCE.split(" ") if words is None else words
+    pick = _draw(seed, F.col("id"), len(words)).cast("int")
+    return spark.range(n).select(
+        "id", F.element_at(F.array(*[F.lit(w) for w in words]), pick + 1).alias("keyfield")
+    )
+
+
+def rate_stream(spark: SparkSession, rows_per_second: int = ROWS_PER_SECOND, n_sources: int = 1) -> DataFrame:
+    """An endless stream at a fixed rate per source, with the same keys as ``keyed_events``."""
+    rows = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second * n_sources).load()
+    source = F.col("value") % n_sources
+    return rows.select(
+        source.cast("int").alias("source"),
+        F.col("timestamp").alias("ts"),
+        (div(F.col("value"), n_sources) + 1).alias("msg_id"),
+        F.md5(source.cast("string")).alias("keyfield"),
+    )
