@@ -54,7 +54,7 @@ def id_spine(header: DataFrame) -> DataFrame:
     ).repartition("topology", "_block")
     low = F.col("_block") * SPINE_BLOCK + 1
     ids = F.sequence(low, F.least(F.col("_n"), low + (SPINE_BLOCK - 1)))
-    return blocks.select("topology", F.explode(ids).cast("int").alias("id"))
+    return blocks.select("topology", F.explode(ids.cast("array<int>")).alias("id"))
 
 
 def vertex_weights(links: DataFrame) -> DataFrame:

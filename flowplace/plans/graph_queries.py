@@ -1,0 +1,415 @@
+"""Queries for graph preparation, partitioning and partition quality."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from flowplace.operators import graph as g
+from flowplace.operators import partition as part
+from flowplace.operators import placement, quality
+from flowplace.operators.projections import without_self_loops
+from flowplace.plans import lenses as L
+from flowplace.plans.lenses import with_lenses
+from flowplace.plans.registry import query
+from flowplace.session import materialise
+
+TOP_LINKS = 10
+K = 8
+
+
+@query("set01_graph_nodes", with_lenses("select topology, id from nodes_dense", "nodes_dense"))
+def set01(spark, d):
+    return g.graph_nodes(L.edges_dense(spark, d))
+
+
+@query(
+    "set01_graph_nodes_bipartite",
+    with_lenses("select distinct topology, unnest([source, target]) as id from edges_bipartite", "edges_bipartite"),
+)
+def set01_bipartite(spark, d):
+    return g.graph_nodes(L.edges_bipartite(spark, d))
+
+
+@query(
+    "set02_isolated_nodes",
+    with_lenses(
+        """select distinct topology, start_task as id from executors e
+           where start_task >= 1 and not exists (
+               select 1 from edges_dense l where l.topology = e.topology and l.source <> l.target
+                      and (l.source = e.start_task or l.target = e.start_task))""",
+        "executors",
+        "edges_dense",
+    ),
+)
+def set02(spark, d):
+    tasks = L.executors(spark, d).filter(F.col("start_task") >= 1)
+    return g.isolated_nodes(tasks.select("topology", F.col("start_task").alias("id")), L.edges_dense(spark, d))
+
+
+_WEIGHTS = """
+with links as (select * from {edges} where source <> target),
+header as (select topology, max(greatest(source, target)) as n from links group by topology),
+spine as (select topology, unnest(range(1, n + 1))::int as id from header),
+ends as (select topology, source as id, value from links union all select topology, target, value from links)
+select topology, id, (1 + coalesce(sum(value), 0))::bigint as vw
+from spine left join ends using (topology, id) group by topology, id
+"""
+
+
+@query("agg05_vertex_weights", with_lenses(_WEIGHTS.format(edges="edges_dense"), "edges_dense"))
+def agg05(spark, d):
+    return g.vertex_weights(without_self_loops(L.edges_dense(spark, d)))
+
+
+@query("agg05_vertex_weights_planted", with_lenses(_WEIGHTS.format(edges="edges_planted"), "edges_planted"))
+def agg05_planted(spark, d):
+    return g.vertex_weights(L.edges_planted(spark, d))
+
+
+@query(
+    "agg06_graph_header",
+    with_lenses(
+        """select topology, max(greatest(source, target)) as n,
+                  count(distinct case when source <> target
+                        then least(source, target) || '-' || greatest(source, target) end) as m
+           from (select * from edges_dense union all select * from edges_bipartite) group by topology""",
+        "edges_dense",
+        "edges_bipartite",
+    ),
+)
+def agg06(spark, d):
+    return g.graph_header(L.edges_dense(spark, d).unionByName(L.edges_bipartite(spark, d)))
+
+
+_SYMMETRIC = """
+select topology, id, nbr, w from (
+    select coalesce(f.topology, b.topology) as topology, coalesce(f.source, b.target) as id,
+           coalesce(f.target, b.source) as nbr,
+           (case when f.value is null then 1
+                 when b.value is null then f.value
+                 when f.source < f.target then greatest(f.value, 1)
+                 else 1 + f.value end)::bigint as w
+    from (select * from edges_dense where source <> target) f
+    full join (select * from edges_dense where source <> target) b
+      on f.topology = b.topology and f.source = b.target and f.target = b.source)
+"""
+
+
+@query("gph01_symmetrise", with_lenses(_SYMMETRIC, "edges_dense"))
+def gph01(spark, d):
+    return g.symmetrise(L.edges_dense(spark, d))
+
+
+@query(
+    "gph01_undirected",
+    with_lenses(
+        f"""with adj as ({_SYMMETRIC})
+            select x.topology, x.id, x.nbr, x.w + y.w as w
+            from adj x join adj y on x.topology = y.topology and x.id = y.nbr and x.nbr = y.id""",
+        "edges_dense",
+    ),
+)
+def gph01_undirected(spark, d):
+    return g.undirected(L.edges_dense(spark, d))
+
+
+@query(
+    "agg15_node_flow",
+    with_lenses(
+        """select topology, id, greatest(coalesce(o, 0), coalesce(i, 0))::bigint as flow
+           from (select topology, source as id, sum(value) as o from edges_dense group by 1, 2)
+           full join (select topology, target as id, sum(value) as i from edges_dense group by 1, 2)
+           using (topology, id)""",
+        "edges_dense",
+    ),
+)
+def agg15(spark, d):
+    return g.node_flow(L.edges_dense(spark, d))
+
+
+@query(
+    "joi05_links_to_index",
+    with_lenses(
+        """with places as (select topology, id, row_number() over (partition by topology order by id) - 1 as pos
+                       from (select distinct topology, unnest([source, target]) as id from edges_planted))
+           select l.topology, s.pos as source_index, t.pos as target_index, l.value
+           from edges_planted l join places s on s.topology = l.topology and s.id = l.source
+                                join places t on t.topology = l.topology and t.id = l.target""",
+        "edges_planted",
+    ),
+)
+def joi05(spark, d):
+    links = L.edges_planted(spark, d)
+    return g.links_to_index(links, g.graph_nodes(links))
+
+
+@query(
+    "srt02_links_by_width",
+    with_lenses(
+        f"""select topology, source, target, value, rank, greatest(value, 1) as width
+            from (select *, row_number() over (partition by topology order by value desc, source, target)::int as rank
+                  from edges_dense where source <> target) where rank <= {TOP_LINKS}""",
+        "edges_dense",
+    ),
+)
+def srt02(spark, d):
+    return g.links_by_width(without_self_loops(L.edges_dense(spark, d)), TOP_LINKS)
+
+
+@query("gph03_one_partition", with_lenses("select topology, id as task_id, 0 as part from nodes_dense", "nodes_dense"))
+def gph03(spark, d):
+    return part.one_partition(g.graph_nodes(L.edges_dense(spark, d)))
+
+
+@query(
+    "gph04_round_robin_partition",
+    with_lenses("select topology, id as task_id, (id % 4)::int as part from nodes_dense", "nodes_dense"),
+)
+def gph04(spark, d):
+    return part.round_robin_partition(g.graph_nodes(L.edges_dense(spark, d)), 4)
+
+
+_LABELLED = """
+labelled as (
+    select e.topology, e.source, e.target, e.value, s.part as source_part, t.part as target_part,
+           s.part <> t.part as remote
+    from edges_dense e join assignment s on s.topology = e.topology and s.task_id = e.source
+                       join assignment t on t.topology = e.topology and t.task_id = e.target)
+"""
+
+
+def _labelled(spark, d):
+    return quality.edge_partitions(L.edges_dense(spark, d), L.assignment(spark, d))
+
+
+@query(
+    "joi06_edge_partitions",
+    with_lenses(
+        f"with {_LABELLED} select topology, source, target, value, source_part, target_part, remote from labelled",
+        "edges_dense",
+        "assignment",
+    ),
+)
+def joi06(spark, d):
+    return _labelled(spark, d)
+
+
+@query(
+    "agg12_cut_summary",
+    with_lenses(
+        f"""with {_LABELLED}
+            select topology, sum(value)::bigint as total_weight,
+                   sum(case when remote then value else 0 end)::bigint as remote_weight,
+                   sum(case when remote then 0 else value end)::bigint as local_weight,
+                   (sum(case when remote then value else 0 end)::bigint * 1000000 // sum(value)::bigint)::bigint as remote_ppm
+            from labelled group by topology""",
+        "edges_dense",
+        "assignment",
+    ),
+)
+def agg12(spark, d):
+    return quality.cut_summary(_labelled(spark, d))
+
+
+@query(
+    "agg13_communication_volume",
+    with_lenses(
+        f"""with {_LABELLED}
+            select topology, count(*) as volume
+            from (select topology, source as id, target_part as other from labelled where remote
+                  union select topology, target, source_part from labelled where remote) group by topology""",
+        "edges_dense",
+        "assignment",
+    ),
+)
+def agg13(spark, d):
+    return quality.communication_volume(_labelled(spark, d))
+
+
+_VW = _WEIGHTS.strip().removeprefix("with ")
+_VERTICES = "links as" + _VW.format(edges="edges_dense").removeprefix("links as").replace(
+    "select topology, id, (1 +", ", vertices as (select topology, id, (1 +"
+) + ")"
+
+
+@query(
+    "agg14_partition_load",
+    with_lenses(
+        f"""with {_VERTICES}
+            select v.topology, a.part, sum(v.vw)::bigint as load, count(*) as tasks
+            from vertices v join assignment a on a.topology = v.topology and a.task_id = v.id group by 1, 2""",
+        "edges_dense",
+        "assignment",
+    ),
+)
+def agg14(spark, d):
+    vertices = g.vertex_weights(without_self_loops(L.edges_dense(spark, d)))
+    return quality.partition_load(vertices, L.assignment(spark, d))
+
+
+@query(
+    "agg14_imbalance",
+    with_lenses(
+        f"""with {_VERTICES}
+            select topology, max(load) as largest, sum(load)::bigint as total,
+                   (max(load) * (max(part) + 1) * 1000000 // sum(load)::bigint)::bigint as imbalance_ppm
+            from (select v.topology, a.part, sum(v.vw)::bigint as load
+                  from vertices v join assignment a on a.topology = v.topology and a.task_id = v.id group by 1, 2)
+            group by topology""",
+        "edges_dense",
+        "assignment",
+    ),
+)
+def agg14_imbalance(spark, d):
+    vertices = g.vertex_weights(without_self_loops(L.edges_dense(spark, d)))
+    return quality.imbalance(quality.partition_load(vertices, L.assignment(spark, d)))
+
+
+@query(
+    "agg16_worker_traffic",
+    with_lenses(
+        f"""with {_LABELLED}
+            select topology, source_part, target_part, sum(value)::bigint as value from labelled group by 1, 2, 3""",
+        "edges_dense",
+        "assignment",
+    ),
+)
+def agg16(spark, d):
+    return quality.worker_traffic(_labelled(spark, d))
+
+
+# --- partitioning ---------------------------------------------------------------------------
+
+
+def _planted(spark, d):
+    """Vertices and undirected adjacency of the planted graph, written once."""
+    links = materialise(L.edges_planted(spark, d), "links")
+    return materialise(g.vertex_weights(links), "vertices"), g.undirected(links), links
+
+
+def _rounds_sql(rounds: int) -> str:
+    """The propagation rounds spelled out; id ranges and gain magnitudes as in the job."""
+    parts = [
+        _WEIGHTS.format(edges="edges_planted").strip().removeprefix("with ").replace(
+            "select topology, id, (1 +", ", vertices as materialized (select topology, id, (1 +"
+        )
+        + ")",
+        """pairs as (select topology, least(source, target) as a, greatest(source, target) as b,
+                  max(case when source < target then value end) as ab, max(case when source > target then value end) as ba
+           from links group by 1, 2, 3)""",
+        """weighted as (select topology, a, b,
+                  (case when ab is not null and ba is not null then greatest(ab, 1) + ba + 1
+                        else coalesce(ab, 1) + coalesce(ba, 1) end)::bigint as w from pairs)""",
+        """adj as materialized (select topology, a as id, b as nbr, w from weighted
+           union all select topology, b, a, w from weighted)""",
+        f"""sizes as (select topology, max(id) as max_id,
+                  (sum(vw)::bigint * {100 + part.SLACK_PERCENT} + {100 * K - 1}) // {100 * K} as capacity
+           from vertices group by topology)""",
+        f"""s0 as materialized (select topology, id, vw, (id % {K})::int as part, capacity,
+                  id::bigint * {part.ID_RANGES} // (max_id + 1) as id_range
+           from vertices join sizes using (topology))""",
+    ]
+    for r in range(rounds):
+        parts.append(
+            f"""scores{r} as (select a.topology, a.id, s.part as to_part, sum(a.w)::bigint as score
+                 from adj a join s{r} s on s.topology = a.topology and s.id = a.nbr group by 1, 2, 3)"""
+        )
+        parts.append(
+            f"""wish{r} as materialized (
+                 select s.topology, s.id, s.vw, s.part, s.capacity, s.id_range,
+                        coalesce(best.to_part, s.part) as target,
+                        coalesce(best.score, 0) - coalesce(own.score, 0) as gain
+                 from s{r} s
+                 left join (select *, row_number() over (partition by topology, id order by score desc, to_part) as n
+                            from scores{r}) best on best.topology = s.topology and best.id = s.id and best.n = 1
+                 left join scores{r} own on own.topology = s.topology and own.id = s.id and own.to_part = s.part)"""
+        )
+        parts.append(
+            f"""asked{r} as (select *, case when gain > 0 and (id + {r}) % 2 = 0
+                 then (64 - length(bin(gain))) * {part.ID_RANGES} + id_range end as block from wish{r})"""
+        )
+        parts.append(
+            f"""load{r} as (select topology, part as target, sum(vw)::bigint as load from wish{r} group by 1, 2)"""
+        )
+        parts.append(
+            f"""cutoff{r} as (
+                 select topology, target, max(block) as cutoff
+                 from (select topology, target, block, capacity,
+                              sum(sum(vw)) over (partition by topology, target order by block) as upto
+                       from asked{r} where block is not null group by topology, target, block, capacity)
+                 left join load{r} using (topology, target)
+                 where upto + coalesce(load, 0) <= capacity group by topology, target)"""
+        )
+        parts.append(
+            f"""s{r + 1} as materialized (
+                 select a.topology, a.id, a.vw, case when a.block <= c.cutoff then a.target else a.part end as part,
+                        a.capacity, a.id_range
+                 from asked{r} a left join cutoff{r} c on c.topology = a.topology and c.target = a.target)"""
+        )
+    return "with " + ",\n".join(parts) + f"\nselect topology, id as task_id, part::int as part from s{rounds}"
+
+
+@query("gph02_propagate_3_rounds", with_lenses(_rounds_sql(3), "edges_planted"))
+def gph02_rounds(spark, d):
+    vertices, adjacency, _ = _planted(spark, d)
+    return part.propagate(vertices, adjacency, K, rounds=3)
+
+
+@query("gph02_partition_graph")
+def gph02(spark, d):
+    vertices, adjacency, _ = _planted(spark, d)
+    return part.partition_graph(vertices, adjacency, K)
+
+
+@query("gph02_partition_many_graphs")
+def gph02_many(spark, d):
+    """All dense graphs in one job, from the better of both starts."""
+    links = materialise(without_self_loops(L.edges_dense(spark, d)), "links")
+    return part.partition_with("label_propagation", g.vertex_weights(links), g.undirected(links), 4)
+
+
+_COMPARE = (
+    _WEIGHTS.format(edges="edges_planted").strip().removeprefix("with ").replace(
+        "select topology, id, (1 +", ", vertices as materialized (select topology, id, (1 +"
+    )
+    + """),
+tried as materialized (
+    select 'one' as strategy, topology, id, vw, 0 as part from vertices
+    union all select 'round_robin', topology, id, vw, id % 8 from vertices
+    union all select 'hash', topology, id, vw,
+                     (('0x' || substr(md5(id::varchar), 1, 8))::bigint % 8)::int from vertices),
+labelled as materialized (
+    select s.strategy, l.topology, l.source, l.target, l.value, s.part as sp, t.part as tp
+    from links l join tried s on s.topology = l.topology and s.id = l.source
+                 join tried t on t.topology = l.topology and t.id = l.target and t.strategy = s.strategy),
+cuts as (select strategy, topology, sum(value)::bigint as total_weight,
+                sum(case when sp <> tp then value else 0 end)::bigint as remote_weight from labelled group by 1, 2),
+volumes as (select strategy, topology, count(*) as volume
+            from (select strategy, topology, source as id, tp as other from labelled where sp <> tp
+                  union select strategy, topology, target, sp from labelled where sp <> tp) group by 1, 2),
+loads as (select strategy, topology,
+                 (max(load) * (max(part) + 1) * 1000000 // sum(load)::bigint)::bigint as imbalance_ppm
+          from (select strategy, topology, part, sum(vw)::bigint as load from tried group by 1, 2, 3) group by 1, 2)
+select strategy, topology, total_weight, remote_weight, total_weight - remote_weight as local_weight,
+       remote_weight * 1000000 // total_weight as remote_ppm, coalesce(volume, 0) as volume, imbalance_ppm
+from cuts left join volumes using (strategy, topology) join loads using (strategy, topology)"""
+)
+
+
+@query("gph05_compare_partitionings", with_lenses("with " + _COMPARE, "edges_planted"))
+def gph05(spark, d):
+    vertices, _, links = _planted(spark, d)
+    names = ("one", "round_robin", "hash")
+    tried = {n: part.partition_with(n, vertices, links, K) for n in names}
+    return quality.compare_partitionings(links, vertices, tried)
+
+
+@query("gph05_partition_quality")
+def gph05_quality(spark, d):
+    """The propagated partitioning next to its start."""
+    vertices, adjacency, links = _planted(spark, d)
+    tried = {
+        "round_robin": part.round_robin_partition(vertices, K),
+        "label_propagation": materialise(part.partition_graph(vertices, adjacency, K), "labels"),
+    }
+    return quality.compare_partitionings(links, vertices, tried)

@@ -2,11 +2,12 @@
 
 from pyspark.sql import types as T
 
+# JSON object keys are text; readers turn them into task ids.
 POINT = T.StructType(
     [
         T.StructField("name", T.StringType()),
         T.StructField("value", T.LongType()),
-        T.StructField("value_map", T.MapType(T.IntegerType(), T.LongType())),
+        T.StructField("value_map", T.MapType(T.StringType(), T.LongType())),
     ]
 )
 

@@ -17,8 +17,9 @@ EMITTED = "emitted_messages"
 
 def explode_reports(reports: DataFrame) -> DataFrame:
     """One row per data point of each task report."""
+    by_task = F.transform_keys("point.value_map", lambda task, count: task.cast("int")).alias("value_map")
     return reports.withColumn("point", F.explode("points")).select(
-        *[c for c in reports.columns if c != "points"], "point.name", "point.value", "point.value_map"
+        *[c for c in reports.columns if c != "points"], "point.name", "point.value", by_task
     )
 
 

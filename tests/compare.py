@@ -55,7 +55,7 @@ def main(argv: list[str]) -> int:
 
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
     wanted = argv[1:]
-    spark = build_session(master="local[8]", spark__ui__enabled="false", spark__sql__shuffle__partitions="8", spark__driver__memory="12g")
+    spark = build_session(master="local[8]", spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__sql__shuffle__partitions="8", spark__driver__memory="12g")
     spark.sparkContext.setLogLevel("ERROR")
     db, oracle, bad = connect(sf_dir), entry.oracle_sql(), 0
     for name, run in entry.queries().items():
@@ -71,7 +71,7 @@ def main(argv: list[str]) -> int:
             bad += verdict not in ("ok", "rows only")
         except Exception as e:  # noqa: BLE001 - report every query
             bad += 1
-            print(f"{name:36s} FAILED {type(e).__name__}: {str(e)[:600]}", flush=True)
+            print(f"{name:36s} FAILED {type(e).__name__}: {str(e)[:600]!r}", flush=True)
     print("bad:", bad)
     return bad
 
