@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_2_32 = 1 << 32
-_2_31 = 1 << 31
+from flowplace.functions.hashing import java_hash
 
 # The two ways the id pair of an edge path may be separated.
 EDGE_PATH = r"(-?\d+)[-_](-?\d+)$"
@@ -49,25 +48,6 @@ def floor_log2(value: Column) -> Column:
     return F.length(F.bin(value)) - 1
 
 
-def java_hash(text: Column) -> Column:
-    """The 32-bit string hash of the JVM, exact for all text.
-
-    ``h = 31 h + unit`` over UTF-16 units: a character beyond the basic plane counts as
-    its two surrogates. The fold runs modulo 2^32 and is read as a signed number.
-    """
-    def step(h: Column, ch: Column) -> Column:
-        code = F.ascii(ch).cast("bigint")
-        rest = code - 0x10000
-        high = F.lit(0xD800) + F.shiftright(rest, 10)
-        low = F.lit(0xDC00) + rest.bitwiseAND(0x3FF)
-        units = F.when(code < 0x10000, h * 31 + code).otherwise((h * 31 + high) * 31 + low)
-        return units % _2_32
-
-    h = F.aggregate(F.split(text, ""), F.lit(0).cast("bigint"), step)
-    folded = F.when(h >= _2_31, h - _2_32).otherwise(h)
-    return F.when(text == "", F.lit(0).cast("bigint")).otherwise(folded).cast("int")
-
-
 def hash_bucket(key: Column, n: Column | int) -> Column:
     """Signed remainder of the string hash: negative hashes keep their sign."""
     return java_hash(key) % n
@@ -76,39 +56,3 @@ def hash_bucket(key: Column, n: Column | int) -> Column:
 def next_bucket(key: Column, n: Column | int) -> Column:
     """The bucket after the key's own one, rotating on the signed remainder."""
     return (hash_bucket(key, n) + 1) % n
-
-
-def candidate_key(seed: Column, attempt: Column) -> Column:
-    return F.md5(F.concat(seed, F.lit("#"), attempt.cast("string")))
-
-
-def find_attempt(seed: Column, n: int, bucket: Column, tries: int) -> Column:
-    """First attempt number whose candidate key falls into ``bucket``, NULL if none does.
-
-    Attempts are looked at in blocks of growing size; ``coalesce`` evaluates a later
-    block only for rows the earlier ones left open, so no row does all the tries.
-    """
-    blocks, low, size = [], 0, 2 * n
-    while low < tries:
-        high = min(low + size, tries)
-        hits = F.filter(
-            F.sequence(F.lit(low), F.lit(high - 1)),
-            lambda i: hash_bucket(candidate_key(seed, i), n) == bucket,
-        )
-        blocks.append(F.try_element_at(hits, F.lit(1)))
-        low, size = high, size * 2
-    return F.coalesce(*blocks)
-
-
-def find_key(seed: Column, n: int, bucket: Column, tries: int, on_fail: str = "error") -> Column:
-    """First candidate key in the seeded sequence that falls into ``bucket``.
-
-    ``on_fail``: ``"error"`` raises for a row without a hit, ``"null"`` leaves NULL.
-    """
-    attempt = find_attempt(seed, n, bucket, tries)
-    if on_fail == "error":
-        attempt = F.coalesce(
-            attempt,
-            F.raise_error(F.format_string("no key for bucket %d in " + str(tries) + " tries", bucket)).cast("int"),
-        )
-    return candidate_key(seed, attempt)
