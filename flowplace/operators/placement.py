@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,10 +121,12 @@ def fallback_even(
     )
 
 
-def schedule_changes(versions: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def schedule_changes(
+    versions: DataFrame, order: Sequence[str] = ("ts",), rows_per_slice: int = ROWS_PER_SLICE
+) -> DataFrame:
     """Schedule versions that differ from the one applied before."""
-    pieces = cut(versions, ["topology"], "ts", rows_per_slice)
-    pieces = previous(pieces, ["topology"], ["ts"], {"_before": F.col("text")}, "_known")
+    pieces = cut(versions, ["topology"], order[0], rows_per_slice)
+    pieces = previous(pieces, ["topology"], order, {"_before": F.col("text")}, "_known")
     changed = pieces.filter(~F.col("_known") | ~F.col("text").eqNullSafe(F.col("_before")))
     return finish(changed).drop("_before", "_known")
 

@@ -16,7 +16,7 @@ def emit_ack_match(roots: DataFrame, acks: DataFrame, timeout_secs: int = TIMEOU
     as failed once its time is over.
     """
     a = acks.select(F.col("msg_id").alias("_ack_id"), "ack_ts", "latency_ms")
-    in_time = F.col("ack_ts").between(F.col("ts"), F.col("ts") + F.make_dt_interval(secs=F.lit(timeout_secs)))
+    in_time = F.col("ack_ts").between(F.col("ts"), F.col("ts") + F.expr(f"interval {timeout_secs} seconds"))
     return roots.join(a, (F.col("msg_id") == F.col("_ack_id")) & in_time, "left").select(
         "topology",
         "ts",

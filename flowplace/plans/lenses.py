@@ -6,6 +6,8 @@ table expression over the same tables.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,9 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+Reader = Callable[[SparkSession, str, str], DataFrame]
+
+
 def _clock(day: str) -> Column:
     """Recorded days become 100 ms apart, so the default 5 s and 15 s windows fill up."""
     return F.expr(
@@ -42,13 +47,13 @@ def _stream() -> Column:
     )
 
 
-def emits(spark: SparkSession, d: str) -> DataFrame:
+def emits(spark: SparkSession, d: str, read: Reader = table) -> DataFrame:
     """One emit per line item, from the customer's nation to the supplier's; returned
     lines go to a second target as well."""
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     customer = table(spark, d, "customer").select("c_custkey", "c_nationkey")
     supplier = table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
-    lineitem = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_returnflag")
+    lineitem = read(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_returnflag")
     target = F.col("s_nationkey") + 1
     return (
         lineitem.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
@@ -67,11 +72,11 @@ def emits(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def roots(spark: SparkSession, d: str) -> DataFrame:
+def roots(spark: SparkSession, d: str, read: Reader = table) -> DataFrame:
     """The first emit of each message: one row per order."""
     customer = table(spark, d, "customer").select("c_custkey", "c_nationkey")
     return (
-        table(spark, d, "orders")
+        read(spark, d, "orders")
         .join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .select(
             F.col("o_orderpriority").alias("topology"),
@@ -82,12 +87,12 @@ def roots(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def acks(spark: SparkSession, d: str) -> DataFrame:
+def acks(spark: SparkSession, d: str, read: Reader = table) -> DataFrame:
     """Pending orders are never acknowledged; some acknowledgements carry no latency."""
     customer = table(spark, d, "customer").select("c_custkey", "c_nationkey")
     millis = (F.col("o_orderkey") % 150) * 1000
     return (
-        table(spark, d, "orders")
+        read(spark, d, "orders")
         .filter(F.col("o_orderstatus") != "P")
         .join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .select(
@@ -113,8 +118,8 @@ def _text(prefix: str, number: Column) -> Column:
     return F.concat(F.lit(prefix), number.cast("string"))
 
 
-def datapoints(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
+def datapoints(spark: SparkSession, d: str, read: Reader = table) -> DataFrame:
+    e = read(spark, d, "events")
     return e.select(
         _text("topo", F.col("event_id") % 3).alias("topology"),
         F.col("ts").cast("timestamp").alias("ts"),
@@ -144,8 +149,8 @@ def task_reports(spark: SparkSession, d: str) -> DataFrame:
     return joined.select(F.to_json(row).alias("json"))
 
 
-def edge_updates(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select(
+def edge_updates(spark: SparkSession, d: str, read: Reader = table) -> DataFrame:
+    return read(spark, d, "events").select(
         _text("topo", F.col("event_id") % 3).alias("topology"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_id").alias("id"),
@@ -200,17 +205,31 @@ def assignment(spark: SparkSession, d: str) -> DataFrame:
     return nodes.select("topology", F.col("id").alias("task_id"), part.cast("int").alias("part"))
 
 
+def _vector() -> Column:
+    shift = F.call_function("div", F.day("ts"), F.lit(3))
+    lines = F.transform(
+        F.sequence(F.lit(1), F.lit(LINES_PER_VERSION)), lambda i: ((i + shift) % 4).cast("string")
+    )
+    return F.array_join(lines, "\n").alias("text")
+
+
+def schedule_reports(spark: SparkSession, d: str, read: Reader = table) -> DataFrame:
+    """Each event reports the vector that is current on its day."""
+    rows = read(spark, d, "events").select(
+        _text("topo", F.col("event_id") % 3).alias("topology"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.col("event_id").alias("id"),
+    )
+    return rows.select("topology", "ts", "id", _vector())
+
+
 def schedule_versions(spark: SparkSession, d: str) -> DataFrame:
     """A vector per topology and recorded day; the vector changes every third day."""
     days = table(spark, d, "events").select(
         _text("topo", F.col("event_id") % 3).alias("topology"),
         F.date_trunc("day", F.col("ts").cast("timestamp")).alias("ts"),
     ).distinct()
-    shift = F.call_function("div", F.day("ts"), F.lit(3))
-    lines = F.transform(
-        F.sequence(F.lit(1), F.lit(LINES_PER_VERSION)), lambda i: ((i + shift) % 4).cast("string")
-    )
-    return days.select("topology", "ts", F.array_join(lines, "\n").alias("text"))
+    return days.select("topology", "ts", _vector())
 
 
 def executors(spark: SparkSession, d: str) -> DataFrame:
@@ -384,6 +403,14 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
         from (select distinct 'topo' || (event_id % 3) as topology, date_trunc('day', ts)::timestamp as ts
               from events)""",
     ),
+    "schedule_reports": (
+        (),
+        f"""
+        select 'topo' || (event_id % 3) as topology, ts, event_id as id,
+               array_to_string(list_transform(range(1, {LINES_PER_VERSION + 1}),
+                                              lambda i: ((i + day(ts) // 3) % 4)::varchar), chr(10)) as text
+        from events""",
+    ),
     "executors": (
         (),
         """

@@ -1,0 +1 @@
+"""The same operators on live streams, and state carried across micro-batches."""

@@ -1,0 +1,74 @@
+"""Operators whose result depends on earlier rows, run micro-batch by micro-batch.
+
+The state is a table: the last row of every key. Each batch sees these rows as its earliest
+ones, runs the batch operator over both, and leaves out the carried rows. So stream and
+batch share one implementation, including the way it cuts hot groups into slices, where a
+state store would send all rows of one key through a single task. Versions are written per
+batch id, which makes a repeated batch overwrite itself.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from flowplace.session import new_path
+from flowplace.sinks.publish import latest_per_key
+from flowplace.streaming.io import run_available
+
+Operator = Callable[[DataFrame], DataFrame]
+CARRIED = "_from_state"
+
+
+def _nullable(schema: T.StructType) -> T.StructType:
+    return T.StructType([T.StructField(f.name, f.dataType) for f in schema])
+
+
+class CarriedState:
+    """Output and state versions of one stream, kept under ``root``."""
+
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, keys: Sequence[str], order: Sequence[str]):
+        self.spark, self.root, self.schema = spark, root, _nullable(schema)
+        self.keys, self.order = list(keys), list(order)
+
+    def _version(self, batch_id: int) -> str:
+        return f"{self.root}/state/version={batch_id}"
+
+    def state(self, batch_id: int) -> DataFrame:
+        """The last row of every key after ``batch_id`` (nothing before the first batch)."""
+        if batch_id < 0:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(self._version(batch_id))
+
+    def step(self, batch: DataFrame, batch_id: int, operator: Operator) -> None:
+        """Run ``operator`` over one batch and write its output and the new state."""
+        clock = self.order[0]
+        first = batch.agg(F.min(clock)).first()[0]
+        rows = batch.withColumn(CARRIED, F.lit(False))
+        if first is not None:
+            before = F.lit(first).cast("timestamp") - F.expr("interval 1 microsecond")
+            carried = self.state(batch_id - 1).withColumn(clock, before)
+            rows = rows.unionByName(carried.withColumn(CARRIED, F.lit(True)))
+        else:
+            rows = rows.unionByName(self.state(batch_id - 1).withColumn(CARRIED, F.lit(True)))
+        result = operator(rows).filter(~F.col(CARRIED)).drop(CARRIED)
+        result.write.mode("overwrite").parquet(f"{self.root}/output/batch={batch_id}")
+        newest = latest_per_key(rows, self.keys, self.order).drop(CARRIED)
+        newest.select(self.schema.names).write.mode("overwrite").parquet(self._version(batch_id))
+
+    def output(self, schema: T.StructType) -> DataFrame:
+        """All output so far."""
+        return self.spark.read.schema(_nullable(schema)).parquet(f"{self.root}/output").drop("batch")
+
+
+def run_carried(
+    stream: DataFrame, keys: Sequence[str], order: Sequence[str], operator: Operator, label: str
+) -> CarriedState:
+    """Run ``operator`` over everything available in ``stream``; batches come in arrival order."""
+    spark = stream.sparkSession
+    state = CarriedState(spark, new_path(spark, label), stream.schema, keys, order)
+    run_available(stream.writeStream.foreachBatch(lambda b, i: state.step(b, i, operator)), label)
+    return state
