@@ -73,9 +73,19 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def pin(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint that keeps the partitioning of ``df`` for later joins."""
+def pin_partitioned(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of a repartitioned ``df`` that later joins can use without a shuffle.
+
+    An adaptive plan does not report its partitioning, so the checkpoint itself runs
+    without AQE.
+    """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        # Plan anew: a DataFrame that has been looked at keeps its adaptive plan.
+        return df.select("*").checkpoint()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
