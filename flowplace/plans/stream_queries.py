@@ -11,7 +11,7 @@ from flowplace.plans import lenses as L
 from flowplace.plans.lenses import with_lenses
 from flowplace.plans.metric_queries import _LATENCY, _MEAN, _TOTALS, CONTROL
 from flowplace.plans.registry import query
-from flowplace.streaming import live
+from flowplace.streaming import debounce, live
 from flowplace.streaming.carry import run_carried
 from flowplace.streaming.io import collect_append, stream_table
 
@@ -128,6 +128,13 @@ def str03_stream(spark, d):
     return _micros(collect_append(live.publish_sessions(updates, GAP), "sessions"))
 
 
+@query("str03_publish_times_stream")
+def str03_strict(spark, d):
+    """Silence of ten minutes, but a new version at least every half hour of updates."""
+    times = debounce.publish_times(L.edge_updates(spark, d, stream_table), GAP, GAP, 3 * GAP)
+    return collect_append(times, "published")
+
+
 @query(
     "str04_latest_graph_stream",
     with_lenses(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowplace.operators import metrics, tracking
 from flowplace.session import new_path
 from flowplace.sinks.publish import latest_per_key
+from flowplace.streaming.debounce import SILENCE_SECS
 from flowplace.streaming.io import run_available
 
 # Fixed value: seconds of silence after which a graph is published.
