@@ -60,7 +60,8 @@ class _Publisher(StatefulProcessor):
                 self.handle.deleteTimer(before)
             self.due.update((due,))
             self.handle.registerTimer(due)
-        yield pd.DataFrame({"topology": [key[0]] * len(published), "published_ms": published})
+        if published:
+            yield pd.DataFrame({"topology": [key[0]] * len(published), "published_ms": published})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         due = self._ms(self.due)
