@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from flowplace.operators.ordered import ROWS_PER_SLICE, numbered
+from flowplace.operators.ordered import ROWS_PER_SLICE, first_rows, numbered
 from flowplace.operators.projections import without_self_loops
 
 SPINE_BLOCK = 65_536
@@ -143,8 +142,6 @@ def links_to_index(links: DataFrame, nodes: DataFrame, rows_per_slice: int = ROW
 
 
 def links_by_width(links: DataFrame, k: int) -> DataFrame:
-    """The ``k`` widest links of each graph, widest first. Spark keeps only ``k`` rows per
-    graph and task before the shuffle."""
-    order = Window.partitionBy("topology").orderBy(F.desc("value"), "source", "target")
-    ranked = links.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.withColumn("width", F.greatest(F.col("value"), F.lit(1)))
+    """The ``k`` widest links of each graph, widest first."""
+    ranked = first_rows(links.withColumn("_thin", -F.col("value")), ["topology"], ["_thin", "source", "target"], k, "rank")
+    return ranked.drop("_thin").withColumn("width", F.greatest(F.col("value"), F.lit(1)))

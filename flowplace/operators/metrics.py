@@ -112,7 +112,7 @@ UPDATE_ORDER = ("ts", "id")
 
 def _latest_totals(points: DataFrame, rows_per_slice: int) -> DataFrame:
     """Per update: the total of all tasks' latest values, and how many tasks have reported."""
-    pieces = cut(points, METRIC, UPDATE_ORDER[0], rows_per_slice)
+    pieces = cut(points, METRIC, UPDATE_ORDER, rows_per_slice)
     pieces = previous(pieces, TASK_METRIC, UPDATE_ORDER, {"_before": F.col("value")}, "_known")
     change = F.col("value") - F.coalesce(F.col("_before"), F.lit(0))
     first = F.when(F.col("_known"), 0).otherwise(1).cast("bigint")
@@ -152,7 +152,7 @@ def metric_series(points: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> Da
 
 def counter_rate(counters: DataFrame, secs: int = MONITORING_SECS, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """(host, ts, bytes) -> rate; 0 for a first reading and after a reading of zero or less."""
-    pieces = cut(counters, ["host"], "ts", rows_per_slice)
+    pieces = cut(counters, ["host"], ["ts"], rows_per_slice)
     pieces = previous(pieces, ["host"], ["ts"], {"_before": F.col("bytes")}, "_known")
     rate = F.when(F.col("_before") > 0, div(F.col("bytes") - F.col("_before"), secs)).otherwise(0)
     return finish(pieces.withColumn("rate", rate.cast("bigint"))).drop("_before", "_known")
@@ -195,7 +195,7 @@ def sliding_load(points: DataFrame, slots: int = LOAD_SLOTS, slot_secs: int = LO
 def edge_changes(updates: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Updates that gave an edge a new value; the first value of an edge is a change."""
     edge = ["topology", "source", "target"]
-    pieces = cut(updates, edge, "ts", rows_per_slice)
+    pieces = cut(updates, edge, UPDATE_ORDER, rows_per_slice)
     pieces = previous(pieces, edge, UPDATE_ORDER, {"old_value": F.col("value")}, "_known")
     changed = pieces.filter(~F.col("_known") | ~F.col("value").eqNullSafe(F.col("old_value")))
     return finish(changed).drop("_known")

@@ -1,11 +1,12 @@
 """Running totals, numbering and previous values over ordered groups of any size.
 
 A plain window puts a whole group into one task. Here a group with more than
-``rows_per_slice`` rows is cut along its order key into equal key ranges ("slices"):
-windows run per slice, and what earlier slices add up to is joined on. Both the join and
-the window use (group, slice), so they share one shuffle. The cuts derive from exact
-counts, minima and maxima, so a recomputed task sees the same cuts. Small groups stay one
-slice, and without any large group the two side joins are empty and AQE removes them.
+``rows_per_slice`` rows is cut along its order key into equal key ranges ("slices"), and a
+range that still holds too many rows is cut once more, along the next key if the first no
+longer differs. Windows run per slice, and what earlier slices add up to is joined on. Both
+the join and the window use (group, slice), so they share one shuffle. The cuts derive from
+exact counts, minima and maxima, so a recomputed task sees the same cuts. Small groups stay
+one slice, and without any large group the side joins are empty and AQE removes them.
 """
 
 from __future__ import annotations
@@ -21,8 +22,11 @@ from pyspark.sql.window import Window
 ROWS_PER_SLICE = 2_000_000
 # Size bound of the broadcast below. Any group beyond it holds at most 1/10,001 of all rows.
 MAX_HOT_GROUPS = 10_000
+# Spark's default for spark.sql.optimizer.windowGroupLimitThreshold.
+GROUP_LIMIT = 1_000
 
-SLICE, _LOW, _WIDTH = "_slice", "_low", "_width"
+SLICE, _HOT = "_slice", "_hot"
+_FINER = 1 << 31
 
 
 def hot_groups(df: DataFrame, by: Sequence[str], more_than: int, *extra: Column) -> DataFrame:
@@ -34,36 +38,57 @@ def hot_groups(df: DataFrame, by: Sequence[str], more_than: int, *extra: Column)
     return sizes.filter(F.col("_rows") > more_than).orderBy(F.desc("_rows"), *by).limit(MAX_HOT_GROUPS)
 
 
-def _as_long(df: DataFrame, name: str) -> Column:
+def _as_long(df: DataFrame, name: str) -> Column | None:
     kind = df.schema[name].dataType
     if isinstance(kind, T.TimestampType):
         return F.unix_micros(name)
     if isinstance(kind, T.IntegralType):
         return F.col(name).cast("bigint")
-    raise TypeError(f"order key {name} must be an integer or a timestamp, not {kind.simpleString()}")
+    return None
 
 
-def cut(df: DataFrame, by: Sequence[str], key: str, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
-    """Add the slice number of each row; 0 throughout for groups that stay whole."""
-    value = _as_long(df, key)
-    hot = hot_groups(df, by, rows_per_slice, F.min(value).alias(_LOW), F.max(value).alias("_high"))
-    hot = hot.select(
+def _ranges(df: DataFrame, by: Sequence[str], keys: Sequence[Column], rows: int, prefix: str) -> tuple[DataFrame, Column]:
+    """Key ranges of the groups with more than ``rows`` rows, and a row's range number
+    (NULL in other groups). The second key counts where all rows agree on the first."""
+    first, second = keys[0], keys[-1]
+    low, width, tied = f"{prefix}_low", f"{prefix}_width", f"{prefix}_tied"
+    ends = [F.min(first).alias("_a"), F.max(first).alias("_b"), F.min(second).alias("_c"), F.max(second).alias("_d")]
+    hot = hot_groups(df, by, rows, *ends).select(
         *by,
-        _LOW,
-        F.expr(f"(_high - {_LOW}) div (_rows div {rows_per_slice} + 1) + 1").alias(_WIDTH),
+        (F.col("_a") == F.col("_b")).alias(tied),
+        F.expr("if(_a = _b, _c, _a)").alias(low),
+        F.expr(f"if(_a = _b, _d - _c, _b - _a) div (_rows div {rows} + 1) + 1").alias(width),
     )
-    number = F.when(F.col(_LOW).isNull(), F.lit(0).cast("bigint")).otherwise(
-        F.call_function("div", value - F.col(_LOW), F.col(_WIDTH))
+    key = F.when(F.col(tied), second).otherwise(first)
+    return hot, F.call_function("div", key - F.col(low), F.col(width))
+
+
+def cut(df: DataFrame, by: Sequence[str], order: Sequence[str], rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """Add the slice number of each row; 0 throughout for groups that stay whole.
+
+    Slices follow ``order``, whose first column must be an integer or a timestamp.
+    """
+    keys = [_as_long(df, name) for name in order[:2]]
+    if keys[0] is None:
+        raise TypeError(f"order key {order[0]} must be an integer or a timestamp")
+    keys = [k for k in keys if k is not None]
+    marks = ["_one_low", "_one_width", "_one_tied", "_two_low", "_two_width", "_two_tied", "_coarse"]
+    hot, number = _ranges(df, by, keys, rows_per_slice, "_one")
+    coarse = df.join(F.broadcast(hot), list(by), "left").withColumn("_coarse", number)
+    still_hot, number = _ranges(
+        coarse.filter(F.col("_coarse").isNotNull()), [*by, "_coarse"], keys, rows_per_slice, "_two"
     )
-    return df.join(F.broadcast(hot), list(by), "left").withColumn(SLICE, number).drop(_WIDTH)
+    fine = coarse.join(F.broadcast(still_hot), [*by, "_coarse"], "left")
+    number = F.col("_coarse") * _FINER + F.coalesce(number, F.lit(0))
+    return fine.withColumns({SLICE: F.coalesce(number, F.lit(0)), _HOT: F.col("_coarse").isNotNull()}).drop(*marks)
 
 
 def _hot_rows(pieces: DataFrame) -> DataFrame:
-    return pieces.filter(F.col(_LOW).isNotNull())
+    return pieces.filter(_HOT)
 
 
 def finish(pieces: DataFrame) -> DataFrame:
-    return pieces.drop(SLICE, _LOW)
+    return pieces.drop(SLICE, _HOT)
 
 
 def running(pieces: DataFrame, by: Sequence[str], order: Sequence[str], sums: dict[str, Column]) -> DataFrame:
@@ -105,9 +130,22 @@ def numbered(
     df: DataFrame, by: Sequence[str], order: Sequence[str], name: str, rows_per_slice: int = ROWS_PER_SLICE
 ) -> DataFrame:
     """1-based row number in ``order`` within ``by``; ``order[0]`` is an integer or timestamp."""
-    pieces = cut(df, by, order[0], rows_per_slice)
+    pieces = cut(df, by, order, rows_per_slice)
     return finish(running(pieces, by, order, {name: F.lit(1).cast("bigint")}))
 
 
+def first_rows(df: DataFrame, by: Sequence[str], order: Sequence[str], k: int, name: str) -> DataFrame:
+    """The first ``k`` rows of each group with their 1-based number.
+
+    For small ``k`` Spark keeps ``k`` rows per group and task before the shuffle; beyond
+    that it would not, and the numbering by slices takes over.
+    """
+    if k <= GROUP_LIMIT:
+        ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    else:
+        ranked = numbered(df, by, order, name).withColumn(name, F.col(name).cast("int"))
+    return ranked.filter(F.col(name) <= k)
+
+
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

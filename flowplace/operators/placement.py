@@ -63,19 +63,16 @@ def place_partitions(assignment: DataFrame, supervisors: DataFrame, rows_per_sli
 
     A topology with more partitions than there are usable supervisors gets no rows at all.
     """
-    parts = schedule_size(assignment).select(
-        "topology",
-        "partitions",
-        F.explode(F.sequence(F.lit(0), F.col("partitions") - 1)).alias("part"),
-    )
     line = order_supervisors(supervisors, rows_per_slice).select(
         F.col("place").cast("int").alias("part"), F.col("id").alias("supervisor"), "host", "assignable_slots", "usable"
     )
-    return (
-        parts.join(line, "part")
-        .filter(F.col("partitions") <= F.col("usable"))
-        .select("topology", "part", "supervisor", "host", "assignable_slots")
+    machines = line.agg(F.coalesce(F.max("usable"), F.lit(0))).scalar()
+    parts = (
+        schedule_size(assignment)
+        .filter(F.col("partitions") <= machines)
+        .select("topology", F.explode(F.sequence(F.lit(0), F.col("partitions") - 1)).alias("part"))
     )
+    return parts.join(line, "part").select("topology", "part", "supervisor", "host", "assignable_slots")
 
 
 def spread_in_slots(tasks: DataFrame, places: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
@@ -95,7 +92,7 @@ def slot_line(supervisors: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> D
     usable = supervisors.filter(~F.col("blacklisted") & (F.col("assignable_slots") > 0)).select(
         F.lit(0).alias("cluster"), "id", F.col("assignable_slots").cast("bigint").alias("slots")
     )
-    pieces = cut(usable, ["cluster"], "id", rows_per_slice)
+    pieces = cut(usable, ["cluster"], ["id"], rows_per_slice)
     ends = finish(running(pieces, ["cluster"], ["id"], {"_end": F.col("slots")}))
     return ends.select(
         F.col("id").alias("supervisor"),
@@ -125,7 +122,7 @@ def schedule_changes(
     versions: DataFrame, order: Sequence[str] = ("ts",), rows_per_slice: int = ROWS_PER_SLICE
 ) -> DataFrame:
     """Schedule versions that differ from the one applied before."""
-    pieces = cut(versions, ["topology"], order[0], rows_per_slice)
+    pieces = cut(versions, ["topology"], order, rows_per_slice)
     pieces = previous(pieces, ["topology"], order, {"_before": F.col("text")}, "_known")
     changed = pieces.filter(~F.col("_known") | ~F.col("text").eqNullSafe(F.col("_before")))
     return finish(changed).drop("_before", "_known")

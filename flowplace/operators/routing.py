@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from flowplace.functions import find_key, hash_bucket, next_bucket
-from flowplace.operators.ordered import ROWS_PER_SLICE, numbered
+from flowplace.operators.ordered import ROWS_PER_SLICE, first_rows, hot_groups, numbered
 
 # Limits of the key searches, and the default batch size.
 ALIGNED_TRIES = 1_000_000
@@ -20,10 +19,16 @@ def bucket_by_key(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.withColumn("bucket", hash_bucket(F.col(key), n))
 
 
-def co_locate(df: DataFrame, n: int, key: str) -> DataFrame:
-    """Bring rows with the same key into the same partition. A key with many rows makes a
-    large partition here by definition; aggregations do not need this step."""
-    return df.repartition(n, key)
+def co_locate(df: DataFrame, n: int, key: str, rows_per_partition: int = ROWS_PER_SLICE) -> DataFrame:
+    """Bring rows with the same key into the same partition; the rows of a key that is too
+    frequent for one partition are dealt over as many as they need."""
+    hot = hot_groups(df, [key], rows_per_partition).select(
+        key, F.expr(f"_rows div {rows_per_partition} + 1").alias("_shares")
+    )
+    others = [c for c in df.columns if c != key]
+    share = F.coalesce(F.pmod(F.xxhash64(*others), F.col("_shares")), F.lit(0)) if others else F.lit(0)
+    dealt = df.join(F.broadcast(hot), key, "left").withColumn("_share", share)
+    return dealt.repartition(n, key, "_share").select(*df.columns)
 
 
 def spread_evenly(df: DataFrame, n: int, row_id: str | None = None) -> DataFrame:
@@ -58,8 +63,8 @@ def multi_hop(df: DataFrame, key: str, n: int, depth: int) -> DataFrame:
 
 def admit_per_period(df: DataFrame, cap: int, period: str = "second") -> DataFrame:
     """At most ``cap - 1`` rows per source and period, earliest first."""
-    order = Window.partitionBy("source", F.date_trunc(period, "ts")).orderBy("ts", "id")
-    return df.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= cap - 1).drop("_n")
+    timed = df.withColumn("_period", F.date_trunc(period, "ts"))
+    return first_rows(timed, ["source", "_period"], ["ts", "id"], cap - 1, "_n").drop("_n", "_period")
 
 
 def batch_rows(df: DataFrame, size: int = BATCH_ROWS, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:

@@ -352,13 +352,13 @@ def _rounds_sql(rounds: int) -> str:
 @query("gph02_propagate_3_rounds", with_lenses(_rounds_sql(3), "edges_planted"))
 def gph02_rounds(spark, d):
     vertices, adjacency, _ = _planted(spark, d)
-    return part.propagate(vertices, adjacency, K, rounds=3)
+    return part.propagate(vertices, part.lay_out(adjacency), K, rounds=3)
 
 
 @query("gph02_partition_graph")
 def gph02(spark, d):
     vertices, adjacency, _ = _planted(spark, d)
-    return part.partition_graph(vertices, adjacency, K)
+    return part.partition_graph(vertices, part.lay_out(adjacency), K)
 
 
 @query("gph02_partition_many_graphs")
@@ -410,6 +410,6 @@ def gph05_quality(spark, d):
     vertices, adjacency, links = _planted(spark, d)
     tried = {
         "round_robin": part.round_robin_partition(vertices, K),
-        "label_propagation": materialise(part.partition_graph(vertices, adjacency, K), "labels"),
+        "label_propagation": part.partition_graph(vertices, part.lay_out(adjacency), K),
     }
     return quality.compare_partitionings(links, vertices, tried)

@@ -135,18 +135,16 @@ def datapoints(spark: SparkSession, d: str, read: Reader = table) -> DataFrame:
 
 def task_reports(spark: SparkSession, d: str) -> DataFrame:
     """Raw reports as JSON text: one metric reading and one map of message counts each."""
-    e = table(spark, d, "events")
     none_map = F.lit(None).cast("map<int,bigint>")
-    reading = F.struct(_metric_name().alias("name"), _whole().alias("value"), none_map.alias("value_map"))
+    reading = F.struct("name", "value", none_map.alias("value_map"))
     counts = F.struct(
         F.lit("emitted_messages").alias("name"),
         F.lit(None).cast("bigint").alias("value"),
-        F.create_map((F.col("event_id") % 25 + 1).cast("int"), _whole()).alias("value_map"),
+        F.create_map((F.col("id") % 25 + 1).cast("int"), F.col("value")).alias("value_map"),
     )
-    base = datapoints(spark, d).drop("name", "value")
-    row = F.struct(*[F.col(f"b.{n}").alias(n) for n in base.columns], F.array(reading, counts).alias("points"))
-    joined = base.alias("b").join(e.select("event_id", "event_type", "value"), F.col("b.id") == F.col("event_id"))
-    return joined.select(F.to_json(row).alias("json"))
+    points = datapoints(spark, d)
+    rest = [c for c in points.columns if c not in ("name", "value")]
+    return points.select(F.to_json(F.struct(*rest, F.array(reading, counts).alias("points"))).alias("json"))
 
 
 def edge_updates(spark: SparkSession, d: str, read: Reader = table) -> DataFrame:

@@ -66,7 +66,7 @@ def metis_lines(links: DataFrame, entries_per_piece: int = ENTRIES_PER_PIECE) ->
         F.format_string(HEADER_FORMAT, "n", "m").alias("text"),
     )
     none = F.lit(None).cast("struct<nbr:int,w:bigint>")
-    pieces = cut(symmetrise(links), ["topology", "id"], "nbr", entries_per_piece)
+    pieces = cut(symmetrise(links), ["topology", "id"], ["nbr"], entries_per_piece)
     entries = pieces.select(
         "topology",
         F.col("id").alias("line_no"),
@@ -118,7 +118,9 @@ def metrics_log_lines(points: DataFrame) -> DataFrame:
     return points.select(log_line(F.unix_seconds("ts")).alias("line"))
 
 
-def write_lines(lines: DataFrame, path: str, order: list[str], text: str = "text") -> None:
+def write_lines(
+    lines: DataFrame, path: str, order: list[str], text: Column, separator: str = "\n"
+) -> None:
     """Text files per topology whose content, read in file order, is in ``order``.
 
     Ranges of (topology, order) are written in parallel; no task holds a whole document.
@@ -126,27 +128,28 @@ def write_lines(lines: DataFrame, path: str, order: list[str], text: str = "text
     (
         lines.repartitionByRange("topology", *order)
         .sortWithinPartitions("topology", *order)
-        .select("topology", F.col(text).alias("value"))
+        .select("topology", text.alias("value"))
         .write.partitionBy("topology")
+        .option("lineSep", separator)
         .text(path)
     )
 
 
 def write_partition_vector(assignment: DataFrame, path: str) -> None:
     """One line per task, in task order, in a folder per topology."""
-    rows = assignment.select("topology", "task_id", F.col("part").cast("string").alias("text"))
-    write_lines(rows, path, ["task_id"])
+    write_lines(assignment, path, ["task_id"], F.col("part").cast("string"))
 
 
-def write_metis(links: DataFrame, path: str) -> None:
-    """Graph files, one folder per topology. A line is written as one row, so a vertex's
-    entries must fit a row (2 GB); its pieces are appended per vertex."""
-    pieces = F.array_sort(F.collect_list(F.struct("piece", "text")))
-    lines = metis_lines(links).groupBy("topology", "line_no").agg(
-        F.array_join(F.transform(pieces, lambda p: p["text"]), "").alias("text")
-    )
-    write_lines(lines, path, ["line_no"])
+def write_metis(links: DataFrame, path: str, entries_per_piece: int = ENTRIES_PER_PIECE) -> None:
+    """Graph files, one folder per topology, in pieces of lines: no row holds a hub's line.
+
+    Rows are separated by the blank that separates numbers, and each line but the first
+    begins with its line break; so lines end in a blank, which readers of the format skip.
+    """
+    starts_line = (F.col("piece") == 0) & (F.col("line_no") > 0)
+    text = F.concat(F.when(starts_line, "\n").otherwise(""), F.ltrim("text"))
+    write_lines(metis_lines(links, entries_per_piece), path, ["line_no", "piece"], text, " ")
 
 
 def write_sendgraph_json(edges: DataFrame, nodes: DataFrame, path: str) -> None:
-    write_lines(sendgraph_json(edges, nodes), path, ["doc"], "json")
+    write_lines(sendgraph_json(edges, nodes), path, ["doc"], F.col("json"))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from flowplace import schemas
 from flowplace.functions import be_long, edge_ends
 from flowplace.functions.columns import config_value
 
 # Physical interfaces, and where their byte counts stand in a line (from 0).
-INTERFACE = "^en[0-9]+$"
+INTERFACE = "en[0-9]+"
 IN_FIELD, OUT_FIELD = 6, 9
 EMITTED = "emitted_messages"
 
@@ -109,6 +110,34 @@ def read_partition_vector(docs: DataFrame, column: str = "text") -> DataFrame:
     )
 
 
+def read_vector_blocks(blocks: DataFrame, block_size: int) -> DataFrame:
+    """The same from vectors that come in blocks of ``block_size`` lines."""
+    lines = blocks.select("topology", "block", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    task = (F.col("block") * block_size + F.col("line_no") + 1).cast("int")
+    return lines.select("topology", task.alias("task_id"), F.trim("line").cast("int").alias("part"))
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(topology, line_no from 0, line) of the text files in ``topology=…`` folders.
+
+    Files count in name order and are read in blocks: lines are numbered inside their block,
+    and a block starts at the number of lines in the blocks before it.
+    """
+    text = spark.read.schema("value string, topology string").text(path).select(
+        "topology",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("seq"),
+        F.col("value").alias("line"),
+    )
+    block = ["topology", "file", "start"]
+    earlier = Window.partitionBy("topology").orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = text.groupBy(*block).agg(F.count(F.lit(1)).alias("lines"))
+    starts = sizes.select(*block, F.coalesce(F.sum("lines").over(earlier), F.lit(0)).alias("first"))
+    inside = F.row_number().over(Window.partitionBy(*block).orderBy("seq")) - 1
+    return text.join(starts, block).select("topology", (F.col("first") + inside).alias("line_no"), "line")
+
+
 def read_counters(files: DataFrame) -> DataFrame:
     """(path, data) of binary counters -> (path, source, target, value)."""
     source, target = edge_ends(F.col("path"))
@@ -118,13 +147,13 @@ def read_counters(files: DataFrame) -> DataFrame:
 def parse_netstat(lines: DataFrame) -> DataFrame:
     """Byte counts of the physical interfaces in captured interface tables."""
     part = F.split("line", r"\s+")
-    return lines.withColumn("part", part).filter(F.col("part")[0].rlike(INTERFACE)).select(
+    return lines.filter(F.col("line").rlike(rf"^{INTERFACE}(\s|$)")).select(
         "host",
         "snapshot_ts",
         "line_no",
-        F.col("part")[0].alias("iface"),
-        F.col("part")[IN_FIELD].cast("bigint").alias("in_bytes"),
-        F.col("part")[OUT_FIELD].cast("bigint").alias("out_bytes"),
+        part[0].alias("iface"),
+        part[IN_FIELD].cast("bigint").alias("in_bytes"),
+        part[OUT_FIELD].cast("bigint").alias("out_bytes"),
     )
 
 

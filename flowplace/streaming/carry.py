@@ -45,6 +45,7 @@ class CarriedState:
 
     def step(self, batch: DataFrame, batch_id: int, operator: Operator) -> None:
         """Run ``operator`` over one batch and write its output and the new state."""
+        batch = batch.persist()  # read once for its output and once for the state
         clock = self.order[0]
         first = batch.agg(F.min(clock)).first()[0]
         rows = batch.withColumn(CARRIED, F.lit(False))
@@ -58,6 +59,7 @@ class CarriedState:
         result.write.mode("overwrite").parquet(f"{self.root}/output/batch={batch_id}")
         newest = latest_per_key(rows, self.keys, self.order).drop(CARRIED)
         newest.select(self.schema.names).write.mode("overwrite").parquet(self._version(batch_id))
+        batch.unpersist()
 
     def output(self, schema: T.StructType) -> DataFrame:
         """All output so far."""

@@ -59,8 +59,11 @@ def test_metis_round_trip(edges, rows, per_piece):
 
 
 def test_written_files_are_in_order(spark, edges, tmp_path):
-    out.write_metis(edges.filter("source <> target"), str(tmp_path / "metis"))
-    assert files_of(tmp_path / "metis", "x") == "6 3 011 1\n13 2 7 4 1 6 1\n11 1 4\n1\n3 1 2\n1\n1 1 1\n"
+    out.write_metis(edges.filter("source <> target"), str(tmp_path / "metis"), 1)
+    text = files_of(tmp_path / "metis", "x")
+    assert [line.rstrip() for line in text.split("\n")] == [
+        "6 3 011 1", "13 2 7 4 1 6 1", "11 1 4", "1", "3 1 2", "1", "1 1 1"
+    ]
     parts = spark.range(1, 2001).select(
         F.lit("big").alias("topology"), F.col("id").cast("int").alias("task_id"), (F.col("id") * 7 % 13).cast("int").alias("part")
     )
@@ -70,6 +73,22 @@ def test_written_files_are_in_order(spark, edges, tmp_path):
     assert len(json.loads(files_of(tmp_path / "json", "x"))["nodes"]) == 5
 
 
+def test_lines_keep_their_numbers(spark, tmp_path, rows):
+    """Files in several blocks: numbers go on from block to block and from file to file."""
+    parts = spark.range(1, 3001).select(
+        F.lit("big").alias("topology"), F.col("id").cast("int").alias("task_id"), (F.col("id") * 7 % 1300).cast("int").alias("part")
+    )
+    out.write_partition_vector(parts, str(tmp_path / "vector"))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        lines = src.read_lines(spark, str(tmp_path / "vector"))
+        got = lines.select((F.col("line_no") + 1).cast("int"), F.col("line").cast("int"))
+        assert rows(got) == rows(parts, "task_id", "part")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_partition_vector_blocks(spark, rows):
     parts = spark.range(1, 26).select(
         F.lit("x").alias("topology"), F.col("id").cast("int").alias("task_id"), (F.col("id") % 3).cast("int").alias("part")
@@ -77,6 +96,7 @@ def test_partition_vector_blocks(spark, rows):
     blocks = out.partition_vector(parts, 10)
     whole = "\n".join(r["text"] for r in blocks.orderBy("block").collect())
     docs = spark.createDataFrame([("x", whole)], "topology string, text string")
+    assert rows(src.read_vector_blocks(blocks, 10)) == rows(parts)
     assert blocks.count() == 3 and rows(src.read_partition_vector(docs)) == rows(parts)
 
 
