@@ -6,8 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from flowplace.operators.ordered import ROWS_PER_SLICE, cut, finish, numbered, previous, running
+from pyspark.sql.window import Window
+
+from flowplace.operators.ordered import (
+    ROWS_PER_SLICE,
+    SLICE,
+    cut,
+    finish,
+    numbered,
+    previous,
+    slice_lasts,
+    with_leads,
+    without_leads,
+)
 from flowplace.operators.projections import data_streams
 
 # Default intervals in seconds.
@@ -111,13 +122,41 @@ UPDATE_ORDER = ("ts", "id")
 
 
 def _latest_totals(points: DataFrame, rows_per_slice: int) -> DataFrame:
-    """Per update: the total of all tasks' latest values, and how many tasks have reported."""
+    """Per update: the total of all tasks' latest values, and how many tasks have reported.
+
+    Within a slice the changes of a task add up to its last value less the one before the
+    slice, so the slices' totals need no second look at the rows. What a slice starts from,
+    each task's value and the group's totals, goes in as leading rows; then one shuffle by
+    (metric, slice) serves both windows.
+    """
     pieces = cut(points, METRIC, UPDATE_ORDER, rows_per_slice)
-    pieces = previous(pieces, TASK_METRIC, UPDATE_ORDER, {"_before": F.col("value")}, "_known")
+    lasts = slice_lasts(pieces, TASK_METRIC, UPDATE_ORDER, {"value": F.col("value")})
+    earlier = Window.partitionBy(*METRIC).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        lasts.groupBy(*METRIC, SLICE)
+        .agg(
+            F.sum(F.col("_last.value") - F.coalesce(F.col("_carried.value"), F.lit(0))).alias("_total"),
+            F.sum(F.when(F.col("_carried").isNull(), 1).otherwise(0)).alias("_tasks"),
+        )
+        .select(*METRIC, SLICE, *[F.sum(c).over(earlier).alias(c) for c in ("_total", "_tasks")])
+    )
+    carried = lasts.filter(F.col("_carried").isNotNull()).select(*TASK_METRIC, SLICE, "_carried.value")
+    leads = carried.unionByName(starts, allowMissingColumns=True)
+    rows = with_leads(pieces, leads).repartition(*METRIC, SLICE)
+    task = Window.partitionBy(*TASK_METRIC, SLICE).orderBy("_lead", *UPDATE_ORDER)
+    rows = rows.withColumns(
+        {"_before": F.lag("value").over(task), "_known": F.lag(F.lit(True)).over(task), "_own": F.col("_lead") == 1}
+    )
     change = F.col("value") - F.coalesce(F.col("_before"), F.lit(0))
     first = F.when(F.col("_known"), 0).otherwise(1).cast("bigint")
-    totals = running(pieces, METRIC, UPDATE_ORDER, {"total": change, "tasks": first})
-    return finish(totals).drop("_before", "_known")
+    upto = Window.partitionBy(*METRIC, SLICE).orderBy("_lead", *UPDATE_ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    summed = rows.withColumns(
+        {
+            "total": F.sum(F.when(F.col("_own"), change).otherwise(F.col("_total"))).over(upto),
+            "tasks": F.sum(F.when(F.col("_own"), first).otherwise(F.col("_tasks"))).over(upto),
+        }
+    )
+    return finish(without_leads(summed, "_before", "_known", "_own", "_total", "_tasks"))
 
 
 # How a metric's tasks combine; add an entry to bring another aggregate of (total, tasks).

@@ -91,39 +91,54 @@ def finish(pieces: DataFrame) -> DataFrame:
     return pieces.drop(SLICE, _HOT)
 
 
+def with_leads(pieces: DataFrame, leads: DataFrame) -> DataFrame:
+    """Rows plus one leading row per slice; ``_lead`` is 0 there and 1 elsewhere."""
+    return pieces.withColumn("_lead", F.lit(1)).unionByName(
+        leads.withColumn("_lead", F.lit(0)), allowMissingColumns=True
+    )
+
+
+def without_leads(rows: DataFrame, *helpers: str) -> DataFrame:
+    return rows.filter(F.col("_lead") == 1).drop("_lead", *helpers)
+
+
 def running(pieces: DataFrame, by: Sequence[str], order: Sequence[str], sums: dict[str, Column]) -> DataFrame:
     """Inclusive running totals ``{new column: summand}`` in ``order`` within ``by``."""
     keys = [*by, SLICE]
-    totals = _hot_rows(pieces).groupBy(*keys).agg(*[F.sum(v).alias(f"_t_{n}") for n, v in sums.items()])
-    slices = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(
-        *keys, *[F.coalesce(F.sum(f"_t_{n}").over(slices), F.lit(0)).alias(f"_o_{n}") for n in sums]
-    )
-    rows = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = pieces.join(before, keys, "left").withColumns(
-        {n: F.sum(v).over(rows) + F.coalesce(F.col(f"_o_{n}"), F.lit(0)) for n, v in sums.items()}
-    )
-    return out.drop(*[f"_o_{n}" for n in sums])
+    totals = _hot_rows(pieces).groupBy(*keys).agg(*[F.sum(v).alias(n) for n, v in sums.items()])
+    earlier = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*keys, *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_s_{n}") for n in sums])
+    rows = with_leads(pieces.withColumns({f"_s_{n}": v for n, v in sums.items()}), before)
+    upto = Window.partitionBy(*keys).orderBy("_lead", *order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({n: F.sum(f"_s_{n}").over(upto) for n in sums})
+    return without_leads(rows, *[f"_s_{n}" for n in sums])
+
+
+def slice_lasts(pieces: DataFrame, by: Sequence[str], order: Sequence[str], columns: dict[str, Column]) -> DataFrame:
+    """Per slice of the hot groups: the last row's values, and those of the slice before
+    (``_last`` and ``_carried``)."""
+    kept = F.struct(*[v.alias(n) for n, v in columns.items()])
+    lasts = _hot_rows(pieces).groupBy(*by, SLICE).agg(F.max_by(kept, F.struct(*order)).alias("_last"))
+    return lasts.withColumn("_carried", F.lag("_last").over(Window.partitionBy(*by).orderBy(SLICE)))
 
 
-def previous(pieces: DataFrame, by: Sequence[str], order: Sequence[str], columns: dict[str, Column], found: str) -> DataFrame:
+def previous(
+    pieces: DataFrame, by: Sequence[str], order: Sequence[str], columns: dict[str, Column], found: str
+) -> DataFrame:
     """Values ``{new column: source}`` of the row before in ``order`` within ``by``.
 
     ``found`` names a flag that is false for the first row, where the new columns are NULL.
     ``by`` must contain the columns the pieces were cut by.
     """
     keys = [*by, SLICE]
+    leads = slice_lasts(pieces, by, order, columns).filter(F.col("_carried").isNotNull())
     kept = F.struct(*[v.alias(n) for n, v in columns.items()])
-    lasts = _hot_rows(pieces).groupBy(*keys).agg(F.max_by(kept, F.struct(*order)).alias("_last"))
-    slices = Window.partitionBy(*by).orderBy(SLICE)
-    carried = lasts.select(*keys, F.lag("_last").over(slices).alias("_carried"))
-    rows = Window.partitionBy(*keys).orderBy(*order)
-    out = pieces.join(carried, keys, "left").withColumn(
-        "_prev", F.coalesce(F.lag(kept).over(rows), F.col("_carried"))
-    )
-    return out.withColumns(
+    rows = with_leads(pieces.withColumn("_kept", kept), leads.select(*keys, F.col("_carried").alias("_kept")))
+    rows = rows.withColumn("_prev", F.lag("_kept").over(Window.partitionBy(*keys).orderBy("_lead", *order)))
+    rows = rows.withColumns(
         {found: F.col("_prev").isNotNull(), **{n: F.col(f"_prev.{n}") for n in columns}}
-    ).drop("_prev", "_carried")
+    )
+    return without_leads(rows, "_prev", "_kept")
 
 
 def numbered(
