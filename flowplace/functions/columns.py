@@ -9,8 +9,8 @@ from flowplace.functions.hashing import java_hash
 
 # The two ways the id pair of an edge path may be separated.
 EDGE_PATH = r"(-?\d+)[-_](-?\d+)$"
-# Fixed value: root of a metric path when none is configured.
-DEFAULT_BASE = "stools"
+# Root of a metric path when none is given.
+DEFAULT_BASE = "flowplace"
 
 
 def be_long(data: Column) -> Column:

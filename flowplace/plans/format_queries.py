@@ -298,7 +298,7 @@ with changes as (
     select topology, name, task_id, ts, sum(delta) over upto as total, sum(first) over upto as tasks from changes
     window upto as (partition by topology, name order by ts, id rows between unbounded preceding and current row)
 )
-select 'stools.' || topology || '.' || name || ' '
+select 'flowplace.' || topology || '.' || name || ' '
        || (case when name = 'complete_latency' then total::bigint // greatest(tasks, 1)::bigint else total::bigint end)
        || ' ' || (epoch_us(ts) // 1000000) as line
 from totals where task_id = 1 or contains(lower(name), 'worker')

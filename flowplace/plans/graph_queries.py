@@ -287,10 +287,14 @@ def _planted(spark, d):
     return materialise(g.vertex_weights(links), "vertices"), g.undirected(links), links
 
 
-def _rounds_sql(rounds: int) -> str:
-    """The propagation rounds spelled out; id ranges and gain magnitudes as in the job."""
-    parts = [
-        _WEIGHTS.format(edges="edges_planted").strip().removeprefix("with ").replace(
+HASH_START = "(('0x' || substr(md5(id::varchar), 1, 8))::bigint % {k})::int"
+ROUND_ROBIN_START = "(id % {k})::int"
+
+
+def _graph_sql(edges: str) -> list[str]:
+    """Links, vertices and the undirected adjacency of a lens."""
+    return [
+        _WEIGHTS.format(edges=edges).strip().removeprefix("with ").replace(
             "select topology, id, (1 +", ", vertices as materialized (select topology, id, (1 +"
         )
         + ")",
@@ -302,82 +306,133 @@ def _rounds_sql(rounds: int) -> str:
                         else coalesce(ab, 1) + coalesce(ba, 1) end)::bigint as w from pairs)""",
         """adj as materialized (select topology, a as id, b as nbr, w from weighted
            union all select topology, b, a, w from weighted)""",
-        f"""sizes as (select topology, max(id) as max_id,
-                  (sum(vw)::bigint * {100 + part.SLACK_PERCENT} + {100 * K - 1}) // {100 * K} as capacity
+    ]
+
+
+def _run_sql(x: str, start: str, k: int, rounds: int) -> list[str]:
+    """Propagation spelled out round by round, ``x`` naming the run: id ranges and gain
+    magnitudes as in the job, the best labels of each graph kept until the run is idle."""
+    parts = [
+        f"""{x}sizes as (select topology, max(id) as max_id,
+                  (sum(vw)::bigint * {100 + part.SLACK_PERCENT} + {100 * k - 1}) // {100 * k} as capacity
            from vertices group by topology)""",
-        f"""s0 as materialized (select topology, id, vw, (id % {K})::int as part, capacity,
-                  id::bigint * {part.ID_RANGES} // (max_id + 1) as id_range
-           from vertices join sizes using (topology))""",
+        f"""{x}s0 as materialized (select topology, id, vw, {start.format(k=k)} as part, capacity,
+                  id::bigint * {part.ID_RANGES} // (max_id + 1) as id_range, null::int as kept
+           from vertices join {x}sizes using (topology))""",
+        f"{x}best0 as materialized (select distinct topology, null::bigint as best from vertices)",
+        f"{x}idle0 as materialized (select 0 as idle)",
     ]
     for r in range(rounds):
-        parts.append(
-            f"""scores{r} as (select a.topology, a.id, s.part as to_part, sum(a.w)::bigint as score
-                 from adj a join s{r} s on s.topology = a.topology and s.id = a.nbr group by 1, 2, 3)"""
-        )
-        parts.append(
-            f"""wish{r} as materialized (
-                 select s.topology, s.id, s.vw, s.part, s.capacity, s.id_range,
-                        coalesce(best.to_part, s.part) as target,
-                        coalesce(best.score, 0) - coalesce(own.score, 0) as gain
-                 from s{r} s
-                 left join (select *, row_number() over (partition by topology, id order by score desc, to_part) as n
-                            from scores{r}) best on best.topology = s.topology and best.id = s.id and best.n = 1
-                 left join scores{r} own on own.topology = s.topology and own.id = s.id and own.to_part = s.part)"""
-        )
-        parts.append(
-            f"""asked{r} as (select *, case when gain > 0 and (id + {r}) % 2 = 0
-                 then (64 - length(bin(gain))) * {part.ID_RANGES} + id_range end as block from wish{r})"""
-        )
-        parts.append(
-            f"""load{r} as (select topology, part as target, sum(vw)::bigint as load from wish{r} group by 1, 2)"""
-        )
-        parts.append(
-            f"""cutoff{r} as (
+        parts += [
+            f"""{x}scores{r} as materialized (select a.topology, a.id, s.part as to_part, sum(a.w)::bigint as score
+                 from adj a join {x}s{r} s on s.topology = a.topology and s.id = a.nbr group by 1, 2, 3)""",
+            f"""{x}top{r} as (select topology, id, max(score) as score, arg_min(to_part, (-score, to_part)) as to_part,
+                        sum(score)::bigint as reach
+                 from {x}scores{r} group by 1, 2)""",
+            f"""{x}wish{r} as materialized (
+                 select s.*, coalesce(t.to_part, s.part) as target, coalesce(own.score, 0) as own,
+                        coalesce(t.reach, 0) as reach, coalesce(t.score, 0) - coalesce(own.score, 0) as gain
+                 from {x}s{r} s left join {x}top{r} t on t.topology = s.topology and t.id = s.id
+                 left join {x}scores{r} own on own.topology = s.topology and own.id = s.id and own.to_part = s.part)""",
+            f"""{x}judged{r} as materialized (
+                 select b.topology, b.best, c.cut,
+                        (select idle from {x}idle{r}) < {part.PATIENCE} and (b.best is null or c.cut < b.best) as improved
+                 from {x}best{r} b
+                 join (select topology, sum(reach - own)::bigint // 2 as cut from {x}wish{r} group by 1) c using (topology))""",
+            f"""{x}best{r + 1} as materialized (
+                 select topology, case when improved then cut else best end as best from {x}judged{r})""",
+            f"""{x}idle{r + 1} as materialized (
+                 select case when (select bool_or(improved) from {x}judged{r}) then 0 else idle + 1 end as idle
+                 from {x}idle{r})""",
+            f"""{x}asked{r} as (select *, case when gain > 0 and (id + {r}) % 2 = 0
+                 then (64 - length(bin(gain))) * {part.ID_RANGES} + id_range end as block from {x}wish{r})""",
+            f"""{x}load{r} as (select topology, part as target, sum(vw)::bigint as load from {x}wish{r} group by 1, 2)""",
+            f"""{x}cutoff{r} as (
                  select topology, target, max(block) as cutoff
                  from (select topology, target, block, capacity,
                               sum(sum(vw)) over (partition by topology, target order by block) as upto
-                       from asked{r} where block is not null group by topology, target, block, capacity)
-                 left join load{r} using (topology, target)
-                 where upto + coalesce(load, 0) <= capacity group by topology, target)"""
-        )
-        parts.append(
-            f"""s{r + 1} as materialized (
+                       from {x}asked{r} where block is not null group by topology, target, block, capacity)
+                 left join {x}load{r} using (topology, target)
+                 where upto + coalesce(load, 0) <= capacity group by topology, target)""",
+            f"""{x}s{r + 1} as materialized (
                  select a.topology, a.id, a.vw, case when a.block <= c.cutoff then a.target else a.part end as part,
-                        a.capacity, a.id_range
-                 from asked{r} a left join cutoff{r} c on c.topology = a.topology and c.target = a.target)"""
-        )
-    return "with " + ",\n".join(parts) + f"\nselect topology, id as task_id, part::int as part from s{rounds}"
+                        a.capacity, a.id_range, case when j.improved then a.part else a.kept end as kept
+                 from {x}asked{r} a join {x}judged{r} j on j.topology = a.topology
+                 left join {x}cutoff{r} c on c.topology = a.topology and c.target = a.target)""",
+        ]
+    return parts
+
+
+def _with(parts: list[str], body: str) -> str:
+    return "with " + ",\n".join(parts) + "\n" + body
+
+
+ALL_ROUNDS = part.MAX_ROUNDS + 1
 
 
-@query("gph02_propagate_3_rounds", with_lenses(_rounds_sql(3), "edges_planted"))
+@query(
+    "gph02_propagate_3_rounds",
+    with_lenses(
+        _with(
+            _graph_sql("edges_planted") + _run_sql("", ROUND_ROBIN_START, K, 3),
+            "select topology, id as task_id, part::int as part from s3",
+        ),
+        "edges_planted",
+    ),
+)
 def gph02_rounds(spark, d):
     vertices, adjacency, _ = _planted(spark, d)
     return part.propagate(vertices, part.lay_out(adjacency), K, rounds=3)
 
 
-@query("gph02_partition_graph")
+@query(
+    "gph02_partition_graph",
+    with_lenses(
+        _with(
+            _graph_sql("edges_planted") + _run_sql("", ROUND_ROBIN_START, K, ALL_ROUNDS),
+            f"select topology, id as task_id, kept::int as part from s{ALL_ROUNDS}",
+        ),
+        "edges_planted",
+    ),
+)
 def gph02(spark, d):
     vertices, adjacency, _ = _planted(spark, d)
     return part.partition_graph(vertices, part.lay_out(adjacency), K)
 
 
-@query("gph02_partition_many_graphs")
+_WINNER = f"""
+runs as materialized (select 0 as run, topology, id, vw, capacity, kept from a_s{ALL_ROUNDS}
+                      union all select 1, topology, id, vw, capacity, kept from b_s{ALL_ROUNDS}),
+over as (select run, topology, max(load) > max(capacity) as over
+         from (select run, topology, kept, max(capacity) as capacity, sum(vw)::bigint as load from runs group by 1, 2, 3)
+         group by 1, 2),
+cuts as (select 0 as run, topology, best as cut from a_best{ALL_ROUNDS}
+         union all select 1, topology, best from b_best{ALL_ROUNDS}),
+winner as (select topology, arg_min(run, (over, cut, run)) as run from over join cuts using (run, topology) group by 1)"""
+
+
+@query(
+    "gph02_partition_many_graphs",
+    with_lenses(
+        _with(
+            _graph_sql("edges_dense")
+            + _run_sql("a_", ROUND_ROBIN_START, 4, ALL_ROUNDS)
+            + _run_sql("b_", HASH_START, 4, ALL_ROUNDS)
+            + [_WINNER.strip()],
+            "select topology, id as task_id, kept::int as part from runs join winner using (topology, run)",
+        ),
+        "edges_dense",
+    ),
+)
 def gph02_many(spark, d):
     """All dense graphs in one job, from the better of both starts."""
     links = materialise(without_self_loops(L.edges_dense(spark, d)), "links")
     return part.partition_with("label_propagation", g.vertex_weights(links), g.undirected(links), 4)
 
 
-_COMPARE = (
-    _WEIGHTS.format(edges="edges_planted").strip().removeprefix("with ").replace(
-        "select topology, id, (1 +", ", vertices as materialized (select topology, id, (1 +"
-    )
-    + """),
-tried as materialized (
-    select 'one' as strategy, topology, id, vw, 0 as part from vertices
-    union all select 'round_robin', topology, id, vw, id % 8 from vertices
-    union all select 'hash', topology, id, vw,
-                     (('0x' || substr(md5(id::varchar), 1, 8))::bigint % 8)::int from vertices),
+def _compare_sql(before: list[str], tried: str) -> str:
+    return _with(before, "").rstrip() + f""",
+tried as materialized ({tried}),
 labelled as materialized (
     select s.strategy, l.topology, l.source, l.target, l.value, s.part as sp, t.part as tp
     from links l join tried s on s.topology = l.topology and s.id = l.source
@@ -393,10 +448,14 @@ loads as (select strategy, topology,
 select strategy, topology, total_weight, remote_weight, total_weight - remote_weight as local_weight,
        remote_weight * 1000000 // total_weight as remote_ppm, coalesce(volume, 0) as volume, imbalance_ppm
 from cuts left join volumes using (strategy, topology) join loads using (strategy, topology)"""
-)
 
 
-@query("gph05_compare_partitionings", with_lenses("with " + _COMPARE, "edges_planted"))
+_THREE = f"""select 'one' as strategy, topology, id, vw, 0 as part from vertices
+    union all select 'round_robin', topology, id, vw, {ROUND_ROBIN_START.format(k=K)} from vertices
+    union all select 'hash', topology, id, vw, {HASH_START.format(k=K)} from vertices"""
+
+
+@query("gph05_compare_partitionings", with_lenses(_compare_sql(_graph_sql("edges_planted"), _THREE), "edges_planted"))
 def gph05(spark, d):
     vertices, _, links = _planted(spark, d)
     names = ("one", "round_robin", "hash")
@@ -404,7 +463,19 @@ def gph05(spark, d):
     return quality.compare_partitionings(links, vertices, tried)
 
 
-@query("gph05_partition_quality")
+_START_AND_END = f"""select 'round_robin' as strategy, topology, id, vw, {ROUND_ROBIN_START.format(k=K)} as part from vertices
+    union all select 'label_propagation', topology, id, vw, kept from s{ALL_ROUNDS}"""
+
+
+@query(
+    "gph05_partition_quality",
+    with_lenses(
+        _compare_sql(
+            _graph_sql("edges_planted") + _run_sql("", ROUND_ROBIN_START, K, ALL_ROUNDS), _START_AND_END
+        ),
+        "edges_planted",
+    ),
+)
 def gph05_quality(spark, d):
     """The propagated partitioning next to its start."""
     vertices, adjacency, links = _planted(spark, d)

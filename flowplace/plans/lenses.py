@@ -450,6 +450,8 @@ def with_lenses(body: str, *names: str) -> str:
         add(name)
     ctes = ",\n".join(f"{n} as ({SQL[n][1]}\n)" for n in wanted)
     body = body.strip()
+    if body.lower().startswith("with recursive "):
+        return f"with recursive {ctes},\n{body[15:]}"
     if body.lower().startswith("with "):
         return f"with {ctes},\n{body[5:]}"
     return f"with {ctes}\n{body}"

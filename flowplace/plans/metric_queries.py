@@ -105,7 +105,7 @@ def prj09(spark, d):
 
 @query(
     "prj10_metric_path",
-    with_lenses("select id, 'stools.' || topology || '.' || name as path from datapoints", "datapoints"),
+    with_lenses("select id, 'flowplace.' || topology || '.' || name as path from datapoints", "datapoints"),
 )
 def prj10(spark, d):
     return p.with_metric_path(L.datapoints(spark, d)).select("id", "path")

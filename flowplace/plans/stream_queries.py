@@ -22,7 +22,7 @@ GAP = 600
 def _closed(body: str, ts: str, lens: str, width: int, late: int) -> str:
     """Rows of ``body`` whose window has closed: its end is not after the watermark."""
     return f"""select w.* from ({body}) w
-               where (w.start + {width}) * 1000 <= (select epoch_ms(max({ts})) - {late * 1000} from {lens})"""
+               where (w.start + {width}) * 1000 <= (select epoch_us(max({ts})) // 1000 - {late * 1000} from {lens})"""
 
 
 @query(
@@ -82,7 +82,7 @@ def str01_latency(spark, d):
                              unnest(range(epoch_us(ts) // 3600000000 - 11, epoch_us(ts) // 3600000000 + 1)) * {HOUR} as start
                       from datapoints
                       where (epoch_us(ts) // 3600000000 + 1) * 3600000
-                            <= (select epoch_ms(max(ts)) - {HOUR * 1000} from datapoints))
+                            <= (select epoch_us(max(ts)) // 1000 - {HOUR * 1000} from datapoints))
                 group by topology, task_id, start""",
             "ts",
             "datapoints",
@@ -119,7 +119,7 @@ def str03(spark, d):
     "str03_publish_sessions_stream",
     with_lenses(
         f"""select * from ({_SESSIONS})
-            where published // 1000 <= (select epoch_ms(max(ts)) - {GAP * 1000} from edge_updates)""",
+            where published // 1000 <= (select epoch_us(max(ts)) // 1000 - {GAP * 1000} from edge_updates)""",
         "edge_updates",
     ),
 )
@@ -128,7 +128,33 @@ def str03_stream(spark, d):
     return _micros(collect_append(live.publish_sessions(updates, GAP), "sessions"))
 
 
-@query("str03_publish_times_stream")
+_PUBLISH_TIMES = f"""
+with recursive ticks as materialized (
+    select topology, ms, row_number() over (partition by topology order by ms) as n
+    from (select distinct topology, epoch_us(ts) // 1000 as ms from edge_updates)),
+steps as (
+    select topology, 0::bigint as n, null::bigint as due, null::bigint as last, null::bigint as published
+    from (select distinct topology from ticks)
+    union all
+    select topology, n,
+           case when open is null or before is null or before + {3 * GAP * 1000} > ms then ms + {GAP * 1000} else open end,
+           before, fired
+    from (select s.topology, t.n, t.ms,
+                 case when s.due <= t.ms then null else s.due end as open,
+                 case when s.due <= t.ms then s.due else s.last end as before,
+                 case when s.due <= t.ms then s.due end as fired
+          from steps s join ticks t on t.topology = s.topology and t.n = s.n + 1)),
+ended as (
+    select topology, published as published_ms from steps where published is not null
+    union all
+    select topology, due from steps
+    where (topology, n) in (select topology, max(n) from ticks group by topology)
+          and due <= (select max(ms) - {GAP * 1000} from ticks))
+select topology, published_ms from ended
+"""
+
+
+@query("str03_publish_times_stream", with_lenses(_PUBLISH_TIMES, "edge_updates"))
 def str03_strict(spark, d):
     """Silence of ten minutes, but a new version at least every half hour of updates."""
     times = debounce.publish_times(L.edge_updates(spark, d, stream_table), GAP, GAP, 3 * GAP)
@@ -183,11 +209,11 @@ def str06(spark, d):
 @query(
     "str07_tracked_stream",
     with_lenses(
-        """with ends as (select least((select epoch_ms(max(ts)) from roots), (select epoch_ms(max(ack_ts)) from acks))
+        """with ends as (select least((select epoch_us(max(ts)) // 1000 from roots), (select epoch_us(max(ack_ts)) // 1000 from acks))
                                 - 10000 as mark)
            select r.topology, r.msg_id, r.source, a.msg_id is not null as completed, coalesce(a.latency_ms, -1) as latency_ms
            from roots r left join acks a on r.msg_id = a.msg_id and a.ack_ts between r.ts and r.ts + interval 100 second
-           where a.msg_id is not null or epoch_ms(r.ts) + 100000 < (select mark from ends)""",
+           where a.msg_id is not null or epoch_us(r.ts) // 1000 + 100000 < (select mark from ends)""",
         "roots",
         "acks",
     ),

@@ -113,20 +113,26 @@ def test_reports_from_files(spark, tmp_path, rows):
 
 
 def test_interface_table(spark, rows):
+    def line(name, address, received, sent):
+        return f"{name:<5} 1500  net {address:>17}  10 0 {received} 20 0 {sent} 0"
+
     text = [
         "Name  Mtu   Network       Address            Ipkts Ierrs     Ibytes    Opkts Oerrs     Obytes  Coll",
-        "lo0   16384 <Link#1>                       2183334     0  295602781  2183334     0  295602781     0",
-        "en0   1500  <Link#5>    54:26:96:da:ed:9f   114193     0   75981699   169308     0   30717122     0",
-        "bridg 1500  <Link#8>    22:c9:d0:b2:ac:00        0     0          0        1     0        342     0",
-        "en2   1500  <Link#4>    20:c9:d0:2b:94:e5 11771286     1 11116599989  7380954     0 2255963348     0",
-        "en2   1500  macbookpro- fe80:4::22c9:d0ff 11771286     - 11116599989  7380954     - 2255963348     -",
+        line("lo0", "localhost", 999, 999),
+        line("en0", "aa:bb", 1_000, 200),
+        line("bridg", "cc:dd", 5, 7),
+        line("xen2", "ee:ff", 5, 7),
+        line("en12", "10.0.0.1", 9_000_000_000, 30),
+        line("en12", "10.0.0.2", 9_000_000_000, 30),
+        line("en3a", "10.0.0.3", 5, 7),
     ]
     from flowplace.operators.metrics import interface_bytes
 
     lines = spark.createDataFrame([("h", i, t) for i, t in enumerate(text)], "host string, line_no int, line string")
     parsed = src.parse_netstat(lines.withColumn("snapshot_ts", F.lit("2024-01-01").cast("timestamp")))
-    assert rows(parsed, "line_no", "iface", "in_bytes") == [(2, "en0", 75981699), (4, "en2", 11116599989), (5, "en2", 11116599989)]
-    assert interface_bytes(parsed).first()["bytes"] == 75981699 + 30717122 + 11116599989 + 2255963348
+    expected = [(2, "en0", 1_000), (5, "en12", 9_000_000_000), (6, "en12", 9_000_000_000)]
+    assert rows(parsed, "line_no", "iface", "in_bytes") == expected
+    assert interface_bytes(parsed).first()["bytes"] == 1_200 + 9_000_000_030
 
 
 def test_log_line_pads_and_cuts(spark):
