@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowplace.operators.ordered import ROWS_PER_SLICE, first_rows, numbered
 from flowplace.operators.projections import without_self_loops
+from flowplace.session import materialise
 
 SPINE_BLOCK = 65_536
 
@@ -125,15 +126,19 @@ def node_flow(edges: DataFrame) -> DataFrame:
 
 
 def node_positions(nodes: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
-    """0-based position of each node in its graph's ascending node list."""
-    ranked = numbered(nodes.select("topology", "id"), ["topology"], ["id"], "_number", rows_per_slice)
+    """0-based position of each node in its graph's ascending node list.
+
+    The nodes are written first: numbering looks at them several times.
+    """
+    listed = materialise(nodes.select("topology", "id"), "nodes")
+    ranked = numbered(listed, ["topology"], ["id"], "_number", rows_per_slice)
     return ranked.select("topology", "id", (F.col("_number") - 1).alias("position"))
 
 
 def links_to_index(links: DataFrame, nodes: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Replace the ids at both link ends by node positions. Hub ids make skewed join keys;
     AQE splits those."""
-    at = node_positions(nodes, rows_per_slice)
+    at = materialise(node_positions(nodes, rows_per_slice), "positions")
     source = at.select("topology", F.col("id").alias("source"), F.col("position").alias("source_index"))
     target = at.select("topology", F.col("id").alias("target"), F.col("position").alias("target_index"))
     return links.join(source, ["topology", "source"]).join(target, ["topology", "target"]).select(

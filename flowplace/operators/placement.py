@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from flowplace.operators.metrics import div
 from flowplace.operators.ordered import ROWS_PER_SLICE, cut, finish, numbered, previous, running
 from flowplace.operators.projections import single_task
+from flowplace.session import materialise
 
 MEMBERS_BLOCK = 4_096
 
@@ -63,8 +64,11 @@ def place_partitions(assignment: DataFrame, supervisors: DataFrame, rows_per_sli
 
     A topology with more partitions than there are usable supervisors gets no rows at all.
     """
-    line = order_supervisors(supervisors, rows_per_slice).select(
-        F.col("place").cast("int").alias("part"), F.col("id").alias("supervisor"), "host", "assignable_slots", "usable"
+    line = materialise(
+        order_supervisors(supervisors, rows_per_slice).select(
+            F.col("place").cast("int").alias("part"), F.col("id").alias("supervisor"), "host", "assignable_slots", "usable"
+        ),
+        "line",
     )
     machines = line.agg(F.coalesce(F.max("usable"), F.lit(0))).scalar()
     parts = (
@@ -76,8 +80,11 @@ def place_partitions(assignment: DataFrame, supervisors: DataFrame, rows_per_sli
 
 
 def spread_in_slots(tasks: DataFrame, places: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
-    """The i-th task of a partition goes to slot ``i mod slots`` of its supervisor."""
-    ranked = numbered(tasks, ["topology", "part"], ["task_id"], "_n", rows_per_slice)
+    """The i-th task of a partition goes to slot ``i mod slots`` of its supervisor.
+
+    Tasks come out of joins, and numbering looks at them several times: written first.
+    """
+    ranked = numbered(materialise(tasks, "tasks"), ["topology", "part"], ["task_id"], "_n", rows_per_slice)
     return ranked.join(places, ["topology", "part"]).select(
         "topology",
         "part",
@@ -90,7 +97,7 @@ def spread_in_slots(tasks: DataFrame, places: DataFrame, rows_per_slice: int = R
 def slot_line(supervisors: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """All assignable slots of usable supervisors, numbered by (supervisor, slot)."""
     usable = supervisors.filter(~F.col("blacklisted") & (F.col("assignable_slots") > 0)).select(
-        F.lit(0).alias("cluster"), "id", F.col("assignable_slots").cast("bigint").alias("slots")
+        (~F.col("blacklisted")).alias("cluster"), "id", F.col("assignable_slots").cast("bigint").alias("slots")
     )
     pieces = cut(usable, ["cluster"], ["id"], rows_per_slice)
     ends = finish(running(pieces, ["cluster"], ["id"], {"_end": F.col("slots")}))
@@ -108,9 +115,9 @@ def fallback_even(
     tasks = single_task(executors).join(scheduled, "topology", "left_anti").select(
         "topology", F.col("start_task").alias("task_id")
     )
-    slots = slot_line(supervisors, rows_per_slice)
+    slots = materialise(slot_line(supervisors, rows_per_slice), "slots")
     total = slots.agg(F.count(F.lit(1))).scalar()
-    ranked = numbered(tasks, ["topology"], ["task_id"], "_n", rows_per_slice)
+    ranked = numbered(materialise(tasks, "tasks"), ["topology"], ["task_id"], "_n", rows_per_slice)
     return (
         ranked.withColumn("slot_no", (F.col("_n") - 1) % F.when(total > 0, total))
         .join(slots, "slot_no")

@@ -60,7 +60,7 @@ def src01_edges(spark, d):
 
 
 def _docs(spark, d):
-    edges = materialise(L.edges_dense(spark, d), "edges")
+    edges = L.stored_edges_dense(spark, d)
     return out.sendgraph_json(edges, g.graph_nodes(edges))
 
 

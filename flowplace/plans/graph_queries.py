@@ -58,12 +58,12 @@ from spine left join ends using (topology, id) group by topology, id
 
 @query("agg05_vertex_weights", with_lenses(_WEIGHTS.format(edges="edges_dense"), "edges_dense"))
 def agg05(spark, d):
-    return g.vertex_weights(without_self_loops(L.edges_dense(spark, d)))
+    return g.vertex_weights(without_self_loops(L.stored_edges_dense(spark, d)))
 
 
 @query("agg05_vertex_weights_planted", with_lenses(_WEIGHTS.format(edges="edges_planted"), "edges_planted"))
 def agg05_planted(spark, d):
-    return g.vertex_weights(L.edges_planted(spark, d))
+    return g.vertex_weights(materialise(L.edges_planted(spark, d), "links"))
 
 
 @query(
@@ -139,7 +139,7 @@ def agg15(spark, d):
     ),
 )
 def joi05(spark, d):
-    links = L.edges_planted(spark, d)
+    links = materialise(L.edges_planted(spark, d), "links")
     return g.links_to_index(links, g.graph_nodes(links))
 
 
@@ -179,7 +179,8 @@ labelled as (
 
 
 def _labelled(spark, d):
-    return quality.edge_partitions(L.edges_dense(spark, d), L.assignment(spark, d))
+    edges = L.stored_edges_dense(spark, d)
+    return quality.edge_partitions(edges, L.assignment(edges))
 
 
 @query(
@@ -243,8 +244,8 @@ _VERTICES = "links as" + _VW.format(edges="edges_dense").removeprefix("links as"
     ),
 )
 def agg14(spark, d):
-    vertices = g.vertex_weights(without_self_loops(L.edges_dense(spark, d)))
-    return quality.partition_load(vertices, L.assignment(spark, d))
+    edges = L.stored_edges_dense(spark, d)
+    return quality.partition_load(g.vertex_weights(without_self_loops(edges)), L.assignment(edges))
 
 
 @query(
@@ -261,8 +262,9 @@ def agg14(spark, d):
     ),
 )
 def agg14_imbalance(spark, d):
-    vertices = g.vertex_weights(without_self_loops(L.edges_dense(spark, d)))
-    return quality.imbalance(quality.partition_load(vertices, L.assignment(spark, d)))
+    edges = L.stored_edges_dense(spark, d)
+    vertices = g.vertex_weights(without_self_loops(edges))
+    return quality.imbalance(quality.partition_load(vertices, L.assignment(edges)))
 
 
 @query(

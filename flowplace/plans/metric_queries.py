@@ -10,6 +10,7 @@ from flowplace.operators import tracking
 from flowplace.plans import lenses as L
 from flowplace.plans.lenses import with_lenses
 from flowplace.plans.registry import query
+from flowplace.session import materialise
 from flowplace.sources import formats
 
 HOUR = 3_600
@@ -264,7 +265,7 @@ def win02(spark, d):
 )
 def win03(spark, d):
     counters = m.interface_bytes(formats.parse_netstat(L.netstat(spark, d))).withColumnRenamed("snapshot_ts", "ts")
-    return m.counter_rate(counters).select("host", _micros("ts"), "rate")
+    return m.counter_rate(materialise(counters, "counters")).select("host", _micros("ts"), "rate")
 
 
 @query(

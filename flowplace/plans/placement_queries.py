@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowplace.operators import graph as g
-from flowplace.operators import metrics as m
 from flowplace.operators import placement as pl
 from flowplace.plans import lenses as L
 from flowplace.plans.lenses import with_lenses
 from flowplace.plans.registry import query
+from flowplace.session import materialise
 
 _SIZES = "sizes as (select topology, max(part) + 1 as partitions, count(*) as tasks from assignment group by topology)"
 
@@ -33,14 +33,19 @@ places as (
     join line l on l.place = p.part where p.partitions <= l.usable)"""
 
 
+def _assignment(spark, d):
+    """The schedule as a table: placement joins it and counts it."""
+    return materialise(L.assignment(L.edges_dense(spark, d)), "schedule")
+
+
 @query("agg10_schedule_size", with_lenses(f"with {_SIZES} select * from sizes", "assignment"))
 def agg10(spark, d):
-    return pl.schedule_size(L.assignment(spark, d))
+    return pl.schedule_size(_assignment(spark, d))
 
 
 @query("joi01_apply_schedule", with_lenses(f"with {_PLACED} select * from placed", "executors", "assignment"))
 def joi01(spark, d):
-    return pl.apply_schedule(L.executors(spark, d), L.assignment(spark, d))
+    return pl.apply_schedule(L.executors(spark, d), _assignment(spark, d))
 
 
 @query("srt01_order_supervisors", with_lenses(f"with {_LINE} select * from line", "supervisors"))
@@ -53,7 +58,7 @@ def srt01(spark, d):
     with_lenses(f"with {_SIZES}, {_PLACES} select * from places", "assignment", "supervisors"),
 )
 def joi02(spark, d):
-    return pl.place_partitions(L.assignment(spark, d), L.supervisors(spark, d))
+    return pl.place_partitions(_assignment(spark, d), L.supervisors(spark, d))
 
 
 @query(
@@ -69,7 +74,7 @@ def joi02(spark, d):
     ),
 )
 def joi03(spark, d):
-    assignment = L.assignment(spark, d)
+    assignment = _assignment(spark, d)
     tasks = pl.apply_schedule(L.executors(spark, d), assignment)
     return pl.spread_in_slots(tasks, pl.place_partitions(assignment, L.supervisors(spark, d)))
 
@@ -93,7 +98,7 @@ def joi03(spark, d):
     ),
 )
 def joi04(spark, d):
-    return pl.fallback_even(L.executors(spark, d), L.assignment(spark, d), L.supervisors(spark, d))
+    return pl.fallback_even(L.executors(spark, d), _assignment(spark, d), L.supervisors(spark, d))
 
 
 @query(
@@ -145,11 +150,11 @@ def agg11(spark, d):
 )
 def host_traffic(spark, d):
     """Schedule, placement and edge weights in one job: traffic between machines."""
-    assignment = L.assignment(spark, d)
+    edges = L.stored_edges_dense(spark, d)
+    assignment = materialise(L.assignment(edges), "schedule")
     tasks = pl.apply_schedule(L.executors(spark, d), assignment)
     places = pl.place_partitions(assignment, L.supervisors(spark, d)).select("topology", "part", "supervisor")
     at = tasks.join(places, ["topology", "part"]).select("topology", "task_id", "supervisor")
-    edges = m.edge_counts(L.emits(spark, d))
     source = at.withColumnsRenamed({"task_id": "source", "supervisor": "from_supervisor"})
     target = at.withColumnsRenamed({"task_id": "target", "supervisor": "to_supervisor"})
     return (

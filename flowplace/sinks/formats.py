@@ -13,6 +13,7 @@ from flowplace.operators.graph import graph_header, symmetrise, vertex_weights
 from flowplace.operators.metrics import div
 from flowplace.operators.ordered import SLICE, cut
 from flowplace.operators.projections import without_self_loops
+from flowplace.session import materialise
 
 ENTRIES_PER_DOC = 100_000
 ENTRIES_PER_PIECE = 1_000_000
@@ -66,7 +67,8 @@ def metis_lines(links: DataFrame, entries_per_piece: int = ENTRIES_PER_PIECE) ->
         F.format_string(HEADER_FORMAT, "n", "m").alias("text"),
     )
     none = F.lit(None).cast("struct<nbr:int,w:bigint>")
-    pieces = cut(symmetrise(links), ["topology", "id"], ["nbr"], entries_per_piece)
+    adjacency = materialise(symmetrise(links), "adjacency")  # looked at several times
+    pieces = cut(adjacency, ["topology", "id"], ["nbr"], entries_per_piece)
     entries = pieces.select(
         "topology",
         F.col("id").alias("line_no"),
