@@ -169,6 +169,16 @@ def test_admission_cap(spark, rows):
     events = spark.createDataFrame([(s, i, i // 10) for s in (1, 2) for i in range(30)], "source int, id bigint, s bigint")
     kept = routing.admit_per_period(events.withColumn("ts", F.timestamp_seconds("s")), 4)
     assert rows(kept, "source", "id") == [(s, 10 * k + i) for s in (1, 2) for k in range(3) for i in range(3)]
+    timed = events.withColumn("ts", F.timestamp_seconds("s"))
+    assert routing.admit_per_period(timed, 5_000).count() == 60 and routing.admit_per_period(timed, 1).isEmpty()
+
+
+def test_frequent_keys_take_several_partitions(spark):
+    frame = spark.range(300).select("id", F.when(F.col("id") < 200, "hot").otherwise(F.col("id").cast("string")).alias("key"))
+    dealt = routing.co_locate(frame, 8, "key", 20).withColumn("at", F.spark_partition_id())
+    assert dealt.drop("at").exceptAll(frame).isEmpty() and dealt.count() == 300
+    spread = {r["key"]: r["n"] for r in dealt.groupBy("key").agg(F.countDistinct("at").alias("n")).collect()}
+    assert spread.pop("hot") > 2 and set(spread.values()) == {1}
 
 
 def test_latency_without_latencies(spark, rows):
