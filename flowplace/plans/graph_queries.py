@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from flowplace.operators import graph as g
 from flowplace.operators import partition as part
-from flowplace.operators import placement, quality
+from flowplace.operators import quality
 from flowplace.operators.projections import without_self_loops
 from flowplace.plans import lenses as L
 from flowplace.plans.lenses import with_lenses
