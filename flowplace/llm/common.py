@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowplace.session import materialise
@@ -25,9 +25,14 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def _place(key: str, bits: int) -> Column:
+    """Place in the sketch, from 1: Spark's bitmap functions count from there."""
+    return F.pmod(F.col(key), F.lit(bits)) + 1
+
+
 def sketch(keys: DataFrame, key: str, bits: int = SKETCH_BITS) -> DataFrame:
     """Bitmaps of the 64-bit hashes in ``key``: at most ``bits / 32768`` rows of 4 KB, whatever the input."""
-    place = F.pmod(F.col(key), F.lit(bits))
+    place = _place(key, bits)
     return keys.groupBy(F.bitmap_bucket_number(place).alias("sketch_no")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("sketch_bits")
     )
@@ -39,7 +44,7 @@ def flag(df: DataFrame, key: str, name: str, bitmaps: DataFrame, bits: int = SKE
     The sketch has a fixed size, so it may be broadcast. A full sketch says "maybe" for every
     row, which costs time and never changes a result.
     """
-    place = F.pmod(F.col(key), F.lit(bits))
+    place = _place(key, bits)
     bit = F.bitmap_bit_position(place)
     byte = F.conv(F.hex(F.substring("sketch_bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     found = F.getbit(byte, (bit % 8).cast("int")) == 1
@@ -63,16 +68,10 @@ def drop_keys(docs: DataFrame, key: Column, losers: DataFrame, loser: str) -> Da
 
 def running_base(parts: DataFrame, part: str, size: str, base: str) -> DataFrame:
     """Per part the sum of ``size`` over smaller parts. ``parts`` has one row per partition, not per row of data."""
-    before = F.sum(size).over(_by(part))
+    before = F.sum(size).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
     return parts.select(part, F.coalesce(before, F.lit(0)).cast("long").alias(base))
 
 
-def _by(part: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-
-
 def ranked(df: DataFrame, keys: list, parts: int, label: str) -> DataFrame:
     """A written copy of ``df`` in the order of ``keys`` with its ``part`` and its ``place`` in the part.
 

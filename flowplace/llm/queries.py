@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowplace.llm import exact_refine, hilbert_shards
+from flowplace.llm import (
+    chat_trie,
+    exact_refine,
+    hilbert_shards,
+    piece_trie,
+    quality_pu,
+    secret_battery,
+    simhash_pivots,
+    token_blocks,
+    url_markov,
+    winnow,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +34,13 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer's file; the executors have the same package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -57,3 +75,109 @@ def op6(spark: SparkSession, d: str) -> DataFrame:
         "d_id",
         "d_size",
     )
+
+
+@query("op5_simhash_pivots")
+def op5(spark: SparkSession, d: str) -> DataFrame:
+    rows = simhash_pivots.near_components(table(spark, d, "documents"))
+    return rows.select("doc_id", simhash_pivots.hex_text("fingerprint").alias("fingerprint"), "component_id")
+
+
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # a word of the decontamination rule
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    "op7_winnow",
+    f"""
+    with d as (select row_number() over () as r, doc_id, regexp_extract_all({LOWER}, '{WORD}') as w from documents),
+    i as (select coalesce(cast(item_id as varchar), '') as item_id, regexp_extract_all({LOWER}, '{WORD}') as w from benchmark),
+    runs as (
+      select distinct item_id, n, array_to_string(w[s + 1 : s + n], ' ') as run
+      from (select *, unnest(range(len(w) - n + 1)) as s from (select *, least(len(w), 10) as n from i where len(w) > 0))
+    ),
+    lengths as (select distinct n from runs),
+    spans as (
+      select r, n, s, array_to_string(w[s + 1 : s + n], ' ') as run
+      from (select *, unnest(range(len(w) - n + 1)) as s from d join lengths on len(w) >= n)
+    ),
+    hit as (select * from spans where (n, run) in (select n, run from runs)),
+    covered as (select r, count(distinct p) as n_hit from (select r, unnest(range(s, s + n)) as p from hit) group by r),
+    named as (
+      select r, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids
+      from (select distinct r, item_id from hit join runs using (n, run)) group by r
+    )
+    select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+           sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+    from d left join covered using (r) left join named using (r)
+    """,
+)
+def op7(spark: SparkSession, d: str) -> DataFrame:
+    rows = winnow.decontaminate(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    ids = F.array_join("items", ",").cast("binary")
+    return rows.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(ids, 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+@query("op1_quality_pu")
+def op1(spark: SparkSession, d: str) -> DataFrame:
+    return quality_pu.score_quality(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query("op3_url_markov")
+def op3(spark: SparkSession, d: str) -> DataFrame:
+    return url_markov.judge_urls(table(spark, d, "pages"))
+
+
+@query("op4_token_blocks")
+def op4(spark: SparkSession, d: str) -> DataFrame:
+    files = token_blocks.write_blocks(table(spark, d, "documents"), vocabulary("word_bpe_49k.json"))
+    return token_blocks.read_blocks(files)
+
+
+@query("op8_secret_battery")
+def op8(spark: SparkSession, d: str) -> DataFrame:
+    rows = secret_battery.find_secrets(table(spark, d, "documents"))
+    of = lambda k: F.size(F.filter("base", lambda s: s["kind"] == secret_battery.KINDS.index(k))).cast("long").alias(f"n_{k}")
+    return rows.select(
+        "doc_id",
+        of("assign"),
+        of("access"),
+        of("hex"),
+        F.sha2(secret_battery.span_text("base").cast("binary"), 256).alias("base_sha256"),
+        secret_battery.span_text("spans").alias("spans"),
+    )
+
+
+@query("op9_chat_trie")
+def op9(spark: SparkSession, d: str) -> DataFrame:
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame(
+        [(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string"
+    )
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    model = vocabulary("byte_bpe_50k.json")
+    read = chat_trie.read_tree(*chat_trie.write_tree(turns, model), model)
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    learnt = F.array_join("learnt", "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
+        F.length(learnt).cast("long").alias("loss_chars"),
+        F.sha2(learnt.cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+@query("op10_piece_trie")
+def op10(spark: SparkSession, d: str) -> DataFrame:
+    model = vocabulary("piece_bpe_32k.model")
+    docs = table(spark, d, "documents")
+    return piece_trie.round_trip(docs, model)
