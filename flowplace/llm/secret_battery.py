@@ -3,9 +3,10 @@
 Long unbroken strings get the smallest encoding whose alphabet holds them. Three tests are run
 over the alphabet's positions: chi-squared uniformity, runs above and below the middle, and
 serial correlation; the largest deviation, in standard deviations, is the string's score. Short
-strings pass such tests easily, so a score only counts against ordinary text of the same encoding and length class: pieces of
-all documents, put into every encoding, give the distribution of scores under "no secret".
-Benjamini-Hochberg over the p-values of all candidates of the corpus bounds the share of false finds.
+strings pass such tests easily: what is not random deviates in proportion to the root of its length. A score is
+therefore divided by that root and held against ordinary text, of which pieces of all documents are put into
+every encoding; the mean and spread of their logarithms give a p-value under "no secret". Benjamini-Hochberg over
+the p-values of all candidates of the corpus bounds the share of false finds.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import base64
 import math
 import re
 import sys
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -54,8 +56,10 @@ ENCODINGS = {
 PLACES = {name: {c: i for i, c in enumerate(chars)} for name, chars in ENCODINGS.items()}
 SETS = {name: frozenset(chars) for name, chars in ENCODINGS.items()}
 PIECE = 2_000  # characters of ordinary text per null sample
-STEP = 0.25  # width of a score bin
-BINS = 200  # scores of BINS * STEP and more share the last bin
+STEP = 0.02  # width of a bin of log(score / root of length)
+LOWEST, BINS = -5.0, 500  # the bins reach from here; failed strings share the last one
+LEAST_SCORE = 0.25  # smaller scores are all the same
+LEAST_NULL = 20  # pieces of ordinary text without which an encoding gives no finds
 PASSED = 4.0  # a random string deviates more than this in one of 10,000 cases
 FALSE_SHARE = 0.01
 
@@ -74,17 +78,12 @@ def infer(token: str) -> str | None:
     return next((name for name, chars in SETS.items() if used <= chars), None) if used else None
 
 
-def length_class(n: int) -> int:
-    """Lengths of a class differ by less than a factor of the square root of two."""
-    return int(2 * math.log2(n))
-
-
 def score(token: str, encoding: str) -> float:
     """Largest deviation of the three tests from a uniform random string, in standard deviations."""
     x = [PLACES[encoding][c] for c in token.rstrip("=")]
     n, size = len(x), len(PLACES[encoding])
     if n < 2:
-        return BINS * STEP
+        return float(size)
     chi = size / n * sum(c * c for c in Counter(x).values()) - n
     worst = (chi - (size - 1)) / math.sqrt(2 * (size - 1) * (n - 1) / n)
     high = [v * 2 >= size for v in x]
@@ -101,7 +100,9 @@ def score(token: str, encoding: str) -> float:
 
 
 def score_bin(token: str, encoding: str) -> int:
-    return min(BINS - 1, max(0, int(score(token, encoding) / STEP)))
+    """Bin of log(score / root of length)."""
+    scaled = math.log(max(LEAST_SCORE, score(token, encoding)) / math.sqrt(max(1, len(token.rstrip("=")))))
+    return min(BINS - 2, max(0, int((scaled - LOWEST) / STEP)))
 
 
 def ordinary(text: str, encoding: str, n: int) -> str:
@@ -136,20 +137,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, int]]:
-    """(start, end, stratum, score bin) of long strings that share no character with a base span."""
+def candidates(text: str, base: list[tuple[int, int, int]], passed: float) -> list[tuple[int, int, str, int]]:
+    """(start, end, encoding, bin) of long strings that share no character with a base span; the last bin if a test fails them."""
     out = []
     if any(len(w) >= SHORTEST for w in text.split()):
         for m in LONG.finditer(text):
             if not any(s < m.end() and m.start() < e for s, _, e in base) and (encoding := infer(m[0])):
-                out.append((m.start(), m.end(), f"{encoding}:{length_class(len(m[0]))}", score_bin(m[0], encoding)))
+                at = score_bin(m[0], encoding) if score(m[0], encoding) <= passed else BINS - 1
+                out.append((m.start(), m.end(), encoding, at))
     return out
 
 
 def null_samples(text: str) -> list[tuple[str, int]]:
-    """(stratum, score bin) of one piece of ordinary text per PIECE characters; strata take turns by content."""
-    import zlib
-
+    """(encoding, bin) of one piece of ordinary text per PIECE characters; encodings and lengths take turns by content."""
     names = list(ENCODINGS)
     out = []
     for at in range(0, len(text), PIECE):
@@ -158,16 +158,16 @@ def null_samples(text: str) -> list[tuple[str, int]]:
         encoding, n = names[turn % len(names)], int(20 * 2 ** ((turn >> 8) % 8 / 2))
         token = ordinary(piece, encoding, n)
         if len(token) == n:
-            out.append((f"{encoding}:{length_class(n)}", score_bin(token, encoding)))
+            out.append((encoding, score_bin(token, encoding)))
     return out
 
 
-def scan(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def scan(docs: DataFrame, doc_id: str, text: str, passed: float = PASSED) -> DataFrame:
     """Per row of ``docs``: doc_id, base spans, candidates and null samples."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), text_of(f"`{text}`").alias("text"))
     span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-    cand = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("stratum", pa.string()), ("bin", pa.int32())]))
-    null = pa.list_(pa.struct([("stratum", pa.string()), ("bin", pa.int32())]))
+    cand = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("encoding", pa.string()), ("bin", pa.int32())]))
+    null = pa.list_(pa.struct([("encoding", pa.string()), ("bin", pa.int32())]))
 
     def dicts(found: list[tuple], names: list[str]) -> list[dict]:
         return [dict(zip(names, x, strict=True)) for x in found]
@@ -177,8 +177,8 @@ def scan(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         for body in batch.column("text").to_pylist():
             own = base_spans(body)
             base.append(dicts(own, ["start", "kind", "end"]))
-            cands.append(dicts(candidates(body, own), ["start", "end", "stratum", "bin"]))
-            nulls.append(dicts(null_samples(body), ["stratum", "bin"]))
+            cands.append(dicts(candidates(body, own, passed), ["start", "end", "encoding", "bin"]))
+            nulls.append(dicts(null_samples(body), ["encoding", "bin"]))
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(base, span), pa.array(cands, cand), pa.array(nulls, null)], ["doc_id", "base", "cands", "nulls"]
         )
@@ -186,42 +186,44 @@ def scan(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
     shape = (
         f"doc_id {kind}, base array<struct<start int, kind int, end int>>, "
-        "cands array<struct<start int, end int, stratum string, bin int>>, nulls array<struct<stratum string, bin int>>"
+        "cands array<struct<start int, end int, encoding string, bin int>>, nulls array<struct<encoding string, bin int>>"
     )
     return materialise(rows.mapInArrow(per_chunk(work, "text"), shape), "secrets")
 
 
-def thresholds(scanned: DataFrame, battery: Battery = Battery()) -> dict[str, int]:
-    """Per stratum the largest score bin that counts as a find.
+def thresholds(scanned: DataFrame, false_share: float = FALSE_SHARE) -> dict[str, int]:
+    """Per encoding the largest bin that counts as a find.
 
-    Counts are over all documents; only the histograms, at most strata x BINS rows, come to the driver.
-    A stratum without ordinary text gives no finds.
+    Counts are over all documents; only the histograms, at most encodings x BINS rows, come to the driver.
+    An encoding with hardly any ordinary text gives no finds.
     """
 
     def histogram(column: str) -> dict[str, Counter]:
         out: dict[str, Counter] = {}
-        for r in scanned.select(F.explode(column).alias("x")).groupBy("x.stratum", "x.bin").count().collect():
-            out.setdefault(r["stratum"], Counter())[r["bin"]] = r["count"]
+        for r in scanned.select(F.explode(column).alias("x")).groupBy("x.encoding", "x.bin").count().collect():
+            out.setdefault(r["encoding"], Counter())[r["bin"]] = r["count"]
         return out
 
     nulls, cands = histogram("nulls"), histogram("cands")
-    last = int(battery.passed / STEP)
     found = []
-    for stratum, counts in cands.items():
-        null = nulls.get(stratum)
-        if null:
-            total = sum(null.values())
-            found += [((1 + sum(n for b, n in null.items() if b <= at)) / (1 + total), stratum, at, n) for at, n in counts.items()]
+    for encoding, counts in cands.items():
+        null = nulls.get(encoding, Counter())
+        total = sum(null.values())
+        if total >= LEAST_NULL:
+            mean = sum(b * n for b, n in null.items()) / total
+            spread = max(1.0, math.sqrt(sum((b - mean) ** 2 * n for b, n in null.items()) / total))
+            p = lambda at, m=mean, s=spread: math.erfc((m - at) / s / math.sqrt(2)) / 2
+            found += [(p(at), encoding, at, n) for at, n in counts.items() if at < BINS - 1]
     tested = sum(sum(c.values()) for c in cands.values())
     limit, seen = 0.0, 0
     for p, _, _, n in sorted(found):
         seen += n
-        if p * tested <= battery.false_share * seen:
+        if p * tested <= false_share * seen:
             limit = p
     out: dict[str, int] = {}
-    for p, stratum, at, _ in found:
-        if p <= limit and at < last:
-            out[stratum] = max(at, out.get(stratum, 0))
+    for p, encoding, at, _ in found:
+        if p <= limit:
+            out[encoding] = max(at, out.get(encoding, 0))
     return out
 
 
@@ -232,15 +234,15 @@ def find_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ba
     points, the end is exclusive. Null and empty texts have no spans; repeated rows come back
     each; an empty table gives no rows; other columns are ignored.
     """
-    scanned = scan(docs, doc_id, text)
-    limits = thresholds(scanned, battery)
-    # One entry per stratum with finds: encodings x length classes.
+    scanned = scan(docs, doc_id, text, battery.passed)
+    limits = thresholds(scanned, battery.false_share)
+    # One entry per encoding with finds.
     limit = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]) if limits else None
     kind = len(KINDS) - 1
     if limit is None:
         random = F.array().cast("array<struct<start int, kind int, end int>>")
     else:
-        passed = F.filter("cands", lambda c: F.coalesce(c["bin"] <= F.try_element_at(limit, c["stratum"]), F.lit(False)))
+        passed = F.filter("cands", lambda c: F.coalesce(c["bin"] <= F.try_element_at(limit, c["encoding"]), F.lit(False)))
         random = F.transform(passed, lambda c: F.struct(c["start"].alias("start"), F.lit(kind).alias("kind"), c["end"].alias("end")))
     return scanned.select("doc_id", "base", F.array_sort(F.concat("base", random)).alias("spans"))
 
