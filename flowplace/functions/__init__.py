@@ -4,7 +4,6 @@ from flowplace.functions.columns import (
     be_long,
     config_value,
     edge_ends,
-    epoch_micros,
     floor_log2,
     hash_bucket,
     metric_path,
@@ -17,7 +16,6 @@ __all__ = [
     "be_long",
     "config_value",
     "edge_ends",
-    "epoch_micros",
     "find_key",
     "floor_log2",
     "hash_bucket",

@@ -25,7 +25,7 @@ def to_be_long(value: Column) -> Column:
 
 def edge_ends(path: Column) -> tuple[Column, Column]:
     """``…/2-6`` or ``…/-1_4`` -> (source, target); NULL where the path has no id pair."""
-    return tuple(F.regexp_extract(path, EDGE_PATH, i).try_cast("int") for i in (1, 2))
+    return tuple(F.regexp_extract(path, EDGE_PATH, i).try_cast("bigint") for i in (1, 2))
 
 
 def config_value(conf: Column, key: str, kind: str, default) -> Column:
@@ -39,10 +39,6 @@ def metric_path(base: Column | None, *parts: Column) -> Column:
     return F.concat_ws(".", root, *parts)
 
 
-def epoch_micros(ts: Column) -> Column:
-    return F.unix_micros(ts)
-
-
 def floor_log2(value: Column) -> Column:
     """Exact floor(log2(value)) of a positive BIGINT."""
     return F.length(F.bin(value)) - 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowplace.operators.ordered import ROWS_PER_SLICE, first_rows, numbered
+from flowplace.operators.ordered import numbered
 from flowplace.operators.projections import without_self_loops
 from flowplace.session import materialise
 
@@ -54,7 +54,7 @@ def id_spine(header: DataFrame) -> DataFrame:
     ).repartition("topology", "_block")
     low = F.col("_block") * SPINE_BLOCK + 1
     ids = F.sequence(low, F.least(F.col("_n"), low + (SPINE_BLOCK - 1)))
-    return blocks.select("topology", F.explode(ids.cast("array<int>")).alias("id"))
+    return blocks.select("topology", F.explode(ids).alias("id"))
 
 
 def vertex_weights(links: DataFrame) -> DataFrame:
@@ -125,20 +125,16 @@ def node_flow(edges: DataFrame) -> DataFrame:
     )
 
 
-def node_positions(nodes: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
-    """0-based position of each node in its graph's ascending node list.
-
-    The nodes are written first: numbering looks at them several times.
-    """
-    listed = materialise(nodes.select("topology", "id"), "nodes")
-    ranked = numbered(listed, ["topology"], ["id"], "_number", rows_per_slice)
+def node_positions(nodes: DataFrame, slices: int | None = None) -> DataFrame:
+    """0-based position of each node in its graph's ascending node list."""
+    ranked = numbered(nodes.select("topology", "id"), ["topology"], ["id"], "_number", slices)
     return ranked.select("topology", "id", (F.col("_number") - 1).alias("position"))
 
 
-def links_to_index(links: DataFrame, nodes: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def links_to_index(links: DataFrame, nodes: DataFrame, slices: int | None = None) -> DataFrame:
     """Replace the ids at both link ends by node positions. Hub ids make skewed join keys;
     AQE splits those."""
-    at = materialise(node_positions(nodes, rows_per_slice), "positions")
+    at = materialise(node_positions(nodes, slices), "positions")
     source = at.select("topology", F.col("id").alias("source"), F.col("position").alias("source_index"))
     target = at.select("topology", F.col("id").alias("target"), F.col("position").alias("target_index"))
     return links.join(source, ["topology", "source"]).join(target, ["topology", "target"]).select(
@@ -146,7 +142,8 @@ def links_to_index(links: DataFrame, nodes: DataFrame, rows_per_slice: int = ROW
     )
 
 
-def links_by_width(links: DataFrame, k: int) -> DataFrame:
-    """The ``k`` widest links of each graph, widest first."""
-    ranked = first_rows(links.withColumn("_thin", -F.col("value")), ["topology"], ["_thin", "source", "target"], k, "rank")
+def links_by_width(links: DataFrame, slices: int | None = None) -> DataFrame:
+    """All links of each graph with their ``rank``, widest first."""
+    thin = links.withColumn("_thin", -F.col("value"))
+    ranked = numbered(thin, ["topology"], ["_thin", "source", "target"], "rank", slices)
     return ranked.drop("_thin").withColumn("width", F.greatest(F.col("value"), F.lit(1)))

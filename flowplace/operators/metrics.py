@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from flowplace.operators.ordered import (
-    ROWS_PER_SLICE,
     SLICE,
     cut,
     finish,
@@ -109,11 +108,6 @@ def interface_bytes(lines: DataFrame) -> DataFrame:
     return first.groupBy("host", "snapshot_ts").agg(F.sum("bytes").alias("bytes"))
 
 
-def host_load(load: Column) -> Column:
-    """A load average as a whole number of hundredths."""
-    return (load * 100).cast("bigint")
-
-
 # --- values that depend on what came before ------------------------------------------------
 
 METRIC = ("topology", "name")
@@ -121,7 +115,7 @@ TASK_METRIC = (*METRIC, "task_id")
 UPDATE_ORDER = ("ts", "id")
 
 
-def _latest_totals(points: DataFrame, rows_per_slice: int) -> DataFrame:
+def _latest_totals(points: DataFrame, slices: int | None) -> DataFrame:
     """Per update: the total of all tasks' latest values, and how many tasks have reported.
 
     Within a slice the changes of a task add up to its last value less the one before the
@@ -129,7 +123,7 @@ def _latest_totals(points: DataFrame, rows_per_slice: int) -> DataFrame:
     each task's value and the group's totals, goes in as leading rows; then one shuffle by
     (metric, slice) serves both windows.
     """
-    pieces = cut(points, METRIC, UPDATE_ORDER, rows_per_slice)
+    pieces = cut(points, METRIC, UPDATE_ORDER, slices)
     lasts = slice_lasts(pieces, TASK_METRIC, UPDATE_ORDER, {"value": F.col("value")})
     earlier = Window.partitionBy(*METRIC).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     starts = (
@@ -139,6 +133,7 @@ def _latest_totals(points: DataFrame, rows_per_slice: int) -> DataFrame:
             F.sum(F.when(F.col("_carried").isNull(), 1).otherwise(0)).alias("_tasks"),
         )
         .select(*METRIC, SLICE, *[F.sum(c).over(earlier).alias(c) for c in ("_total", "_tasks")])
+        .filter(F.col("_tasks").isNotNull())
     )
     carried = lasts.filter(F.col("_carried").isNotNull()).select(*TASK_METRIC, SLICE, "_carried.value")
     leads = carried.unionByName(starts, allowMissingColumns=True)
@@ -166,32 +161,32 @@ RUNNING_AGGREGATES: dict[str, Callable[[Column, Column], Column]] = {
 }
 
 
-def running_of_latest(points: DataFrame, aggregate: str, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def running_of_latest(points: DataFrame, aggregate: str, slices: int | None = None) -> DataFrame:
     combine = RUNNING_AGGREGATES[aggregate]
-    totals = _latest_totals(points, rows_per_slice)
+    totals = _latest_totals(points, slices)
     return totals.withColumn("aggregated", combine(F.col("total"), F.col("tasks"))).drop("total", "tasks")
 
 
-def running_sum_of_latest(points: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
-    return running_of_latest(points, "sum", rows_per_slice)
+def running_sum_of_latest(points: DataFrame, slices: int | None = None) -> DataFrame:
+    return running_of_latest(points, "sum", slices)
 
 
-def running_avg_of_latest(points: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
-    return running_of_latest(points, "avg", rows_per_slice)
+def running_avg_of_latest(points: DataFrame, slices: int | None = None) -> DataFrame:
+    return running_of_latest(points, "avg", slices)
 
 
-def metric_series(points: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def metric_series(points: DataFrame, slices: int | None = None) -> DataFrame:
     """``aggregated`` per update, combined the way the row's ``aggregate`` column says."""
-    totals = _latest_totals(points, rows_per_slice)
+    totals = _latest_totals(points, slices)
     value = F.lit(None).cast("bigint")
     for name, combine in RUNNING_AGGREGATES.items():
         value = F.when(F.col("aggregate") == name, combine(F.col("total"), F.col("tasks"))).otherwise(value)
     return totals.withColumn("aggregated", value).drop("total", "tasks")
 
 
-def counter_rate(counters: DataFrame, secs: int = MONITORING_SECS, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def counter_rate(counters: DataFrame, secs: int = MONITORING_SECS, slices: int | None = None) -> DataFrame:
     """(host, ts, bytes) -> rate; 0 for a first reading and after a reading of zero or less."""
-    pieces = cut(counters, ["host"], ["ts"], rows_per_slice)
+    pieces = cut(counters, ["host"], ["ts"], slices)
     pieces = previous(pieces, ["host"], ["ts"], {"_before": F.col("bytes")}, "_known")
     rate = F.when(F.col("_before") > 0, div(F.col("bytes") - F.col("_before"), secs)).otherwise(0)
     return finish(pieces.withColumn("rate", rate.cast("bigint"))).drop("_before", "_known")
@@ -204,20 +199,22 @@ def one_reporter_per_worker(points: DataFrame) -> DataFrame:
     )
 
 
-def message_ids(df: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def message_ids(df: DataFrame, slices: int | None = None) -> DataFrame:
     """Consecutive 1-based message ids per source."""
-    return numbered(df, ["source"], ["ts", "id"], "msg_id", rows_per_slice)
+    return numbered(df, ["source"], ["ts", "id"], "msg_id", slices)
 
 
-def sliding_load(points: DataFrame, slots: int = LOAD_SLOTS, slot_secs: int = LOAD_SLOT_SECS) -> DataFrame:
-    """Mean value per task over a sliding window of ``slots`` slots.
-
-    Rows are summed per slot first; only those sums are repeated for the windows they fall in.
-    """
-    per_slot = points.groupBy("topology", "task_id", F.window("ts", f"{slot_secs} seconds").alias("slot")).agg(
+def slot_sums(points: DataFrame, slot_secs: int = LOAD_SLOT_SECS) -> DataFrame:
+    """Sum and number of values per task and slot; ``at`` is the slot's start."""
+    sums = points.groupBy("topology", "task_id", F.window("ts", f"{slot_secs} seconds").alias("slot")).agg(
         F.sum("value").alias("total"), F.count("value").alias("readings")
     )
-    span = F.window("slot", f"{slots * slot_secs} seconds", f"{slot_secs} seconds")
+    return sums.select("topology", "task_id", F.col("slot.start").alias("at"), "total", "readings")
+
+
+def slide(per_slot: DataFrame, slots: int = LOAD_SLOTS, slot_secs: int = LOAD_SLOT_SECS) -> DataFrame:
+    """Mean value per task over a sliding window of ``slots`` slots, from the slots' sums."""
+    span = F.window("at", f"{slots * slot_secs} seconds", f"{slot_secs} seconds")
     return (
         per_slot.groupBy("topology", "task_id", span)
         .agg(F.sum("total").alias("total"), F.sum("readings").alias("readings"))
@@ -231,10 +228,18 @@ def sliding_load(points: DataFrame, slots: int = LOAD_SLOTS, slot_secs: int = LO
     )
 
 
-def edge_changes(updates: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def sliding_load(points: DataFrame, slots: int = LOAD_SLOTS, slot_secs: int = LOAD_SLOT_SECS) -> DataFrame:
+    """Mean value per task over a sliding window of ``slots`` slots.
+
+    Rows are summed per slot first; only those sums are repeated for the windows they fall in.
+    """
+    return slide(slot_sums(points, slot_secs), slots, slot_secs)
+
+
+def edge_changes(updates: DataFrame, slices: int | None = None) -> DataFrame:
     """Updates that gave an edge a new value; the first value of an edge is a change."""
     edge = ["topology", "source", "target"]
-    pieces = cut(updates, edge, UPDATE_ORDER, rows_per_slice)
+    pieces = cut(updates, edge, UPDATE_ORDER, slices)
     pieces = previous(pieces, edge, UPDATE_ORDER, {"old_value": F.col("value")}, "_known")
     changed = pieces.filter(~F.col("_known") | ~F.col("value").eqNullSafe(F.col("old_value")))
     return finish(changed).drop("_known")

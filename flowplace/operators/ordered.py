@@ -1,12 +1,11 @@
 """Running totals, numbering and previous values over ordered groups of any size.
 
-A plain window puts a whole group into one task. Here a group with more than
-``rows_per_slice`` rows is cut along its order key into equal key ranges ("slices"), and a
-range that still holds too many rows is cut once more, along the next key if the first no
-longer differs. Windows run per slice, and what earlier slices add up to is joined on. Both
-the join and the window use (group, slice), so they share one shuffle. The cuts derive from
-exact counts, minima and maxima, so a recomputed task sees the same cuts. Small groups stay
-one slice, and without any large group the side joins are empty and AQE removes them.
+A plain window puts a whole group into one task. Here rows are brought into the full order
+(group, order keys) and written once, in as many ranges ("slices") as the job has shuffle
+partitions. A slice is a range of the *full* order, so a busy group, or a busy instant inside
+one, is spread by whatever key tells its rows apart. Windows run per (group, slice); what
+earlier slices come to is one small row per group and slice and enters as a leading row. The
+slices are written, so everything that looks at them sees the same cuts; results do not depend on them.
 """
 
 from __future__ import annotations
@@ -16,83 +15,30 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-ROWS_PER_SLICE = 2_000_000
-# Size bound of the broadcast below. Any group beyond it holds at most 1/10,001 of all rows.
-MAX_HOT_GROUPS = 10_000
-# Spark's default for spark.sql.optimizer.windowGroupLimitThreshold.
-GROUP_LIMIT = 1_000
+from flowplace.session import materialise
 
-SLICE, _HOT = "_slice", "_hot"
-_FINER = 1 << 31
+SLICE = "_slice"
 
 
-def hot_groups(df: DataFrame, by: Sequence[str], more_than: int, *extra: Column) -> DataFrame:
-    """Groups with more than ``more_than`` rows, largest first, at most MAX_HOT_GROUPS.
+def cut(df: DataFrame, by: Sequence[str], order: Sequence[str], slices: int | None = None) -> DataFrame:
+    """A written copy of ``df`` with the slice number of each row; slices follow (by, order).
 
-    Always small enough to broadcast; counts combine before the shuffle.
+    ``slices`` defaults to the session's shuffle partitions, the setting that says how wide a job of this size is.
+    Rows are spread as far as ``order`` tells them apart, so it should end with a unique id.
     """
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"), *extra)
-    return sizes.filter(F.col("_rows") > more_than).orderBy(F.desc("_rows"), *by).limit(MAX_HOT_GROUPS)
-
-
-def _as_long(df: DataFrame, name: str) -> Column | None:
-    kind = df.schema[name].dataType
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(name)
-    if isinstance(kind, T.IntegralType):
-        return F.col(name).cast("bigint")
-    return None
-
-
-def _ranges(df: DataFrame, by: Sequence[str], keys: Sequence[Column], rows: int, prefix: str) -> tuple[DataFrame, Column]:
-    """Key ranges of the groups with more than ``rows`` rows, and a row's range number
-    (NULL in other groups). The second key counts where all rows agree on the first."""
-    first, second = keys[0], keys[-1]
-    low, width, tied = f"{prefix}_low", f"{prefix}_width", f"{prefix}_tied"
-    ends = [F.min(first).alias("_a"), F.max(first).alias("_b"), F.min(second).alias("_c"), F.max(second).alias("_d")]
-    hot = hot_groups(df, by, rows, *ends).select(
-        *by,
-        (F.col("_a") == F.col("_b")).alias(tied),
-        F.expr("if(_a = _b, _c, _a)").alias(low),
-        F.expr(f"if(_a = _b, _d - _c, _b - _a) div (_rows div {rows} + 1) + 1").alias(width),
-    )
-    key = F.when(F.col(tied), second).otherwise(first)
-    return hot, F.call_function("div", key - F.col(low), F.col(width))
-
-
-def cut(df: DataFrame, by: Sequence[str], order: Sequence[str], rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
-    """Add the slice number of each row; 0 throughout for groups that stay whole.
-
-    Slices follow ``order``, whose first column must be an integer or a timestamp.
-    """
-    keys = [_as_long(df, name) for name in order[:2]]
-    if keys[0] is None:
-        raise TypeError(f"order key {order[0]} must be an integer or a timestamp")
-    keys = [k for k in keys if k is not None]
-    marks = ["_one_low", "_one_width", "_one_tied", "_two_low", "_two_width", "_two_tied", "_coarse"]
-    hot, number = _ranges(df, by, keys, rows_per_slice, "_one")
-    coarse = df.join(F.broadcast(hot), list(by), "left").withColumn("_coarse", number)
-    still_hot, number = _ranges(
-        coarse.filter(F.col("_coarse").isNotNull()), [*by, "_coarse"], keys, rows_per_slice, "_two"
-    )
-    fine = coarse.join(F.broadcast(still_hot), [*by, "_coarse"], "left")
-    number = F.col("_coarse") * _FINER + F.coalesce(number, F.lit(0))
-    return fine.withColumns({SLICE: F.coalesce(number, F.lit(0)), _HOT: F.col("_coarse").isNotNull()}).drop(*marks)
-
-
-def _hot_rows(pieces: DataFrame) -> DataFrame:
-    return pieces.filter(_HOT)
+    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *by, *order)
+    return materialise(ranged.withColumn(SLICE, F.spark_partition_id()), "slices")
 
 
 def finish(pieces: DataFrame) -> DataFrame:
-    return pieces.drop(SLICE, _HOT)
+    return pieces.drop(SLICE)
 
 
 def with_leads(pieces: DataFrame, leads: DataFrame) -> DataFrame:
-    """Rows plus one leading row per slice; ``_lead`` is 0 there and 1 elsewhere."""
+    """Rows plus one leading row per group and slice; ``_lead`` is 0 there and 1 elsewhere."""
     return pieces.withColumn("_lead", F.lit(1)).unionByName(
         leads.withColumn("_lead", F.lit(0)), allowMissingColumns=True
     )
@@ -105,20 +51,26 @@ def without_leads(rows: DataFrame, *helpers: str) -> DataFrame:
 def running(pieces: DataFrame, by: Sequence[str], order: Sequence[str], sums: dict[str, Column]) -> DataFrame:
     """Inclusive running totals ``{new column: summand}`` in ``order`` within ``by``."""
     keys = [*by, SLICE]
-    totals = _hot_rows(pieces).groupBy(*keys).agg(*[F.sum(v).alias(n) for n, v in sums.items()])
-    earlier = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(*keys, *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_s_{n}") for n in sums])
-    rows = with_leads(pieces.withColumns({f"_s_{n}": v for n, v in sums.items()}), before)
+    totals = pieces.groupBy(*keys).agg(*[F.sum(v).alias(f"_s_{n}") for n, v in sums.items()])
+    line = Window.partitionBy(*by).orderBy(SLICE)
+    earlier = line.rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(
+        *keys,
+        F.lag(SLICE).over(line).alias("_former"),
+        *[F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_s_{n}") for n in sums],
+    )
+    leads = before.filter(F.col("_former").isNotNull()).drop("_former")
+    rows = with_leads(pieces.withColumns({f"_s_{n}": v for n, v in sums.items()}), leads)
     upto = Window.partitionBy(*keys).orderBy("_lead", *order).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({n: F.sum(f"_s_{n}").over(upto) for n in sums})
     return without_leads(rows, *[f"_s_{n}" for n in sums])
 
 
 def slice_lasts(pieces: DataFrame, by: Sequence[str], order: Sequence[str], columns: dict[str, Column]) -> DataFrame:
-    """Per slice of the hot groups: the last row's values, and those of the slice before
+    """Per group and slice: the last row's values, and those of the group's slice before
     (``_last`` and ``_carried``)."""
     kept = F.struct(*[v.alias(n) for n, v in columns.items()])
-    lasts = _hot_rows(pieces).groupBy(*by, SLICE).agg(F.max_by(kept, F.struct(*order)).alias("_last"))
+    lasts = pieces.groupBy(*by, SLICE).agg(F.max_by(kept, F.struct(*order)).alias("_last"))
     return lasts.withColumn("_carried", F.lag("_last").over(Window.partitionBy(*by).orderBy(SLICE)))
 
 
@@ -142,24 +94,18 @@ def previous(
 
 
 def numbered(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], name: str, rows_per_slice: int = ROWS_PER_SLICE
+    df: DataFrame, by: Sequence[str], order: Sequence[str], name: str, slices: int | None = None
 ) -> DataFrame:
-    """1-based row number in ``order`` within ``by``; ``order[0]`` is an integer or timestamp."""
-    pieces = cut(df, by, order, rows_per_slice)
+    """1-based row number in ``order`` within ``by``."""
+    pieces = cut(df, by, order, slices)
     return finish(running(pieces, by, order, {name: F.lit(1).cast("bigint")}))
 
 
-def first_rows(df: DataFrame, by: Sequence[str], order: Sequence[str], k: int, name: str) -> DataFrame:
-    """The first ``k`` rows of each group with their 1-based number.
-
-    For small ``k`` Spark keeps ``k`` rows per group and task before the shuffle; beyond
-    that it would not, and the numbering by slices takes over.
-    """
-    if k <= GROUP_LIMIT:
-        ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    else:
-        ranked = numbered(df, by, order, name).withColumn(name, F.col(name).cast("int"))
-    return ranked.filter(F.col(name) <= k)
+def first_rows(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], k: int, name: str, slices: int | None = None
+) -> DataFrame:
+    """The first ``k`` rows of each group with their 1-based number, for any ``k``."""
+    return numbered(df, by, order, name, slices).filter(F.col(name) <= k)
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowplace.functions import find_key, hash_bucket, next_bucket
-from flowplace.operators.ordered import ROWS_PER_SLICE, first_rows, hot_groups, numbered
+from flowplace.operators.ordered import first_rows, numbered
+from flowplace.session import materialise
 
 # Limits of the key searches, and the default batch size.
 ALIGNED_TRIES = 1_000_000
@@ -19,16 +20,23 @@ def bucket_by_key(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.withColumn("bucket", hash_bucket(F.col(key), n))
 
 
-def co_locate(df: DataFrame, n: int, key: str, rows_per_partition: int = ROWS_PER_SLICE) -> DataFrame:
-    """Bring rows with the same key into the same partition; the rows of a key that is too
-    frequent for one partition are dealt over as many as they need."""
-    hot = hot_groups(df, [key], rows_per_partition).select(
-        key, F.expr(f"_rows div {rows_per_partition} + 1").alias("_shares")
-    )
+def co_locate(df: DataFrame, n: int, key: str) -> DataFrame:
+    """Bring rows with the same key into the same partition, however many there are.
+
+    That is the operator's promise, and it makes a busy key one task's work; what can do with
+    parts of a key should take :func:`co_locate_shares`.
+    """
+    return df.repartition(n, key)
+
+
+def co_locate_shares(df: DataFrame, n: int, key: str, shares: int) -> DataFrame:
+    """Bring rows with the same (key, ``share``) together; the share, 0 to ``shares - 1`` by the rest of the row, is a column.
+
+    Whoever combines by key does so per share first and over the shares afterwards.
+    """
     others = [c for c in df.columns if c != key]
-    share = F.coalesce(F.pmod(F.xxhash64(*others), F.col("_shares")), F.lit(0)) if others else F.lit(0)
-    dealt = df.join(F.broadcast(hot), key, "left").withColumn("_share", share)
-    return dealt.repartition(n, key, "_share").select(*df.columns)
+    share = F.pmod(F.xxhash64(*others), F.lit(shares)) if others else F.lit(0)
+    return df.withColumn("share", share.cast("int")).repartition(n, key, "share")
 
 
 def spread_evenly(df: DataFrame, n: int, row_id: str | None = None) -> DataFrame:
@@ -52,13 +60,27 @@ def next_bucket_key(key: Column, n: int) -> Column:
 def multi_hop(df: DataFrame, key: str, n: int, depth: int) -> DataFrame:
     """Bucket of each row on every level when each level renews the key for the next task.
 
-    Adds ``bucket_0 .. bucket_<depth>``; only the key of the last level is kept.
+    Adds ``bucket_0 .. bucket_<depth>``; only the key of the last level is kept. Keys are looked for once
+    per distinct key; a key has the bucket after its predecessor's, so only the first level is hashed.
     """
-    for level in range(depth):
-        df = df.withColumn(f"bucket_{level}", hash_bucket(F.col(key), n)).withColumn(
-            key, next_bucket_key(F.col(key), n)
-        )
-    return df.withColumn(f"bucket_{depth}", hash_bucket(F.col(key), n))
+    hops = df.select(F.col(key).alias("_key")).distinct().withColumn("_bucket", hash_bucket(F.col("_key"), n))
+    hops = materialise(hops.withColumn("_hop", F.col("_key")), "hops")
+    buckets = [F.col("_bucket")]
+    for _ in range(depth):
+        buckets.append((buckets[-1] + 1) % n)
+    for wanted in buckets[1:]:
+        hops = hops.withColumn("_hop", find_key(F.col("_hop"), n, wanted, TRIES_PER_BUCKET * n))
+    found = hops.select("_key", "_hop", *[b.alias(f"bucket_{i}") for i, b in enumerate(buckets)])
+    joined = df.join(found, F.col(key) == F.col("_key"), "left").withColumn(key, F.col("_hop"))
+    return joined.drop("_key", "_hop")
+
+
+def with_next_keys(df: DataFrame, key: str, n: int) -> DataFrame:
+    """Add ``bucket``, ``follower`` (the next bucket's key) and ``next_bucket``, looked for once per distinct key."""
+    keys = df.select(F.col(key).alias("_key")).distinct().withColumn("bucket", hash_bucket(F.col("_key"), n))
+    keys = materialise(keys, "hops").withColumn("next_bucket", (F.col("bucket") + 1) % n)
+    keys = keys.withColumn("follower", find_key(F.col("_key"), n, F.col("next_bucket"), TRIES_PER_BUCKET * n))
+    return df.join(keys, F.col(key) == F.col("_key"), "left").drop("_key")
 
 
 def admit_per_period(df: DataFrame, cap: int, period: str = "second") -> DataFrame:
@@ -67,7 +89,7 @@ def admit_per_period(df: DataFrame, cap: int, period: str = "second") -> DataFra
     return first_rows(timed, ["source", "_period"], ["ts", "id"], cap - 1, "_n").drop("_n", "_period")
 
 
-def batch_rows(df: DataFrame, size: int = BATCH_ROWS, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+def batch_rows(df: DataFrame, size: int = BATCH_ROWS, slices: int | None = None) -> DataFrame:
     """Number bounded batches per source."""
-    ranked = numbered(df, ["source"], ["ts", "id"], "_n", rows_per_slice)
+    ranked = numbered(df, ["source"], ["ts", "id"], "_n", slices)
     return ranked.withColumn("batch", F.call_function("div", F.col("_n") - 1, F.lit(size))).drop("_n")

@@ -12,8 +12,7 @@ TIMEOUT_SECS = 100
 def emit_ack_match(roots: DataFrame, acks: DataFrame, timeout_secs: int = TIMEOUT_SECS) -> DataFrame:
     """Each message with ``completed``, and its latency where an ack came in time.
 
-    Works on batch tables; on streams both sides need a watermark and a message shows up
-    as failed once its time is over.
+    A message with several acks in time gives a row for each.
     """
     a = acks.select(F.col("msg_id").alias("_ack_id"), "ack_ts", "latency_ms")
     in_time = F.col("ack_ts").between(F.col("ts"), F.col("ts") + F.expr(f"interval {timeout_secs} seconds"))

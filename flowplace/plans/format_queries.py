@@ -11,11 +11,10 @@ from flowplace.operators import projections as p
 from flowplace.plans import lenses as L
 from flowplace.plans.lenses import with_lenses
 from flowplace.plans.registry import query
-from flowplace.session import materialise
+from flowplace.session import materialise, new_path
 from flowplace.sinks import formats as out
 from flowplace.sinks.publish import latest_per_key
 from flowplace.sources import formats as src
-from flowplace.sources import generators
 
 
 def _reported(spark, d):
@@ -52,14 +51,14 @@ def src01(spark, d):
 @query(
     "src01_edge_values",
     with_lenses(
-        """select topology, id, task_id as source, (id % 25 + 1)::int as target, value from datapoints""", "datapoints"
+        """select topology, id, task_id as source, id % 25 + 1 as target, value from datapoints""", "datapoints"
     ),
 )
 def src01_edges(spark, d):
     return src.edge_values(_reported(spark, d).filter(F.col("value_map").isNotNull())).drop("ts")
 
 
-def _docs(spark, d):
+def _pieces(spark, d):
     edges = L.stored_edges_dense(spark, d)
     return out.sendgraph_json(edges, g.graph_nodes(edges))
 
@@ -69,12 +68,12 @@ _LINKS = "select topology, source, target, value from edges_dense where source <
 
 @query("src02_sendgraph_links", with_lenses(_LINKS, "edges_dense"))
 def src02_links(spark, d):
-    return src.sendgraph_links(_docs(spark, d))
+    return src.sendgraph_piece_links(_pieces(spark, d))
 
 
 @query("src02_sendgraph_nodes", with_lenses("select topology, id from nodes_dense", "nodes_dense"))
 def src02_nodes(spark, d):
-    return src.sendgraph_nodes(_docs(spark, d))
+    return src.sendgraph_piece_nodes(_pieces(spark, d))
 
 
 _METIS = """
@@ -90,14 +89,14 @@ adj as (
 header as (select topology, max(b) as n, count(*) as m from pairs group by topology),
 ends as (select topology, source as id, value from links union all select topology, target, value from links),
 vertices as (select topology, id, (1 + coalesce(sum(value), 0))::bigint as vw
-             from (select topology, unnest(range(1, n + 1))::int as id from header) left join ends using (topology, id)
+             from (select topology, unnest(range(1, n + 1)) as id from header) left join ends using (topology, id)
              group by topology, id),
-lists as (select topology, id, string_agg(' ' || nbr || ' ' || greatest(w, 1), '' order by nbr) as list
-          from adj group by topology, id),
 lines as (
-    select topology, 0 as line_no, n || ' ' || m || ' 011 1' as text from header
+    select topology, 0::bigint as line_no, -1::bigint as piece, n || ' ' || m || ' 011 1' as text from header
     union all
-    select topology, id, vw || coalesce(list, '') from vertices left join lists using (topology, id))
+    select topology, id, -1, vw::varchar from vertices
+    union all
+    select topology, id, nbr // 4096, string_agg(' ' || nbr || ' ' || greatest(w, 1), '' order by nbr) from adj group by 1, 2, 3)
 """
 
 
@@ -105,13 +104,9 @@ def _lines(spark, d, lens):
     return out.metis_lines(p.without_self_loops(materialise(lens(spark, d), "links")))
 
 
-def _as_lines(lines):
-    return lines.select("topology", "line_no", F.col("text").alias("line"))
-
-
 @query(
     "snk02_metis_lines",
-    with_lenses(_METIS.format(edges="edges_dense") + "select topology, line_no, 0::bigint as piece, text from lines", "edges_dense"),
+    with_lenses(_METIS.format(edges="edges_dense") + "select topology, line_no, piece, text from lines", "edges_dense"),
 )
 def snk02(spark, d):
     return _lines(spark, d, L.edges_dense)
@@ -120,7 +115,7 @@ def snk02(spark, d):
 @query(
     "snk02_metis_lines_bipartite",
     with_lenses(
-        _METIS.format(edges="edges_bipartite") + "select topology, line_no, 0::bigint as piece, text from lines",
+        _METIS.format(edges="edges_bipartite") + "select topology, line_no, piece, text from lines",
         "edges_bipartite",
     ),
 )
@@ -133,7 +128,7 @@ def snk02_bipartite(spark, d):
     with_lenses(_METIS.format(edges="edges_dense") + "select topology, id, vw from vertices", "edges_dense"),
 )
 def src03_vertices(spark, d):
-    return src.metis_vertices(_as_lines(_lines(spark, d, L.edges_dense)))
+    return src.metis_vertices(_lines(spark, d, L.edges_dense))
 
 
 @query(
@@ -141,11 +136,18 @@ def src03_vertices(spark, d):
     with_lenses(_METIS.format(edges="edges_dense") + "select topology, id, nbr, w::bigint as w from adj", "edges_dense"),
 )
 def src03_adjacency(spark, d):
-    lines = _lines(spark, d, L.edges_dense)
-    doc = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda r: r["text"]), "\n")
-    # Whole documents, to exercise splitting by line; the dense graphs have 25 lines each.
-    docs = lines.groupBy("topology").agg(doc.alias("metis"))
-    return src.metis_adjacency(src.split_lines(docs, "metis"))
+    return src.metis_adjacency(_lines(spark, d, L.edges_dense))
+
+
+@query(
+    "src03_graph_file_round_trip",
+    with_lenses(_METIS.format(edges="edges_planted") + "select topology, id, nbr, w::bigint as w from adj", "edges_planted"),
+)
+def src03_file(spark, d):
+    """The planted graph written as a graph file and read back."""
+    path = new_path(spark, "graph-file")
+    out.write_metis(materialise(L.edges_planted(spark, d), "links"), path)
+    return src.metis_adjacency(src.line_pieces(src.read_lines(spark, path)))
 
 
 @query(
@@ -153,7 +155,7 @@ def src03_adjacency(spark, d):
     with_lenses(_METIS.format(edges="edges_dense") + "select topology, n, m from header", "edges_dense"),
 )
 def src03_header(spark, d):
-    return src.metis_header(_as_lines(_lines(spark, d, L.edges_dense)))
+    return src.metis_header(_lines(spark, d, L.edges_dense))
 
 
 @query(
@@ -161,7 +163,7 @@ def src03_header(spark, d):
     with_lenses(
         """select topology, epoch_us(ts) // 1000000 as version, pos as task_id,
                   string_split(text, chr(10))[pos]::int as part
-           from (select topology, ts, text, unnest(range(1, 26))::int as pos from schedule_versions)""",
+           from (select topology, ts, text, unnest(range(1, 26)) as pos from schedule_versions)""",
         "schedule_versions",
     ),
 )
@@ -194,8 +196,8 @@ def src05_encode(spark, d):
 
 @query(
     "src06_edge_paths",
-    """select id, regexp_extract(path, '(-?\\d+)[-_](-?\\d+)$', 1)::int as source,
-              regexp_extract(path, '(-?\\d+)[-_](-?\\d+)$', 2)::int as target
+    """select id, regexp_extract(path, '(-?\\d+)[-_](-?\\d+)$', 1)::bigint as source,
+              regexp_extract(path, '(-?\\d+)[-_](-?\\d+)$', 2)::bigint as target
        from (select event_id as id, '/root/t/' || (user_id - 2) || '_' || (event_id % 25 - 3) as path from events)""",
 )
 def src06(spark, d):
@@ -225,24 +227,20 @@ def src07(spark, d):
 
 @query(
     "src08_keyed_events",
-    """select source::int as source, msg_id, md5(source::varchar) as keyfield, repeat(md5(source::varchar), 4) as payload
-       from (select unnest(range((select count(*) from customer))) as source), (select unnest(range(1, 4)) as msg_id)""",
+    with_lenses(
+        """select source, row_number() over (partition by source order by ts, id) as msg_id, keyfield, payload from keyed""",
+        "keyed",
+    ),
 )
 def src08(spark, d):
-    sources = L.table(spark, d, "customer").count()
-    return generators.keyed_events(spark, sources, 3, 4)
-
+    """Recorded events replayed as keyed messages with ids per source."""
+    return m.message_ids(L.keyed(spark, d)).select("source", "msg_id", "keyfield", "payload")
 
-_SENTENCE = "string_split('" + generators.SENTENCE.replace("'", "''") + "', ' ')"
 
-
-@query(
-    "src09_word_events",
-    f"""select id, words[1 + ('0x' || substr(md5('words#' || id), 1, 8))::bigint % len(words)] as keyfield
-        from (select unnest(range((select count(*) from events))) as id), (select {_SENTENCE} as words)""",
-)
+@query("src09_word_events", with_lenses("select word as keyfield, count(*) as n from words group by word", "words"))
 def src09(spark, d):
-    return generators.word_events(spark, L.table(spark, d, "events").count())
+    """Words as messages: every word of every document, counted per key."""
+    return L.words(spark, d).groupBy(F.col("word").alias("keyfield")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -261,31 +259,69 @@ def src11_workers(spark, d):
 @query(
     "snk01_sendgraph_json",
     with_lenses(
-        """select topology, 0 as doc,
-                  '{"nodes":[' || nodes || '],"links":[' || links || ']}' as json
-           from (select topology, string_agg('{"name":"' || id || '"}', ',' order by id) as nodes
-                 from nodes_dense group by topology)
-           join (select topology, string_agg('{"source":' || source || ',"target":' || target || ',"value":' || value || '}',
-                                             ',' order by source, target) as links
-                 from edges_dense where source <> target group by topology) using (topology)""",
+        """with entries as (
+               select topology, 1 as section, id // 4096 as a, 0::bigint as b, id, '{"name":"' || id || '"}' as entry from nodes_dense
+               union all
+               select topology, 3, source, target // 4096, target,
+                      '{"source":' || source || ',"target":' || target || ',"value":' || value || '}'
+               from edges_dense where source <> target),
+           pieces as (select topology, section, a, b, string_agg(entry, ',' order by id) as text from entries group by 1, 2, 3, 4)
+           select topology, section, a, b,
+                  case when row_number() over (partition by topology, section order by a, b) = 1 then '' else ',' end || text as text
+           from pieces
+           union all
+           select topology, section, 0, 0, text
+           from (select distinct topology from nodes_dense),
+                (values (0, '{"nodes":['), (2, '],"links":['), (4, ']}')) as frame(section, text)""",
         "nodes_dense",
     ),
 )
 def snk01(spark, d):
-    return _docs(spark, d)
+    return _pieces(spark, d)
+
+
+@query("src02_json_file_round_trip", with_lenses(_LINKS.replace("edges_dense", "edges_bipartite"), "edges_bipartite"))
+def src02_file(spark, d):
+    """The bipartite graph written as a JSON document and read back."""
+    path = new_path(spark, "json-file")
+    edges = materialise(L.edges_bipartite(spark, d), "edges")
+    out.write_sendgraph_json(edges, g.graph_nodes(edges), path)
+    return src.sendgraph_piece_links(src.read_text_pieces(spark, path))
+
+
+_FILLED = """(select topology, task_id, (task_id % 8)::int as part
+               from (select topology, unnest(range(1, max(greatest(source, target)) + 1)) as task_id from edges_planted group by topology))"""
+
+
+def _planted_parts(spark, d):
+    nodes = g.graph_nodes(L.edges_planted(spark, d))
+    return nodes.select("topology", F.col("id").alias("task_id"), (F.col("id") % 8).cast("int").alias("part"))
 
 
 @query(
     "snk03_partition_vector",
     with_lenses(
-        """select topology, ((id - 1) // 4096)::bigint as block, string_agg((id % 8)::varchar, chr(10) order by id) as text
-           from (select distinct topology, unnest([source, target]) as id from edges_planted) group by 1, 2""",
+        f"""select topology, (task_id - 1) // 4096 as block, string_agg(part::varchar, chr(10) order by task_id) as text
+            from {_FILLED} group by 1, 2""",
         "edges_planted",
     ),
 )
 def snk03(spark, d):
-    nodes = g.graph_nodes(L.edges_planted(spark, d))
-    return out.partition_vector(nodes.select("topology", F.col("id").alias("task_id"), (F.col("id") % 8).alias("part")))
+    return out.partition_vector(_planted_parts(spark, d))
+
+
+@query("src04_vector_round_trip", with_lenses(f"select topology, task_id, part from {_FILLED}", "edges_planted"))
+def src04_blocks(spark, d):
+    """Every task comes back with its own partition, tasks in gaps with the fallback's."""
+    return src.read_vector_blocks(out.partition_vector(_planted_parts(spark, d)), out.IDS_PER_BLOCK)
+
+
+@query("src04_vector_file_round_trip", with_lenses(f"select topology, task_id, part from {_FILLED}", "edges_planted"))
+def src04_file(spark, d):
+    path = new_path(spark, "vector-file")
+    out.write_partition_vector(_planted_parts(spark, d), path)
+    lines = src.read_lines(spark, path)
+    return lines.select("topology", (F.col("line_no") + 1).alias("task_id"), F.col("line").cast("int").alias("part"))
 
 
 _SERIES = """
@@ -305,12 +341,17 @@ from totals where task_id = 1 or contains(lower(name), 'worker')
 """
 
 
-def series(points):
-    """Allow-listed metrics, combined over tasks, as (path, value, epoch) at reporting updates."""
-    combined = p.with_metric_path(p.reporting_updates(m.metric_series(p.reported_metrics(points))))
+def series_lines(totals):
+    """Combined metrics as (path, value, epoch) at reporting updates."""
+    combined = p.with_metric_path(p.reporting_updates(totals))
     return combined.select("path", F.col("aggregated").alias("value"), F.unix_seconds("ts").alias("epoch"))
 
 
+def series(points):
+    """Allow-listed metrics, combined over tasks."""
+    return series_lines(m.metric_series(p.reported_metrics(points)))
+
+
 @query("snk04_graphite_lines", with_lenses(_SERIES, "datapoints"))
 def snk04(spark, d):
     return out.graphite_lines(series(L.datapoints(spark, d)))

@@ -13,7 +13,6 @@ from flowplace.plans.lenses import with_lenses
 from flowplace.plans.registry import query
 from flowplace.session import materialise
 
-TOP_LINKS = 10
 K = 8
 
 
@@ -49,7 +48,7 @@ def set02(spark, d):
 _WEIGHTS = """
 with links as (select * from {edges} where source <> target),
 header as (select topology, max(greatest(source, target)) as n from links group by topology),
-spine as (select topology, unnest(range(1, n + 1))::int as id from header),
+spine as (select topology, unnest(range(1, n + 1)) as id from header),
 ends as (select topology, source as id, value from links union all select topology, target, value from links)
 select topology, id, (1 + coalesce(sum(value), 0))::bigint as vw
 from spine left join ends using (topology, id) group by topology, id
@@ -146,14 +145,14 @@ def joi05(spark, d):
 @query(
     "srt02_links_by_width",
     with_lenses(
-        f"""select topology, source, target, value, rank, greatest(value, 1) as width
-            from (select *, row_number() over (partition by topology order by value desc, source, target)::int as rank
-                  from edges_dense where source <> target) where rank <= {TOP_LINKS}""",
+        """select topology, source, target, value, greatest(value, 1) as width,
+                  row_number() over (partition by topology order by value desc, source, target) as rank
+           from edges_dense where source <> target""",
         "edges_dense",
     ),
 )
 def srt02(spark, d):
-    return g.links_by_width(without_self_loops(L.edges_dense(spark, d)), TOP_LINKS)
+    return g.links_by_width(without_self_loops(L.edges_dense(spark, d)))
 
 
 @query("gph03_one_partition", with_lenses("select topology, id as task_id, 0 as part from nodes_dense", "nodes_dense"))
@@ -311,17 +310,23 @@ def _graph_sql(edges: str) -> list[str]:
     ]
 
 
-def _run_sql(x: str, start: str, k: int, rounds: int) -> list[str]:
+def _run_sql(x: str, start: str, k: int, rounds: int, measure: str = "cut") -> list[str]:
     """Propagation spelled out round by round, ``x`` naming the run: id ranges and gain
     magnitudes as in the job, the best labels of each graph kept until the run is idle."""
+    ranges = part.RANGES_PER_PART * k
+    amount = {
+        "cut": "select topology, sum(reach - own)::bigint // 2 as now from {x}wish{r} group by 1",
+        "volume": """select s.topology, count(t.to_part) as now from {x}s{r} s
+                     left join {x}scores{r} t on t.topology = s.topology and t.id = s.id and t.to_part <> s.part group by 1""",
+    }[measure]
     parts = [
         f"""{x}sizes as (select topology, max(id) as max_id,
                   (sum(vw)::bigint * {100 + part.SLACK_PERCENT} + {100 * k - 1}) // {100 * k} as capacity
            from vertices group by topology)""",
         f"""{x}s0 as materialized (select topology, id, vw, {start.format(k=k)} as part, capacity,
-                  id::bigint * {part.ID_RANGES} // (max_id + 1) as id_range, null::int as kept
+                  id::bigint * {ranges} // (max_id + 1) as id_range, null::int as kept
            from vertices join {x}sizes using (topology))""",
-        f"{x}best0 as materialized (select distinct topology, null::bigint as best from vertices)",
+        f"{x}best0 as materialized (select distinct topology, null::bigint as best, null::bigint as anchor from vertices)",
         f"{x}idle0 as materialized (select 0 as idle)",
     ]
     for r in range(rounds):
@@ -337,17 +342,19 @@ def _run_sql(x: str, start: str, k: int, rounds: int) -> list[str]:
                  from {x}s{r} s left join {x}top{r} t on t.topology = s.topology and t.id = s.id
                  left join {x}scores{r} own on own.topology = s.topology and own.id = s.id and own.to_part = s.part)""",
             f"""{x}judged{r} as materialized (
-                 select b.topology, b.best, c.cut,
-                        (select idle from {x}idle{r}) < {part.PATIENCE} and (b.best is null or c.cut < b.best) as improved
-                 from {x}best{r} b
-                 join (select topology, sum(reach - own)::bigint // 2 as cut from {x}wish{r} group by 1) c using (topology))""",
+                 select *, (select idle from {x}idle{r}) < {part.PATIENCE} and (old_best is null or now < old_best) as improved,
+                        anchor is null or best * {part.TOLERANCE} < anchor * {part.TOLERANCE - 1} as progress
+                 from (select b.topology, b.best as old_best, least(c.now, coalesce(b.best, c.now)) as best, b.anchor, c.now
+                       from {x}best{r} b join ({amount.format(x=x, r=r)}) c using (topology)))""",
             f"""{x}best{r + 1} as materialized (
-                 select topology, case when improved then cut else best end as best from {x}judged{r})""",
+                 select topology, case when improved then best else old_best end as best,
+                        case when progress then best else anchor end as anchor from {x}judged{r})""",
             f"""{x}idle{r + 1} as materialized (
-                 select case when (select bool_or(improved) from {x}judged{r}) then 0 else idle + 1 end as idle
+                 select case when idle >= {part.PATIENCE} then idle
+                             when (select bool_or(progress) from {x}judged{r}) then 0 else idle + 1 end as idle
                  from {x}idle{r})""",
             f"""{x}asked{r} as (select *, case when gain > 0 and (id + {r}) % 2 = 0
-                 then (64 - length(bin(gain))) * {part.ID_RANGES} + id_range end as block from {x}wish{r})""",
+                 then (64 - length(bin(gain))) * {ranges} + id_range end as block from {x}wish{r})""",
             f"""{x}load{r} as (select topology, part as target, sum(vw)::bigint as load from {x}wish{r} group by 1, 2)""",
             f"""{x}cutoff{r} as (
                  select topology, target, max(block) as cutoff
@@ -369,7 +376,8 @@ def _with(parts: list[str], body: str) -> str:
     return "with " + ",\n".join(parts) + "\n" + body
 
 
-ALL_ROUNDS = part.MAX_ROUNDS + 1
+# SQL can't stop early; a finished run changes nothing in further rounds.
+ALL_ROUNDS = 32
 
 
 @query(

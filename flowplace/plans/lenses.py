@@ -47,6 +47,11 @@ def _stream() -> Column:
     )
 
 
+def _id(key: str) -> Column:
+    """Ids are BIGINT throughout and count from 1."""
+    return F.col(key).cast("bigint") + 1
+
+
 def emits(spark: SparkSession, d: str, read: Reader = table) -> DataFrame:
     """One emit per line item, from the customer's nation to the supplier's; returned
     lines go to a second target as well."""
@@ -54,7 +59,7 @@ def emits(spark: SparkSession, d: str, read: Reader = table) -> DataFrame:
     customer = table(spark, d, "customer").select("c_custkey", "c_nationkey")
     supplier = table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
     lineitem = read(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_returnflag")
-    target = F.col("s_nationkey") + 1
+    target = _id("s_nationkey")
     return (
         lineitem.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -63,9 +68,9 @@ def emits(spark: SparkSession, d: str, read: Reader = table) -> DataFrame:
             F.col("o_orderpriority").alias("topology"),
             _clock("o_orderdate").alias("ts"),
             F.col("o_orderkey").alias("msg_id"),
-            (F.col("c_nationkey") + 1).alias("source"),
+            _id("c_nationkey").alias("source"),
             _stream().alias("stream"),
-            F.when(F.col("l_returnflag") == "R", F.array(target, F.col("l_linenumber")))
+            F.when(F.col("l_returnflag") == "R", F.array(target, F.col("l_linenumber").cast("bigint")))
             .otherwise(F.array(target))
             .alias("out_tasks"),
         )
@@ -82,7 +87,7 @@ def roots(spark: SparkSession, d: str, read: Reader = table) -> DataFrame:
             F.col("o_orderpriority").alias("topology"),
             _clock("o_orderdate").alias("ts"),
             F.col("o_orderkey").alias("msg_id"),
-            (F.col("c_nationkey") + 1).alias("source"),
+            _id("c_nationkey").alias("source"),
         )
     )
 
@@ -98,7 +103,7 @@ def acks(spark: SparkSession, d: str, read: Reader = table) -> DataFrame:
         .select(
             F.col("o_orderpriority").alias("topology"),
             F.col("o_orderkey").alias("msg_id"),
-            (F.col("c_nationkey") + 1).alias("task_id"),
+            _id("c_nationkey").alias("task_id"),
             (_clock("o_orderdate") + F.make_dt_interval(secs=F.col("o_orderkey") % 150)).alias("ack_ts"),
             F.when(F.col("o_orderkey") % 17 != 0, millis).alias("latency_ms"),
         )
@@ -127,7 +132,7 @@ def datapoints(spark: SparkSession, d: str, read: Reader = table) -> DataFrame:
         _text("w", F.col("user_id") % 20).alias("worker_host"),
         (F.col("user_id") % 4 + 6700).cast("int").alias("worker_port"),
         _text("c", F.col("user_id") % 4).alias("component"),
-        (F.col("user_id") - 2).cast("int").alias("task_id"),
+        (F.col("user_id") - 2).alias("task_id"),
         _metric_name().alias("name"),
         _whole().alias("value"),
     )
@@ -135,12 +140,12 @@ def datapoints(spark: SparkSession, d: str, read: Reader = table) -> DataFrame:
 
 def task_reports(spark: SparkSession, d: str) -> DataFrame:
     """Raw reports as JSON text: one metric reading and one map of message counts each."""
-    none_map = F.lit(None).cast("map<int,bigint>")
+    none_map = F.lit(None).cast("map<bigint,bigint>")
     reading = F.struct("name", "value", none_map.alias("value_map"))
     counts = F.struct(
         F.lit("emitted_messages").alias("name"),
         F.lit(None).cast("bigint").alias("value"),
-        F.create_map((F.col("id") % 25 + 1).cast("int"), F.col("value")).alias("value_map"),
+        F.create_map(F.col("id") % 25 + 1, F.col("value")).alias("value_map"),
     )
     points = datapoints(spark, d)
     rest = [c for c in points.columns if c not in ("name", "value")]
@@ -152,8 +157,8 @@ def edge_updates(spark: SparkSession, d: str, read: Reader = table) -> DataFrame
         _text("topo", F.col("event_id") % 3).alias("topology"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_id").alias("id"),
-        (F.col("user_id") % 25 + 1).cast("int").alias("source"),
-        (F.col("event_id") % 25 + 1).cast("int").alias("target"),
+        (F.col("user_id") % 25 + 1).alias("source"),
+        (F.col("event_id") % 25 + 1).alias("target"),
         _whole().alias("value"),
     )
 
@@ -170,8 +175,8 @@ def edges_bipartite(spark: SparkSession, d: str) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("value"))
         .select(
             F.lit("bipartite").alias("topology"),
-            (F.col("l_suppkey") + 1).cast("int").alias("source"),
-            (suppliers + F.col("l_partkey") + 1).cast("int").alias("target"),
+            (F.col("l_suppkey") + 1).alias("source"),
+            (suppliers + F.col("l_partkey") + 1).alias("target"),
             "value",
         )
     )
@@ -187,9 +192,7 @@ def edges_planted(spark: SparkSession, d: str) -> DataFrame:
         group * size + F.col("l_partkey") % size
     )
     return (
-        lines.select(
-            (F.col("l_orderkey") + 1).cast("int").alias("source"), (top + inner).cast("int").alias("target")
-        )
+        lines.select((F.col("l_orderkey") + 1).alias("source"), (top + inner).alias("target"))
         .groupBy("source", "target")
         .agg(F.count(F.lit(1)).alias("value"))
         .select(F.lit("planted").alias("topology"), "source", "target", "value")
@@ -202,14 +205,18 @@ def stored_edges_dense(spark: SparkSession, d: str) -> DataFrame:
 
 
 def assignment(edges: DataFrame) -> DataFrame:
-    """A schedule for the dense graphs of all topologies but one: task i -> i div 3 mod 4."""
-    nodes = graph.graph_nodes(edges).filter(F.col("topology") != "5-LOW")
+    """A schedule for the dense graphs of all topologies: task i -> i div 3 mod 4; every seventh task has no line."""
+    nodes = graph.graph_nodes(edges).filter(F.col("id") % 7 != 0)
     part = F.call_function("div", F.col("id"), F.lit(3)) % 4
     return nodes.select("topology", F.col("id").alias("task_id"), part.cast("int").alias("part"))
 
 
-def _vector() -> Column:
-    shift = F.call_function("div", F.day("ts"), F.lit(3))
+def partial_assignment(edges: DataFrame) -> DataFrame:
+    """The same with one topology that nobody has scheduled yet."""
+    return assignment(edges).filter(F.col("topology") != "5-LOW")
+
+
+def _vector(shift: Column) -> Column:
     lines = F.transform(
         F.sequence(F.lit(1), F.lit(LINES_PER_VERSION)), lambda i: ((i + shift) % 4).cast("string")
     )
@@ -223,26 +230,25 @@ def schedule_reports(spark: SparkSession, d: str, read: Reader = table) -> DataF
         F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_id").alias("id"),
     )
-    return rows.select("topology", "ts", "id", _vector())
+    return rows.select("topology", "ts", "id", _vector(F.call_function("div", F.day("ts"), F.lit(3))))
 
 
 def schedule_versions(spark: SparkSession, d: str) -> DataFrame:
-    """A vector per topology and recorded day; the vector changes every third day."""
-    days = table(spark, d, "events").select(
+    """A vector per topology and recorded hour; it follows the hour's number of events."""
+    hours = table(spark, d, "events").groupBy(
         _text("topo", F.col("event_id") % 3).alias("topology"),
-        F.date_trunc("day", F.col("ts").cast("timestamp")).alias("ts"),
-    ).distinct()
-    return days.select("topology", "ts", _vector())
+        F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("ts"),
+    )
+    return hours.agg(F.count(F.lit(1)).alias("n")).select("topology", "ts", _vector(F.col("n")))
 
 
 def executors(spark: SparkSession, d: str) -> DataFrame:
-    """Tasks -1, 0 and 26-30 join the tasks of the dense graphs; one executor has two tasks."""
-    topologies = table(spark, d, "orders").select(F.col("o_orderpriority").alias("topology")).distinct()
-    task = F.explode(F.sequence(F.lit(-1), F.lit(30))).alias("start_task")
-    end = F.when(
-        (F.col("topology") == "1-URGENT") & (F.col("start_task") == 30), F.col("start_task") + 1
-    ).otherwise(F.col("start_task"))
-    return topologies.select("topology", task).select(
+    """A task for each customer with orders in a topology, from -2 on; of every fifty, one executor has two tasks."""
+    tasks = table(spark, d, "orders").select(
+        F.col("o_orderpriority").alias("topology"), (F.col("o_custkey") - 2).alias("start_task")
+    )
+    end = F.when(F.col("start_task") % 50 == 30, F.col("start_task") + 1).otherwise(F.col("start_task"))
+    return tasks.distinct().select(
         "topology", "start_task", end.alias("end_task"), _text("c", F.col("start_task") % 4).alias("component")
     )
 
@@ -302,7 +308,7 @@ def binary_counters(spark: SparkSession, d: str) -> DataFrame:
 def keyed(spark: SparkSession, d: str) -> DataFrame:
     key = F.md5(F.col("user_id").cast("string"))
     return table(spark, d, "events").select(
-        F.col("user_id").cast("int").alias("source"),
+        F.col("user_id").alias("source"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_id").alias("id"),
         key.alias("keyfield"),
@@ -324,9 +330,9 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "emits": (
         (),
         f"""
-        select o_orderpriority as topology, {_CLOCK} as ts, o_orderkey as msg_id, c_nationkey + 1 as source,
+        select o_orderpriority as topology, {_CLOCK} as ts, o_orderkey as msg_id, c_nationkey::bigint + 1 as source,
                case o_orderkey % 10 when 0 then '__ack_ack' when 1 then '__metrics' else 'default' end as stream,
-               case when l_returnflag = 'R' then [s_nationkey + 1, l_linenumber] else [s_nationkey + 1] end
+               case when l_returnflag = 'R' then [s_nationkey::bigint + 1, l_linenumber::bigint] else [s_nationkey::bigint + 1] end
                    as out_tasks
         from lineitem join supplier on l_suppkey = s_suppkey
                       join orders on l_orderkey = o_orderkey
@@ -335,13 +341,13 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "roots": (
         (),
         f"""
-        select o_orderpriority as topology, {_CLOCK} as ts, o_orderkey as msg_id, c_nationkey + 1 as source
+        select o_orderpriority as topology, {_CLOCK} as ts, o_orderkey as msg_id, c_nationkey::bigint + 1 as source
         from orders join customer on o_custkey = c_custkey""",
     ),
     "acks": (
         (),
         f"""
-        select o_orderpriority as topology, o_orderkey as msg_id, c_nationkey + 1 as task_id,
+        select o_orderpriority as topology, o_orderkey as msg_id, c_nationkey::bigint + 1 as task_id,
                {_CLOCK} + to_seconds(o_orderkey % 150) as ack_ts,
                case when o_orderkey % 17 <> 0 then (o_orderkey % 150) * 1000 end as latency_ms
         from orders join customer on o_custkey = c_custkey
@@ -352,14 +358,14 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
         f"""
         select 'topo' || (event_id % 3) as topology, ts, event_id as id, 'w' || (user_id % 20) as worker_host,
                (user_id % 4 + 6700)::int as worker_port, 'c' || (user_id % 4) as component,
-               (user_id - 2)::int as task_id, {_METRIC_CASE} as name, floor(value)::bigint as value
+               user_id - 2 as task_id, {_METRIC_CASE} as name, floor(value)::bigint as value
         from events""",
     ),
     "edge_updates": (
         (),
         """
-        select 'topo' || (event_id % 3) as topology, ts, event_id as id, (user_id % 25 + 1)::int as source,
-               (event_id % 25 + 1)::int as target, floor(value)::bigint as value
+        select 'topo' || (event_id % 3) as topology, ts, event_id as id, user_id % 25 + 1 as source,
+               event_id % 25 + 1 as target, floor(value)::bigint as value
         from events""",
     ),
     "edges_dense": (
@@ -373,18 +379,18 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "edges_bipartite": (
         (),
         """
-        select 'bipartite' as topology, (l_suppkey + 1)::int as source,
-               ((select count(*) from supplier) + l_partkey + 1)::int as target, count(*) as value
+        select 'bipartite' as topology, l_suppkey + 1 as source,
+               (select count(*) from supplier) + l_partkey + 1 as target, count(*) as value
         from lineitem group by l_suppkey, l_partkey""",
     ),
     "edges_planted": (
         (),
         """
-        select 'planted' as topology, (l_orderkey + 1)::int as source,
+        select 'planted' as topology, l_orderkey + 1 as source,
                ((select max(l_orderkey) + 2 from lineitem)
                 + case when l_linenumber = 7 then l_partkey
                        else (l_orderkey // 100 % 8) * (select count(*) // 8 from part)
-                            + l_partkey % (select count(*) // 8 from part) end)::int as target,
+                            + l_partkey % (select count(*) // 8 from part) end)::bigint as target,
                count(*) as value
         from lineitem group by 1, 2, 3""",
     ),
@@ -395,16 +401,17 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "assignment": (
         ("nodes_dense",),
         """
-        select topology, id as task_id, (id // 3 % 4)::int as part from nodes_dense where topology <> '5-LOW'""",
+        select topology, id as task_id, (id // 3 % 4)::int as part from nodes_dense where id % 7 <> 0""",
     ),
+    "partial_assignment": (("assignment",), "select * from assignment where topology <> '5-LOW'"),
     "schedule_versions": (
         (),
         f"""
         select topology, ts,
                array_to_string(list_transform(range(1, {LINES_PER_VERSION + 1}),
-                                              lambda i: ((i + day(ts) // 3) % 4)::varchar), chr(10)) as text
-        from (select distinct 'topo' || (event_id % 3) as topology, date_trunc('day', ts)::timestamp as ts
-              from events)""",
+                                              lambda i: ((i + n) % 4)::varchar), chr(10)) as text
+        from (select 'topo' || (event_id % 3) as topology, date_trunc('hour', ts)::timestamp as ts, count(*) as n
+              from events group by 1, 2)""",
     ),
     "schedule_reports": (
         (),
@@ -418,10 +425,9 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
         (),
         """
         select topology, start_task,
-               case when topology = '1-URGENT' and start_task = 30 then start_task + 1 else start_task end as end_task,
+               case when start_task % 50 = 30 then start_task + 1 else start_task end as end_task,
                'c' || (start_task % 4) as component
-        from (select topology, unnest(range(-1, 31))::int as start_task
-              from (select distinct o_orderpriority as topology from orders))""",
+        from (select distinct o_orderpriority as topology, o_custkey - 2 as start_task from orders)""",
     ),
     "supervisors": (
         (),
@@ -433,7 +439,7 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "keyed": (
         (),
         """
-        select user_id::int as source, ts, event_id as id, md5(user_id::varchar) as keyfield,
+        select user_id as source, ts, event_id as id, md5(user_id::varchar) as keyfield,
                repeat(md5(user_id::varchar), 4) as payload
         from events""",
     ),

@@ -16,7 +16,7 @@ _SIZES = "sizes as (select topology, max(part) + 1 as partitions, count(*) as ta
 _PLACED = f"""{_SIZES},
 placed as (
     select e.topology, e.start_task as task_id, e.component,
-           (case when e.start_task > s.tasks then e.start_task % s.partitions else a.part end)::int as part
+           coalesce(a.part, e.start_task % s.partitions)::int as part
     from executors e join sizes s on s.topology = e.topology
     left join assignment a on a.topology = e.topology and a.task_id = e.start_task
     where e.start_task = e.end_task and e.start_task >= 1)"""
@@ -89,16 +89,17 @@ def joi03(spark, d):
            open as (
                select topology, start_task as task_id, row_number() over (partition by topology order by start_task) - 1 as n
                from executors e where start_task = end_task
-                    and not exists (select 1 from assignment a where a.topology = e.topology))
+                    and not exists (select 1 from partial_assignment a where a.topology = e.topology))
            select o.topology, o.task_id, s.supervisor, s.slot
            from open o join slots s on s.slot_no = o.n % (select count(*) from slots)""",
         "executors",
-        "assignment",
+        "partial_assignment",
         "supervisors",
     ),
 )
 def joi04(spark, d):
-    return pl.fallback_even(L.executors(spark, d), _assignment(spark, d), L.supervisors(spark, d))
+    schedule = materialise(L.partial_assignment(L.edges_dense(spark, d)), "schedule")
+    return pl.fallback_even(L.executors(spark, d), schedule, L.supervisors(spark, d))
 
 
 @query(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowplace.session import prepare
+from flowplace.session import suited
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
             raise ValueError(f"query {name} is registered twice")
 
         def run(spark: SparkSession, d: str) -> DataFrame:
-            return build(prepare(spark), d)
+            return build(suited(spark), d)
 
         QUERIES[name] = run
         if sql is not None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowplace.functions import hash_bucket, java_hash
+from flowplace.functions import java_hash
 from flowplace.operators import routing as r
 from flowplace.plans import lenses as L
 from flowplace.plans.lenses import with_lenses
@@ -114,10 +114,7 @@ def _hop(table: str, level: int) -> str:
     ),
 )
 def rte05(spark, d):
-    follower = r.next_bucket_key(F.col("keyfield"), N)
-    keyed = L.keyed(spark, d).select("id", "keyfield", hash_bucket(F.col("keyfield"), N).alias("bucket"))
-    found = keyed.select("id", "bucket", follower.alias("follower"))
-    return found.withColumn("next_bucket", hash_bucket(F.col("follower"), N))
+    return r.with_next_keys(L.keyed(spark, d).select("id", "keyfield"), "keyfield", N).drop("keyfield")
 
 
 @query(

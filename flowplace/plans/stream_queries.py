@@ -8,93 +8,66 @@ from flowplace.operators import metrics as m
 from flowplace.operators import placement as pl
 from flowplace.operators import projections as p
 from flowplace.plans import lenses as L
+from flowplace.plans.format_queries import _SERIES, series_lines
 from flowplace.plans.lenses import with_lenses
 from flowplace.plans.metric_queries import _LATENCY, _MEAN, _TOTALS, CONTROL
 from flowplace.plans.registry import query
+from flowplace.sinks import formats as out
 from flowplace.streaming import debounce, live
-from flowplace.streaming.carry import run_carried
-from flowplace.streaming.io import collect_append, stream_table
+from flowplace.streaming.carry import run_ordered
+from flowplace.streaming.io import stream_table
 
 HOUR = 3_600
 GAP = 600
 
 
-def _closed(body: str, ts: str, lens: str, width: int, late: int) -> str:
-    """Rows of ``body`` whose window has closed: its end is not after the watermark."""
-    return f"""select w.* from ({body}) w
-               where (w.start + {width}) * 1000 <= (select epoch_us(max({ts})) // 1000 - {late * 1000} from {lens})"""
+def _secs(frame):
+    return frame.withColumn("start", F.unix_seconds("start"))
 
 
 @query(
     "str01_edge_counts_stream",
     with_lenses(
-        _closed(
-            f"""select topology, (epoch_us(ts) // 15000000 * 15)::bigint as start, source, target, count(*) as value
-                from (select topology, ts, source, stream, unnest(out_tasks) as target from emits) where {CONTROL}
-                group by all""",
-            "ts",
-            "(select ts from emits)",
-            15,
-            15,
-        ),
+        f"""select topology, (epoch_us(ts) // 15000000 * 15)::bigint as start, source, target, count(*) as value
+            from (select topology, ts, source, stream, unnest(out_tasks) as target from emits) where {CONTROL}
+            group by all""",
         "emits",
     ),
 )
 def str01_edges(spark, d):
-    stream = live.edge_counts(L.emits(spark, d, stream_table))
-    return collect_append(stream, "edges").withColumn("start", F.unix_seconds("start"))
+    return _secs(live.edge_counts(L.emits(spark, d, stream_table)))
 
 
 @query(
     "str01_throughput_stream",
     with_lenses(
-        _closed(
-            """select topology, source as task_id, (epoch_us(ts) // 5000000 * 5)::bigint as start, count(*) // 5 as throughput
-               from emits group by 1, 2, 3""",
-            "ts",
-            "emits",
-            5,
-            5,
-        ),
+        """select topology, source as task_id, (epoch_us(ts) // 5000000 * 5)::bigint as start, count(*) // 5 as throughput
+           from emits group by 1, 2, 3""",
         "emits",
     ),
 )
 def str01_throughput(spark, d):
-    stream = live.throughput(L.emits(spark, d, stream_table))
-    return collect_append(stream, "throughput").withColumn("start", F.unix_seconds("start"))
+    return _secs(live.throughput(L.emits(spark, d, stream_table)))
 
 
-@query(
-    "str01_complete_latency_stream",
-    with_lenses(_closed(_LATENCY.format(expr=f"{_MEAN} // 5"), "ack_ts", "acks", 5, 5), "acks"),
-)
+@query("str01_complete_latency_stream", with_lenses(_LATENCY.format(expr=f"{_MEAN} // 5"), "acks"))
 def str01_latency(spark, d):
-    stream = live.complete_latency(L.acks(spark, d, stream_table))
-    return collect_append(stream, "latency").withColumn("start", F.unix_seconds("start"))
+    return _secs(live.complete_latency(L.acks(spark, d, stream_table)))
 
 
 @query(
     "str02_sliding_load_stream",
     with_lenses(
-        _closed(
-            f"""select topology, task_id, start, count(value) as readings, sum(value)::bigint // greatest(count(value), 1) as load
-                from (select topology, task_id, value,
-                             unnest(range(epoch_us(ts) // 3600000000 - 11, epoch_us(ts) // 3600000000 + 1)) * {HOUR} as start
-                      from datapoints
-                      where (epoch_us(ts) // 3600000000 + 1) * 3600000
-                            <= (select epoch_us(max(ts)) // 1000 - {HOUR * 1000} from datapoints))
-                group by topology, task_id, start""",
-            "ts",
-            "datapoints",
-            12 * HOUR,
-            HOUR,
-        ),
+        f"""select topology, task_id, start, count(value) as readings, sum(value)::bigint // greatest(count(value), 1) as load
+            from (select topology, task_id, value,
+                         unnest(range(epoch_us(ts) // 3600000000 - 11, epoch_us(ts) // 3600000000 + 1)) * {HOUR} as start
+                  from datapoints)
+            group by topology, task_id, start""",
         "datapoints",
     ),
 )
 def str02(spark, d):
-    stream = live.sliding_load(L.datapoints(spark, d, stream_table), 12, HOUR)
-    return collect_append(stream, "load").withColumn("start", F.unix_seconds("start"))
+    return _secs(live.sliding_load(L.datapoints(spark, d, stream_table), 12, HOUR))
 
 
 _SESSIONS = f"""
@@ -112,20 +85,12 @@ def _micros(frame):
 
 @query("str03_publish_sessions", with_lenses(_SESSIONS, "edge_updates"))
 def str03(spark, d):
-    return _micros(live.publish_sessions(L.edge_updates(spark, d), GAP))
+    return _micros(debounce.publish_sessions(L.edge_updates(spark, d), GAP))
 
 
-@query(
-    "str03_publish_sessions_stream",
-    with_lenses(
-        f"""select * from ({_SESSIONS})
-            where published // 1000 <= (select epoch_us(max(ts)) // 1000 - {GAP * 1000} from edge_updates)""",
-        "edge_updates",
-    ),
-)
+@query("str03_publish_sessions_stream", with_lenses(_SESSIONS, "edge_updates"))
 def str03_stream(spark, d):
-    updates = live.late_by(L.edge_updates(spark, d, stream_table), GAP)
-    return _micros(collect_append(live.publish_sessions(updates, GAP), "sessions"))
+    return _micros(live.publish_sessions(L.edge_updates(spark, d, stream_table), GAP))
 
 
 _PUBLISH_TIMES = f"""
@@ -148,17 +113,20 @@ ended as (
     select topology, published as published_ms from steps where published is not null
     union all
     select topology, due from steps
-    where (topology, n) in (select topology, max(n) from ticks group by topology)
-          and due <= (select max(ms) - {GAP * 1000} from ticks))
+    where (topology, n) in (select topology, max(n) from ticks group by topology))
 select topology, published_ms from ended
 """
 
 
-@query("str03_publish_times_stream", with_lenses(_PUBLISH_TIMES, "edge_updates"))
-def str03_strict(spark, d):
+@query("str03_publish_times", with_lenses(_PUBLISH_TIMES, "edge_updates"))
+def str03_times(spark, d):
     """Silence of ten minutes, but a new version at least every half hour of updates."""
-    times = debounce.publish_times(L.edge_updates(spark, d, stream_table), GAP, GAP, 3 * GAP)
-    return collect_append(times, "published")
+    return debounce.publish_times(debounce.ticks(L.edge_updates(spark, d)), GAP, 3 * GAP)
+
+
+@query("str03_publish_times_stream", with_lenses(_PUBLISH_TIMES, "edge_updates"))
+def str03_times_stream(spark, d):
+    return live.publish_times(L.edge_updates(spark, d, stream_table), GAP, 3 * GAP)
 
 
 @query(
@@ -184,7 +152,7 @@ def str04(spark, d):
 )
 def str05(spark, d):
     points = p.reported_metrics(L.datapoints(spark, d, stream_table))
-    state = run_carried(points, m.TASK_METRIC, m.UPDATE_ORDER, m.metric_series, "totals")
+    state = run_ordered(points, m.TASK_METRIC, m.UPDATE_ORDER, m.metric_series, "totals")
     shape = m.metric_series(p.reported_metrics(L.datapoints(spark, d))).schema
     return state.output(shape).select("topology", "name", "task_id", "id", "aggregated")
 
@@ -200,7 +168,7 @@ def str05(spark, d):
 )
 def str06(spark, d):
     reports = L.schedule_reports(spark, d, stream_table)
-    state = run_carried(
+    state = run_ordered(
         reports, ["topology"], m.UPDATE_ORDER, lambda rows: pl.schedule_changes(rows, m.UPDATE_ORDER), "schedules"
     )
     return state.output(reports.schema).select("topology", "id", "text")
@@ -209,18 +177,14 @@ def str06(spark, d):
 @query(
     "str07_tracked_stream",
     with_lenses(
-        """with ends as (select least((select epoch_us(max(ts)) // 1000 from roots), (select epoch_us(max(ack_ts)) // 1000 from acks))
-                                - 10000 as mark)
-           select r.topology, r.msg_id, r.source, a.msg_id is not null as completed, coalesce(a.latency_ms, -1) as latency_ms
-           from roots r left join acks a on r.msg_id = a.msg_id and a.ack_ts between r.ts and r.ts + interval 100 second
-           where a.msg_id is not null or epoch_us(r.ts) // 1000 + 100000 < (select mark from ends)""",
+        """select r.topology, r.msg_id, r.source, a.msg_id is not null as completed, coalesce(a.latency_ms, -1) as latency_ms
+           from roots r left join acks a on r.msg_id = a.msg_id and a.ack_ts between r.ts and r.ts + interval 100 second""",
         "roots",
         "acks",
     ),
 )
 def str07(spark, d):
-    tracked = live.tracked(L.roots(spark, d, stream_table), L.acks(spark, d, stream_table), 10)
-    found = collect_append(tracked, "tracked").drop("ts")
+    found = live.tracked(L.roots(spark, d, stream_table), L.acks(spark, d, stream_table)).drop("ts")
     return found.withColumn("latency_ms", F.coalesce("latency_ms", F.lit(-1)))
 
 
@@ -236,8 +200,17 @@ def str07(spark, d):
 )
 def str08(spark, d):
     updates = L.edge_updates(spark, d, stream_table)
-    state = run_carried(updates, ["topology", "source", "target"], m.UPDATE_ORDER, m.edge_changes, "changes")
-    out = state.output(m.edge_changes(L.edge_updates(spark, d)).schema)
-    return out.select(
+    state = run_ordered(updates, ["topology", "source", "target"], m.UPDATE_ORDER, m.edge_changes, "changes")
+    found = state.output(m.edge_changes(L.edge_updates(spark, d)).schema)
+    return found.select(
         "topology", "source", "target", "id", "value", F.coalesce("old_value", F.lit(-1)).alias("old_value")
     )
+
+
+@query("snk04_graphite_lines_stream", with_lenses(_SERIES, "datapoints"))
+def snk04_stream(spark, d):
+    """Lines of the combined series, from the totals behind a stream."""
+    points = p.reported_metrics(L.datapoints(spark, d, stream_table))
+    state = run_ordered(points, m.TASK_METRIC, m.UPDATE_ORDER, m.metric_series, "series")
+    totals = state.output(m.metric_series(p.reported_metrics(L.datapoints(spark, d))).schema)
+    return out.graphite_lines(series_lines(totals))

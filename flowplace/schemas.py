@@ -19,7 +19,7 @@ TASK_REPORT = T.StructType(
         T.StructField("worker_host", T.StringType()),
         T.StructField("worker_port", T.IntegerType()),
         T.StructField("component", T.StringType()),
-        T.StructField("task_id", T.IntegerType()),
+        T.StructField("task_id", T.LongType()),
         T.StructField("points", T.ArrayType(POINT)),
     ]
 )
@@ -32,8 +32,8 @@ SENDGRAPH_DOC = T.StructType(
             T.ArrayType(
                 T.StructType(
                     [
-                        T.StructField("source", T.IntegerType()),
-                        T.StructField("target", T.IntegerType()),
+                        T.StructField("source", T.LongType()),
+                        T.StructField("target", T.LongType()),
                         T.StructField("value", T.LongType()),
                     ]
                 )

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+ZONE_CONF = "spark.sql.session.timeZone"
 
 # Settings a job of this package wants; all are ordinary user-level Spark settings.
 SESSION_CONF = {
@@ -15,8 +18,6 @@ SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # Sessions of a busy key merge inside each task before they are brought together.
-    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 
@@ -32,18 +33,42 @@ def build_session(app: str = "flowplace", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the settings results depend on (time zone) and those plans depend on (AQE)."""
-    for key, value in SESSION_CONF.items():
-        spark.conf.set(key, value)
-    return spark
+def suited(spark: SparkSession) -> SparkSession:
+    """``spark`` if it works in UTC, which results depend on; else a session beside it that does.
+
+    The caller's own settings are never changed.
+    """
+    if spark.conf.get(ZONE_CONF) in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
+        return spark
+    own = spark.newSession()
+    own.conf.set(ZONE_CONF, "UTC")
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    return own
+
+
+def expire(spark: SparkSession, older_than_secs: float) -> int:
+    """Delete this package's intermediate tables that nobody has written for so long; returns their number.
+
+    They are named by nothing but the DataFrames that read them, so only a time tells when they
+    are done with: choose one longer than the longest job.
+    """
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/flowplace")
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return 0
+    before = (time.time() - older_than_secs) * 1_000
+    old = [s.getPath() for s in files.listStatus(root) if s.getModificationTime() < before]
+    for path in old:
+        files.delete(path, True)
+    return len(old)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local-mode session without that setting gets a temporary folder; on a
-    cluster the setting is required.
+    A session in a single process without that setting gets a folder of its own; wherever there
+    are executors the setting is required.
     """
     folder = spark.conf.get(CHECKPOINT_CONF, None)
     if folder:
@@ -51,7 +76,7 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.sparkContext.getCheckpointDir()
     if known:
         return known.rsplit("/", 1)[0]
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder shared by all executors")
     folder = tempfile.mkdtemp(prefix="flowplace-")
     spark.sparkContext.setCheckpointDir(folder)
@@ -73,21 +98,3 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def pin_partitioned(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of a repartitioned ``df`` that later joins can use without a shuffle.
-
-    An adaptive plan does not report its partitioning, so the checkpoint itself runs
-    without AQE.
-    """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        # Plan anew: a DataFrame that has been looked at keeps its adaptive plan.
-        return df.select("*").checkpoint()
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", adaptive)

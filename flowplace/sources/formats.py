@@ -18,7 +18,7 @@ EMITTED = "emitted_messages"
 
 def explode_reports(reports: DataFrame) -> DataFrame:
     """One row per data point of each task report."""
-    by_task = F.transform_keys("point.value_map", lambda task, count: task.cast("int")).alias("value_map")
+    by_task = F.transform_keys("point.value_map", lambda task, count: task.cast("bigint")).alias("value_map")
     return reports.withColumn("point", F.explode("points")).select(
         *[c for c in reports.columns if c != "points"], "point.name", "point.value", by_task
     )
@@ -34,10 +34,9 @@ def read_datapoints(spark: SparkSession, path: str) -> DataFrame:
     return explode_reports(spark.read.schema(schemas.TASK_REPORT).json(path))
 
 
-def stream_datapoints(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
+def stream_datapoints(spark: SparkSession, path: str) -> DataFrame:
     """The same as a stream over a folder that keeps receiving files."""
-    reader = spark.readStream.schema(schemas.TASK_REPORT).option("maxFilesPerTrigger", files_per_trigger)
-    return explode_reports(reader.json(path))
+    return explode_reports(spark.readStream.schema(schemas.TASK_REPORT).json(path))
 
 
 def edge_values(points: DataFrame) -> DataFrame:
@@ -58,46 +57,67 @@ def sendgraph_links(docs: DataFrame, column: str = "json") -> DataFrame:
 
 def sendgraph_nodes(docs: DataFrame, column: str = "json") -> DataFrame:
     return _parsed(docs, column).select("topology", F.explode("doc.nodes.name").alias("name")).select(
-        "topology", F.col("name").cast("int").alias("id")
+        "topology", F.col("name").cast("bigint").alias("id")
     )
 
 
+def _piece_entries(pieces: DataFrame, field: str, opening: str) -> DataFrame:
+    """The entries of pieces whose text begins like an entry of ``field``, with or without a comma before it."""
+    whole = F.concat(F.lit(f'{{"{field}":['), F.ltrim(F.col("text"), F.lit(",")), F.lit("]}"))
+    kept = pieces.filter(F.ltrim(F.col("text"), F.lit(",")).startswith(opening))
+    return _parsed(kept.select("topology", whole.alias("json")), "json").select("topology", F.inline(f"doc.{field}"))
+
+
+def sendgraph_piece_links(pieces: DataFrame) -> DataFrame:
+    """Links of send-graph documents that come in pieces (topology, text), in any order."""
+    return _piece_entries(pieces, "links", '{"source"')
+
+
+def sendgraph_piece_nodes(pieces: DataFrame) -> DataFrame:
+    names = _piece_entries(pieces, "nodes", '{"name"')
+    return names.select("topology", F.col("name").cast("bigint").alias("id"))
+
+
 def split_lines(docs: DataFrame, column: str) -> DataFrame:
     """Documents as (topology, line_no from 0, line)."""
     return docs.select("topology", F.posexplode(F.split(column, "\n")).alias("line_no", "line"))
 
 
-def metis_vertices(lines: DataFrame) -> DataFrame:
-    """Vertex weights: the first number of every line but the header; line number = id."""
-    return lines.filter(F.col("line_no") > 0).select(
-        "topology",
-        F.col("line_no").cast("int").alias("id"),
-        F.split(F.trim("line"), " +")[0].cast("bigint").alias("vw"),
+def pairs(numbers: Column) -> Column:
+    """(nbr, w) of each two consecutive numbers."""
+    return F.transform(
+        F.sequence(F.lit(0), F.size(numbers) - 2, F.lit(2)),
+        lambda i: F.struct(F.get(numbers, i).cast("bigint").alias("nbr"), F.get(numbers, i + 1).cast("bigint").alias("w")),
     )
 
 
-def pairs(numbers: Column, first: int) -> Column:
-    """(nbr, w) of each two consecutive numbers, beginning at index ``first``."""
-    return F.transform(
-        F.filter(F.sequence(F.lit(first), F.size(numbers)), lambda i: (i % 2 == first % 2) & (i + 1 < F.size(numbers))),
-        lambda i: F.struct(
-            F.get(numbers, i).cast("int").alias("nbr"), F.get(numbers, i + 1).cast("bigint").alias("w")
-        ),
+def line_pieces(lines: DataFrame) -> DataFrame:
+    """Whole graph file lines (topology, line_no, line) as pieces: -1 the header or a vertex's weight, 0 its neighbours."""
+    numbers = F.split(F.trim("line"), " +", 2)
+    header = F.col("line_no") == 0
+    parts = F.array(
+        F.struct(F.lit(-1).cast("bigint").alias("piece"), F.when(header, F.trim("line")).otherwise(numbers[0]).alias("text")),
+        F.struct(F.lit(0).cast("bigint").alias("piece"), F.when(~header, F.get(numbers, 1)).alias("text")),
     )
+    return lines.select("topology", F.col("line_no").cast("bigint").alias("line_no"), F.inline(parts)).filter(F.col("text").isNotNull())
 
 
-def metis_adjacency(lines: DataFrame) -> DataFrame:
-    """(id, nbr, w) of every line but the header."""
-    numbers = F.split(F.trim("line"), " +")
-    return lines.filter(F.col("line_no") > 0).select(
-        "topology", F.col("line_no").cast("int").alias("id"), F.inline(pairs(numbers, 1))
-    )
+def metis_vertices(pieces: DataFrame) -> DataFrame:
+    """Vertex weights: piece -1 of every line but the header; line number = id."""
+    weights = pieces.filter((F.col("line_no") > 0) & (F.col("piece") < 0))
+    return weights.select("topology", F.col("line_no").alias("id"), F.trim("text").cast("bigint").alias("vw"))
+
 
+def metis_adjacency(pieces: DataFrame) -> DataFrame:
+    """(id, nbr, w) of the other pieces; a hub's entries come from as many rows as its line has pieces."""
+    entries = pieces.filter((F.col("line_no") > 0) & (F.col("piece") >= 0))
+    return entries.select("topology", F.col("line_no").alias("id"), F.inline(pairs(F.split(F.trim("text"), " +"))))
 
-def metis_header(lines: DataFrame) -> DataFrame:
-    head = F.split(F.trim("line"), " +")
-    return lines.filter(F.col("line_no") == 0).select(
-        "topology", head[0].cast("int").alias("n"), head[1].cast("bigint").alias("m")
+
+def metis_header(pieces: DataFrame) -> DataFrame:
+    head = F.split(F.trim("text"), " +")
+    return pieces.filter(F.col("line_no") == 0).select(
+        "topology", head[0].cast("bigint").alias("n"), head[1].cast("bigint").alias("m")
     )
 
 
@@ -106,17 +126,23 @@ def read_partition_vector(docs: DataFrame, column: str = "text") -> DataFrame:
     return (
         split_lines(docs, column)
         .filter(F.col("line") != "")
-        .select("topology", (F.col("line_no") + 1).alias("task_id"), F.trim("line").cast("int").alias("part"))
+        .select("topology", (F.col("line_no") + 1).cast("bigint").alias("task_id"), F.trim("line").cast("int").alias("part"))
     )
 
 
 def read_vector_blocks(blocks: DataFrame, block_size: int) -> DataFrame:
     """The same from vectors that come in blocks of ``block_size`` lines."""
     lines = blocks.select("topology", "block", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    task = (F.col("block") * block_size + F.col("line_no") + 1).cast("int")
+    task = F.col("block") * block_size + F.col("line_no") + 1
     return lines.select("topology", task.alias("task_id"), F.trim("line").cast("int").alias("part"))
 
 
+def read_text_pieces(spark: SparkSession, path: str, separator: str = " ") -> DataFrame:
+    """(topology, text) of the files in ``topology=…`` folders, cut at a separator, in no order."""
+    text = spark.read.schema("value string, topology string").option("lineSep", separator).text(path)
+    return text.select("topology", F.col("value").alias("text"))
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(topology, line_no from 0, line) of the text files in ``topology=…`` folders.
 

@@ -1 +1 @@
-"""The same operators on live streams, and state carried across micro-batches."""
+"""The same operators on live streams; results equal those of the batch forms, whatever the batches."""

@@ -1,10 +1,11 @@
-"""Operators whose result depends on earlier rows, run micro-batch by micro-batch.
-
-The state is a table: the last row of every key. Each batch sees these rows as its earliest
-ones, runs the batch operator over both, and leaves out the carried rows. So stream and
-batch share one implementation, including the way it cuts hot groups into slices, where a
-state store would send all rows of one key through a single task. Versions are written per
-batch id, which makes a repeated batch overwrite itself.
+"""Operators whose result depends on the order of rows, behind a stream.
+
+Rows go into a table as they come. A batch changes results only from its earliest row on, so the
+operator runs again over the rows from there, preceded by the last row of every key before that
+place; what earlier batches wrote for later places no longer counts. In-order input means every row
+is worked on once; rows that come late cost a longer stretch and change nothing else. Stream and batch share one
+implementation, including the way it cuts busy groups into slices, where a state store would send all rows of
+a key through one task.
 """
 
 from __future__ import annotations
@@ -14,63 +15,56 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from flowplace.session import new_path
 from flowplace.sinks.publish import latest_per_key
-from flowplace.streaming.io import run_available
+from flowplace.streaming.io import nullable, run_available
 
 Operator = Callable[[DataFrame], DataFrame]
-CARRIED = "_from_state"
-
-
-def _nullable(schema: T.StructType) -> T.StructType:
-    return T.StructType([T.StructField(f.name, f.dataType) for f in schema])
+CARRIED = "_from_before"
 
 
-class CarriedState:
-    """Output and state versions of one stream, kept under ``root``."""
+class Recomputed:
+    """Rows and output of one stream, kept under ``root`` per batch; a repeated batch overwrites itself."""
 
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType, keys: Sequence[str], order: Sequence[str]):
-        self.spark, self.root, self.schema = spark, root, _nullable(schema)
+        self.spark, self.root, self.schema = spark, root, nullable(schema)
         self.keys, self.order = list(keys), list(order)
 
-    def _version(self, batch_id: int) -> str:
-        return f"{self.root}/state/version={batch_id}"
+    def _table(self, name: str, schema: T.StructType) -> DataFrame:
+        shape = T.StructType([*nullable(schema).fields, T.StructField("batch", T.LongType())])
+        return self.spark.read.schema(shape).parquet(f"{self.root}/{name}")
 
-    def state(self, batch_id: int) -> DataFrame:
-        """The last row of every key after ``batch_id`` (nothing before the first batch)."""
-        if batch_id < 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self._version(batch_id))
-
-    def step(self, batch: DataFrame, batch_id: int, operator: Operator) -> None:
-        """Run ``operator`` over one batch and write its output and the new state."""
-        batch = batch.persist()  # read once for its output and once for the state
+    def step(self, batch: DataFrame, number: int, operator: Operator) -> None:
+        """Add one batch and run ``operator`` again from its earliest row on."""
+        batch.write.mode("overwrite").parquet(f"{self.root}/rows/batch={number}")
         clock = self.order[0]
-        first = batch.agg(F.min(clock)).first()[0]
-        rows = batch.withColumn(CARRIED, F.lit(False))
-        if first is not None:
-            before = F.lit(first).cast("timestamp") - F.expr("interval 1 microsecond")
-            carried = self.state(batch_id - 1).withColumn(clock, before)
-            rows = rows.unionByName(carried.withColumn(CARRIED, F.lit(True)))
-        else:
-            rows = rows.unionByName(self.state(batch_id - 1).withColumn(CARRIED, F.lit(True)))
-        result = operator(rows).filter(~F.col(CARRIED)).drop(CARRIED)
-        result.write.mode("overwrite").parquet(f"{self.root}/output/batch={batch_id}")
-        newest = latest_per_key(rows, self.keys, self.order).drop(CARRIED)
-        newest.select(self.schema.names).write.mode("overwrite").parquet(self._version(batch_id))
-        batch.unpersist()
+        rows = self._table("rows", self.schema).filter(F.col("batch") <= number).drop("batch")
+        first = self._table("rows", self.schema).filter(F.col("batch") == number).agg(F.min(clock)).first()[0]
+        if first is None:
+            return
+        start = F.lit(first).cast("timestamp")
+        before = latest_per_key(rows.filter(F.col(clock) < start), self.keys, self.order)
+        before = before.withColumn(clock, start - F.expr("interval 1 microsecond"))
+        again = rows.filter(F.col(clock) >= start).withColumn(CARRIED, F.lit(False))
+        result = operator(again.unionByName(before.withColumn(CARRIED, F.lit(True))))
+        result.filter(~F.col(CARRIED)).drop(CARRIED).write.mode("overwrite").parquet(f"{self.root}/output/batch={number}")
 
     def output(self, schema: T.StructType) -> DataFrame:
-        """All output so far."""
-        return self.spark.read.schema(_nullable(schema)).parquet(f"{self.root}/output").drop("batch")
+        """All results that still count: those before the earliest row of every later batch."""
+        clock = self.order[0]
+        later = Window.orderBy("batch").rowsBetween(1, Window.unboundedFollowing)
+        # One row per batch.
+        ends = self._table("rows", self.schema).groupBy("batch").agg(F.min(clock).alias("_first"))
+        ends = ends.select("batch", F.min("_first").over(later).alias("_end"))
+        out = self._table("output", schema).join(ends, "batch")
+        return out.filter(F.col("_end").isNull() | (F.col(clock) < F.col("_end"))).drop("batch", "_end")
 
 
-def run_carried(
-    stream: DataFrame, keys: Sequence[str], order: Sequence[str], operator: Operator, label: str
-) -> CarriedState:
-    """Run ``operator`` over everything available in ``stream``; batches come in arrival order."""
+def run_ordered(stream: DataFrame, keys: Sequence[str], order: Sequence[str], operator: Operator, label: str) -> Recomputed:
+    """Run ``operator`` over everything available in ``stream``."""
     spark = stream.sparkSession
-    state = CarriedState(spark, new_path(spark, label), stream.schema, keys, order)
+    state = Recomputed(spark, new_path(spark, label), stream.schema, keys, order)
     run_available(stream.writeStream.foreachBatch(lambda b, i: state.step(b, i, operator)), label)
     return state

@@ -1,4 +1,4 @@
-"""Windowed, session and keyed-state forms of the operators on streams."""
+"""Windowed, session and keyed forms of the operators on streams."""
 
 from __future__ import annotations
 
@@ -6,104 +6,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowplace.operators import metrics, tracking
-from flowplace.session import new_path
-from flowplace.sinks.publish import latest_per_key
-from flowplace.streaming.debounce import SILENCE_SECS
-from flowplace.streaming.io import run_available
-
-# Fixed value: seconds of silence after which a graph is published.
-SILENCE_SECS = 5
-
-
-def late_by(df: DataFrame, secs: int, column: str = "ts") -> DataFrame:
-    """Accept rows up to ``secs`` late; windows close when the watermark passes them."""
-    return df.withWatermark(column, f"{secs} seconds")
+from flowplace.streaming import debounce
+from flowplace.streaming.io import collect_changes, collect_rows
 
 
 def edge_counts(emits: DataFrame, secs: int = metrics.GRAPH_SECS) -> DataFrame:
-    return metrics.edge_counts_per_interval(late_by(emits, secs), secs)
+    return collect_changes(metrics.edge_counts_per_interval(emits, secs), ["topology", "start", "source", "target"], "edges")
 
 
 def throughput(emits: DataFrame, secs: int = metrics.MONITORING_SECS) -> DataFrame:
-    return metrics.throughput(late_by(emits, secs), secs)
+    return collect_changes(metrics.throughput(emits, secs), ["topology", "task_id", "start"], "throughput")
 
 
 def complete_latency(acks: DataFrame, secs: int = metrics.MONITORING_SECS) -> DataFrame:
-    return metrics.complete_latency(late_by(acks, secs, "ack_ts"), secs)
+    return collect_changes(metrics.complete_latency(acks, secs), ["topology", "task_id", "start"], "latency")
+
+
+def sliding_load(points: DataFrame, slots: int = metrics.LOAD_SLOTS, slot_secs: int = metrics.LOAD_SLOT_SECS) -> DataFrame:
+    """The stream keeps the slots' sums; windows are put together when they are read."""
+    sums = collect_changes(metrics.slot_sums(points, slot_secs), ["topology", "task_id", "at"], "slots")
+    return metrics.slide(sums, slots, slot_secs)
 
 
-def sliding_load(
-    points: DataFrame, slots: int = metrics.LOAD_SLOTS, slot_secs: int = metrics.LOAD_SLOT_SECS
+def publish_sessions(updates: DataFrame, silence_secs: int = debounce.SILENCE_SECS) -> DataFrame:
+    """The stream keeps one span per graph and tick of the silence; sessions are put together when they are read."""
+    spans = collect_changes(debounce.spans(updates, silence_secs), ["topology", "tick"], "spans")
+    return debounce.sessions(spans, silence_secs)
+
+
+def publish_times(
+    updates: DataFrame, silence_secs: int = debounce.SILENCE_SECS, interval_secs: int = metrics.GRAPH_SECS
 ) -> DataFrame:
-    return metrics.sliding_load(late_by(points, slot_secs), slots, slot_secs)
-
-
-def publish_sessions(updates: DataFrame, silence_secs: int = SILENCE_SECS) -> DataFrame:
-    """When each graph is published: after ``silence_secs`` without an update.
-
-    Works on tables and streams. On a table, updates first shrink to one row per graph and
-    tick of at most the silence, so a busy graph does not arrive in one task row by row.
-    """
-    if updates.isStreaming:
-        spans = updates.select("topology", "ts", F.lit(1).alias("updates"))
-        session = F.session_window("ts", f"{silence_secs} seconds")
-    else:
-        spans = (
-            updates.groupBy("topology", F.window("ts", f"{silence_secs} seconds"))
-            .agg(F.min("ts").alias("ts"), F.max("ts").alias("_until"), F.count(F.lit(1)).alias("updates"))
-            .withColumn("_micros", F.unix_micros("_until") - F.unix_micros("ts") + silence_secs * 1_000_000)
-        )
-        session = F.session_window("ts", F.concat(F.col("_micros").cast("string"), F.lit(" microseconds")))
-    return (
-        spans.groupBy("topology", session)
-        .agg(F.sum("updates").alias("updates"))
-        .select(
-            "topology",
-            F.col("session_window.start").alias("first_update"),
-            F.col("session_window.end").alias("published"),
-            "updates",
-        )
-    )
-
-
-def tracked(roots: DataFrame, acks: DataFrame, late_secs: int, timeout_secs: int = tracking.TIMEOUT_SECS) -> DataFrame:
-    """At-least-once tracking: replays of a message count once, late ones have failed."""
-    once = late_by(roots, late_secs).dropDuplicatesWithinWatermark(["msg_id"])
-    return tracking.emit_ack_match(once, late_by(acks, late_secs, "ack_ts"), timeout_secs)
-
-
-class LatestTable:
-    """A table that keeps the newest row per key behind a stream, one version per batch."""
-
-    def __init__(self, spark, root: str, schema, keys: list[str], order: list[str]):
-        self.spark, self.root, self.schema, self.keys, self.order = spark, root, schema, keys, order
-
-    def _version(self, batch_id: int) -> str:
-        return f"{self.root}/version={batch_id}"
-
-    def read(self, batch_id: int) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self._version(batch_id))
-
-    def publish(self, batch: DataFrame, batch_id: int) -> None:
-        rows = batch.select(self.schema.names)
-        if batch_id > 0:
-            rows = rows.unionByName(self.read(batch_id - 1))
-        latest_per_key(rows, self.keys, self.order).write.mode("overwrite").parquet(self._version(batch_id))
+    """The stream keeps the distinct milliseconds of each graph's updates; times follow when they are read."""
+    ticks = collect_changes(debounce.ticks(updates), ["topology", "ms"], "ticks")
+    return debounce.publish_times(ticks, silence_secs, interval_secs)
+
+
+def tracked(roots: DataFrame, acks: DataFrame, timeout_secs: int = tracking.TIMEOUT_SECS) -> DataFrame:
+    """At-least-once tracking: replays of a message count once, from its first emit."""
+    rest = [c for c in roots.columns if c not in ("msg_id", "ts")]
+    first = roots.groupBy("msg_id").agg(F.min(F.struct("ts", *rest)).alias("first")).select("msg_id", "first.*")
+    once = collect_changes(first, ["msg_id"], "roots")
+    return tracking.emit_ack_match(once, collect_rows(acks, "acks"), timeout_secs)
 
 
 def latest_graph(updates: DataFrame, label: str = "graph") -> DataFrame:
-    """The live graph: the newest value of every edge, kept in Spark's state and published
-    as a table whenever edges change."""
+    """The live graph: the newest value of every edge, kept in Spark's state; a batch writes the edges it changed."""
     edge = ["topology", "source", "target"]
-    live = updates.groupBy(*edge).agg(F.max_by(F.struct("ts", "id", "value"), F.struct("ts", "id")).alias("u"))
-    changed = live.select(*edge, "u.*")
-    spark = updates.sparkSession
-    table = LatestTable(spark, new_path(spark, label), changed.schema, edge, ["ts", "id"])
-    last = [0]
-
-    def publish(batch: DataFrame, batch_id: int) -> None:
-        table.publish(batch, batch_id)
-        last[0] = batch_id
-
-    run_available(changed.writeStream.outputMode("update").foreachBatch(publish), label)
-    return table.read(last[0]).select(*edge, "value")
+    return collect_changes(metrics.latest_edges(updates), edge, label).select(*edge, "value")

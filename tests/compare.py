@@ -8,6 +8,7 @@ from __future__ import annotations
 import glob
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -55,7 +56,8 @@ def main(argv: list[str]) -> int:
 
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
     wanted = argv[1:]
-    spark = build_session(master="local[8]", spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__sql__shuffle__partitions="8", spark__driver__memory="12g")
+    shared = tempfile.mkdtemp(prefix="compare-")
+    spark = build_session(master="local[8]", spark__checkpoint__dir=shared, spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__sql__shuffle__partitions="8", spark__driver__memory="12g")
     spark.sparkContext.setLogLevel("ERROR")
     db, oracle, bad = connect(sf_dir), entry.oracle_sql(), 0
     for name, run in entry.queries().items():

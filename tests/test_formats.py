@@ -9,9 +9,8 @@ from flowplace.operators.projections import require_single_task
 from flowplace.sinks import formats as out
 from flowplace.sinks.publish import latest_per_key
 from flowplace.sources import formats as src
-from flowplace.sources import generators
 
-EDGE = "topology string, source int, target int, value bigint"
+EDGE = "topology string, source bigint, target bigint, value bigint"
 LINKS = [("x", 1, 2, 7), ("x", 2, 1, 3), ("x", 1, 6, 0), ("x", 4, 1, 2), ("x", 5, 5, 9), ("y", 2, 3, 1)]
 
 
@@ -24,48 +23,58 @@ def files_of(path, topology):
     return "".join(open(f).read() for f in sorted(glob.glob(f"{path}/topology={topology}/part-*")))
 
 
-def test_sendgraph_document(spark, edges):
-    docs = out.sendgraph_json(edges, g.graph_nodes(edges))
-    doc = json.loads(docs.filter("topology = 'x'").first()["json"])
+def documents(pieces):
+    texts = {}
+    for r in sorted(pieces.collect(), key=lambda r: (r["topology"], r["section"], r["a"], r["b"])):
+        texts[r["topology"]] = texts.get(r["topology"], "") + r["text"]
+    return texts
+
+
+@pytest.mark.parametrize("block", [1, 2, 4096])
+def test_sendgraph_round_trip(spark, edges, rows, block):
+    pieces = out.sendgraph_json(edges, g.graph_nodes(edges), block)
+    doc = json.loads(documents(pieces)["x"])
     assert [n["name"] for n in doc["nodes"]] == ["1", "2", "4", "5", "6"]
     assert [tuple(link.values()) for link in doc["links"]] == [(1, 2, 7), (1, 6, 0), (2, 1, 3), (4, 1, 2)]
+    links = sorted(e for e in LINKS if e[1] != e[2])
+    assert rows(src.sendgraph_piece_links(pieces), "topology", "source", "target", "value") == links
+    assert rows(src.sendgraph_piece_nodes(pieces)) == rows(g.graph_nodes(edges), "topology", "id")
+    whole = spark.createDataFrame(list(documents(pieces).items()), "topology string, json string")
+    assert rows(src.sendgraph_links(whole), "topology", "source", "target", "value") == links
+    assert rows(src.sendgraph_nodes(whole)) == rows(g.graph_nodes(edges), "topology", "id")
 
 
-@pytest.mark.parametrize("per_doc", [1, 2, 1000])
-def test_sendgraph_round_trip(edges, rows, per_doc):
-    docs = out.sendgraph_json(edges, g.graph_nodes(edges), per_doc)
-    assert rows(src.sendgraph_links(docs), "topology", "source", "target", "value") == sorted(
-        e for e in LINKS if e[1] != e[2]
-    )
-    assert rows(src.sendgraph_nodes(docs)) == rows(g.graph_nodes(edges), "topology", "id")
-    if per_doc == 1:
-        assert docs.count() > 2
+def test_sendgraph_without_links(spark, edges):
+    alone = edges.filter("source = target")
+    assert json.loads(documents(out.sendgraph_json(alone, g.graph_nodes(alone)))["x"]) == {"nodes": [{"name": "5"}], "links": []}
+
+
+METIS = ["6 3 011 1", "13 2 7 4 1 6 1", "11 1 4", "1", "3 1 2", "1", "1 1 1"]
 
 
-@pytest.mark.parametrize("per_piece", [1, 2, 1000])
-def test_metis_round_trip(edges, rows, per_piece):
+@pytest.mark.parametrize("block", [1, 2, 4096])
+def test_metis_round_trip(edges, rows, block):
     links = edges.filter("source <> target")
-    pieces = out.metis_lines(links, per_piece)
+    pieces = out.metis_lines(links, block)
     lines = {}
     for r in sorted(pieces.collect(), key=lambda r: (r["topology"], r["line_no"], r["piece"])):
         key = r["topology"], r["line_no"]
         lines[key] = lines.get(key, "") + r["text"]
-    assert [lines["x", i] for i in range(7)] == ["6 3 011 1", "13 2 7 4 1 6 1", "11 1 4", "1", "3 1 2", "1", "1 1 1"]
-    doc = pieces.sparkSession.createDataFrame([(t, i, text) for (t, i), text in lines.items()], "topology string, line_no int, line string")
+    assert [lines["x", i] for i in range(7)] == METIS
+    whole = pieces.sparkSession.createDataFrame([(t, i, text) for (t, i), text in lines.items()], "topology string, line_no bigint, line string")
     clamped = g.symmetrise(links).withColumn("w", F.greatest("w", F.lit(1)))
-    assert rows(src.metis_adjacency(doc)) == rows(clamped, "topology", "id", "nbr", "w")
-    assert rows(src.metis_vertices(doc)) == rows(g.vertex_weights(links), "topology", "id", "vw")
-    assert rows(src.metis_header(doc)) == [("x", 6, 3), ("y", 3, 1)]
+    for doc in (pieces, src.line_pieces(whole)):
+        assert rows(src.metis_adjacency(doc)) == rows(clamped, "topology", "id", "nbr", "w")
+        assert rows(src.metis_vertices(doc)) == rows(g.vertex_weights(links), "topology", "id", "vw")
+        assert rows(src.metis_header(doc)) == [("x", 6, 3), ("y", 3, 1)]
 
 
 def test_written_files_are_in_order(spark, edges, tmp_path):
     out.write_metis(edges.filter("source <> target"), str(tmp_path / "metis"), 1)
     text = files_of(tmp_path / "metis", "x")
-    assert [line.rstrip() for line in text.split("\n")] == [
-        "6 3 011 1", "13 2 7 4 1 6 1", "11 1 4", "1", "3 1 2", "1", "1 1 1"
-    ]
+    assert [line.rstrip() for line in text.split("\n")] == METIS
     parts = spark.range(1, 2001).select(
-        F.lit("big").alias("topology"), F.col("id").cast("int").alias("task_id"), (F.col("id") * 7 % 13).cast("int").alias("part")
+        F.lit("big").alias("topology"), F.col("id").alias("task_id"), (F.col("id") * 7 % 13).cast("int").alias("part")
     )
     out.write_partition_vector(parts, str(tmp_path / "vector"))
     assert files_of(tmp_path / "vector", "big").split() == [str(i * 7 % 13) for i in range(1, 2001)]
@@ -76,28 +85,28 @@ def test_written_files_are_in_order(spark, edges, tmp_path):
 def test_lines_keep_their_numbers(spark, tmp_path, rows):
     """Files in several blocks: numbers go on from block to block and from file to file."""
     parts = spark.range(1, 3001).select(
-        F.lit("big").alias("topology"), F.col("id").cast("int").alias("task_id"), (F.col("id") * 7 % 1300).cast("int").alias("part")
+        F.lit("big").alias("topology"), F.col("id").alias("task_id"), (F.col("id") * 7 % 1300).cast("int").alias("part")
     )
     out.write_partition_vector(parts, str(tmp_path / "vector"))
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
     try:
         lines = src.read_lines(spark, str(tmp_path / "vector"))
-        got = lines.select((F.col("line_no") + 1).cast("int"), F.col("line").cast("int"))
+        got = lines.select(F.col("line_no") + 1, F.col("line").cast("int"))
         assert rows(got) == rows(parts, "task_id", "part")
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
 def test_partition_vector_blocks(spark, rows):
-    parts = spark.range(1, 26).select(
-        F.lit("x").alias("topology"), F.col("id").cast("int").alias("task_id"), (F.col("id") % 3).cast("int").alias("part")
-    )
+    some = [1, 2, 3, 7, 8, 25]
+    parts = spark.createDataFrame([("x", i, (i + 1) % 3) for i in some], "topology string, task_id bigint, part int")
+    filled = [("x", i, (i + 1) % 3 if i in some else i % 3) for i in range(1, 26)]
     blocks = out.partition_vector(parts, 10)
     whole = "\n".join(r["text"] for r in blocks.orderBy("block").collect())
     docs = spark.createDataFrame([("x", whole)], "topology string, text string")
-    assert rows(src.read_vector_blocks(blocks, 10)) == rows(parts)
-    assert blocks.count() == 3 and rows(src.read_partition_vector(docs)) == rows(parts)
+    assert rows(src.read_vector_blocks(blocks, 10)) == filled
+    assert blocks.count() == 3 and rows(src.read_partition_vector(docs)) == filled
 
 
 def test_reports_from_files(spark, tmp_path, rows):
@@ -145,15 +154,6 @@ def test_log_line_pads_and_cuts(spark):
     assert got == [head + "short" + " " * 28 + "\t5", head + "x" * 33 + "\t5"]
 
 
-def test_generators(spark, rows):
-    keyed = generators.keyed_events(spark, 3, 2, 2)
-    assert rows(keyed, "source", "msg_id") == [(s, i) for s in range(3) for i in (1, 2)]
-    assert keyed.filter("payload <> concat(keyfield, keyfield)").isEmpty()
-    assert keyed.groupBy("source").agg(F.countDistinct("keyfield").alias("n")).filter("n <> 1").isEmpty()
-    drawn = generators.word_events(spark, 3000, ["a", "b", "c"]).groupBy("keyfield").count().collect()
-    assert sorted(r["keyfield"] for r in drawn) == ["a", "b", "c"] and all(850 < r["count"] < 1150 for r in drawn)
-
-
 def test_latest_per_key(spark, rows):
     docs = spark.createDataFrame([("a", 1, "old"), ("a", 3, "new"), ("b", 2, "only")], "topology string, ts int, text string")
     assert rows(latest_per_key(docs, ["topology"], ["ts"])) == [("a", 3, "new"), ("b", 2, "only")]

@@ -23,10 +23,10 @@ def table(spark):
     return spark.createDataFrame(rows, "g string, k int, t bigint, id bigint, v bigint"), rows
 
 
-@pytest.mark.parametrize("per_slice", [1, 7, 100, 10**6])
-def test_running_and_numbered(table, per_slice):
+@pytest.mark.parametrize("slices", [1, 3, 60, None])
+def test_running_and_numbered(table, slices):
     frame, rows = table
-    pieces = o.cut(frame, ["g"], ["t", "id"], per_slice)
+    pieces = o.cut(frame, ["g"], ["t", "id"], slices)
     got = o.finish(o.running(pieces, ["g"], ["t", "id"], {"total": F.col("v"), "n": F.lit(1)}))
     expected, totals, counts = {}, {}, {}
     for g, _, _, i, v in sorted(rows, key=lambda r: (r[2], r[3])):
@@ -34,14 +34,14 @@ def test_running_and_numbered(table, per_slice):
         counts[g] = counts.get(g, 0) + 1
         expected[i] = (totals[g], counts[g])
     assert {r["id"]: (r["total"], r["n"]) for r in got.collect()} == expected
-    numbers = o.numbered(frame, ["g"], ["t", "id"], "n", per_slice)
+    numbers = o.numbered(frame, ["g"], ["t", "id"], "n", slices)
     assert {r["id"]: r["n"] for r in numbers.collect()} == {i: n for i, (_, n) in expected.items()}
 
 
-@pytest.mark.parametrize("per_slice", [1, 7, 100, 10**6])
-def test_previous(table, per_slice):
+@pytest.mark.parametrize("slices", [1, 3, 60, None])
+def test_previous(table, slices):
     frame, rows = table
-    pieces = o.cut(frame, ["g"], ["t", "id"], per_slice)
+    pieces = o.cut(frame, ["g"], ["t", "id"], slices)
     got = o.finish(o.previous(pieces, ["g", "k"], ["t", "id"], {"before": F.col("v")}, "known"))
     expected, last = {}, {}
     for g, k, _, i, v in sorted(rows, key=lambda r: (r[2], r[3])):
@@ -54,14 +54,22 @@ def test_hot_group_is_spread(table):
     frame, _ = table
     sizes = o.cut(frame, ["g"], ["t", "id"], 20).groupBy("g", o.SLICE).count()
     slices = {r["g"]: r["n"] for r in sizes.groupBy("g").agg(F.count("*").alias("n")).collect()}
-    # The outlier leaves nearly all rows in the first range; the second cut takes that apart.
-    assert slices["cold"] == 1 and slices["hot"] > 5
+    assert slices["cold"] <= 2 and slices["hot"] > 5
 
 
-def test_equal_keys_are_cut_by_the_next_one(spark):
-    frame = spark.createDataFrame([("g", 5, i) for i in range(100)], "g string, t bigint, id bigint")
-    sizes = o.cut(frame, ["g"], ["t", "id"], 10).groupBy(o.SLICE).count()
-    assert sizes.agg(F.max("count")).first()[0] <= 10
+def test_busy_instant_is_spread(spark):
+    """Nine tenths of a group at one time: slices are cut inside the instant, by the id."""
+    frame = spark.range(20_000).selectExpr("'g' as g", "if(id % 10 = 0, id, 5) as t", "id")
+    sizes = o.cut(frame, ["g"], ["t", "id"], 20).groupBy(o.SLICE).count()
+    assert sizes.count() == 20 and sizes.agg(F.max("count")).first()[0] < 2 * 1_000
+    numbers = o.numbered(frame, ["g"], ["t", "id"], "n", 20)
+    assert numbers.filter("n <> 1").count() == 19_999 and numbers.agg(F.countDistinct("n"), F.max("n")).first() == (20_000, 20_000)
+
+
+def test_ids_beyond_32_bits(spark):
+    big = 2**31 + 5
+    frame = spark.createDataFrame([("g", 1, big), ("g", 1, big + 1)], "g string, t bigint, id bigint")
+    assert {r["id"]: r["n"] for r in o.numbered(frame, ["g"], ["t", "id"], "n").collect()} == {big: 1, big + 1: 2}
 
 
 def test_groups_without_key_stay_whole(spark):
@@ -70,13 +78,8 @@ def test_groups_without_key_stay_whole(spark):
     assert sorted(r["n"] for r in got.filter("g is null").collect()) == list(range(1, 21))
 
 
-def test_order_key_must_be_numeric(spark):
-    with pytest.raises(TypeError):
-        o.cut(spark.createDataFrame([("a", "b")], "g string, t string"), ["g"], ["t"])
-
-
-@pytest.mark.parametrize("per_slice", [3, 10**6])
-def test_running_of_latest(spark, per_slice):
+@pytest.mark.parametrize("slices", [40, None])
+def test_running_of_latest(spark, slices):
     rng = random.Random(3)
     points = [("t", "m" if rng.random() < 0.9 else "n", rng.randrange(-1, 6), i, rng.randrange(100)) for i in range(300)]
     frame = spark.createDataFrame(points, "topology string, name string, task_id int, id bigint, value bigint")
@@ -86,8 +89,8 @@ def test_running_of_latest(spark, per_slice):
         latest.setdefault(name, {})[task] = value
         total = sum(latest[name].values())
         expected[i] = (total, int(total / len(latest[name])))
-    sums = {r["id"]: r["aggregated"] for r in m.running_sum_of_latest(frame, per_slice).collect()}
-    means = {r["id"]: r["aggregated"] for r in m.running_avg_of_latest(frame, per_slice).collect()}
+    sums = {r["id"]: r["aggregated"] for r in m.running_sum_of_latest(frame, slices).collect()}
+    means = {r["id"]: r["aggregated"] for r in m.running_avg_of_latest(frame, slices).collect()}
     assert {i: (sums[i], means[i]) for i in sums} == expected
 
 

@@ -1,4 +1,4 @@
-"""Streams in several micro-batches against their batch forms."""
+"""Streams against their batch forms, with files in no order, one per batch and all at once."""
 
 import random
 
@@ -9,22 +9,25 @@ from flowplace.operators import metrics as m
 from flowplace.operators import placement as pl
 from flowplace.operators import projections as p
 from flowplace.operators import routing, tracking
-from flowplace.sources import generators
 from flowplace.streaming import debounce, live
-from flowplace.streaming.carry import run_carried
-from flowplace.streaming.io import collect_append, run_available
+from flowplace.streaming.carry import Recomputed, run_ordered
+from flowplace.streaming.io import collect_rows, run_available, stream_table
 
-POINT = "topology string, name string, task_id int, id bigint, value bigint"
+POINT = "topology string, name string, task_id bigint, id bigint, value bigint"
 
 
-def in_files(spark, frame, path, pieces, key="id"):
-    """The rows as a stream of ``pieces`` files in order of ``key``, one file per batch."""
-    low, high = frame.agg(F.min(key), F.max(key)).first()
-    step = (high - low) // pieces + 1
-    for i in range(pieces):
-        part = frame.filter((F.col(key) >= low + i * step) & (F.col(key) < low + (i + 1) * step))
-        part.coalesce(1).write.mode("append").parquet(str(path))
-    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(path))
+def in_files(spark, frame, path, pieces, per_trigger=1):
+    """The rows as a stream of files whose rows and order have nothing to do with time."""
+    frame.withColumn("_piece", F.pmod(F.xxhash64(*frame.columns), F.lit(pieces))).repartition(pieces, "_piece").drop("_piece").write.parquet(str(path))
+    reader = spark.readStream.schema(frame.schema)
+    return (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).parquet(str(path))
+
+
+@pytest.fixture(params=[1, None], ids=["file-by-file", "at-once"])
+def stream(request, spark, tmp_path):
+    """A function that makes a stream of a frame."""
+    numbers = iter(range(100))
+    return lambda frame, pieces=5: in_files(spark, frame, tmp_path / str(next(numbers)), pieces, request.param)
 
 
 @pytest.fixture(scope="module")
@@ -32,64 +35,61 @@ def points(spark):
     rng = random.Random(11)
     names = ["throughput", "complete_latency", "emitted_messages", "worker_cpu_load"]
     rows = [("t", rng.choice(names), rng.randrange(-1, 5), i, rng.randrange(50)) for i in range(400)]
-    return spark.createDataFrame(rows, POINT).withColumn("ts", F.timestamp_seconds(F.col("id") * 3)).cache()
+    return spark.createDataFrame(rows, POINT).withColumn("ts", F.timestamp_seconds(F.expr("id * 3 div 2"))).cache()
 
 
-def test_running_totals_over_batches(spark, points, tmp_path, rows):
+def test_running_totals(points, stream, rows):
     listed = p.reported_metrics(points)
-    stream = p.reported_metrics(in_files(spark, points, tmp_path / "in", 5))
-    operator = lambda rows: m.metric_series(rows, 20)  # noqa: E731 - small slices inside every batch
-    state = run_carried(stream, m.TASK_METRIC, m.UPDATE_ORDER, operator, "t")
+    operator = lambda rows: m.metric_series(rows, 5)  # noqa: E731 - slices inside every batch
+    state = run_ordered(p.reported_metrics(stream(points)), m.TASK_METRIC, m.UPDATE_ORDER, operator, "t")
     batch = m.metric_series(listed)
     columns = ("name", "task_id", "id", "aggregated")
     assert rows(state.output(batch.schema), *columns) == rows(batch, *columns)
-    assert state.state(2).count() <= listed.select("name", "task_id").distinct().count()
 
 
 def test_repeated_batch_changes_nothing(spark, points, tmp_path, rows):
     listed = p.reported_metrics(points)
-    stream = p.reported_metrics(in_files(spark, points, tmp_path / "in", 2))
-    state = run_carried(stream, m.TASK_METRIC, m.UPDATE_ORDER, m.metric_series, "t")
-    before = rows(state.output(m.metric_series(listed).schema), "id", "aggregated")
+    state = Recomputed(spark, str(tmp_path / "state"), listed.schema, m.TASK_METRIC, m.UPDATE_ORDER)
+    state.step(listed.filter("id < 200"), 0, m.metric_series)
+    state.step(listed.filter("id >= 200"), 1, m.metric_series)
     state.step(listed.filter("id >= 200"), 1, m.metric_series)
-    assert rows(state.output(m.metric_series(listed).schema), "id", "aggregated") == before
+    state.step(listed.filter("id < 0"), 2, m.metric_series)
+    assert rows(state.output(m.metric_series(listed).schema), "id", "aggregated") == rows(m.metric_series(listed), "id", "aggregated")
 
 
-def test_changes_over_batches(spark, tmp_path, rows):
+def test_changes(spark, stream, rows):
     rng = random.Random(2)
     versions = spark.createDataFrame(
         [(rng.choice("xy"), i, rng.choice("ab")) for i in range(60)], "topology string, id bigint, text string"
     ).withColumn("ts", F.timestamp_seconds("id"))
-    stream = in_files(spark, versions, tmp_path / "in", 4)
-    state = run_carried(stream, ["topology"], m.UPDATE_ORDER, lambda r: pl.schedule_changes(r, m.UPDATE_ORDER), "s")
+    state = run_ordered(stream(versions), ["topology"], m.UPDATE_ORDER, lambda r: pl.schedule_changes(r, m.UPDATE_ORDER), "s")
     assert rows(state.output(versions.schema), "topology", "id", "text") == rows(
         pl.schedule_changes(versions, m.UPDATE_ORDER), "topology", "id", "text"
     )
-
-
-def test_latest_graph_over_batches(spark, tmp_path, rows):
-    rng = random.Random(4)
     updates = spark.createDataFrame(
-        [("x", rng.randrange(4), rng.randrange(4), i, rng.randrange(9)) for i in range(90)],
-        "topology string, source int, target int, id bigint, value bigint",
+        [("x", rng.randrange(3), rng.randrange(3), i, rng.randrange(3)) for i in range(90)],
+        "topology string, source bigint, target bigint, id bigint, value bigint",
     ).withColumn("ts", F.timestamp_seconds("id"))
-    assert rows(live.latest_graph(in_files(spark, updates, tmp_path / "in", 3))) == rows(m.latest_edges(updates))
+    state = run_ordered(stream(updates), ["topology", "source", "target"], m.UPDATE_ORDER, m.edge_changes, "c")
+    columns = ("source", "target", "id", "value", F.coalesce("old_value", F.lit(-1)))
+    assert rows(state.output(m.edge_changes(updates).schema), *columns) == rows(m.edge_changes(updates), *columns)
+    assert rows(live.latest_graph(stream(updates))) == rows(m.latest_edges(updates))
 
 
-def test_default_windows_close_with_the_watermark(spark, tmp_path, rows):
+def test_windows_are_complete(spark, stream, rows):
     emits = spark.createDataFrame(
         [("x", i, 1 + i % 2, "__metrics" if i % 5 == 0 else "default", [1, 2]) for i in range(100)],
-        "topology string, s bigint, source int, stream string, out_tasks array<int>",
+        "topology string, s bigint, source bigint, stream string, out_tasks array<bigint>",
     ).withColumn("ts", F.timestamp_seconds("s"))
-    stream = in_files(spark, emits, tmp_path / "in", 4, "s")
-    counted = collect_append(live.throughput(stream), "w")
-    closed = m.throughput(emits).filter(F.unix_seconds("start") + 5 <= 99 - 5)
-    assert rows(counted) == rows(closed)
-    edges = collect_append(live.edge_counts(in_files(spark, emits, tmp_path / "again", 4, "s")), "e")
-    assert rows(edges) == rows(m.edge_counts_per_interval(emits).filter(F.unix_seconds("start") + 15 <= 99 - 15))
+    assert rows(live.throughput(stream(emits))) == rows(m.throughput(emits))
+    assert rows(live.edge_counts(stream(emits))) == rows(m.edge_counts_per_interval(emits))
+    acks = emits.selectExpr("topology", "source as task_id", "ts as ack_ts", "if(s % 3 = 0, null, s) as latency_ms")
+    assert rows(live.complete_latency(stream(acks))) == rows(m.complete_latency(acks))
+    readings = emits.selectExpr("topology", "source as task_id", "ts", "s as value")
+    assert rows(live.sliding_load(stream(readings), 4, 5)) == rows(m.sliding_load(readings, 4, 5))
 
 
-def test_sessions_do_not_depend_on_ticks(spark, rows):
+def test_sessions_do_not_depend_on_ticks(spark, stream, rows):
     rng = random.Random(6)
     at = sorted(rng.sample(range(0, 200_000), 80))
     updates = spark.createDataFrame([("x", t) for t in at], "topology string, ms bigint").withColumn(
@@ -100,8 +100,9 @@ def test_sessions_do_not_depend_on_ticks(spark, rows):
         if last is None or t - last > 5_000:
             sessions.append([t, t, 0])
         sessions[-1][1], sessions[-1][2], last = t, sessions[-1][2] + 1, t
-    got = live.publish_sessions(updates).select(F.unix_millis("first_update"), F.unix_millis("published"), "updates")
-    assert sorted(tuple(r) for r in got.collect()) == [(a, b + 5_000, n) for a, b, n in sessions]
+    for got in (debounce.publish_sessions(updates, slices=7), live.publish_sessions(stream(updates))):
+        found = got.select(F.unix_millis("first_update"), F.unix_millis("published"), "updates")
+        assert sorted(tuple(r) for r in found.collect()) == [(a, b + 5_000, n) for a, b, n in sessions]
 
 
 def publish_by_hand(at, silence=5_000, interval=15_000):
@@ -113,45 +114,52 @@ def publish_by_hand(at, silence=5_000, interval=15_000):
             due, last = None, due
         if due is None or last is None or last + interval > now:
             due = now + silence
-    return out, due
+    return [*out, due]
 
 
-def test_longest_wait(spark, tmp_path):
+def test_longest_wait(spark, stream):
     rng = random.Random(8)
-    # Busy for two minutes, then quiet, then busy again; a late row only moves the watermark.
-    at = sorted(rng.sample(range(0, 120_000), 200) + rng.sample(range(150_000, 200_000), 60)) + [1_000_000]
-    updates = spark.createDataFrame([("x", i, t) for i, t in enumerate(at)], "topology string, id bigint, ms bigint")
+    graphs = {
+        # Busy for two minutes, then quiet, then busy again.
+        "busy": sorted(rng.sample(range(0, 120_000), 200) + rng.sample(range(150_000, 200_000), 60)) + [1_000_000],
+        "even": list(range(0, 90_000, 5_000)),
+        "slow": sorted(rng.sample(range(0, 600_000), 90)),
+        "once": [7],
+    }
+    updates = spark.createDataFrame([(g, t) for g, at in graphs.items() for t in at + at[:3]], "topology string, ms bigint")
     updates = updates.withColumn("ts", F.timestamp_millis("ms"))
-    stream = in_files(spark, updates, tmp_path / "in", 3)
-    got = collect_append(debounce.publish_times(stream, 1), "p")
-    expected, _ = publish_by_hand(at)
-    assert sorted(r["published_ms"] for r in got.collect()) == expected
+    expected = {g: publish_by_hand(at) for g, at in graphs.items()}
+    for got in (debounce.publish_times(debounce.ticks(updates), slices=6), live.publish_times(stream(updates, 3))):
+        found = {g: [] for g in graphs}
+        for r in got.collect():
+            found[r["topology"]].append(r["published_ms"])
+        assert {g: sorted(t) for g, t in found.items()} == expected
     # The first publication waits for silence; in the second burst none is put off for long.
-    assert expected[0] > 120_000
-    second = [t for t in expected if 150_000 < t < 206_000]
+    assert expected["busy"][0] > 120_000
+    second = [t for t in expected["busy"] if 150_000 < t < 206_000]
     assert len(second) > 2 and max(b - a for a, b in zip(second, second[1:], strict=False)) <= 20_000
 
 
-def test_tracking_with_replays(spark, tmp_path, rows):
+def test_tracking_with_replays(spark, stream, rows):
     roots = spark.createDataFrame(
-        [("x", i % 40, i, 1) for i in range(60)], "topology string, msg_id bigint, s bigint, source int"
-    ).withColumn("ts", F.timestamp_seconds(F.col("msg_id") + 1000))
+        [("x", i % 40, i, 1) for i in range(60)], "topology string, msg_id bigint, s bigint, source bigint"
+    ).withColumn("ts", F.timestamp_seconds(F.col("msg_id") + F.when(F.col("s") >= 40, 1003).otherwise(1000)))
     acks = spark.createDataFrame(
         [("x", i, 1, i + (200 if i % 4 == 0 else 10), None if i % 3 == 0 else 10) for i in range(0, 40)] + [("x", 999, 1, 600, 1)],
-        "topology string, msg_id bigint, task_id int, s bigint, latency_ms bigint",
+        "topology string, msg_id bigint, task_id bigint, s bigint, latency_ms bigint",
     ).withColumn("ack_ts", F.timestamp_seconds(F.col("s") + 1000))
-    late = spark.createDataFrame([("x", 500, 60, 1)], "topology string, msg_id bigint, s bigint, source int").withColumn(
-        "ts", F.timestamp_seconds(F.lit(1600))
-    )
-    roots = roots.unionByName(late)
-    tracked = live.tracked(
-        in_files(spark, roots, tmp_path / "roots", 1, "s"), in_files(spark, acks, tmp_path / "acks", 1, "s"), 30
-    )
-    got = collect_append(tracked, "t").filter("msg_id < 100")
-    expected = tracking.emit_ack_match(roots.dropDuplicates(["msg_id"]), acks).filter("msg_id < 100")
-    columns = ("msg_id", "completed", F.coalesce("latency_ms", F.lit(-1)))
+    got = live.tracked(stream(roots.drop("s"), 3), stream(acks, 3))
+    first = roots.filter("s < 40").drop("s")
+    expected = tracking.emit_ack_match(first, acks)
+    columns = ("msg_id", "ts", "completed", F.coalesce("latency_ms", F.lit(-1)))
     assert rows(got, *columns) == rows(expected, *columns)
-    assert got.filter("not completed").count() == 10
+    assert got.filter("not completed").count() == 10 and got.count() == 40
+
+
+def test_stream_of_a_table_takes_that_table_only(spark, tmp_path, rows):
+    spark.range(5).coalesce(1).write.parquet(str(tmp_path / "t.parquet"))
+    spark.range(9).write.parquet(str(tmp_path / "t.parquet2"))
+    assert collect_rows(stream_table(spark, str(tmp_path), "t"), "t").count() == 5
 
 
 def test_sliding_default(spark, rows):
@@ -173,12 +181,14 @@ def test_admission_cap(spark, rows):
     assert routing.admit_per_period(timed, 5_000).count() == 60 and routing.admit_per_period(timed, 1).isEmpty()
 
 
-def test_frequent_keys_take_several_partitions(spark):
+def test_keys_stay_together(spark):
     frame = spark.range(300).select("id", F.when(F.col("id") < 200, "hot").otherwise(F.col("id").cast("string")).alias("key"))
-    dealt = routing.co_locate(frame, 8, "key", 20).withColumn("at", F.spark_partition_id())
+    dealt = routing.co_locate(frame, 8, "key").withColumn("at", F.spark_partition_id())
     assert dealt.drop("at").exceptAll(frame).isEmpty() and dealt.count() == 300
-    spread = {r["key"]: r["n"] for r in dealt.groupBy("key").agg(F.countDistinct("at").alias("n")).collect()}
-    assert spread.pop("hot") > 2 and set(spread.values()) == {1}
+    assert dealt.groupBy("key").agg(F.countDistinct("at").alias("n")).filter("n <> 1").isEmpty()
+    shared = routing.co_locate_shares(frame, 8, "key", 4).withColumn("at", F.spark_partition_id())
+    assert shared.groupBy("key", "share").agg(F.countDistinct("at").alias("n")).filter("n <> 1").isEmpty()
+    assert shared.filter("key = 'hot'").select("at").distinct().count() > 1
 
 
 def test_latency_without_latencies(spark, rows):
@@ -188,21 +198,6 @@ def test_latency_without_latencies(spark, rows):
     assert rows(m.complete_latency(acks, per_second=False), "task_id", "complete_latency") == [(1, 20), (2, 0)]
 
 
-def test_rate_stream(spark):
-    import time
-
-    stream = generators.rate_stream(spark, 50, 2)
-    query = stream.writeStream.format("memory").queryName("rates").start()
-    deadline = time.time() + 30
-    while time.time() < deadline and spark.table("rates").count() < 100:
-        time.sleep(0.5)
-    query.stop()
-    got = spark.table("rates")
-    assert got.count() >= 100
-    per_source = got.groupBy("source").agg(F.countDistinct("keyfield").alias("keys"), F.min("msg_id").alias("first"))
-    assert sorted(tuple(r) for r in per_source.collect()) == [(0, 1, 1), (1, 1, 1)]
-
-
 def test_failed_stream_raises(spark, points, tmp_path):
     stream = in_files(spark, points, tmp_path / "in", 1).withColumn("x", F.raise_error(F.lit("broken")))
     with pytest.raises(Exception, match="broken"):
