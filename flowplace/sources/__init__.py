@@ -1 +1 @@
-"""Readers of the data formats and generators of test streams."""
+"""Readers of the data formats."""
