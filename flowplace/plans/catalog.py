@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowplace.plans import format_queries, graph_queries, metric_queries, placement_queries, registry, routing_queries, stream_queries  # noqa: F401
+from flowplace.plans import chain_queries, format_queries, graph_queries, metric_queries, placement_queries, registry, routing_queries, stream_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

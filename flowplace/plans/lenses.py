@@ -368,6 +368,10 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
                event_id % 25 + 1 as target, floor(value)::bigint as value
         from events""",
     ),
+    "edges_latest": (
+        ("edge_updates",),
+        "select topology, source, target, arg_max(value, id) as value from edge_updates group by all",
+    ),
     "edges_dense": (
         ("emits",),
         """
