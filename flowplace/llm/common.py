@@ -123,7 +123,7 @@ def components(links: DataFrame, rounds: int = 64) -> DataFrame:
     return root.unionByName(root.select(F.col("root").alias("node"), "root").distinct())
 
 
-def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
+def chunks(batch: pa.RecordBatch, column: str | int, limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``limit`` bytes of text each, so working memory does not grow with the batch."""
     sizes = pa.compute.binary_length(batch.column(column)).to_pylist()
     start = total = 0
@@ -137,7 +137,7 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK) -> Iterator[p
 
 
 def per_chunk(
-    work: Callable[[pa.RecordBatch], pa.RecordBatch], column: str
+    work: Callable[[pa.RecordBatch], pa.RecordBatch], column: str | int, limit: int = CHUNK
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Apply ``work`` to bounded slices of every Arrow batch."""
 
@@ -145,7 +145,8 @@ def per_chunk(
         import pyarrow.compute  # noqa: F401 - binds pa.compute in the worker
 
         for batch in batches:
-            for piece in chunks(batch, column):
+            for piece in chunks(batch, column, limit):
                 yield work(piece)
+        pa.default_memory_pool().release_unused()  # the worker lives on for other tasks
 
     return run

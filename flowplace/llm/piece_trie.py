@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import sys
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-KNOWN = 300_000  # words, and pairs, that a worker remembers; it starts anew beyond
+KNOWN = 200_000  # words, and pairs, that a worker remembers; it starts anew beyond
+CHUNK = 1 << 20  # bytes of text that are cut into words at once
 NO_SCORE = -1e9  # pieces at or below this score take no part in sums
 
 
@@ -55,7 +57,7 @@ class Trie:
         for value, i in self.bytes.items():
             self.plain[i] = bytes([value])
         self.plain[self.unknown] = " ⁇ ".encode()  # how the library shows it
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}  # ids as packed i32
         self.pairs: dict[tuple[str, str], bool] = {}
 
     def normal(self, text: str) -> str:
@@ -133,10 +135,11 @@ class Trie:
                 else:
                     ids.append(self.unknown)
                 end -= len(piece)
-            self.words[word] = ids[::-1]
+            self.words[word] = array("i", reversed(ids)).tobytes()
             before = word
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
         cut = [WORD.findall(self.normal(t)) for t in texts]
         new = {w for words in cut for w in words}
         new.difference_update(self.words)
@@ -144,17 +147,12 @@ class Trie:
             self.words.clear()
             new = {w for words in cut for w in words}
         self.learn(sorted(new))
-        out = []
-        for words in cut:
-            ids: list[int] = []
-            for own in map(self.words.__getitem__, words):
-                ids += own
-            out.append(ids)
-        return out
+        known = self.words.__getitem__
+        return [np.frombuffer(b"".join(map(known, words)), np.int32) for words in cut]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """Text of ids; the mark that the model adds in front is taken away again."""
-        text = b"".join(map(self.plain.__getitem__, ids)).decode(errors="replace").replace(MARK, " ")
+        text = b"".join(map(self.plain.__getitem__, ids.tolist())).decode(errors="replace").replace(MARK, " ")
         return text.removeprefix(" ")
 
 
@@ -178,10 +176,10 @@ def encode_pieces(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = worker_trie(model).encode(batch.column("text").to_pylist())
         ends = pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32))
-        flat = np.fromiter((i for ids in found for i in ids), np.int32)
+        flat = np.concatenate([np.empty(0, np.int32), *found])
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(ends, pa.array(flat))], ["doc_id", "ids"])
 
-    return rows.mapInArrow(per_chunk(work, "text"), rows.select("doc_id", F.array(F.lit(0)).alias("ids")).schema)
+    return rows.mapInArrow(per_chunk(work, "text", CHUNK), rows.select("doc_id", F.array(F.lit(0)).alias("ids")).schema)
 
 
 def decode_pieces(rows: DataFrame, model: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -195,7 +193,7 @@ def decode_pieces(rows: DataFrame, model: str, doc_id: str = "doc_id", ids: str
     def work(batches):
         for batch in batches:
             tool = worker_trie(model)
-            texts = [tool.decode(x or []) for x in batch.column("ids").to_pylist()]
+            texts = [tool.decode(np.array(x or [], np.int32)) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return picked.mapInArrow(work, picked.select("doc_id", F.lit("").alias("text")).schema)
@@ -216,7 +214,7 @@ def round_trip(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str =
             [
                 batch.column("doc_id"),
                 pa.array([len(x) for x in found], pa.int64()),
-                pa.array([hashlib.sha256(np.array(x, "<i4").tobytes()).hexdigest() for x in found], pa.string()),
+                pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in found], pa.string()),
                 pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back], pa.string()),
                 pa.array([a == b for a, b in zip(texts, back, strict=True)], pa.bool_()),
             ],
@@ -225,4 +223,4 @@ def round_trip(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str =
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     shape = f"doc_id {kind}, n_ids bigint, ids_sha256 string, text_sha256 string, lossless boolean"
-    return rows.mapInArrow(per_chunk(work, "text"), shape)
+    return rows.mapInArrow(per_chunk(work, "text", CHUNK), shape)

@@ -288,9 +288,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     model = train(vectors(docs, labels, doc_id, text))
     place = docs.columns.index(text)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array([vector(t or "") for t in batch.column(place).to_pylist()], np.float32).reshape(-1, WIDTH)
-            yield batch.filter(pa.array(model.score(x.astype(np.float64)) >= limit))
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x = np.array([vector(t or "") for t in batch.column(place).to_pylist()], np.float32).reshape(-1, WIDTH)
+        return batch.filter(pa.array(model.score(x.astype(np.float64)) >= limit))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(per_chunk(work, place), docs.schema)
