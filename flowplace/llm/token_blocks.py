@@ -35,56 +35,83 @@ BLOCK = 128
 SHARE = 0.9  # of a block's differences that the packed width must hold
 SEGMENT = 1 << 16  # ids after which a segment ends with its document
 END_ID = 1  # appended to each document
-KNOWN = 400_000  # words that a worker remembers; it starts anew beyond
+KNOWN = 800_000  # words that a worker remembers; it starts anew beyond
 MAX_PARTS = 4_096  # ranges of the doc_id order, also the bound of the table of their sizes
 
 # Words that the fast path splits itself: ASCII and the Latin-1 letters; the splitting rule is the tokenizer's.
-PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+LETTERS = "À-ÖØ-öø-ÿ"
+PLAIN = re.compile(f"[!-~{LETTERS}]+")
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|\n|[^a-z0-9ß-öø-ÿ\n]+")
 
 
-class Words(dict):
-    """Number of every word seen; the ids of word ``i`` are ``ids[starts[i] : starts[i] + sizes[i]]``.
+class Ragged:
+    """Numbered lists of ids, kept flat; ``known`` maps a name to its number."""
 
-    ``whole`` is false for tokenizers that drop white space: then a space or line feed always
-    ends a token, and a word's ids don't depend on its neighbours.
-    """
+    def __init__(self) -> None:
+        self.known: dict[str, int] = {}
+        self.starts, self.sizes, self.ids = array("q"), array("q"), array("I")
+
+    def add(self, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first = len(self.starts)
+        self.known.update(zip(names, range(first, first + len(names)), strict=True))
+        self.starts.frombytes((len(self.ids) + np.cumsum(sizes, dtype=np.int64) - sizes).astype(np.int64).tobytes())
+        self.sizes.frombytes(np.asarray(sizes, np.int64).tobytes())
+        self.ids.frombytes(np.asarray(ids, np.uint32).tobytes())
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the numbers ``at`` in a row, and how many each has."""
+        starts, sizes = np.frombuffer(self.starts, np.int64)[at], np.frombuffer(self.sizes, np.int64)[at]
+        after = np.cumsum(sizes)
+        total = int(after[-1]) if len(after) else 0
+        return np.frombuffer(self.ids, np.uint32)[np.arange(total) + np.repeat(starts - after + sizes, sizes)], sizes
+
+
+class Words:
+    """Ids of every word seen, for tokenizers that drop white space: there a space or line feed
+    always ends a token, so a word's ids don't depend on its neighbours and are asked for once."""
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.end_id, self.parts = end_id, {}
+        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
+        to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.as_bytes = {c: to_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
         self.clean()
 
     def clean(self) -> None:
-        self.clear()
-        self.parts.clear()
-        self.starts, self.sizes, self.ids = array("q"), array("q"), array("I")
-        self.add("", [])
-        self.add("\n", [self.end_id])  # no word: line feeds end words
-
-    def add(self, word: str, ids: list[int]) -> int:
-        self[word] = place = len(self.starts)
-        self.starts.append(len(self.ids))
-        self.sizes.append(len(ids))
-        self.ids.extend(ids)
-        return place
-
-    def __missing__(self, word: str) -> int:
-        if not PLAIN.fullmatch(word) or any(s in word for s in self.special):
-            return self.add(word, self.tokenizer.encode(word, add_special_tokens=False).ids)
-        ids: list[int] = []
-        for part in PIECES.findall(word.lower()):
-            known = self.parts.get(part)
-            if known is None:
-                text = part if part.isascii() else self.to_bytes.pre_tokenize_str(part)[0][0]
-                known = self.parts[part] = [t.id for t in self.tokenizer.model.tokenize(text)]
-            ids += known
-        return self.add(word, ids)
+        self.words, self.parts = Ragged(), Ragged()
+        self.words.add(["", "\n"], np.array([self.end_id]), np.array([0, 1]))  # a line feed is no word
+        self.parts.add(["\n"], np.empty(0), np.array([0]))
+
+    def learn(self, new: list[str]) -> None:
+        """Ask the library for words it has not been asked for: plain ones piece by piece, others whole."""
+        plain = [w for w in new if PLAIN.fullmatch(w) and not self.special.search(w)]
+        pieces = PIECES.findall("\n".join(plain).lower())
+        unknown = list({p for p in pieces if p not in self.parts.known})
+        if unknown:
+            tokenize = self.tokenizer.model.tokenize
+            found = [[t.id for t in tokenize(p if p.isascii() else p.translate(self.as_bytes))] for p in unknown]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            self.parts.add(unknown, np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum())), sizes)
+        at = np.fromiter(map(self.parts.known.__getitem__, pieces), np.int64, len(pieces))
+        ids, sizes = self.parts.take(at)
+        ends = np.append(np.flatnonzero(at == 0), len(at))  # line feeds stand between the words
+        upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])[ends] if len(pieces) else np.empty(0, np.int64)
+        if plain:
+            self.words.add(plain, ids, np.diff(upto, prepend=0))
+        done = set(plain)
+        odd = [w for w in new if w not in done]
+        found = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in odd]
+        self.words.add(odd, np.array([i for ids in found for i in ids]), np.array([len(ids) for ids in found], np.int64))
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """Numbers of distinct words in ``self.words``."""
+        if len(self.words.known) > KNOWN:
+            self.clean()
+        self.learn([w for w in words if w not in self.words.known])
+        return np.fromiter(map(self.words.known.__getitem__, words), np.int64, len(words))
 
 
 def worker_words(path: str, end_id: int) -> Words:
@@ -93,25 +120,22 @@ def worker_words(path: str, end_id: int) -> Words:
     if (path, end_id) not in kept:
         kept.clear()
         kept[path, end_id] = Words(path, end_id)
-    words = kept[path, end_id]
-    if len(words) > KNOWN:
-        words.clean()
-    return words
+    return kept[path, end_id]
 
 
-def encode(texts: list[str], words: Words) -> tuple[np.ndarray, np.ndarray]:
+def encode(texts: pa.Array, words: Words) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts in a row, each text with the end id, and the ids per text."""
-    spread: list[str] = []
-    ends = []
-    for text in texts:
-        spread += text.replace("\n", " ").split(" ")
-        spread.append("\n")
-        ends.append(len(spread))
-    at = np.fromiter(map(words.__getitem__, spread), np.int64, len(spread))
-    starts, sizes = np.frombuffer(words.starts, np.int64)[at], np.frombuffer(words.sizes, np.int64)[at]
-    after = np.cumsum(sizes)
-    ids = np.frombuffer(words.ids, np.uint32)[np.arange(after[-1]) + np.repeat(starts - after + sizes, sizes)]
-    upto = after[np.array(ends) - 1]
+    import pyarrow.compute as pc
+
+    spread = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+    ends = spread.offsets.to_numpy()[1:].astype(np.int64) - spread.offsets[0].as_py()
+    coded = spread.flatten().dictionary_encode()
+    numbers = words.numbers(coded.dictionary.to_pylist())
+    at = np.ones(len(coded) + len(ends), np.int64)  # 1 is the end id
+    own = np.arange(len(coded)) + np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    at[own] = numbers[coded.indices.to_numpy()]
+    ids, sizes = words.words.take(at)
+    upto = np.cumsum(sizes)[ends + np.arange(len(ends))] if len(ends) else np.empty(0, np.int64)
     return ids, np.diff(upto, prepend=0)
 
 
@@ -186,8 +210,15 @@ def unpack(segment: bytes) -> tuple[np.ndarray, np.ndarray]:
     return (gap + low[:, None]).reshape(-1)[:total], sizes
 
 
-def encoded(docs: DataFrame, tokenizer: str, bounds: np.ndarray, doc_id: str, text: str, end_id: int) -> DataFrame:
-    """(doc_id, tie, part, ids): ids as packed u32, and the range of the doc_id order that a row belongs to.
+def id_kind(tokenizer: str) -> np.dtype:
+    """Width of an id between the two shuffled halves of the work: two bytes do for most vocabularies."""
+    from tokenizers import Tokenizer
+
+    return np.dtype("<u2" if Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+
+
+def encoded(docs: DataFrame, tokenizer: str, kind: np.dtype, bounds: np.ndarray, doc_id: str, text: str, end_id: int) -> DataFrame:
+    """(doc_id, tie, part, ids): ids as bytes, and the range of the doc_id order that a row belongs to.
 
     Rows whose id is itself a bound may lie in any range next to it: they are spread by ``tie``, so
     an id that many rows share does not meet in one task.
@@ -196,11 +227,9 @@ def encoded(docs: DataFrame, tokenizer: str, bounds: np.ndarray, doc_id: str, te
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = worker_words(tokenizer, end_id)
-        ids, sizes = encode(batch.column("text").to_pylist(), words)
-        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes * 4)])
-        data = pa.Array.from_buffers(
-            pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(ids, "<u4"))]
-        )
+        ids, sizes = encode(batch.column("text"), words)
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes * kind.itemsize)])
+        data = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype(kind))])
         known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
         key = np.where(known, batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False), np.iinfo(np.int64).min)
         first, last = np.searchsorted(bounds, key, "left"), np.searchsorted(bounds, key, "right")
@@ -228,8 +257,9 @@ def write_blocks(
     parts = min(MAX_PARTS, 4 * wide)
     ids = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"))
     cuts = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] or []
-    rows = encoded(docs, tokenizer, np.array(sorted(cuts), np.int64), doc_id, text, end_id)
-    kind = rows.schema["doc_id"].dataType
+    kind = id_kind(tokenizer)
+    rows = encoded(docs, tokenizer, kind, np.array(sorted(cuts), np.int64), doc_id, text, end_id)
+    owner_kind = rows.schema["doc_id"].dataType.simpleString()
     ordered = rows.repartition(wide, "part").sortWithinPartitions("part", "doc_id", "tie")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,8 +268,8 @@ def write_blocks(
 
         def row() -> pa.RecordBatch:
             nonlocal number, start, held, owners, size
-            sizes = np.array([len(x) // 4 for x in held], np.int64)
-            payload = pack(np.frombuffer(b"".join(held), "<u4"), sizes)
+            sizes = np.array([len(x) // kind.itemsize for x in held], np.int64)
+            payload = pack(np.frombuffer(b"".join(held), kind).astype(np.uint32), sizes)
             total = int(sizes.sum())
             columns = [
                 pa.array([part], pa.int32()),
@@ -263,11 +293,11 @@ def write_blocks(
                         part, number, start = at, 0, 0
                     held.append(data)
                     owners.append(owner)
-                    size += len(data) // 4
+                    size += len(data) // kind.itemsize
         if held:
             yield row()
 
-    shape = f"part int, segment int, start bigint, n_ids bigint, doc_ids array<{kind.simpleString()}>, payload binary"
+    shape = f"part int, segment int, start bigint, n_ids bigint, doc_ids array<{owner_kind}>, payload binary"
     return materialise(ordered.mapInArrow(write, shape), label)
 
 
