@@ -29,7 +29,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-KNOWN = 200_000  # words, and pairs, that a worker remembers; it starts anew beyond
+KNOWN = 400_000  # words, and pairs of pieces, that a worker remembers; it starts anew beyond
 CHUNK = 1 << 20  # bytes of text that are cut into words at once
 NO_SCORE = -1e9  # pieces at or below this score take no part in sums
 
@@ -48,7 +48,6 @@ class Trie:
         self.scores = {self.pieces[i]: model.get_score(i) for i in normal}
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece crosses the beginning of a word; such models are not supported")
-        self.longest = max(map(len, self.ids))
         self.bytes = {int(self.pieces[i][3:5], 16): i for i in range(n) if model.is_byte(i)}
         self.unknown = model.unk_id()
         # Merge models score pieces by rank: whole numbers, none above zero. Sums of logarithms are not whole.
@@ -59,6 +58,21 @@ class Trie:
         self.plain[self.unknown] = " ⁇ ".encode()  # how the library shows it
         self.words: dict[str, bytes] = {}  # ids as packed i32
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.ends = self.by_end()
+
+    def by_end(self) -> dict:
+        """The usable pieces as a tree of their characters from the last to the first; under "" stands the piece.
+
+        A merge model never arrives at some of its pieces; these are left out.
+        """
+        root: dict = {}
+        for piece in self.ids:
+            if not self.merges or len(piece) == 1 or self.merged(piece) == [piece]:
+                node = root
+                for c in reversed(piece):
+                    node = node.setdefault(c, {})
+                node[""] = piece
+        return root
 
     def normal(self, text: str) -> str:
         """The text as the model sees it: its own normaliser, marks included."""
@@ -86,31 +100,17 @@ class Trie:
             known = self.pairs[a, b] = self.merged(a + b) == [a, b]
         return known
 
-    def usable(self, piece: str) -> bool:
-        """Whether merging the piece's characters gives the piece."""
-        known = self.pairs.get((piece, ""))
-        if known is None:
-            known = self.pairs[piece, ""] = self.merged(piece) == [piece]
-        return known
-
-    def step(self, word: str, last: list[str], best: list[float]) -> None:
-        """Extend the forward table, which holds the first ``len(last) - 1`` places, by one character."""
-        end = len(last)
-        found, top = "", -float("inf")
-        for start in range(max(0, end - self.longest), end):
-            piece = word[start:end]
-            if piece not in self.scores and end - start > 1:
-                continue
-            if self.merges:
-                if (end - start == 1 or self.usable(piece)) and (start == 0 or self.apart(last[start], piece)):
-                    found, top = piece, 0.0
-                    break
-            else:
-                total = best[start] + self.scores.get(piece, NO_SCORE)
-                if total > top:
-                    found, top = piece, total
-        last.append(found)
-        best.append(top)
+    def pieces_before(self, word: str, end: int) -> list[str]:
+        """Pieces that end at a place of the word, longest first; the last character by itself if it is none."""
+        found, node, at = [], self.ends, end
+        while at and (node := node.get(word[at - 1])) is not None:
+            at -= 1
+            if "" in node:
+                found.append(node[""])
+        if not found or len(found[0]) > 1:
+            found.insert(0, word[end - 1])
+        found.reverse()
+        return found
 
     def learn(self, words: list[str]) -> None:
         """Encode the sorted distinct ``words``: a depth-first walk, each shared prefix once."""
@@ -121,8 +121,15 @@ class Trie:
             while shared < limit and before[shared] == word[shared]:
                 shared += 1
             del last[shared + 1 :], best[shared + 1 :]
-            while len(last) <= len(word):
-                self.step(word, last, best)
+            for end in range(len(last), len(word) + 1):
+                options = self.pieces_before(word, end)
+                if self.merges:
+                    last.append(next(p for p in options if len(p) == end or self.apart(last[end - len(p)], p)))
+                else:
+                    scored = [(best[end - len(p)] + self.scores.get(p, NO_SCORE), p) for p in options]
+                    top, piece = max(scored, key=lambda o: o[0])
+                    last.append(piece)
+                    best.append(top)
             ids: list[int] = []
             end = len(word)
             while end:
@@ -141,14 +148,11 @@ class Trie:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         cut = [WORD.findall(self.normal(t)) for t in texts]
-        new = {w for words in cut for w in words}
-        new.difference_update(self.words)
-        if len(self.words) + len(new) > KNOWN:
+        if len(self.words) > KNOWN:
             self.words.clear()
-            new = {w for words in cut for w in words}
-        self.learn(sorted(new))
-        known = self.words.__getitem__
-        return [np.frombuffer(b"".join(map(known, words)), np.int32) for words in cut]
+        known = self.words
+        self.learn(sorted({w for words in cut for w in words if w not in known}))
+        return [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in cut]
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids; the mark that the model adds in front is taken away again."""

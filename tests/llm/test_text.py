@@ -341,7 +341,8 @@ def test_forward_table_takes_the_best_sum():
     trie = piece_trie.Trie.__new__(piece_trie.Trie)
     trie.scores = {"▁": -1.0, "a": -2.5, "b": -2.5, "c": -2.5, "ab": -3.0, "bc": -4.5, "▁a": -2.0, "▁ab": -6.5, "abc": -9.5}
     trie.ids = {p: i for i, p in enumerate(trie.scores)}
-    trie.longest, trie.merges, trie.bytes, trie.unknown, trie.words, trie.pairs = 3, False, {}, 99, {}, {}
+    trie.merges, trie.bytes, trie.unknown, trie.words, trie.pairs = False, {}, 99, {}, {}
+    trie.ends = trie.by_end()
     words = sorted(["▁abc", "▁ab", "▁a", "▁cab", "▁abcabc", "abab", "▁b?a"])
     trie.learn(words)
 
