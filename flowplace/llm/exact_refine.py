@@ -52,6 +52,8 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", di
     )
     ids = hashed.filter("shared").groupBy("text_sha256", "doc_id").agg(F.count("*").alias("copies"))
     groups = ids.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    # Written, so that the join is between two plain shuffles and a group of very many copies can be split.
+    groups = materialise(groups, "refine")
     # A repeated row has the same id and text: count it once, then write it out again.
     grouped = (
         ids.join(groups, "text_sha256")
