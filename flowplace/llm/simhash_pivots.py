@@ -9,13 +9,16 @@ Pairs meet by key, never in a cross join: of five blocks of a 64-bit fingerprint
 differing bits leave two blocks untouched, so every pair within three bits shares one of
 the ten pairs of blocks. Nothing within the radius is lost. All work is on distinct
 fingerprints; copies take part once.
+
+Near copies at a similarity of shingle sets are far beyond three bits, so fingerprints take no part: texts meet by
+the first shingles of their sets in one order, and the sets themselves decide.
 """
 
 from __future__ import annotations
 
 import itertools
-import math
 import sys
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +34,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SEED = 42
 PIVOTS = 16
 BLOCK = 1 << 16  # shingles whose bits are counted at once
-MISSED = 0.03  # chance that a pair exactly at the similarity limit meets in no band
-PLANES = 8  # 64-bit words of a long fingerprint
+OFTEN = 8  # texts that make a shingle a frequent one
+FREQUENT = 1 << 16  # frequent shingles that are told apart; the only thing of the near copies that tasks carry
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -58,15 +61,13 @@ def shingle_hashes(text: str, words: int) -> np.ndarray:
     return np.fromiter((digest(line[a:b], SEED) for a, b in spans), np.uint64, n)
 
 
-def majority(hashes: np.ndarray, planes: int = 1) -> np.ndarray:
-    """Bits set in over half the hashes; with several planes each hash gives 64 bits per plane."""
-    total = np.zeros(64 * planes, np.int64)
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """Bits set in over half the hashes."""
+    total = np.zeros(64, np.int64)
     for at in range(0, len(hashes), BLOCK):
         part = hashes[at : at + BLOCK]
-        for plane in range(planes):
-            spread = part if plane == 0 else mixed(part + np.uint64(plane) * np.uint64(0x9E3779B97F4A7C15))
-            bits = np.unpackbits(spread.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            total[64 * plane : 64 * plane + 64] += bits.sum(axis=0, dtype=np.uint32)
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        total += bits.sum(axis=0, dtype=np.uint32)
     return total * 2 > len(hashes)
 
 
@@ -155,88 +156,121 @@ def hex_text(column: str) -> Column:
 # Near duplicates at a similarity of shingle sets -----------------------------------------
 
 
-def share_of_bits(similarity: float) -> float:
-    """Expected share of differing bits of two sets with this Jaccard similarity and equal size.
+def exact_share(similarity: float) -> tuple[int, int]:
+    """The similarity as written, as numerator and denominator: no rounding decides at the limit."""
+    return Fraction(str(similarity)).as_integer_ratio()
+
 
-    Their cosine is ``2j / (1 + j)``; sets of unequal size have a larger one, so nothing above the limit is excluded.
+def frequent_shingles(docs: DataFrame, words: int, text: str) -> list[int]:
+    """Shingles of many texts, the rarest first; at most FREQUENT of them.
+
+    They only set the order of shingles, which may be any: a list that is too short costs time and
+    changes no result. Counted are shingles that come twice within a chunk of texts.
     """
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+    rows = docs.select(text_of(f"`{text}`").alias("text"))
 
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.unique(shingle_hashes(body, words)) for body in batch.column("text").to_pylist()]
+        found, n = np.unique(np.concatenate(sets), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(found[n > 1].view(np.int64)), pa.array(n[n > 1])], ["shingle", "n"])
 
-def band_plan(rows: int, similarity: float) -> tuple[int, int]:
-    """Bits of a band key and number of bands: keys so long that chance meetings stay rare at any
-    size, and so many that a pair at the limit meets with probability ``1 - MISSED``."""
-    width = max(12, math.ceil(math.log2(max(2, rows))) + 2)
-    meet = (1 - share_of_bits(similarity)) ** width
-    return width, math.ceil(math.log(MISSED) / math.log(1 - meet))
+    counts = rows.mapInArrow(per_chunk(work, "text"), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    top = counts.filter(F.col("n") >= OFTEN).orderBy(F.desc("n"), "shingle").limit(FREQUENT).select("shingle").collect()
+    return [r["shingle"] for r in reversed(top)]
 
 
-def long_fingerprints(docs: DataFrame, words: int, width: int, bands: int, doc_id: str, text: str) -> DataFrame:
-    """doc_id, row_key, PLANES 64-bit words ``w0..``, and the keys of all bands.
+def shingle_prefixes(docs: DataFrame, words: int, similarity: float, last: list[int], doc_id: str, text: str) -> DataFrame:
+    """doc_id, row_key, node (digest of the set of shingles), size of the set, and its prefix.
 
-    Each distinct shingle counts once. A band's key is the hash of its number and of ``width``
-    fingerprint bits drawn by a fixed rule.
+    All sets are put in one order, shingles in ``last`` behind all others. A set at least ``similarity``
+    like this one holds ``ceil(similarity * size)`` of its shingles or more, so what both have in common
+    begins within the first ``size - ceil(similarity * size) + 1`` of either: the prefix.
     """
+    over, under = exact_share(similarity)
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), text_of(f"`{text}`").alias("text")).withColumn(
         "row_key", F.xxhash64("doc_id", "text")
     )
-    names = [f"w{i}" for i in range(PLANES)]
-    order = np.random.default_rng(SEED)
-    drawn = np.stack([order.choice(64 * PLANES, width, replace=False) for _ in range(bands)])
+    order = np.array(last, np.int64).view(np.uint64)
+    by_hash = np.argsort(order)
+    known = order[by_hash]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bits = np.zeros((batch.num_rows, 64 * PLANES), bool)
-        for i, body in enumerate(batch.column("text").to_pylist()):
-            bits[i] = majority(np.unique(shingle_hashes(body, words)), PLANES)
-        wide = packed(bits)
-        powers = np.left_shift(np.uint64(1), np.arange(width, dtype=np.uint64))
-        keys = np.empty((len(bits), bands), np.uint64)
-        for band in range(bands):
-            raw = (bits[:, drawn[band]] * powers).sum(axis=1, dtype=np.uint64)
-            keys[:, band] = mixed(raw * np.uint64(2 * bands + 1) + np.uint64(band + 1) * np.uint64(0x9E3779B97F4A7C15))
-        offsets = pa.array(np.arange(len(bits) + 1, dtype=np.int32) * bands)
-        lists = pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1).view(np.int64)))
-        columns = [batch.column("doc_id"), batch.column("row_key"), *[pa.array(wide[:, i]) for i in range(PLANES)], lists]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "row_key", *names, "bands"])
-
-    shape = rows.select(
-        "doc_id", "row_key", *[F.lit(0).cast("long").alias(n) for n in names], F.array(F.lit(0).cast("long")).alias("bands")
-    ).schema
+        import xxhash
+
+        nodes, sizes, prefixes = [], [], []
+        for body in batch.column("text").to_pylist():
+            found = np.unique(shingle_hashes(body, words))
+            nodes.append(xxhash.xxh64_intdigest(found.tobytes(), SEED) - (1 << 63))
+            sizes.append(len(found))
+            if len(known) and len(found):
+                at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+                found = found[np.argsort(np.where(known[at] == found, by_hash[at] + 1, 0), kind="stable")]
+            prefixes.append(found[: len(found) + 1 - -(-over * len(found) // under)].view(np.int64))
+        columns = [batch.column("doc_id"), batch.column("row_key"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32())]
+        return pa.RecordBatch.from_arrays(
+            [*columns, pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "row_key", "node", "size", "prefix"]
+        )
+
+    zero = F.lit(0).cast("long")
+    shape = rows.select("doc_id", "row_key", zero.alias("node"), F.lit(0).alias("size"), F.array(zero).alias("prefix")).schema
     return rows.mapInArrow(per_chunk(work, "text"), shape)
 
 
+def may_be_similar(a: DataFrame, b: DataFrame, similarity: float, *more: Column) -> DataFrame:
+    """Pairs ``(a, b)`` of nodes that share a band, are of like size and have enough shingles left behind the shared one."""
+    over, under = exact_share(similarity)
+    a, b = a.alias("a"), b.alias("b")
+    least = F.least(F.col("a.size"), F.col("b.size"))
+    most = F.greatest(F.col("a.size"), F.col("b.size"))
+    left = F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place"))
+    fits = (least * under >= most * over) & (left * (over + under) >= (least + most) * over)
+    met = a.join(b, [F.col("a.band") == F.col("b.band"), F.col("a.node") < F.col("b.node"), fits, *more])
+    return met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, similarity: float, doc_id: str, text: str) -> DataFrame:
+    """The pairs ``(a, b)`` whose sets of shingles have the Jaccard similarity or more, by counting both whole sets."""
+    over, under = exact_share(similarity)
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    likely = flag(sets.select("node", "row_key"), "node", "paired", sketch(nodes, "node")).filter("paired")
+    texts = materialise(likely.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("row_key").alias("row_key")), "simhash")
+    rows = docs.select(text_of(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{doc_id}`"), text_of(f"`{text}`")).alias("row_key"))
+    rows = flag(rows, "row_key", "paired", sketch(texts, "row_key")).filter("paired").select("row_key", "text")
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [np.unique(shingle_hashes(body, words)).view(np.int64) for body in batch.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column("row_key"), pa.array(found, pa.list_(pa.int64()))], ["row_key", "held"])
+
+    held = rows.mapInArrow(per_chunk(work, "text"), "row_key long, held array<long>")
+    held = materialise(held.join(texts, "row_key").dropDuplicates(["node"]).select("node", "held"), "simhash")
+    side = lambda s: held.select(F.col("node").alias(s), F.col("held").alias(f"{s}_held"))
+    both = F.size(F.array_intersect("a_held", "b_held"))
+    either = F.size("a_held") + F.size("b_held") - both
+    return materialise(pairs.join(side("a"), "a").join(side("b"), "b").filter(both * under >= either * over).select("a", "b"), "simhash")
+
+
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows that have a near duplicate: doc_id, row_key, root (the group).
 
-    Shingle sets count as similar when their 512-bit fingerprints differ in no more bits than sets
-    of Jaccard ``similarity`` do on average. Rows meet in bands; in each shared band key every row
-    is held against one member drawn per band, not against all others. The row's distance to
-    each reference fingerprint is compared first, then the bits.
+    Texts are similar when the Jaccard similarity of their sets of shingles is ``similarity`` or more. Texts with
+    equal sets are one node. Nodes meet by the shingles of their prefixes, which no similar pair can miss, and both whole sets decide.
+    In each band every node is held against the smallest and the largest one.
     """
-    size = docs.count()
-    width, bands = band_plan(size, similarity)
-    limit = math.floor(share_of_bits(similarity) * 64 * PLANES)
-    prints = materialise(
-        long_fingerprints(docs, words, width, bands, doc_id, text).withColumn("node", F.monotonically_increasing_id()), "simhash"
-    )
-    keys = prints.select("node", F.explode("bands").alias("band"))
-    shared = materialise(keys.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band"), "simhash")
+    last = frequent_shingles(docs, words, text)
+    sets = materialise(shingle_prefixes(docs, words, similarity, last, doc_id, text), "simhash")
+    keys = sets.select("node", "size", F.posexplode("prefix").alias("place", "band"))
+    ends = keys.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
+    shared = materialise(ends, "simhash")
     likely = flag(keys, "band", "shared", sketch(shared, "band")).filter("shared").drop("shared")
-    members = materialise(likely.join(shared, "band"), "simhash")
-    hubs = members.groupBy("band").agg(F.min(F.struct(F.xxhash64("node", "band"), F.col("node").alias("hub"))).hub.alias("hub"))
-    pairs = members.join(hubs, "band").filter("node <> hub")
-    pairs = materialise(pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "simhash")
-
-    words_of = [f"w{i}" for i in range(PLANES)]
-    refs = [pivot_values(PIVOTS * PLANES)[i * PLANES : (i + 1) * PLANES] for i in range(PIVOTS)]
-    away = lambda ref: sum((F.bit_count(F.col(w).bitwiseXOR(F.lit(v))) for w, v in zip(words_of, ref, strict=True)), F.lit(0))
-    tabled = prints.select("node", *words_of, *[away(r).cast("smallint").alias(f"p{i}") for i, r in enumerate(refs)])
-    side = lambda s: tabled.select(*[F.col(c).alias(f"{s}_{c}") for c in tabled.columns])
-    both = pairs.join(side("a"), F.col("a") == F.col("a_node")).join(side("b"), F.col("b") == F.col("b_node"))
-    gap = F.greatest(*[F.abs(F.col(f"a_p{i}") - F.col(f"b_p{i}")) for i in range(PIVOTS)])
-    apart = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words_of), F.lit(0))
-    found = components(both.filter((gap <= limit) & (apart <= limit)).select("a", "b"))
-    return prints.select("doc_id", "row_key", "node").join(found, "node").select("doc_id", "row_key", "root")
+    members = materialise(likely.join(shared, "band").distinct(), "simhash")
+    pairs = may_be_similar(members.filter("node = low"), members, similarity).unionByName(
+        may_be_similar(members, members.filter("node = high"), similarity)
+    )
+    pairs = materialise(pairs.distinct(), "simhash")
+    root = components(similar_pairs(pairs, sets, docs, words, similarity, doc_id, text))
+    copies = sets.groupBy("node").count().filter("count > 1").select("node")
+    grouped = root.unionByName(copies.join(root, "node", "left_anti").select("node", F.col("node").alias("root")))
+    return sets.select("doc_id", "row_key", "node").join(grouped, "node").select("doc_id", "row_key", "root")
 
 
 def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

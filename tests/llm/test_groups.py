@@ -246,3 +246,28 @@ def test_every_shared_span_is_found(spark):
     have = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in got.collect()}
     assert have == {i: brute_hits(t, items) for i, t in docs}
     assert 20 < sum(h[1] > 0 for h in have.values()) < 120
+
+
+def jaccard(a, b, k=5):
+    x, y = ({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def similar_pair(rng, kept, extra, more=0):
+    """Two texts with ``kept`` common shingles; ``extra`` own shingles of one and ``more`` of the other."""
+    words = [f"v{int(i)}" for i in rng.integers(0, 10**9, kept + 4 + extra + more)]
+    return " ".join(words[: kept + 4 + extra]), " ".join([*words[kept + 4 + extra :], *words[: kept + 4]])
+
+
+def test_jaccard_decides_on_both_sides_of_the_limit(spark):
+    rng = np.random.default_rng(3)
+    shapes = [(4, 1, 0), (8, 1, 0), (8, 1, 1), (40, 10, 0), (80, 20, 0), (80, 10, 10), (320, 40, 40)] * 12
+    under = [(79, 21, 0), (3, 1, 0), (319, 41, 40), (150, 24, 24)] * 12
+    rows, want = [], set()
+    for i, shape in enumerate(shapes + under):
+        a, b = similar_pair(rng, *shape)
+        assert (jaccard(a, b) >= 0.8) == (i < len(shapes))
+        rows += [(2 * i, a), (2 * i + 1, b)]
+        want |= {2 * i} if i < len(shapes) else {2 * i, 2 * i + 1}
+    left = simhash_pivots.drop_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in left} == want
