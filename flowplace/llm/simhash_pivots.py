@@ -254,7 +254,8 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc
 
     Texts are similar when the Jaccard similarity of their sets of shingles is ``similarity`` or more. Texts with
     equal sets are one node. Nodes meet by the shingles of their prefixes, which no similar pair can miss, and both whole sets decide.
-    In each band every node is held against the smallest and the largest one.
+    In each band every node is first held against the smallest and the largest one, then against all nodes
+    that this has not put into its own group.
     """
     last = frequent_shingles(docs, words, text)
     sets = materialise(shingle_prefixes(docs, words, similarity, last, doc_id, text), "simhash")
@@ -267,7 +268,17 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc
         may_be_similar(members, members.filter("node = high"), similarity)
     )
     pairs = materialise(pairs.distinct(), "simhash")
-    root = components(similar_pairs(pairs, sets, docs, words, similarity, doc_id, text))
+    found = similar_pairs(pairs, sets, docs, words, similarity, doc_id, text)
+    root = materialise(components(found), "simhash")
+    # Pairs of two ends are settled; bands with others are left where they hold more than one group.
+    busy = members.filter("node <> low and node <> high").select("band").distinct()
+    inner = members.join(busy, "band", "left_semi").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_bands = inner.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("band")
+    inner = materialise(inner.join(open_bands, "band", "left_semi"), "simhash")
+    rest = may_be_similar(inner, inner, similarity, F.col("a.root") != F.col("b.root")).join(pairs, ["a", "b"], "left_anti")
+    rest = materialise(rest, "simhash")
+    if not rest.isEmpty():
+        root = components(found.unionByName(similar_pairs(rest, sets, docs, words, similarity, doc_id, text)))
     copies = sets.groupBy("node").count().filter("count > 1").select("node")
     grouped = root.unionByName(copies.join(root, "node", "left_anti").select("node", F.col("node").alias("root")))
     return sets.select("doc_id", "row_key", "node").join(grouped, "node").select("doc_id", "row_key", "root")

@@ -271,3 +271,35 @@ def test_jaccard_decides_on_both_sides_of_the_limit(spark):
         want |= {2 * i} if i < len(shapes) else {2 * i, 2 * i + 1}
     left = simhash_pivots.drop_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"] for r in left} == want
+
+
+def test_pairs_among_many_texts_of_one_template_are_found(spark):
+    rng = np.random.default_rng(4)
+    template = [f"t{i}" for i in range(64)]
+    rows, want = [], set()
+    for i in range(150):
+        own = [f"o{int(w)}" for w in rng.integers(0, 10**9, 40)]
+        rows += [(2 * i, " ".join(template + own)), (2 * i + 1, " ".join([*template, *own, "one", "more"]))]
+        want.add(2 * i)
+    # All of these have their first shingles in common, whatever the order, and each is like its neighbours only.
+    chain = [f"c{i}" for i in range(400)]
+    rows += [(1000 + i, " ".join(chain[i * 10 : i * 10 + 104])) for i in range(30)]
+    want.add(1000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash_pivots.drop_similar(docs).collect()} == want
+
+
+def test_near_copies_agree_with_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for group in range(6):
+        base = [f"g{group}w{i}" for i in range(60)]
+        for _ in range(30):
+            copy = list(base)
+            for at in rng.integers(0, 60, int(rng.integers(0, 4))):
+                copy[at] = f"x{int(rng.integers(0, 3))}"
+            rows.append((len(rows), " ".join(copy[: int(rng.integers(45, 61))])))
+    roots = brute_components([t for _, t in rows], lambda a, b: jaccard(a, b) >= 0.8)
+    want = {min(j for j, s in enumerate(roots) if s == r) for r in roots}
+    left = simhash_pivots.drop_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in left} == want and 6 < len(want) < len(rows)
