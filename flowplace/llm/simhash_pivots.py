@@ -242,7 +242,7 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int
         return pa.RecordBatch.from_arrays([batch.column("row_key"), pa.array(found, pa.list_(pa.int64()))], ["row_key", "held"])
 
     held = rows.mapInArrow(per_chunk(work, "text"), "row_key long, held array<long>")
-    held = materialise(held.join(texts, "row_key").dropDuplicates(["node"]).select("node", "held"), "simhash")
+    held = materialise(held.join(texts, "row_key").dropDuplicates(["row_key"]).select("node", "held"), "simhash")
     side = lambda s: held.select(F.col("node").alias(s), F.col("held").alias(f"{s}_held"))
     both = F.size(F.array_intersect("a_held", "b_held"))
     either = F.size("a_held") + F.size("b_held") - both
@@ -254,25 +254,22 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc
 
     Texts are similar when the Jaccard similarity of their sets of shingles is ``similarity`` or more. Texts with
     equal sets are one node. Nodes meet by the shingles of their prefixes, which no similar pair can miss, and both whole sets decide.
-    In each band every node is first held against the smallest and the largest one, then against all nodes
+    In each band every node is first held against the smallest one, then against all nodes
     that this has not put into its own group.
     """
     last = frequent_shingles(docs, words, text)
     sets = materialise(shingle_prefixes(docs, words, similarity, last, doc_id, text), "simhash")
     keys = sets.select("node", "size", F.posexplode("prefix").alias("place", "band"))
-    ends = keys.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
+    ends = keys.groupBy("band").agg(F.min("node").alias("low"), F.count("*").alias("n")).filter("n > 1").select("band", "low")
     shared = materialise(ends, "simhash")
     likely = flag(keys, "band", "shared", sketch(shared, "band")).filter("shared").drop("shared")
     members = materialise(likely.join(shared, "band").distinct(), "simhash")
-    pairs = may_be_similar(members.filter("node = low"), members, similarity).unionByName(
-        may_be_similar(members, members.filter("node = high"), similarity)
-    )
-    pairs = materialise(pairs.distinct(), "simhash")
+    pairs = materialise(may_be_similar(members.filter("node = low"), members, similarity), "simhash")
     found = similar_pairs(pairs, sets, docs, words, similarity, doc_id, text)
     root = materialise(components(found), "simhash")
-    # Pairs of two ends are settled; bands with others are left where they hold more than one group.
-    busy = members.filter("node <> low and node <> high").select("band").distinct()
-    inner = members.join(busy, "band", "left_semi").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # All pairs with the smallest node are settled; of the others a band needs those of different groups.
+    inner = members.filter("node <> low").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    inner = materialise(inner, "simhash")
     open_bands = inner.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("band")
     inner = materialise(inner.join(open_bands, "band", "left_semi"), "simhash")
     rest = may_be_similar(inner, inner, similarity, F.col("a.root") != F.col("b.root")).join(pairs, ["a", "b"], "left_anti")
