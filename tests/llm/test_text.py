@@ -254,6 +254,21 @@ def test_random_strings_are_found_among_ordinary_ones(spark):
     assert hit > 0.8 * len(planted) and wrong < 0.05 * len(planted)
 
 
+@pytest.mark.parametrize("encoding", ["hex", "letters", "alnum"])
+def test_a_single_document_without_ordinary_text_gives_its_secret(spark, encoding):
+    rng = np.random.default_rng(7)
+    key = "".join(rng.choice(list(secret_battery.ENCODINGS[encoding]), 128))
+    docs = spark.createDataFrame([(1, f"ключ: {key.upper() if encoding == 'hex' else key} конец")], "doc_id long, text string")
+    assert [tuple(s)[1:] for s in secret_battery.find_secrets(docs).first()["spans"]] == [(3, 6 + 128)]
+
+
+@pytest.mark.parametrize("encoding", ["letters", "base64"])
+def test_null_is_that_of_all_ordinary_text(spark, encoding):
+    documents = spark.read.parquet(f"{SMALL.replace('0.001', '0.01')}/documents.parquet")
+    mean, spread = secret_battery.null_of([r["text"] or "" for r in documents.collect()], encoding)
+    assert secret_battery.NULL[encoding] == (round(mean, 1), round(spread, 1))
+
+
 @pytest.mark.parametrize("encoding", ["hex", "base32", "alnum", "base64"])
 def test_scores_of_random_strings_are_small(encoding):
     rng = np.random.default_rng(6)
