@@ -391,6 +391,7 @@ ALL_ROUNDS = 32
     ),
 )
 def gph02_rounds(spark, d):
+    """Three steps of the operator, not a settled partition; ``gph02_partition_graph`` is the whole job."""
     vertices, adjacency, _ = _planted(spark, d)
     return part.propagate(vertices, part.lay_out(adjacency), K, rounds=3)
 
