@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from flowplace.llm import (
     chat_trie,
+    config_packing,
     exact_refine,
     hilbert_shards,
     piece_trie,
+    prefix_centroid,
     quality_pu,
     secret_battery,
     simhash_pivots,
+    token_align,
     token_blocks,
     url_markov,
     winnow,
@@ -181,3 +184,69 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
     model = vocabulary("piece_bpe_32k.model")
     docs = table(spark, d, "documents")
     return piece_trie.round_trip(docs, model)
+
+
+@query("op11_token_align")
+def op11(spark: SparkSession, d: str) -> DataFrame:
+    rows, _ = token_align.align(
+        table(spark, d, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"), digest=True
+    )
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long")).withColumnRenamed("groups", "groups_sha256")
+
+
+@query("op12_config_packing")
+def op12(spark: SparkSession, d: str) -> DataFrame:
+    placed, _ = config_packing.pack(table(spark, d, "documents"), vocabulary("byte_bpe_50k.json"))
+    return placed.drop("row")
+
+
+# Unsigned CRC-32 of a decimal number, bit by bit: a code of -1 stands for a shift.
+CRC32 = """xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(cast(c as varchar), ''),
+            lambda x: list_concat([ascii(x)::bigint], [-1, -1, -1, -1, -1, -1, -1, -1]::bigint[])))),
+          lambda crc, x: case when x >= 0 then xor(crc, x) else xor(crc >> 1, case when crc & 1 = 1 then 3988292384 else 0 end)::bigint end),
+        4294967295::bigint)"""
+
+
+@query(
+    "op13_prefix_centroid",
+    f"""
+    with own as (
+      select conv_id as c, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as n,
+             coalesce(role, '') as role, coalesce(text, '') as txt from conversations where conv_id is not null
+    ),
+    takes as (select c, c - c % 100 as base, {CRC32} % 6 as h from (select distinct c from own)),
+    firsts as (select t.c, o.n as i, o.role, o.txt from takes t join own o on o.c = t.base and o.n <= t.h),
+    lent as (select c, count(*) as k from firsts group by c),
+    turns as (
+      select * from firsts union all
+      select o.c, o.n - t.h + coalesce(k, 0), o.role, o.txt from own o join takes t using (c) left join lent using (c) where o.n > t.h
+    ),
+    lines as (
+      select takes.c, coalesce(said, []) as said from takes
+      left join (select c, list(length(role) || ':' || role || length(txt) || ':' || txt order by i) as said from turns group by c) using (c)
+    ),
+    steps as (
+      select c, d, md5(array_to_string(said[1 : d], '|')) as key, case when d > 0 then md5(array_to_string(said[1 : d - 1], '|')) end as up, d = len(said) as ends
+      from (select *, unnest(range(len(said) + 1)) as d from lines)
+    ),
+    nodes as (
+      select d, key, any_value(up) as up, min(c) as conv_id, count(*) as n_convs,
+             sha256(coalesce(string_agg(c, ',' order by c) filter (where ends), '')) as ends_sha256
+      from steps group by d, key
+    ),
+    own_part as (
+      select n.*, (n_convs - 1) * coalesce(length(t.txt), 0) as saved, coalesce(k.n, 0) as n_children
+      from nodes n left join turns t on t.c = n.conv_id and t.i = n.d
+      left join (select d - 1 as d, up as key, count(*) as n from nodes where d > 0 group by d, up) k on k.d = n.d and k.key = n.key
+    ),
+    totals as (
+      select s.d, s.key, sum(case when o.n_children = 0 then 1 else 0 end) as n_leaves, sum(o.saved) as saved_tokens
+      from own_part o join steps s on s.c = o.conv_id and s.d <= o.d group by s.d, s.key
+    )
+    select o.conv_id, o.d as depth, p.conv_id as parent_conv_id, o.n_convs, cast(o.n_children as bigint) as n_children,
+           cast(n_leaves as bigint) as n_leaves, cast(saved_tokens as bigint) as saved_tokens, o.ends_sha256
+    from own_part o join totals using (d, key) left join nodes p on p.d = o.d - 1 and p.key = o.up
+    """,
+)
+def op13(spark: SparkSession, d: str) -> DataFrame:
+    return prefix_centroid.prefix_trie(*prefix_centroid.rebuilt(table(spark, d, "conversations")))

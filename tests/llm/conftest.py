@@ -22,7 +22,8 @@ ODD = [
 ]
 CLASHES = (
     "row part place shared kept digest size start node root word key found mark run said text_key drop_key refine_key "
-    "x y at count sketch_no sketch_bits hub band low label_id row_key grouped listed ids base cands"
+    "x y at count sketch_no sketch_bits hub band low label_id row_key grouped listed ids base cands "
+    "n_a n_b links groups number piece length offset sequence_id part_no ids_crc32"
 ).split()
 
 
