@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from flowplace.operators import graph as g
 from flowplace.operators import partition as part
-from flowplace.operators import quality
+from flowplace.operators import quality, volume
 from flowplace.operators.projections import without_self_loops
 from flowplace.plans import lenses as L
 from flowplace.plans.lenses import with_lenses
@@ -411,6 +411,76 @@ def gph02(spark, d):
     return part.partition_graph(vertices, part.lay_out(adjacency), K)
 
 
+def _volume_sql(k: int, rounds: int) -> list[str]:
+    """Volume-seeking rounds from the cut run's labels, spelled out: neighbours counted per partition, gains from both ends."""
+    ranges = part.RANGES_PER_PART * k
+    parts = [f"v0 as materialized (select topology, id, vw, kept as part, capacity, id_range from s{ALL_ROUNDS})"]
+    for r in range(rounds + 1):
+        parts += [
+            f"""counts{r} as materialized (select a.topology, a.id, v.part as p, count(*) as n
+                 from adj a join v{r} v on v.topology = a.topology and v.id = a.nbr group by 1, 2, 3)""",
+            f"""amount{r} as materialized (select v.topology, count(c.p) as amount from v{r} v
+                 left join counts{r} c on c.topology = v.topology and c.id = v.id and c.p <> v.part group by 1)""",
+        ]
+        if r == rounds:
+            break
+        parts += [
+            f"""here{r} as (select topology, id, p, max(lone) as lone
+                 from (select c.topology, c.id, c.p, (c.n = 1 and c.p <> v.part)::int as lone
+                       from counts{r} c join v{r} v on v.topology = c.topology and v.id = c.id
+                       union all select topology, id, part, 0 from v{r}) group by 1, 2, 3)""",
+            f"""heard{r} as materialized (select a.topology, a.id, h.p, count(*) as has, sum(h.lone) as lone
+                 from adj a join here{r} h on h.topology = a.topology and h.id = a.nbr group by 1, 2, 3)""",
+            f"""degree{r} as (select topology, id, sum(n) as degree from counts{r} group by 1, 2)""",
+            f"""wins{r} as (select topology, id, max(gain) as gain, arg_min(p, (-gain, p)) as target
+                 from (select v.topology, v.id, c.p,
+                              coalesce(f.lone, 0) - d.degree + h.has + 1 - (own.p is not null)::int as gain
+                       from v{r} v join counts{r} c on c.topology = v.topology and c.id = v.id and c.p <> v.part
+                       join degree{r} d on d.topology = v.topology and d.id = v.id
+                       join heard{r} h on h.topology = v.topology and h.id = v.id and h.p = c.p
+                       left join heard{r} f on f.topology = v.topology and f.id = v.id and f.p = v.part
+                       left join counts{r} own on own.topology = v.topology and own.id = v.id and own.p = v.part)
+                 group by 1, 2)""",
+            f"""vasked{r} as materialized (select v.*, w.target, case when w.gain > 0 and (v.id + {r}) % 2 = 0
+                 then (64 - length(bin(w.gain::bigint))) * {ranges} + v.id_range end as block
+                 from v{r} v left join wins{r} w using (topology, id))""",
+            f"""vload{r} as (select topology, part as target, sum(vw)::bigint as load from v{r} group by 1, 2)""",
+            f"""vcutoff{r} as (select topology, target, max(block) as cutoff
+                 from (select topology, target, block, capacity,
+                              sum(sum(vw)) over (partition by topology, target order by block) as upto
+                       from vasked{r} where block is not null group by topology, target, block, capacity)
+                 left join vload{r} using (topology, target)
+                 where upto + coalesce(load, 0) <= capacity group by topology, target)""",
+            f"""v{r + 1} as materialized (select a.topology, a.id, a.vw,
+                        case when a.block <= c.cutoff then a.target else a.part end as part, a.capacity, a.id_range
+                 from vasked{r} a left join vcutoff{r} c on c.topology = a.topology and c.target = a.target)""",
+        ]
+    rounds_ = " union all ".join(f"select topology, {r} as round, amount from amount{r}" for r in range(rounds + 1))
+    labels = " union all ".join(f"select topology, {r} as round, id, part from v{r}" for r in range(rounds + 1))
+    return [
+        *parts,
+        f"chosen as (select topology, arg_min(round, (amount, round)) as round from ({rounds_}) group by 1)",
+        f"vlabels as ({labels})",
+    ]
+
+
+@query(
+    "gph02_partition_volume",
+    with_lenses(
+        _with(
+            _graph_sql("edges_planted") + _run_sql("", ROUND_ROBIN_START, K, ALL_ROUNDS) + _volume_sql(K, volume.ROUNDS),
+            "select topology, id as task_id, part::int as part from vlabels join chosen using (topology, round)",
+        ),
+        "edges_planted",
+    ),
+)
+def gph02_volume(spark, d):
+    """The cut run's partition, moved on towards the smallest communication volume."""
+    vertices, adjacency, _ = _planted(spark, d)
+    edges = part.lay_out(adjacency)
+    return volume.seek_volume(vertices, edges, part.partition_graph(vertices, edges, K), K)
+
+
 _WINNER = f"""
 runs as materialized (select 0 as run, topology, id, vw, capacity, kept from a_s{ALL_ROUNDS}
                       union all select 1, topology, id, vw, capacity, kept from b_s{ALL_ROUNDS}),

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from flowplace.operators import graph as g
 from flowplace.operators import partition as p
 from flowplace.operators import quality as q
+from flowplace.operators import volume as vol
+from flowplace.session import materialise
 
 EDGE = "topology string, source int, target int, value bigint"
 
@@ -133,6 +135,69 @@ def test_many_parts_and_volume(spark):
     assert volume(got) < volume(start)
 
 
+def test_edges_stay_where_they_are(spark, rows, monkeypatch):
+    """Labels go to the edges: with broadcasts off there is one exchange, of the labels; a hub's edges lie over several salts."""
+    monkeypatch.setattr(p, "HUB", 20)
+    links = planted(spark).unionByName(spark.createDataFrame([("a", 1, i, 2) for i in range(200, 3000)], EDGE)).cache()
+    adjacency = g.undirected(links).cache()
+    edges = p.lay_out(adjacency)
+    assert edges.hubs is not None and edges.rows.filter("topology = 'a' and nbr = 1").select("salt").distinct().count() > 1
+    sent = spark.createDataFrame([("a", 1, 7), ("a", 2, 8), ("b", 3, 9)], "topology string, nbr int, said int")
+    heard = p.along(edges, sent)
+    assert rows(heard, "topology", "id", "nbr", "w", "said") == rows(adjacency.join(sent, ["topology", "nbr"]), "topology", "id", "nbr", "w", "said")
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        monkeypatch.setattr(p, "HUB", 10_000)
+        plain = p.lay_out(adjacency)
+        plan = p.along(plain, materialise(sent))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert "SortMergeJoin" in plan and plan.count("Exchange") == 1, plan
+
+
+def volume_of(edges, label):
+    """Volume by looking at every vertex."""
+    beside = {}
+    for a, b in edges:
+        beside.setdefault(a, set()).add(label[b])
+    return sum(len(parts - {label[a]}) for a, parts in beside.items())
+
+
+def test_volume_gain_is_what_a_move_brings(spark):
+    links = planted(spark, seed=11).filter("topology = 'a'").cache()
+    vertices, adjacency = g.vertex_weights(links).cache(), g.undirected(links).cache()
+    ends = [(r["id"], r["nbr"]) for r in adjacency.collect()]
+    edges = p.lay_out(adjacency)
+    start = p.round_robin_partition(vertices, 4)
+    counted = p.Edges(edges.rows.withColumn("w", F.lit(1).cast("bigint")), edges.hubs)
+    state = p._initial(vertices, counted, start, 4, 10).select(*vol.STATE)
+    label = {r["id"]: r["part"] for r in state.collect()}
+    before = volume_of(ends, label)
+    moves = [r for r in vol.gains(state, edges).collect() if r["target"] != r["part"]]
+    assert len(moves) > 50
+    for r in moves:
+        assert before - volume_of(ends, {**label, r["id"]: r["target"]}) == r["gain"]
+        others = [before - volume_of(ends, {**label, r["id"]: t}) for t in {label[b] for a, b in ends if a == r["id"]} - {r["part"]}]
+        assert max(others) == r["gain"]
+
+
+def test_seeking_volume_goes_below_the_cut_run(spark):
+    links = planted(spark, groups=6, size=50, seed=4).cache()
+    vertices, edges = g.vertex_weights(links).cache(), p.lay_out(g.undirected(links))
+    volume = lambda parts: {r["topology"]: r["volume"] for r in q.communication_volume(q.edge_partitions(links, parts)).collect()}
+    cut = p.partition_graph(vertices, edges, 6, patience=2).cache()
+    got = vol.seek_volume(vertices, edges, cut, 6).cache()
+    assert got.count() == vertices.count() and got.filter("part < 0 or part >= 6").isEmpty()
+    old, new = volume(cut), volume(got)
+    assert all(new[n] <= old[n] for n in old) and sum(new.values()) < sum(old.values())
+    none = vertices.filter("false")
+    assert vol.seek_volume(none, p.lay_out(g.undirected(links.filter("false"))), p.round_robin_partition(none, 6), 6, rounds=1).count() == 0
+
+
 def test_quality_of_known_partition(spark, rows):
     # Two triangles and one bridge of weight 5.
     links = [(1, 2, 1), (2, 3, 1), (3, 1, 1), (4, 5, 1), (5, 6, 1), (6, 4, 1), (3, 4, 5)]
