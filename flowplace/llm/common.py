@@ -94,6 +94,15 @@ def partitions_of(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables whose successors are written too; what still reads them would fail, so nothing may."""
+    for table in tables:
+        for file in table.inputFiles()[:1]:
+            jvm = table.sparkSession.sparkContext._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def components(links: DataFrame, rounds: int = 64) -> DataFrame:
     """``(node, root)``: the smallest node reachable over ``links (a, b)``; nodes without links are not listed.
 
@@ -112,7 +121,9 @@ def components(links: DataFrame, rounds: int = 64) -> DataFrame:
         large = large.filter("u <> v").distinct()
         small_low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-        edges = materialise(small.filter("u <> v").distinct(), "links")
+        following = materialise(small.filter("u <> v").distinct(), "links")
+        discard(edges)
+        edges = following
         state = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         if state == seen:
             break

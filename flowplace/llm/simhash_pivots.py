@@ -11,7 +11,7 @@ the ten pairs of blocks. Nothing within the radius is lost. All work is on disti
 fingerprints; copies take part once.
 
 Near copies at a similarity of shingle sets are far beyond three bits, so fingerprints take no part: texts meet by
-the first shingles of their sets in one order, and the sets themselves decide.
+the first shingles of their sets in one order, parity sketches discard pairs, and the sets themselves decide.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowplace.llm.common import components, flag, per_chunk, sketch, text_of
+from flowplace.llm.common import components, discard, flag, per_chunk, sketch, text_of
 from flowplace.session import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -35,6 +35,7 @@ SEED = 42
 PIVOTS = 16
 BLOCK = 1 << 16  # shingles whose bits are counted at once
 OFTEN = 8  # texts that make a shingle a frequent one
+SKETCH = 1_024  # bits of the sketch that bounds the difference of two sets from below
 FREQUENT = 1 << 16  # frequent shingles that are told apart; the only thing of the near copies that tasks carry
 
 
@@ -180,11 +181,12 @@ def frequent_shingles(docs: DataFrame, words: int, text: str) -> list[int]:
 
 
 def shingle_prefixes(docs: DataFrame, words: int, similarity: float, last: list[int], doc_id: str, text: str) -> DataFrame:
-    """doc_id, row_key, node (digest of the set of shingles), size of the set, and its prefix.
+    """doc_id, row_key, node (digest of the set of shingles), size of the set, its prefix and its sketch.
 
     All sets are put in one order, shingles in ``last`` behind all others. A set at least ``similarity``
     like this one holds ``ceil(similarity * size)`` of its shingles or more, so what both have in common
-    begins within the first ``size - ceil(similarity * size) + 1`` of either: the prefix.
+    begins within the first ``size - ceil(similarity * size) + 1`` of either: the prefix. A bit of the sketch is the parity of the shingles that
+    fall on it, so sketches differ in no more bits than the sets in shingles.
     """
     over, under = exact_share(similarity)
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), text_of(f"`{text}`").alias("text")).withColumn(
@@ -198,8 +200,10 @@ def shingle_prefixes(docs: DataFrame, words: int, similarity: float, last: list[
         import xxhash
 
         nodes, sizes, prefixes = [], [], []
-        for body in batch.column("text").to_pylist():
+        parity = np.zeros((batch.num_rows, SKETCH), bool)
+        for i, body in enumerate(batch.column("text").to_pylist()):
             found = np.unique(shingle_hashes(body, words))
+            parity[i] = np.bincount((found % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) % 2
             nodes.append(xxhash.xxh64_intdigest(found.tobytes(), SEED) - (1 << 63))
             sizes.append(len(found))
             if len(known) and len(found):
@@ -207,12 +211,14 @@ def shingle_prefixes(docs: DataFrame, words: int, similarity: float, last: list[
                 found = found[np.argsort(np.where(known[at] == found, by_hash[at] + 1, 0), kind="stable")]
             prefixes.append(found[: len(found) + 1 - -(-over * len(found) // under)].view(np.int64))
         columns = [batch.column("doc_id"), batch.column("row_key"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32())]
+        offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * (SKETCH // 64))
+        sketches = pa.ListArray.from_arrays(offsets, pa.array(packed(parity).reshape(-1)))
         return pa.RecordBatch.from_arrays(
-            [*columns, pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "row_key", "node", "size", "prefix"]
+            [*columns, pa.array(prefixes, pa.list_(pa.int64())), sketches], ["doc_id", "row_key", "node", "size", "prefix", "sketch"]
         )
 
     zero = F.lit(0).cast("long")
-    shape = rows.select("doc_id", "row_key", zero.alias("node"), F.lit(0).alias("size"), F.array(zero).alias("prefix")).schema
+    shape = rows.select("doc_id", "row_key", zero.alias("node"), F.lit(0).alias("size"), F.array(zero).alias("prefix"), F.array(zero).alias("sketch")).schema
     return rows.mapInArrow(per_chunk(work, "text"), shape)
 
 
@@ -228,10 +234,25 @@ def may_be_similar(a: DataFrame, b: DataFrame, similarity: float, *more: Column)
     return met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
 
 
+def close_sketches(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``(a, b)`` whose sketches leave room for the similarity. No similar pair is lost, and no set has been moved yet.
+
+    At a Jaccard similarity of t two sets differ in at most ``(1 - t) / (1 + t)`` of the sum of their sizes.
+    """
+    over, under = exact_share(similarity)
+    one = sets.groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+    side = lambda s: one.select(F.col("node").alias(s), F.col("size").alias(f"{s}_size"), F.col("sketch").alias(f"{s}_sketch"))
+    bits = F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.aggregate(bits, F.lit(0), lambda t, n: t + n)
+    fits = apart * (under + over) <= (F.col("a_size") + F.col("b_size")) * (under - over)
+    return materialise(pairs.join(side("a"), "a").join(side("b"), "b").filter(fits).select("a", "b"), "simhash")
+
+
 def similar_pairs(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, similarity: float, doc_id: str, text: str) -> DataFrame:
     """The pairs ``(a, b)`` whose sets of shingles have the Jaccard similarity or more, by counting both whole sets."""
     over, under = exact_share(similarity)
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    near = close_sketches(pairs, sets, similarity)
+    nodes = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     likely = flag(sets.select("node", "row_key"), "node", "paired", sketch(nodes, "node")).filter("paired")
     texts = materialise(likely.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("row_key").alias("row_key")), "simhash")
     rows = docs.select(text_of(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{doc_id}`"), text_of(f"`{text}`")).alias("row_key"))
@@ -246,39 +267,48 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int
     side = lambda s: held.select(F.col("node").alias(s), F.col("held").alias(f"{s}_held"))
     both = F.size(F.array_intersect("a_held", "b_held"))
     either = F.size("a_held") + F.size("b_held") - both
-    return materialise(pairs.join(side("a"), "a").join(side("b"), "b").filter(both * under >= either * over).select("a", "b"), "simhash")
+    found = materialise(near.join(side("a"), "a").join(side("b"), "b").filter(both * under >= either * over).select("a", "b"), "simhash")
+    discard(near, texts, held)
+    return found
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows that have a near duplicate: doc_id, row_key, root (the group).
 
     Texts are similar when the Jaccard similarity of their sets of shingles is ``similarity`` or more. Texts with
-    equal sets are one node. Nodes meet by the shingles of their prefixes, which no similar pair can miss, and both whole sets decide.
-    In each band every node is first held against the smallest one, then against all nodes
-    that this has not put into its own group.
+    equal sets are one node. Nodes meet by the shingles of their prefixes, which no similar pair can miss; sketches discard pairs before any
+    set is moved, and both whole sets decide. In each band every node is first held against the smallest one, then against all nodes
+    that this has not put into its own group. Tables are deleted as soon as their successors are written.
     """
     last = frequent_shingles(docs, words, text)
     sets = materialise(shingle_prefixes(docs, words, similarity, last, doc_id, text), "simhash")
+    # Equal sets are one node, and its prefix is the same.
     keys = sets.select("node", "size", F.posexplode("prefix").alias("place", "band"))
-    ends = keys.groupBy("band").agg(F.min("node").alias("low"), F.count("*").alias("n")).filter("n > 1").select("band", "low")
+    ends = keys.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("band", "low")
     shared = materialise(ends, "simhash")
     likely = flag(keys, "band", "shared", sketch(shared, "band")).filter("shared").drop("shared")
     members = materialise(likely.join(shared, "band").distinct(), "simhash")
+    discard(shared)
     pairs = materialise(may_be_similar(members.filter("node = low"), members, similarity), "simhash")
     found = similar_pairs(pairs, sets, docs, words, similarity, doc_id, text)
     root = materialise(components(found), "simhash")
     # All pairs with the smallest node are settled; of the others a band needs those of different groups.
     inner = members.filter("node <> low").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     inner = materialise(inner, "simhash")
+    discard(members)
     open_bands = inner.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("band")
-    inner = materialise(inner.join(open_bands, "band", "left_semi"), "simhash")
-    rest = may_be_similar(inner, inner, similarity, F.col("a.root") != F.col("b.root")).join(pairs, ["a", "b"], "left_anti")
+    opened = materialise(inner.join(open_bands, "band", "left_semi"), "simhash")
+    discard(inner)
+    rest = may_be_similar(opened, opened, similarity, F.col("a.root") != F.col("b.root")).join(pairs, ["a", "b"], "left_anti")
     rest = materialise(rest, "simhash")
+    discard(opened, pairs)
     if not rest.isEmpty():
         root = components(found.unionByName(similar_pairs(rest, sets, docs, words, similarity, doc_id, text)))
     copies = sets.groupBy("node").count().filter("count > 1").select("node")
     grouped = root.unionByName(copies.join(root, "node", "left_anti").select("node", F.col("node").alias("root")))
-    return sets.select("doc_id", "row_key", "node").join(grouped, "node").select("doc_id", "row_key", "root")
+    groups = materialise(sets.select("doc_id", "row_key", "node").join(grouped, "node").select("doc_id", "row_key", "root"), "simhash")
+    discard(sets, rest)
+    return groups
 
 
 def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -287,7 +317,7 @@ def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_i
     A null id counts as larger than any other; of repeated rows one stays. Texts without words
     are copies of each other. Rows without a near duplicate are passed on without a shuffle.
     """
-    groups = materialise(similar_groups(docs, words, similarity, doc_id, text), "simhash")
+    groups = similar_groups(docs, words, similarity, doc_id, text)
     keep = groups.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("row_key").alias("key"))).alias("best")
     ).select(F.col("best.key").alias("keep_key"))
