@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from flowplace.functions import java_hash
 from flowplace.operators import routing as r
+from flowplace.operators import steps
 from flowplace.plans import lenses as L
 from flowplace.plans.lenses import with_lenses
 from flowplace.plans.registry import query
@@ -156,3 +157,32 @@ def rte07(spark, d):
 )
 def rte08(spark, d):
     return r.batch_rows(L.keyed(spark, d), 10).select("source", "id", "batch")
+
+
+@query(
+    "ext01_appended_rows",
+    with_lenses(
+        f"""with keys0 as (select keyfield as key from keyed), {_hop("keys0", 0)}, {_hop("keys1", 1)}
+            select k.keyfield, 1::int as level, ((n.bucket + 1) % {N})::int as bucket, n.follower
+            from (select distinct keyfield from keyed) k join next0 n on n.key = k.keyfield
+            union all
+            select k.keyfield, 2, ((m.bucket + 1) % {N})::int, m.follower
+            from (select distinct keyfield from keyed) k join next0 n on n.key = k.keyfield join next1 m on m.key = n.follower""",
+        "keyed",
+    ),
+)
+def ext01(spark, d):
+    """A user's row function appends two rows to every distinct key: the first keys of the next two buckets."""
+    keys = L.keyed(spark, d).select("keyfield").distinct()
+    return steps.append_rows(keys, steps.NextKeys, F.col("keyfield").outer(), F.lit(N), F.lit(2), F.lit("follower"))
+
+
+@query(
+    "ext02_opaque_step",
+    with_lenses(f"select id, keyfield, ({_hash('keyfield')} % {N})::int as bucket from keyed", "keyed"),
+)
+def ext02(spark, d):
+    """A user's opaque step over Arrow batches, here one that names the receiving task."""
+    rows = L.keyed(spark, d).select("id", "keyfield")
+    schema = rows.withColumn("bucket", F.lit(None).cast("int")).schema
+    return steps.opaque(rows, lambda batch: steps.with_bucket(batch, "keyfield", N), schema)
