@@ -267,7 +267,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
 
     Only the text enters a score. Null and empty texts have the zero vector and a score like any other; rows
-    without labels, or no labels at all, still get a score (then 0.5 before the fit has anything to learn from). Repeated rows come
+    without labels still get a score, and so do all rows if there are no labels at all: then nothing is known to be good and scores are low. Repeated rows come
     back each; an empty table gives no rows; other columns of both tables are ignored.
     """
     table = vectors(docs, labels, doc_id, text)

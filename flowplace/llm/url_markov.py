@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowplace.llm.common import partitions_of
 from flowplace.session import materialise
 
 ORDER = 4  # characters of context
@@ -105,24 +106,28 @@ def limit_of(scores: DataFrame) -> float:
 def judge_urls(pages: DataFrame, rules: Rules = RULES, order: int = ORDER, page_id: str = "page_id", url: str = "url") -> DataFrame:
     """One row per row of ``pages``: page_id, host, path, rule, verdict, score, score_limit.
 
-    Where no rule fits, the verdict is allow if the score reaches the limit. Null URLs and such without ``://`` have an
-    empty host and path and are scored as empty text; if rules accept or reject nothing, all scores are near zero
+    Where no rule fits, the verdict is allow if the score reaches the limit. Rules look at host and path, the models at the
+    whole URL as it stands, scheme, query and fragment included. Null URLs and such without ``://`` have an
+    empty host and path; null is scored as empty text. If rules accept or reject nothing, all scores are near zero
     and the limit is zero. Repeated rows come back each; an empty table gives no rows; other columns are ignored.
     """
-    host, path = host_and_path(F.col(f"`{url}`").cast("string"))
+    whole = F.coalesce(F.col(f"`{url}`").cast("string"), F.lit(""))
+    host, path = host_and_path(F.col("text"))
     rule, verdict = ruled(rules)
-    parsed = pages.select(F.col(f"`{page_id}`").alias("page_id"), host.alias("host"), path.alias("path"))
-    texts = parsed.select("host", "path").distinct().select("*", F.concat("host", "path").alias("text"), verdict.alias("own"))
+    parsed = pages.select(F.col(f"`{page_id}`").alias("page_id"), whole.alias("text")).select("*", host.alias("host"), path.alias("path"))
+    texts = parsed.select("text", "host", "path").distinct().withColumn("own", verdict)
     held = F.pmod(F.crc32(F.col("text").cast("binary")), F.lit(FOLDS)) == 0
     texts = materialise(texts.withColumn("calibrates", F.col("own").isNotNull() & held).withColumn("id", F.monotonically_increasing_id()), "urls")
-    runs = texts.select("id", "own", "calibrates", F.explode(runs_of(F.col("text"), order)).alias("run"))
+    # Written tables come in few large files; their characters are spread over the job again.
+    spread = texts.repartition(partitions_of(pages), "id")
+    runs = spread.select("id", "own", "calibrates", F.explode(runs_of(F.col("text"), order)).alias("run"))
     one = lambda v: F.count_if((F.col("own") == v) & ~F.col("calibrates"))
     counts = materialise(runs.groupBy("run").agg(one("allow").alias("accepted"), one("block").alias("rejected")), "urls")
     ratio = ratios(counts.select("run"), counts, order)
     scores = runs.select("id", "run").join(ratio, "run").groupBy("id").agg(F.avg("ratio").alias("score"))
     scored = materialise(texts.join(scores, "id"), "urls")
     limit = limit_of(scored)
-    judged = parsed.join(scored.select("host", "path", "score"), ["host", "path"])
+    judged = parsed.join(scored.select("text", "score"), "text")
     return judged.select("*", rule.alias("rule"), verdict.alias("own"), F.lit(limit).alias("score_limit")).select(
         "page_id",
         "host",
