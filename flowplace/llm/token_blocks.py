@@ -13,6 +13,7 @@ and their differences (u32).
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import zlib
@@ -25,6 +26,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowplace.llm.byte_level import byte_of
 from flowplace.llm.common import chunks, partitions_of, per_chunk, running_base, text_of
 from flowplace.session import materialise
 
@@ -66,6 +68,47 @@ class Ragged:
         return np.frombuffer(self.ids, np.uint32)[np.arange(total) + np.repeat(starts - after + sizes, sizes)], sizes
 
 
+class Merges:
+    """The merges of a byte-level file with word ends, as tiktoken ranks: many pieces in one call.
+
+    A piece is its bytes and ``WORD_END``. The last byte and the end are merged before anything else, which makes them the one symbol
+    that the file starts from; its own merges follow in their order.
+    """
+
+    WORD_END = "\x01"  # no plain word holds it
+
+    def __init__(self, ranks: dict[bytes, int], ids: list[int]):
+        import tiktoken
+
+        end = self.WORD_END
+        self.tool = tiktoken.Encoding("word-ends", pat_str=f"[^{end}]+{end}", mergeable_ranks=ranks, special_tokens={})
+        self.ids = np.array(ids, np.uint32)
+        self.ends = np.zeros(len(ids), bool)
+        self.ends[[rank for token, rank in ranks.items() if token.endswith(end.encode())]] = True
+
+    @classmethod
+    def of(cls, path: str) -> Merges | None:
+        """None where the file's rule is another one."""
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        suffix, vocab, as_byte = model.get("end_of_word_suffix"), model.get("vocab", {}), byte_of()
+        if model["type"] != "BPE" or not suffix or model.get("continuing_subword_prefix") or model.get("dropout"):
+            return None
+        end = cls.WORD_END.encode()
+        names = [*as_byte, *(c + suffix for c in as_byte), *("".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"])]
+        spelled = [bytes(map(as_byte.get, n.removesuffix(suffix))) + (end if n.endswith(suffix) else b"") for n in names if all(c in as_byte for c in n.removesuffix(suffix))]
+        if len(set(spelled)) < len(names) or any(n not in vocab for n in names):
+            return None
+        # Every single byte needs a rank, the word end's own byte included, which is one of them.
+        return cls({token: rank for rank, token in enumerate(spelled)}, [vocab[n] for n in names])
+
+    def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces in a row, and how many each has."""
+        ranks = self.tool.encode_to_numpy("".join([p + self.WORD_END for p in pieces]), disallowed_special=())
+        last = np.flatnonzero(self.ends[ranks])
+        return self.ids[ranks], np.diff(last, prepend=-1)
+
+
 class Words:
     """Ids of every word seen, for tokenizers that drop white space: there a space or line feed
     always ends a token, so a word's ids don't depend on its neighbours and are asked for once."""
@@ -77,6 +120,7 @@ class Words:
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
         to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.merges = Merges.of(path)
         self.as_bytes = {c: to_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
         self.clean()
 
@@ -91,10 +135,14 @@ class Words:
         pieces = PIECES.findall("\n".join(plain).lower())
         unknown = list({p for p in pieces if p not in self.parts.known})
         if unknown:
-            tokenize = self.tokenizer.model.tokenize
-            found = [[t.id for t in tokenize(p if p.isascii() else p.translate(self.as_bytes))] for p in unknown]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self.parts.add(unknown, np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum())), sizes)
+            if self.merges is not None:
+                ids, sizes = self.merges.encode(unknown)
+            else:
+                tokenize = self.tokenizer.model.tokenize
+                found = [[t.id for t in tokenize(p if p.isascii() else p.translate(self.as_bytes))] for p in unknown]
+                sizes = np.fromiter(map(len, found), np.int64, len(found))
+                ids = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
+            self.parts.add(unknown, ids, sizes)
         at = np.fromiter(map(self.parts.known.__getitem__, pieces), np.int64, len(pieces))
         ids, sizes = self.parts.take(at)
         ends = np.append(np.flatnonzero(at == 0), len(at))  # line feeds stand between the words
