@@ -7,7 +7,7 @@ file of a shard covers a small box and its min/max statistics prune in all of th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowplace.llm.common import partitions_of, ranked, running_base, text_of
@@ -59,16 +59,16 @@ def hilbert_index(dims: list[Column], bits: int = BITS) -> Column:
     return F.transform(F.array(turned), weave)[0]
 
 
-def quantised(df: DataFrame, column: str, bits: int = BITS) -> Column:
-    """Coordinate of a numeric column by its quantiles over all rows; null gets 0.
+def quantised(df: DataFrame, column: str, *of: str, bits: int = BITS) -> list[Column]:
+    """Coordinates of the columns ``of`` by the quantiles of a numeric column over all rows; null gets 0.
 
     The quantiles are a summary of at most ``2 ** bits`` values, computed over the whole table.
     """
     n = 1 << bits
     cuts = df.agg(F.percentile_approx(column, [i / n for i in range(1, n)], 10_000)).first()[0] or []
     bounds = F.lit(sorted(set(cuts))) if cuts else F.array().cast("array<double>")
-    place = F.size(F.filter(bounds, lambda b: b < F.col(column)))
-    return F.coalesce(F.when(F.col(column).isNotNull(), place), F.lit(0))
+    place = lambda c: F.size(F.filter(bounds, lambda b: b < F.col(c)))
+    return [F.coalesce(F.when(F.col(c).isNotNull(), place(c)), F.lit(0)) for c in of]
 
 
 def hashed(column: str, bits: int = BITS) -> Column:
@@ -80,7 +80,9 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id"
     """One row per row of ``docs``: doc_id, size, text_crc32, curve, the four coordinates, shard, slot.
 
     Law: rows. Shard sizes differ by at most one row, slots count from 0 in curve order; ties on
-    the curve go by content and doc_id, so copies with equal metadata are neighbours. Null text
+    the curve go by content and doc_id. Equal texts form a group: all its rows lie at the group's smallest id and
+    coordinates, so they are neighbours in the order whatever their metadata, and a group lies in one shard unless a cut, which the law
+    fixes by row counts, falls inside it. The four coordinates returned are the row's own. Null text
     has no bytes; a null id, language or source lies at coordinate 0 and sorts first; missing
     ``lang`` or ``source`` columns count as null. Fewer rows than shards leave shards empty, an
     empty table gives no rows. Other columns of ``docs`` are ignored.
@@ -104,8 +106,14 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id"
         ),
         "shards",
     )
-    placed = narrow.select("*", quantised(narrow, "doc_id").alias("d_id"), quantised(narrow, "size").alias("d_size"))
-    curve = hilbert_index([F.col(c) for c in ("d_source", "d_lang", "d_id", "d_size")])
+    own = {"g_id": "doc_id", "g_source": "d_source", "g_lang": "d_lang"}
+    groups = narrow.groupBy("content").agg(F.count("*").alias("copies"), *[F.min(c).alias(g) for g, c in own.items()])
+    # Only texts with copies meet their group; a text's copies are one key, which AQE splits if it is busy.
+    grouped = narrow.join(groups.filter("copies > 1").drop("copies"), "content", "left")
+    grouped = materialise(grouped.withColumns({g: F.coalesce(g, c) for g, c in own.items()}), "shards")
+    d_id, g_id = quantised(narrow, "doc_id", "doc_id", "g_id")
+    placed = grouped.withColumns({"d_id": d_id, "g_id": g_id, "d_size": quantised(narrow, "size", "size")[0]})
+    curve = hilbert_index([F.col(c) for c in ("g_source", "g_lang", "g_id", "d_size")])
     order = ["curve", "content", "doc_id"]
     line = ranked(placed.withColumn("curve", curve), order, partitions_of(docs), "shards")
     counts = materialise(line.groupBy("part").agg(F.count("*").alias("n")), "shards")
@@ -129,12 +137,32 @@ def hilbert_shards(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id"
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text") -> None:
     """Write ``docs`` as one folder per shard, in curve order, next to a table of each shard's box.
 
-    ``doc_id`` must tell the rows apart here: it is what texts and shards are joined by.
+    ``doc_id`` must tell the rows apart here: it is what texts and shards are joined by. Repeated or null ids are an error.
     """
-    rows = hilbert_shards(docs, shards, doc_id, text)
-    rows = materialise(rows, "shards")
+    rows = materialise(hilbert_shards(docs, shards, doc_id, text), "shards")
+    if not rows.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
+        raise ValueError("ids must be there and differ to write shards")
     full = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{doc_id}`").alias("doc_id"))
-    joined = full.join(rows.select("doc_id", "shard", "slot"), full.doc_id.eqNullSafe(rows.doc_id)).select("row", "shard", "slot")
+    joined = full.join(rows.select("doc_id", "size", "shard", "slot"), "doc_id")
     joined.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(f"{path}/rows")
     box = [f(c).alias(f"{n}_{c}") for c in ("doc_id", "size", "d_source", "d_lang") for n, f in (("min", F.min), ("max", F.max))]
     rows.groupBy("shard").agg(F.count("*").alias("n"), *box).write.parquet(f"{path}/boxes")
+
+
+def read_box(spark: SparkSession, path: str, **bounds: tuple[int, int]) -> DataFrame:
+    """Written rows whose ``doc_id`` and ``size`` lie within the bounds (both ends included), from shards whose boxes meet them.
+
+    Only the folders of these shards are read. One row per shard comes to the driver.
+    """
+    if not bounds.keys() <= {"doc_id", "size"}:
+        raise ValueError("bounds are given for doc_id and size")
+    boxes = spark.read.parquet(f"{path}/boxes")
+    for name, (low, high) in bounds.items():
+        boxes = boxes.filter((F.col(f"max_{name}") >= low) & (F.col(f"min_{name}") <= high))
+    folders = [f"{path}/rows/shard={r['shard']}" for r in boxes.select("shard").collect()]
+    if not folders:
+        return spark.read.parquet(f"{path}/rows").filter("false")
+    rows = spark.read.option("basePath", f"{path}/rows").parquet(*folders)
+    for name, (low, high) in bounds.items():
+        rows = rows.filter(F.col(name).between(low, high))
+    return rows

@@ -3,7 +3,7 @@
 import hashlib
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -182,6 +182,18 @@ def test_shards_obey_the_law_of_rows(which, shards, request):
         assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(counts[s]))
     line = sorted(rows, key=lambda r: (r["shard"], r["slot"]))
     assert [r["curve"] for r in line] == sorted(r["curve"] for r in rows)
+    # Equal texts are neighbours: a group has gaps nowhere, so at most one group lies across each cut.
+    text = {r["doc_id"]: body(r) for r in source if r["doc_id"] is not None}
+    places = defaultdict(list)
+    for at, r in enumerate(line):
+        if r["doc_id"] is not None:
+            places[text[r["doc_id"]]].append(at)
+    nulls = {at for at, r in enumerate(line) if r["doc_id"] is None}
+    assert any(len(p) > 1 for p in places.values())
+    for p in places.values():
+        assert set(range(p[0], p[-1] + 1)) - set(p) <= nulls
+    cut = [t for t, p in places.items() if len({line[at]["shard"] for at in p}) > 1]
+    assert len(cut) < shards
 
 
 def test_shards_of_nothing(none):
@@ -195,6 +207,23 @@ def test_written_shards_come_back_whole(documents, tmp_path):
     assert documents.sparkSession.read.parquet(f"file://{tmp_path}/s/boxes").count() == 5
 
 
+def test_boxes_spare_shards(spark, documents, odd, tmp_path):
+    path = f"file://{tmp_path}/s"
+    hilbert_shards.write_shards(documents, path, 20)
+    every = len(spark.read.parquet(f"{path}/rows").inputFiles())
+    size = lambda r: len((r["text"] or "").encode()) + 16
+    rows = documents.collect()
+    bounds = {"doc_id": (20, 60), "size": (0, sorted(map(size, rows))[len(rows) // 4])}
+    for names in (["doc_id"], ["size"], ["doc_id", "size"]):
+        got = hilbert_shards.read_box(spark, path, **{n: bounds[n] for n in names})
+        within = lambda r: all(bounds[n][0] <= {"doc_id": r["doc_id"], "size": size(r)}[n] <= bounds[n][1] for n in names)
+        assert sorted(r["row"]["doc_id"] for r in got.collect()) == sorted(r["doc_id"] for r in rows if within(r))
+        assert len(got.inputFiles()) < every
+    assert hilbert_shards.read_box(spark, path, doc_id=(-9, -1)).count() == 0
+    with pytest.raises(ValueError):
+        hilbert_shards.write_shards(odd, f"file://{tmp_path}/odd", 3)
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
