@@ -8,16 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from flowplace.operators.ordered import (
-    SLICE,
-    cut,
-    finish,
-    numbered,
-    previous,
-    slice_lasts,
-    with_leads,
-    without_leads,
-)
+from flowplace.operators.ordered import SLICE, cut, finish, numbered, previous, running, slice_lasts, with_leads, without_leads
 from flowplace.operators.projections import data_streams
 
 # Default intervals in seconds.
@@ -175,15 +166,27 @@ def running_avg_of_latest(points: DataFrame, slices: int | None = None) -> DataF
     return running_of_latest(points, "avg", slices)
 
 
-def metric_series(points: DataFrame, slices: int | None = None) -> DataFrame:
-    """``aggregated`` per update, combined the way the row's ``aggregate`` column says."""
-    totals = _latest_totals(points, slices)
+def _combined(totals: DataFrame) -> DataFrame:
     value = F.lit(None).cast("bigint")
     for name, combine in RUNNING_AGGREGATES.items():
         value = F.when(F.col("aggregate") == name, combine(F.col("total"), F.col("tasks"))).otherwise(value)
     return totals.withColumn("aggregated", value).drop("total", "tasks")
 
 
+def metric_series(points: DataFrame, slices: int | None = None) -> DataFrame:
+    """``aggregated`` per update, combined the way the row's ``aggregate`` column says."""
+    return _combined(_latest_totals(points, slices))
+
+
+def series_of_changes(points: DataFrame, before: str, known: str, slices: int | None = None) -> DataFrame:
+    """The same from updates that know their task's value before."""
+    change = F.col("value") - F.when(F.col(known), F.col(before)).otherwise(0)
+    first = F.when(F.col(known), 0).otherwise(1).cast("bigint")
+    pieces = cut(points, METRIC, UPDATE_ORDER, slices)
+    totals = finish(running(pieces, METRIC, UPDATE_ORDER, {"total": change, "tasks": first}))
+    return _combined(totals).drop(before, known)
+
+
 def counter_rate(counters: DataFrame, secs: int = MONITORING_SECS, slices: int | None = None) -> DataFrame:
     """(host, ts, bytes) -> rate; 0 for a first reading and after a reading of zero or less."""
     pieces = cut(counters, ["host"], ["ts"], slices)

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowplace.operators import metrics as m
-from flowplace.operators import placement as pl
 from flowplace.operators import projections as p
 from flowplace.plans import lenses as L
 from flowplace.plans.format_queries import _SERIES, series_lines
@@ -14,8 +12,8 @@ from flowplace.plans.metric_queries import _LATENCY, _MEAN, _TOTALS, CONTROL
 from flowplace.plans.registry import query
 from flowplace.sinks import formats as out
 from flowplace.streaming import debounce, live
-from flowplace.streaming.carry import run_ordered
 from flowplace.streaming.io import stream_table
+from flowplace.streaming.keyed import keyed_session
 
 HOUR = 3_600
 GAP = 600
@@ -151,10 +149,8 @@ def str04(spark, d):
     ),
 )
 def str05(spark, d):
-    points = p.reported_metrics(L.datapoints(spark, d, stream_table))
-    state = run_ordered(points, m.TASK_METRIC, m.UPDATE_ORDER, m.metric_series, "totals")
-    shape = m.metric_series(p.reported_metrics(L.datapoints(spark, d))).schema
-    return state.output(shape).select("topology", "name", "task_id", "id", "aggregated")
+    points = p.reported_metrics(L.datapoints(keyed_session(spark), d, stream_table))
+    return live.metric_series(points).select("topology", "name", "task_id", "id", "aggregated")
 
 
 @query(
@@ -167,11 +163,8 @@ def str05(spark, d):
     ),
 )
 def str06(spark, d):
-    reports = L.schedule_reports(spark, d, stream_table)
-    state = run_ordered(
-        reports, ["topology"], m.UPDATE_ORDER, lambda rows: pl.schedule_changes(rows, m.UPDATE_ORDER), "schedules"
-    )
-    return state.output(reports.schema).select("topology", "id", "text")
+    reports = L.schedule_reports(keyed_session(spark), d, stream_table)
+    return live.schedule_changes(reports).select("topology", "id", "text")
 
 
 @query(
@@ -199,9 +192,7 @@ def str07(spark, d):
     ),
 )
 def str08(spark, d):
-    updates = L.edge_updates(spark, d, stream_table)
-    state = run_ordered(updates, ["topology", "source", "target"], m.UPDATE_ORDER, m.edge_changes, "changes")
-    found = state.output(m.edge_changes(L.edge_updates(spark, d)).schema)
+    found = live.edge_changes(L.edge_updates(keyed_session(spark), d, stream_table))
     return found.select(
         "topology", "source", "target", "id", "value", F.coalesce("old_value", F.lit(-1)).alias("old_value")
     )
@@ -210,7 +201,5 @@ def str08(spark, d):
 @query("snk04_graphite_lines_stream", with_lenses(_SERIES, "datapoints"))
 def snk04_stream(spark, d):
     """Lines of the combined series, from the totals behind a stream."""
-    points = p.reported_metrics(L.datapoints(spark, d, stream_table))
-    state = run_ordered(points, m.TASK_METRIC, m.UPDATE_ORDER, m.metric_series, "series")
-    totals = state.output(m.metric_series(p.reported_metrics(L.datapoints(spark, d))).schema)
-    return out.graphite_lines(series_lines(totals))
+    points = p.reported_metrics(L.datapoints(keyed_session(spark), d, stream_table))
+    return out.graphite_lines(series_lines(live.metric_series(points)))

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from flowplace.operators import metrics, tracking
 from flowplace.streaming import debounce
 from flowplace.streaming.io import collect_changes, collect_rows
+from flowplace.streaming.keyed import CELL_SECS, follow
+
+TASK_CELL_SECS = 4 * CELL_SECS  # tasks are many and report seldom: fewer cells, fewer groups of state
 
 
 def edge_counts(emits: DataFrame, secs: int = metrics.GRAPH_SECS) -> DataFrame:
@@ -54,3 +57,22 @@ def latest_graph(updates: DataFrame, label: str = "graph") -> DataFrame:
     """The live graph: the newest value of every edge, kept in Spark's state; a batch writes the edges it changed."""
     edge = ["topology", "source", "target"]
     return collect_changes(metrics.latest_edges(updates), edge, label).select(*edge, "value")
+
+
+def metric_series(points: DataFrame, slices: int | None = None, cell_secs: int = TASK_CELL_SECS) -> DataFrame:
+    """Running totals: the stream keeps each task's value before, the changes are added up when they are read."""
+    known = follow(points, metrics.TASK_METRIC, metrics.UPDATE_ORDER, {"_before": "value"}, "series", cell_secs)
+    return metrics.series_of_changes(known.rows("_known"), "_before", "_known", slices)
+
+
+def schedule_changes(versions: DataFrame, cell_secs: int = CELL_SECS) -> DataFrame:
+    """Schedule versions that differ from the one before, in the order of (ts, id)."""
+    known = follow(versions, ["topology"], metrics.UPDATE_ORDER, {"_before": "text"}, "schedules", cell_secs)
+    return known.rows("_known").filter("not _known or not text <=> _before").drop("_before", "_known")
+
+
+def edge_changes(updates: DataFrame, cell_secs: int = CELL_SECS) -> DataFrame:
+    """Updates that gave an edge a new value."""
+    edge = ["topology", "source", "target"]
+    known = follow(updates, edge, metrics.UPDATE_ORDER, {"old_value": "value"}, "edge-changes", cell_secs)
+    return known.rows("_known").filter("not _known or not value <=> old_value").drop("_known")

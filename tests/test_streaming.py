@@ -1,5 +1,6 @@
 """Streams against their batch forms, with files in no order, one per batch and all at once."""
 
+import os
 import random
 
 import pytest
@@ -10,8 +11,8 @@ from flowplace.operators import placement as pl
 from flowplace.operators import projections as p
 from flowplace.operators import routing, tracking
 from flowplace.streaming import debounce, live
-from flowplace.streaming.carry import Recomputed, run_ordered
 from flowplace.streaming.io import collect_rows, run_available, stream_table
+from flowplace.streaming.keyed import CELL_SECS, PROVIDER_CONF, follow, keyed_session
 
 POINT = "topology string, name string, task_id bigint, id bigint, value bigint"
 
@@ -19,7 +20,7 @@ POINT = "topology string, name string, task_id bigint, id bigint, value bigint"
 def in_files(spark, frame, path, pieces, per_trigger=1):
     """The rows as a stream of files whose rows and order have nothing to do with time."""
     frame.withColumn("_piece", F.pmod(F.xxhash64(*frame.columns), F.lit(pieces))).repartition(pieces, "_piece").drop("_piece").write.parquet(str(path))
-    reader = spark.readStream.schema(frame.schema)
+    reader = keyed_session(spark).readStream.schema(frame.schema)
     return (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).parquet(str(path))
 
 
@@ -38,42 +39,82 @@ def points(spark):
     return spark.createDataFrame(rows, POINT).withColumn("ts", F.timestamp_seconds(F.expr("id * 3 div 2"))).cache()
 
 
-def test_running_totals(points, stream, rows):
-    listed = p.reported_metrics(points)
-    operator = lambda rows: m.metric_series(rows, 5)  # noqa: E731 - slices inside every batch
-    state = run_ordered(p.reported_metrics(stream(points)), m.TASK_METRIC, m.UPDATE_ORDER, operator, "t")
-    batch = m.metric_series(listed)
-    columns = ("name", "task_id", "id", "aggregated")
-    assert rows(state.output(batch.schema), *columns) == rows(batch, *columns)
+# A cell of 37 seconds cuts every test's keys into several; the default keeps them whole.
+CELLS = pytest.mark.parametrize("cell_secs", [37, CELL_SECS])
 
 
-def test_repeated_batch_changes_nothing(spark, points, tmp_path, rows):
-    listed = p.reported_metrics(points)
-    state = Recomputed(spark, str(tmp_path / "state"), listed.schema, m.TASK_METRIC, m.UPDATE_ORDER)
-    state.step(listed.filter("id < 200"), 0, m.metric_series)
-    state.step(listed.filter("id >= 200"), 1, m.metric_series)
-    state.step(listed.filter("id >= 200"), 1, m.metric_series)
-    state.step(listed.filter("id < 0"), 2, m.metric_series)
-    assert rows(state.output(m.metric_series(listed).schema), "id", "aggregated") == rows(m.metric_series(listed), "id", "aggregated")
+@CELLS
+def test_running_totals(points, stream, rows, cell_secs):
+    batch = m.metric_series(p.reported_metrics(points))
+    columns = ("name", "task_id", "id", "aggregated")
+    assert rows(live.metric_series(p.reported_metrics(stream(points)), 5, cell_secs), *columns) == rows(batch, *columns)
 
 
-def test_changes(spark, stream, rows):
+@CELLS
+def test_changes(spark, stream, rows, cell_secs):
     rng = random.Random(2)
     versions = spark.createDataFrame(
-        [(rng.choice("xy"), i, rng.choice("ab")) for i in range(60)], "topology string, id bigint, text string"
+        [(rng.choice(["x", "y", None]), i, rng.choice("ab")) for i in range(120)], "topology string, id bigint, text string"
     ).withColumn("ts", F.timestamp_seconds("id"))
-    state = run_ordered(stream(versions), ["topology"], m.UPDATE_ORDER, lambda r: pl.schedule_changes(r, m.UPDATE_ORDER), "s")
-    assert rows(state.output(versions.schema), "topology", "id", "text") == rows(
-        pl.schedule_changes(versions, m.UPDATE_ORDER), "topology", "id", "text"
-    )
+    columns = (F.coalesce("topology", F.lit("-")), "id", "text")
+    assert rows(live.schedule_changes(stream(versions), cell_secs), *columns) == rows(pl.schedule_changes(versions, m.UPDATE_ORDER), *columns)
     updates = spark.createDataFrame(
-        [("x", rng.randrange(3), rng.randrange(3), i, rng.randrange(3)) for i in range(90)],
+        [("x", rng.randrange(3), rng.randrange(3), i, rng.choice([0, 1, 2, None])) for i in range(150)],
         "topology string, source bigint, target bigint, id bigint, value bigint",
-    ).withColumn("ts", F.timestamp_seconds("id"))
-    state = run_ordered(stream(updates), ["topology", "source", "target"], m.UPDATE_ORDER, m.edge_changes, "c")
-    columns = ("source", "target", "id", "value", F.coalesce("old_value", F.lit(-1)))
-    assert rows(state.output(m.edge_changes(updates).schema), *columns) == rows(m.edge_changes(updates), *columns)
-    assert rows(live.latest_graph(stream(updates))) == rows(m.latest_edges(updates))
+    ).withColumn("ts", F.timestamp_seconds(F.expr("id div 4")))
+    columns = ("source", "target", "id", F.coalesce("value", F.lit(-1)), F.coalesce("old_value", F.lit(-1)))
+    assert rows(live.edge_changes(stream(updates), cell_secs), *columns) == rows(m.edge_changes(updates), *columns)
+    assert rows(live.latest_graph(stream(updates.filter("value is not null")))) == rows(m.latest_edges(updates.filter("value is not null")))
+
+
+def one_file_each(spark, frames, path):
+    """A stream that takes the frames in order, one per batch."""
+    for i, frame in enumerate(frames):
+        frame.coalesce(1).write.parquet(str(path / f"{i:03d}"))
+        at = 1_700_000_000 + i
+        for file in (path / f"{i:03d}").glob("*.parquet"):
+            os.utime(file, (at, at))
+    return spark.readStream.schema(frames[0].schema).option("maxFilesPerTrigger", 1).parquet(str(path / "*"))
+
+
+def ticks(spark, ids):
+    made = spark.createDataFrame([("x", i, i) for i in ids], "topology string, id bigint, value bigint")
+    return made.withColumn("ts", F.timestamp_seconds("id"))
+
+
+def test_a_batch_costs_what_it_brings(spark, tmp_path):
+    """Rows in order are written once however long the history; a late row adds itself and the row it comes before."""
+    frames = [ticks(spark, [i for i in range(40 * b, 40 * b + 40) if i != 77]) for b in range(6)] + [ticks(spark, [77])]
+    own = keyed_session(spark)
+    known = follow(one_file_each(own, frames, tmp_path), ["topology"], m.UPDATE_ORDER, {"before": "value"}, "cost", 100)
+    assert [r[1] for r in sorted(known.versions().groupBy("batch").count().collect())] == [40, 39, 40, 40, 40, 40, 2]
+    late = known.versions().filter("batch = 6").select("id", "before").collect()
+    assert sorted(map(tuple, late)) == [(77, 76), (78, 77)]
+    found = known.rows("known").select("id", "known", "before").collect()
+    assert sorted(map(tuple, found)) == [(i, i > 0, i - 1 if i else None) for i in range(240)]
+
+
+def test_state_goes_after_the_lateness(spark, tmp_path):
+    """Behind the watermark a cell's state is dropped and its late rows too; rows in time count."""
+    frames = [ticks(spark, range(1, 50)), ticks(spark, range(60, 100)), ticks(spark, range(900, 950)), ticks(spark, range(990, 995)), ticks(spark, [55, 951])]
+    known = follow(one_file_each(keyed_session(spark), frames, tmp_path), ["topology"], m.UPDATE_ORDER, {"before": "value"}, "bounded", 50, "60 seconds")
+    found = sorted(r["id"] for r in known.rows("known").collect())
+    assert found == [*range(1, 50), *range(60, 100), *range(900, 950), 951, *range(990, 995)]
+
+
+def test_rows_that_come_twice_and_without_a_time(spark, tmp_path):
+    rows = ticks(spark, [3, 4]).unionByName(ticks(spark, [9]).withColumn("ts", F.lit(None).cast("timestamp")))
+    known = follow(one_file_each(keyed_session(spark), [rows, rows], tmp_path), ["topology"], m.UPDATE_ORDER, {"before": "value"}, "twice")
+    assert known.rows("known").filter("ts is null").select("id", "known").collect() == [(9, False)]
+    assert sorted(r["id"] for r in known.rows("known").collect()) == [3, 4, 9]
+    nothing = follow(one_file_each(keyed_session(spark), [rows.filter("false")], tmp_path / "none"), ["topology"], m.UPDATE_ORDER, {"before": "value"}, "none")
+    assert nothing.rows("known").isEmpty()
+
+
+def test_callers_session_is_left_alone(spark):
+    before = spark.conf.get(PROVIDER_CONF, None)
+    assert keyed_session(keyed_session(spark)).conf.get(PROVIDER_CONF) != before
+    assert spark.conf.get(PROVIDER_CONF, None) == before
 
 
 def test_windows_are_complete(spark, stream, rows):
