@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import pickle
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 from pyspark import cloudpickle
@@ -77,18 +77,23 @@ class Neighbours(StatefulProcessor):
     def unpacked(self, entry: Row) -> list[dict]:
         return [dict(zip(self.names, r, strict=True)) for r in pickle.loads(entry[0])]  # noqa: S301 - the job's own state
 
-    def place(self, row: dict) -> list:
-        return [(row[c] is not None, row[c]) for c in self.order]
+    def place(self, row: dict) -> tuple:
+        return tuple((row[c] is not None, row[c]) for c in self.order)
+
+    def once(self, rows: Iterable[dict], seen: set) -> list[dict]:
+        """The rows in order without those at a place in ``seen`` or one another's."""
+        placed = {self.place(r): r for r in rows}
+        return [placed[at] for at in sorted(placed) if at not in seen]
 
     def emitted(self, row: dict, before: dict | None) -> Row:
         told = [None if before is None else before[c] for c in self.values]
         return self.made(*[row[c] for c in self.names], before is not None, *told)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        fresh = sorted(({c: r[c] for c in self.names} for r in rows), key=self.place)
+        fresh = self.once(({c: r[c] for c in self.names} for r in rows), set())
         held = self.last.get()
         before = None if held is None else self.unpacked(held)[0]
-        if before is None or self.place(before) <= self.place(fresh[0]):
+        if before is None or self.place(before) < self.place(fresh[0]):
             self.rows.appendValue(self.packed(fresh))
             self.last.update(self.packed(fresh[-1:]))
             if self.timed and before is None and key[-1] is not None:
@@ -98,8 +103,10 @@ class Neighbours(StatefulProcessor):
                 before = row
             return
         # Late rows: only this cell is read. A row is sent if it is new or follows a new one.
-        line = [(row, False) for entry in self.rows.get() for row in self.unpacked(entry)]
-        line = sorted([*line, *((r, True) for r in fresh)], key=lambda entry: self.place(entry[0]))
+        old = [row for entry in self.rows.get() for row in self.unpacked(entry)]
+        fresh = self.once(fresh, {self.place(r) for r in old})
+        line = [*((r, False) for r in old), *((r, True) for r in fresh)]
+        line.sort(key=lambda entry: self.place(entry[0]))
         self.rows.put([self.packed([r for r, _ in line])])
         self.last.update(self.packed([line[-1][0]]))
         before, new_before = None, False
