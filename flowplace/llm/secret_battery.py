@@ -6,6 +6,8 @@ serial correlation; the largest deviation, in standard deviations, is the string
 strings pass such tests easily: what is not random deviates in proportion to the root of its length. A score is
 therefore divided by that root and held against ordinary text in its encoding; the mean and spread of the
 logarithms there are fixed values (``NULL``), the same for every table, and give a p-value under "no secret".
+Text in base32 or base64 looks almost random itself, so such strings are also decoded, at every offset, and are no secret if
+what comes out is text. Strings that hold several things (``NAME=value``, paths, joined words) are tested in parts.
 Benjamini-Hochberg over the p-values of all candidates of the corpus bounds the share of false finds.
 """
 
@@ -35,7 +37,10 @@ ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{32,}")
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 
-LONG = re.compile("[A-Za-z0-9+/_=-]{20,}")
+LONG = re.compile("[A-Za-z0-9+/_=-]{16,}")
+WHOLE = re.compile("[A-Za-z0-9+/_-]+=*")  # up to padding: an inner '=' joins a name and a value
+PART = re.compile("[A-Za-z0-9]+")
+LEAST_RANDOM, LEAST_NAMED = 20, 16  # shortest string that is tested, and the same behind a quote, ':' or '='
 SHORTEST = 16  # no pattern but assign matches inside shorter unbroken strings
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ENCODINGS = {
@@ -65,14 +70,24 @@ NULL = {
     "HEX": (278.5, 27.2),
     "lower": (273.1, 29.5),
     "upper": (273.1, 29.5),
-    "base32": (167.6, 34.7),
+    "base32": (284.5, 28.0),
     "lower36": (290.3, 27.3),
     "upper36": (290.3, 27.3),
     "letters": (281.3, 29.5),
     "alnum": (289.0, 28.7),
-    "base64": (232.6, 31.6),
-    "base64url": (232.6, 31.6),
+    "base64": (290.3, 28.6),
+    "base64url": (290.3, 28.6),
 }
+# What a string of an encoding may be decoded as: the alphabet's bits per character, and its order.
+DECODED = {
+    "upper": "base32",
+    "base32": "base32",
+    "letters": "base64",
+    "alnum": "base64",
+    "base64": "base64",
+    "base64url": "base64url",
+}
+TEXT_SHARE, LEAST_STRANGE = 0.2, 3  # decoded bytes are text if fewer than these are no text
 PASSED = 4.0  # a random string deviates more than this in one of 10,000 cases
 FALSE_SHARE = 0.01
 
@@ -119,20 +134,16 @@ def score_bin(token: str, encoding: str) -> int:
 
 
 def ordinary(text: str, encoding: str) -> str:
-    """What the letters of ordinary text give in an encoding."""
+    """What the letters of ordinary text give in an encoding; words joined as they are for base32 and base64, whose text is decoded."""
     words = re.findall("[A-Za-z]+", text)
     raw = " ".join(words).encode()
     if encoding == "digits":
         out = "".join(map(str, raw))
     elif encoding in ("hex", "HEX"):
         out = raw.hex() if encoding == "hex" else raw.hex().upper()
-    elif encoding == "base32":
-        out = base64.b32encode(raw).decode()
-    elif encoding.startswith("base64"):
-        out = (base64.b64encode if encoding == "base64" else base64.urlsafe_b64encode)(raw).decode()
     elif encoding.startswith("lower"):
         out = "".join(words).lower()
-    elif encoding.startswith("upper"):
+    elif encoding.startswith("upper") or encoding == "base32":
         out = "".join(words).upper()
     else:
         out = "".join(w.title() for w in words)
@@ -150,14 +161,58 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def is_text(token: str, encoding: str) -> bool:
+    """Whether the string is text in base32 or base64, from whichever offset."""
+    code = DECODED.get(encoding)
+    if code is None:
+        return False
+    body = token.rstrip("=")
+    for skip in range(8 if code == "base32" else 4):
+        part = body[skip:]
+        if code == "base32":
+            raw = base64.b32decode(part[: len(part) // 8 * 8])
+        else:
+            part = part[: len(part) // 4 * 4]
+            raw = base64.urlsafe_b64decode(part) if code == "base64url" else base64.b64decode(part)
+        told = raw.decode("utf-8", "replace")
+        strange = sum(c == "\ufffd" or (c < " " and c not in "\t\n\r") or c == "\x7f" for c in told)
+        if raw and strange < max(LEAST_STRANGE, TEXT_SHARE * len(told)):
+            return True
+    return False
+
+
+def tested(token: str, passed: float) -> tuple[str, int] | None:
+    """Encoding and bin of a string, the last bin if a test fails it or it is text; None without an encoding."""
+    encoding = infer(token)
+    if encoding is None:
+        return None
+    good = score(token, encoding) <= passed and not is_text(token, encoding)
+    return encoding, score_bin(token, encoding) if good else BINS - 1
+
+
 def candidates(text: str, base: list[tuple[int, int, int]], passed: float) -> list[tuple[int, int, str, int]]:
-    """(start, end, encoding, bin) of long strings that share no character with a base span; the last bin if a test fails them."""
-    out = []
-    if any(len(w) >= SHORTEST for w in text.split()):
-        for m in LONG.finditer(text):
-            if not any(s < m.end() and m.start() < e for s, _, e in base) and (encoding := infer(m[0])):
-                at = score_bin(m[0], encoding) if score(m[0], encoding) <= passed else BINS - 1
-                out.append((m.start(), m.end(), encoding, at))
+    """(start, end, encoding, bin) of long strings that share no character with a base span; the last bin if a test fails them.
+
+    A string without an encoding, or that fails as a whole, is tested in its parts between ``+/-_`` instead.
+    """
+    out: list[tuple[int, int, str, int]] = []
+    if not any(len(w) >= SHORTEST for w in text.split()):
+        return out
+
+    def open_to_test(start: int, end: int) -> bool:
+        least = LEAST_NAMED if start and text[start - 1] in "\"':=" else LEAST_RANDOM
+        return end - start >= least and not any(s < end and start < e for s, _, e in base)
+
+    for m in LONG.finditer(text):
+        for w in WHOLE.finditer(text, m.start(), m.end()):
+            whole = tested(w[0], passed) if open_to_test(w.start(), w.end()) else None
+            parts = []
+            if whole is None or whole[1] == BINS - 1:
+                spans = [p.span() for p in PART.finditer(text, w.start(), w.end())]
+                parts = [(a, b, *tested(text[a:b], passed)) for a, b in spans if b - a < len(w[0].rstrip("=")) and open_to_test(a, b)]
+            if whole is not None and not parts:
+                out.append((w.start(), w.end(), *whole))
+            out += parts
     return out
 
 
@@ -214,11 +269,11 @@ def thresholds(scanned: DataFrame, false_share: float = FALSE_SHARE) -> dict[str
         mean, spread = NULL[encoding]
         p = lambda at, m=mean, s=spread: math.erfc((m - at) / s / math.sqrt(2)) / 2
         found += [(p(at), encoding, at, n) for at, n in counts.items() if at < BINS - 1]
-    tested = sum(sum(c.values()) for c in cands.values())
+    number = sum(sum(c.values()) for c in cands.values())
     limit, seen = 0.0, 0
     for p, _, _, n in sorted(found):
         seen += n
-        if p * tested <= false_share * seen:
+        if p * number <= false_share * seen:
             limit = p
     out: dict[str, int] = {}
     for p, encoding, at, _ in found:
