@@ -37,8 +37,7 @@ def hash_texts(texts: list[str]) -> np.ndarray:
     return (upto[ends] - upto[ends - sizes]).view(np.int32)
 
 
-@F.pandas_udf(T.IntegerType())
-def _java_hash(texts: pd.Series) -> pd.Series:
+def _hash_series(texts: pd.Series) -> pd.Series:
     known = texts.notna()
     out = pd.Series(pd.NA, index=texts.index, dtype="Int32")
     out[known] = hash_texts(texts[known].tolist())
@@ -47,7 +46,8 @@ def _java_hash(texts: pd.Series) -> pd.Series:
 
 def java_hash(text: Column) -> Column:
     """The 32-bit string hash of the JVM, exact for all text."""
-    return _java_hash(text)
+    # Made per call: a UDF that has run holds the session, and this module must stay fit to be sent to tasks.
+    return F.pandas_udf(_hash_series, T.IntegerType())(text)
 
 
 def signed_remainder(hashes: np.ndarray, n: int) -> np.ndarray:
