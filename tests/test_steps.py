@@ -57,6 +57,13 @@ def test_row_function_runs_after_a_hash_in_the_same_process(spark, rows):
     assert steps.append_rows(frame, steps.NextKeys, F.col("k").outer(), F.lit(5), F.lit(2), F.lit("found")).count() == 2
 
 
+def test_opaque_step_runs_after_a_hash_in_the_same_process(spark, rows):
+    frame = spark.createDataFrame([("hello",), (None,)], "k string")
+    assert rows(frame.select(hashing.java_hash(F.col("k")).alias("h")).filter("h is not null"), "h") == [(99162322,)]
+    got = steps.opaque(frame, lambda b: steps.with_bucket(b, "k", 7), "k string, bucket int")
+    assert rows(got.filter("k is not null"), "k", "bucket") == [("hello", 99162322 % 7)]
+
+
 def test_admission_limits_groups_before_the_shuffle(spark, rows):
     frame = spark.range(5_000).select((F.col("id") % 3).alias("source"), F.timestamp_seconds(F.col("id") % 40).alias("ts"), "id").repartition(4)
     few, many = routing.admit_per_period(frame, 4), routing.admit_per_period(frame, routing.GROUP_LIMIT + 2)
