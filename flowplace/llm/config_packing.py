@@ -6,9 +6,11 @@ packing is decided on the histogram of lengths, whatever the number of documents
 1. One scan encodes every document, cuts those beyond the capacity, and writes the pieces.
 2. The histogram (at most ``capacity`` rows) goes to the driver. A *configuration* is a multiset of lengths that fits one
    sequence. The linear program asks for the smallest total use of configurations that covers the histogram.
-   It is solved by multiplicative weights: each length has a weight, a knapsack dynamic program finds the configuration
-   of greatest weight, that configuration is used, and the lengths it covers lose weight.
-3. Uses are rounded down, what is left is solved again, and the last few pieces go best fit, longest first.
+   It is solved by multiplicative weights: each length has a weight, a knapsack dynamic program prices configurations, the one
+   of greatest price and, for every length, the best one that holds it are used if they come near that price, and the
+   lengths they cover lose weight.
+3. Uses are rounded down, then up as far as pieces are left, and what is left is solved again until nothing is. Every sequence
+   is a configuration of the program.
 4. Pieces are ranked by length. The places that the used configurations offer are ranked by length too, so
    a piece's rank *is* its place: a search in a table of runs, without a join.
 """
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import sys
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -34,9 +37,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CAPACITY = 2_048
 END_ID = 0
-ROUNDS = 48  # configurations per phase of the linear program
-PHASES = 6  # times the rest is solved again before it goes best fit
-SMALL = 16  # pieces of at most capacity / SMALL are left out of the program and fill the gaps
+ROUNDS = 8  # times the linear program prices configurations
+PHASES = 6  # times the rest is solved in so many rounds; the last few pieces are priced once each time
+STARTS = (1.0, 1.2)  # powers of the length that prices start with: 1 where sequences can be filled, more where long pieces are in the way
+NEAR = 0.98  # share of the greatest price from which on a configuration is used
 RATE = 0.5  # how fast a covered length loses weight
 CHUNK = 1 << 20  # bytes of text that are encoded at once
 
@@ -55,54 +59,87 @@ class Packing(NamedTuple):
     bound: float  # no packing needs fewer: value of a feasible dual solution, rounded up by the caller
 
 
-def knapsack(price: np.ndarray, most: np.ndarray, capacity: int) -> np.ndarray:
-    """Copies of each length (index) with the greatest total price, at most ``most`` of each, in one sequence.
+Configuration = tuple[np.ndarray, np.ndarray]  # lengths, and how many of each
+
+
+class Prices(NamedTuple):
+    """Greatest price of what is held up to each size, and the items (length, copies) that lead there."""
+
+    best: np.ndarray
+    items: list[tuple[int, int]]
+    last: list[np.ndarray]  # per item and size: the last item taken, of those so far; -1 for none
 
-    Copies are taken in powers of two, so a length costs the logarithm of its copies. Among equal prices the fuller sequence wins,
-    because the table looks at what is used up to each size and prices are positive.
+    def held(self, size: int, *more: int) -> Configuration:
+        """The configuration of greatest price up to ``size``, and ``more`` lengths."""
+        found, at = Counter(more), len(self.items)
+        while at and (at := int(self.last[at - 1][size])) >= 0:
+            length, copies = self.items[at]
+            found[length] += copies
+            size -= length * copies
+        return np.array(list(found), np.int64), np.array(list(found.values()), np.int64)
+
+
+def prices(price: np.ndarray, most: np.ndarray, capacity: int) -> Prices:
+    """The knapsack table over lengths (index), at most ``most`` of each.
+
+    Copies are taken in powers of two, so a length costs the logarithm of its copies. Long lengths come first, and among equal prices
+    they stay, so short ones are kept for the gaps.
     """
-    best, taken = np.zeros(capacity + 1), []
-    for length in np.flatnonzero(most)[::-1]:
+    best, items, rows = np.zeros(capacity + 1), [], []
+    last = np.full(capacity + 1, -1, np.int32)
+    for length in np.flatnonzero(most)[::-1].tolist():
         left, size = int(min(most[length], capacity // length)), 1
         while left > 0:
             copies = min(size, left)
-            width, worth = copies * length, copies * price[length]
-            better = best[:-width] + worth
-            won = better > best[width:]
-            best[width:] = np.where(won, better, best[width:])
-            taken.append((length, copies, won))
+            width = copies * length
+            worth = best[:-width] + copies * price[length]
+            last = last.copy()
+            np.copyto(last[width:], len(items), where=worth > best[width:])
+            np.maximum(best[width:], worth, out=best[width:])
+            items.append((length, copies))
+            rows.append(last)
             left, size = left - copies, size * 2
-    out, at = np.zeros(len(most), np.int64), capacity
-    for length, copies, won in reversed(taken):
-        width = copies * length
-        if at >= width and won[at - width]:
-            out[length] += copies
-            at -= width
+    return Prices(best, items, rows)
+
+
+def knapsack(price: np.ndarray, most: np.ndarray, capacity: int) -> np.ndarray:
+    """Copies of each length (index) with the greatest total price, at most ``most`` of each, in one sequence."""
+    out = np.zeros(len(most), np.int64)
+    lengths, copies = prices(price, most, capacity).held(capacity)
+    out[lengths] = copies
     return out
 
 
-def weigh(demand: np.ndarray, capacity: int, rounds: int) -> tuple[list[tuple[np.ndarray, float]], float]:
+def weigh(demand: np.ndarray, capacity: int, rounds: int, start: float = 1.0) -> tuple[list[tuple[Configuration, float]], float]:
     """Fractional uses ``(configuration, uses)`` that together cover about ``demand``, and the best lower bound seen.
 
-    Weights start at the share of the tokens, the dual solution that is exact where sequences can be filled.
+    Prices start at ``length ** start``; 1 is the dual solution that is exact where sequences can be filled. The first
+    configuration is always one that ``demand`` can pay for.
     """
-    length = np.flatnonzero(demand)
-    need = demand[length].astype(np.float64)
-    weight = length * need / (length @ need)
-    uses, covered, bound = [], np.zeros(len(length)), 0.0
+    length, need = np.flatnonzero(demand), demand.astype(np.float64)
+    weight = length**start * need[length]
+    weight /= weight.sum()
+    uses, covered, bound = [], np.zeros(len(need)), 0.0
     for _ in range(rounds):
-        price = np.zeros(len(demand))
-        price[length] = weight / need
-        shape = knapsack(price, demand, capacity)
-        own = shape[length].astype(np.float64)
-        bound = max(bound, weight.sum() / (own @ (weight / need)))
-        # The use after which its scarcest length is covered, or what is open of it.
-        used = own > 0
-        open_ = np.maximum(need - covered, 0.0)[used] / own[used]
-        step = max(float(open_.min()), float((need[used] / own[used]).min()) / rounds)
-        uses.append((shape, step))
-        covered += step * own
-        weight = weight * np.exp(-RATE * np.minimum(1.0, step * own / need))
+        price = np.zeros(len(need))
+        price[length] = weight / need[length]
+        table = prices(price, demand, capacity)
+        top = table.best[capacity]
+        bound = max(bound, weight.sum() / top)
+        near = length[price[length] + table.best[capacity - length] >= NEAR * top][::-1]
+        before = covered.copy()
+        for own in [None, *near.tolist()]:
+            if own is not None and covered[own] >= need[own]:
+                continue
+            held, copies = table.held(capacity) if own is None else table.held(capacity - own, own)
+            if (copies > demand[held]).any():
+                continue
+            # The use after which its scarcest length is covered.
+            step = float((np.maximum(need[held] - covered[held], 0.0) / copies).min())
+            if step > 0:
+                uses.append(((held, copies), step))
+                covered[held] += step * copies
+        weight = weight * np.exp(-RATE * np.minimum(1.0, (covered - before)[length] / need[length]))
         weight /= weight.sum()
         if (covered >= need).all():
             break
@@ -110,7 +147,7 @@ def weigh(demand: np.ndarray, capacity: int, rounds: int) -> tuple[list[tuple[np
 
 
 def fill(opened: list[tuple[np.ndarray, int]], left: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
-    """Best fit for what is ``left``: the longest that still fits, into opened sequences first, fullest first, then into new ones.
+    """Best fit, which the program is held against; no packing is made by it. For what is ``left``: the longest that still fits, into opened sequences first, fullest first, then into new ones.
 
     Equal sequences are filled at once, so the work follows the number of lengths and not that of pieces.
     """
@@ -141,48 +178,48 @@ def fill(opened: list[tuple[np.ndarray, int]], left: np.ndarray, capacity: int)
     return out
 
 
-def solved(histogram: np.ndarray, capacity: int, rounds: int, phases: int) -> tuple[list[tuple[np.ndarray, int]], float]:
-    """Whole uses of configurations for the pieces that are not small, small ones filled in afterwards; and the lower bound."""
-    left = histogram.copy()
-    small = np.arange(len(left)) <= capacity // SMALL
-    bound, chosen = 0.0, []
-    for phase in range(phases):
-        demand = np.where(small, 0, left)
-        before = demand.sum()
-        if not before:
-            break
-        uses, low = weigh(demand, capacity, rounds)
+def solved(histogram: np.ndarray, capacity: int, rounds: int, phases: int, start: float = 1.0) -> tuple[list[tuple[Configuration, int]], float]:
+    """Whole uses of configurations that hold all pieces, and the lower bound of the first solution."""
+    left, bound, phase = histogram.copy(), 0.0, 0
+    chosen: Counter[tuple[tuple[int, ...], tuple[int, ...]]] = Counter()
+    while left.any():
+        uses, low = weigh(left, capacity, rounds if phase < phases else 1, start)
         bound = low if phase == 0 else bound
-        for shape, step in sorted(uses, key=lambda u: -u[1]):
-            held = np.flatnonzero(shape)
-            count = min(int(step), int((left[held] // shape[held]).min()))
-            if count:
-                left[held] -= count * shape[held]
-                chosen.append((shape, count))
-        if np.where(small, 0, left).sum() > before - before // 8:
-            break
-    return fill(chosen, left, capacity), bound
+        uses.sort(key=lambda u: -u[0][0].max())
+        for down in (True, False):
+            for (held, copies), step in uses:
+                count = min(int(step) if down else 1, int((left[held] // copies).min()))
+                if count:
+                    left[held] -= count * copies
+                    chosen[tuple(held.tolist()), tuple(copies.tolist())] += count
+        phase += 1
+    return [((np.array(held), np.array(copies)), count) for (held, copies), count in chosen.items()], bound
 
 
 def plan(histogram: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS, phases: int = PHASES) -> Packing:
     """How often to use which configuration, so that all pieces of the histogram (index: length) have a place.
 
-    The rounded program is held against best fit on the whole histogram, which is the better one where the program has too few rounds
-    for its number of lengths; the packing with fewer sequences is used.
+    The program is solved from each of STARTS, unless a solution meets the bound; the one with the fewest sequences is used.
     """
     histogram = np.array(histogram, np.int64)
-    rounded, bound = solved(histogram, capacity, rounds, phases)
-    chosen = min(rounded, fill([], histogram, capacity), key=lambda found: sum(count for _, count in found))
+    tokens = float(histogram @ np.arange(len(histogram)))
+    chosen, bound, fewest = [], tokens / capacity, np.inf
+    for start in STARTS:
+        found, low = solved(histogram, capacity, rounds, phases, start)
+        total, bound = sum(count for _, count in found), max(bound, low)
+        if total < fewest:
+            chosen, fewest = found, total
+        if fewest < bound - 1e-6 + 1:
+            break
     runs, base = [], 0
-    for shape, count in chosen:
+    for (lengths, copies), count in chosen:
         held, offset = [], 0
-        for length in np.flatnonzero(shape)[::-1].tolist():
-            held.append((length, int(shape[length]), offset))
-            offset += length * int(shape[length])
+        for length, n in sorted(zip(lengths.tolist(), copies.tolist(), strict=True), reverse=True):
+            held.append((length, n, offset))
+            offset += length * n
         runs.append(Run(base, count, held))
         base += count
-    tokens = float(histogram @ np.arange(len(histogram)))
-    return Packing(runs, base, max(bound, tokens / capacity))
+    return Packing(runs, base, bound)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, doc_id: str, text: str) -> DataFrame:

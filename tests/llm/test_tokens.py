@@ -176,6 +176,28 @@ def test_program_beats_best_fit_where_lengths_are_awkward():
     assert many.sequences < 0.95 * 1_000 * greedy
 
 
+def test_every_sequence_is_a_configuration_of_the_program(monkeypatch):
+    rng = np.random.default_rng(1)
+    spread = np.bincount(np.minimum(2_048, rng.lognormal(6, 1.2, 8_000).astype(int) + 1), minlength=2_049)
+    awkward = np.bincount(rng.integers(500, 900, 8_000), minlength=2_049)
+    greedy = [sum(n for _, n in config_packing.fill([], h, 2_048)) for h in (spread, awkward)]
+
+    def never(*_):
+        raise AssertionError("best fit placed pieces")
+
+    monkeypatch.setattr(config_packing, "fill", never)
+    many, few = config_packing.plan(spread), config_packing.plan(awkward)
+    assert many.sequences <= min(greedy[0], many.bound + 2)
+    assert few.sequences < 0.95 * greedy[1]
+    for packing, histogram in ((many, spread), (few, awkward)):
+        held = np.zeros(2_049, np.int64)
+        for run in packing.runs:
+            assert sum(length * copies for length, copies, _ in run.held) <= 2_048
+            for length, copies, _ in run.held:
+                held[length] += copies * run.count
+        assert held.tolist() == histogram.tolist()
+
+
 def check_packed(docs, rows, capacity=config_packing.CAPACITY):
     library = Tokenizer.from_file(BYTES)
     placed, pieces = config_packing.pack(docs, BYTES, capacity)
