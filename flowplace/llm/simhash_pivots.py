@@ -10,12 +10,13 @@ differing bits leave two blocks untouched, so every pair within three bits share
 the ten pairs of blocks. Nothing within the radius is lost. All work is on distinct
 fingerprints; copies take part once.
 
-Near copies at a similarity of shingle sets are far beyond three bits, so fingerprints take no part: texts meet by
-the first shingles of their sets in one order, parity sketches discard pairs, and the sets themselves decide.
+Near copies at a similarity of shingle sets may be far beyond three bits. Fingerprints and pivots propose their pairs first; the rest
+meet by the first shingles of their sets in one order, parity sketches discard pairs, and the sets themselves decide on all.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import sys
 from fractions import Fraction
@@ -36,6 +37,7 @@ PIVOTS = 16
 BLOCK = 1 << 16  # shingles whose bits are counted at once
 OFTEN = 8  # texts that make a shingle a frequent one
 SKETCH = 1_024  # bits of the sketch that bounds the difference of two sets from below
+FOLDED = 256  # bits of the sketch that go along where pairs meet
 FREQUENT = 1 << 16  # frequent shingles that are told apart; the only thing of the near copies that tasks carry
 
 
@@ -181,7 +183,7 @@ def frequent_shingles(docs: DataFrame, words: int, text: str) -> list[int]:
 
 
 def shingle_prefixes(docs: DataFrame, words: int, similarity: float, last: list[int], doc_id: str, text: str) -> DataFrame:
-    """doc_id, row_key, node (digest of the set of shingles), size of the set, its prefix and its sketch.
+    """doc_id, row_key, node (digest of the set of shingles), fingerprint, size of the set, its prefix and its sketch.
 
     All sets are put in one order, shingles in ``last`` behind all others. A set at least ``similarity``
     like this one holds ``ceil(similarity * size)`` of its shingles or more, so what both have in common
@@ -200,9 +202,11 @@ def shingle_prefixes(docs: DataFrame, words: int, similarity: float, last: list[
         import xxhash
 
         nodes, sizes, prefixes = [], [], []
+        bits = np.zeros((batch.num_rows, 64), bool)
         parity = np.zeros((batch.num_rows, SKETCH), bool)
         for i, body in enumerate(batch.column("text").to_pylist()):
             found = np.unique(shingle_hashes(body, words))
+            bits[i] = majority(found)
             parity[i] = np.bincount((found % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) % 2
             nodes.append(xxhash.xxh64_intdigest(found.tobytes(), SEED) - (1 << 63))
             sizes.append(len(found))
@@ -210,26 +214,49 @@ def shingle_prefixes(docs: DataFrame, words: int, similarity: float, last: list[
                 at = np.minimum(np.searchsorted(known, found), len(known) - 1)
                 found = found[np.argsort(np.where(known[at] == found, by_hash[at] + 1, 0), kind="stable")]
             prefixes.append(found[: len(found) + 1 - -(-over * len(found) // under)].view(np.int64))
-        columns = [batch.column("doc_id"), batch.column("row_key"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32())]
+        columns = [batch.column("doc_id"), batch.column("row_key"), pa.array(nodes, pa.int64()), pa.array(packed(bits)[:, 0]), pa.array(sizes, pa.int32())]
         offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * (SKETCH // 64))
         sketches = pa.ListArray.from_arrays(offsets, pa.array(packed(parity).reshape(-1)))
         return pa.RecordBatch.from_arrays(
-            [*columns, pa.array(prefixes, pa.list_(pa.int64())), sketches], ["doc_id", "row_key", "node", "size", "prefix", "sketch"]
+            [*columns, pa.array(prefixes, pa.list_(pa.int64())), sketches],
+            ["doc_id", "row_key", "node", "fingerprint", "size", "prefix", "sketch"],
         )
 
     zero = F.lit(0).cast("long")
-    shape = rows.select("doc_id", "row_key", zero.alias("node"), F.lit(0).alias("size"), F.array(zero).alias("prefix"), F.array(zero).alias("sketch")).schema
+    empty = [zero.alias("node"), zero.alias("fingerprint"), F.lit(0).alias("size"), F.array(zero).alias("prefix"), F.array(zero).alias("sketch")]
+    shape = rows.select("doc_id", "row_key", *empty).schema
     return rows.mapInArrow(per_chunk(work, "text"), shape)
 
 
+def proposed(sets: DataFrame, radius: int = 3) -> DataFrame:
+    """Pairs ``(a, b)`` of nodes whose fingerprints are close, by :func:`links`; nodes of one fingerprint pair with the smallest of them."""
+    nodes = sets.select("fingerprint", "node").distinct()
+    heads = materialise(nodes.groupBy("fingerprint").agg(F.min("node").alias("head")), "simhash")
+    equal = nodes.join(heads, "fingerprint").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    side = lambda s: heads.select(F.col("fingerprint").alias(s), F.col("head").alias(f"{s}_head"))
+    close = links(heads, radius).join(side("a"), "a").join(side("b"), "b")
+    close = close.select(F.least("a_head", "b_head").alias("a"), F.greatest("a_head", "b_head").alias("b"))
+    return equal.filter("a <> b").unionByName(close)
+
+
+def folded() -> list[Column]:
+    """The sketch of FOLDED bits as columns ``f0, f1, ...``: parities of shingles again, so they differ in no more bits than the sets."""
+    words, all_words = FOLDED // 64, SKETCH // 64
+    fold = lambda i: functools.reduce(Column.bitwiseXOR, [F.element_at("sketch", j + 1) for j in range(i, all_words, words)])
+    return [fold(i).alias(f"f{i}") for i in range(words)]
+
+
 def may_be_similar(a: DataFrame, b: DataFrame, similarity: float, *more: Column) -> DataFrame:
-    """Pairs ``(a, b)`` of nodes that share a band, are of like size and have enough shingles left behind the shared one."""
+    """Pairs ``(a, b)`` of nodes that share a band, are of like size, have enough shingles left behind the shared one and folded
+    sketches that leave room for the similarity."""
     over, under = exact_share(similarity)
     a, b = a.alias("a"), b.alias("b")
     least = F.least(F.col("a.size"), F.col("b.size"))
     most = F.greatest(F.col("a.size"), F.col("b.size"))
     left = F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place"))
     fits = (least * under >= most * over) & (left * (over + under) >= (least + most) * over)
+    apart = sum(F.bit_count(F.col(f"a.f{i}").bitwiseXOR(F.col(f"b.f{i}"))) for i in range(FOLDED // 64))
+    fits = fits & (apart * (over + under) <= (least + most) * (under - over))
     met = a.join(b, [F.col("a.band") == F.col("b.band"), F.col("a.node") < F.col("b.node"), fits, *more])
     return met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
 
@@ -276,20 +303,21 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc
     """Rows that have a near duplicate: doc_id, row_key, root (the group).
 
     Texts are similar when the Jaccard similarity of their sets of shingles is ``similarity`` or more. Texts with
-    equal sets are one node. Nodes meet by the shingles of their prefixes, which no similar pair can miss; sketches discard pairs before any
-    set is moved, and both whole sets decide. In each band every node is first held against the smallest one, then against all nodes
+    equal sets are one node. Close fingerprints propose pairs; nodes also meet by the shingles of their prefixes, which no similar pair can
+    miss; sketches discard pairs before any set is moved, and both whole sets decide. In each band every node is first held against the smallest one, then against all nodes
     that this has not put into its own group. Tables are deleted as soon as their successors are written.
     """
     last = frequent_shingles(docs, words, text)
     sets = materialise(shingle_prefixes(docs, words, similarity, last, doc_id, text), "simhash")
     # Equal sets are one node, and its prefix is the same.
-    keys = sets.select("node", "size", F.posexplode("prefix").alias("place", "band"))
+    keys = sets.select("node", "size", *folded(), F.posexplode("prefix").alias("place", "band"))
     ends = keys.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("band", "low")
     shared = materialise(ends, "simhash")
     likely = flag(keys, "band", "shared", sketch(shared, "band")).filter("shared").drop("shared")
-    members = materialise(likely.join(shared, "band").distinct(), "simhash")
+    members = materialise(likely.join(shared, "band").dropDuplicates(["band", "node"]), "simhash")
     discard(shared)
-    pairs = materialise(may_be_similar(members.filter("node = low"), members, similarity), "simhash")
+    first = may_be_similar(members.filter("node = low"), members, similarity)
+    pairs = materialise(proposed(sets).unionByName(first).distinct(), "simhash")
     found = similar_pairs(pairs, sets, docs, words, similarity, doc_id, text)
     root = materialise(components(found), "simhash")
     # All pairs with the smallest node are settled; of the others a band needs those of different groups.

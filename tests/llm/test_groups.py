@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from flowplace.llm import common, exact_refine, hilbert_shards, simhash_pivots, winnow
 
@@ -332,3 +333,31 @@ def test_near_copies_agree_with_all_pairs(spark):
     want = {min(j for j, s in enumerate(roots) if s == r) for r in roots}
     left = simhash_pivots.drop_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"] for r in left} == want and 6 < len(want) < len(rows)
+
+
+def test_fingerprints_propose_pairs_and_folds_lose_none(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(40):
+        base = [f"p{int(w)}" for w in rng.integers(0, 10**9, 400)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[:-1]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = simhash_pivots.shingle_prefixes(docs, 5, 0.8, [], "doc_id", "text").localCheckpoint()
+    node = {r["doc_id"]: r for r in sets.select("doc_id", "node", "fingerprint", *simhash_pivots.folded()).collect()}
+    got = {frozenset(r) for r in simhash_pivots.proposed(sets).collect()}
+    bits = lambda x, y: ((x ^ y) & (2**64 - 1)).bit_count()
+    close = {frozenset((a["node"], b["node"])) for a in node.values() for b in node.values() if a["doc_id"] < b["doc_id"] and bits(a["fingerprint"], b["fingerprint"]) <= 3}
+    assert got == close and len(got) > 20
+    for i in range(40):
+        a, b = node[2 * i], node[2 * i + 1]
+        assert sum(bits(a[f"f{j}"], b[f"f{j}"]) for j in range(4)) == 1  # one shingle more
+
+
+def test_texts_of_one_template_do_not_meet_in_squares(spark):
+    rng = np.random.default_rng(7)
+    template = [f"t{i}" for i in range(64)]
+    rows = [(i, " ".join(template + [f"o{int(w)}" for w in rng.integers(0, 10**9, 40)])) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = simhash_pivots.shingle_prefixes(docs, 5, 0.8, [], "doc_id", "text")
+    keys = sets.select("node", "size", *simhash_pivots.folded(), F.posexplode("prefix").alias("place", "band")).localCheckpoint()
+    assert simhash_pivots.may_be_similar(keys, keys, 0.8).count() < 150
