@@ -16,7 +16,6 @@ meet by the first shingles of their sets in one order, parity sketches discard p
 
 from __future__ import annotations
 
-import functools
 import itertools
 import sys
 from fractions import Fraction
@@ -24,7 +23,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowplace.llm.common import components, discard, flag, per_chunk, sketch, text_of
@@ -36,8 +35,8 @@ SEED = 42
 PIVOTS = 16
 BLOCK = 1 << 16  # shingles whose bits are counted at once
 OFTEN = 8  # texts that make a shingle a frequent one
-SKETCH = 1_024  # bits of the sketch that bounds the difference of two sets from below
-FOLDED = 256  # bits of the sketch that go along where pairs meet
+SKETCH = 2  # bits per shingle, at least, of the sketch that bounds the difference of two sets from below
+FOLDED = 256  # bits of the sketch that go along where pairs meet, and its least size
 FREQUENT = 1 << 16  # frequent shingles that are told apart; the only thing of the near copies that tasks carry
 
 
@@ -188,7 +187,7 @@ def shingle_prefixes(docs: DataFrame, words: int, similarity: float, last: list[
     All sets are put in one order, shingles in ``last`` behind all others. A set at least ``similarity``
     like this one holds ``ceil(similarity * size)`` of its shingles or more, so what both have in common
     begins within the first ``size - ceil(similarity * size) + 1`` of either: the prefix. A bit of the sketch is the parity of the shingles that
-    fall on it, so sketches differ in no more bits than the sets in shingles.
+    fall on it, so sketches differ in no more bits than the sets in shingles. It grows with its set: one of fixed size says nothing about a long text.
     """
     over, under = exact_share(similarity)
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), text_of(f"`{text}`").alias("text")).withColumn(
@@ -201,13 +200,14 @@ def shingle_prefixes(docs: DataFrame, words: int, similarity: float, last: list[
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         import xxhash
 
-        nodes, sizes, prefixes = [], [], []
+        nodes, sizes, prefixes, sketches = [], [], [], []
         bits = np.zeros((batch.num_rows, 64), bool)
-        parity = np.zeros((batch.num_rows, SKETCH), bool)
         for i, body in enumerate(batch.column("text").to_pylist()):
             found = np.unique(shingle_hashes(body, words))
             bits[i] = majority(found)
-            parity[i] = np.bincount((found % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) % 2
+            wide = max(FOLDED, 1 << (SKETCH * len(found)).bit_length())
+            parity = np.bincount((found % np.uint64(wide)).astype(np.int64), minlength=wide) % 2
+            sketches.append(packed(parity.astype(bool)[None])[0])
             nodes.append(xxhash.xxh64_intdigest(found.tobytes(), SEED) - (1 << 63))
             sizes.append(len(found))
             if len(known) and len(found):
@@ -215,10 +215,8 @@ def shingle_prefixes(docs: DataFrame, words: int, similarity: float, last: list[
                 found = found[np.argsort(np.where(known[at] == found, by_hash[at] + 1, 0), kind="stable")]
             prefixes.append(found[: len(found) + 1 - -(-over * len(found) // under)].view(np.int64))
         columns = [batch.column("doc_id"), batch.column("row_key"), pa.array(nodes, pa.int64()), pa.array(packed(bits)[:, 0]), pa.array(sizes, pa.int32())]
-        offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * (SKETCH // 64))
-        sketches = pa.ListArray.from_arrays(offsets, pa.array(packed(parity).reshape(-1)))
         return pa.RecordBatch.from_arrays(
-            [*columns, pa.array(prefixes, pa.list_(pa.int64())), sketches],
+            [*columns, pa.array(prefixes, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
             ["doc_id", "row_key", "node", "fingerprint", "size", "prefix", "sketch"],
         )
 
@@ -239,11 +237,30 @@ def proposed(sets: DataFrame, radius: int = 3) -> DataFrame:
     return equal.filter("a <> b").unionByName(close)
 
 
+def fold(sketch: str, word: Column, width: Column) -> Column:
+    """A word of the sketch folded to ``width`` words: parities of shingles again, so they differ in no more bits than the sets."""
+    return F.aggregate(F.sequence(word, F.size(sketch), width), F.lit(0).cast("long"), lambda t, at: t.bitwiseXOR(F.element_at(sketch, at)))
+
+
 def folded() -> list[Column]:
-    """The sketch of FOLDED bits as columns ``f0, f1, ...``: parities of shingles again, so they differ in no more bits than the sets."""
-    words, all_words = FOLDED // 64, SKETCH // 64
-    fold = lambda i: functools.reduce(Column.bitwiseXOR, [F.element_at("sketch", j + 1) for j in range(i, all_words, words)])
-    return [fold(i).alias(f"f{i}") for i in range(words)]
+    """The sketch of FOLDED bits as columns ``f0, f1, ...``."""
+    words = FOLDED // 64
+    return [fold("sketch", F.lit(i + 1), F.lit(words)).alias(f"f{i}") for i in range(words)]
+
+
+def band_members(sets: DataFrame) -> DataFrame:
+    """Nodes that meet others: band, node, low (the band's smallest node), place, size and folded sketch.
+
+    Shingles whose prefixes are the same nodes' bring the same pairs, so they are one band, named by a digest of its nodes. All sets are in one
+    order, so the smallest places of two nodes in a band are those of the same shingle. Were two digests equal, more pairs would meet, and none less.
+    """
+    keys = sets.select("node", F.posexplode("prefix").alias("place", "shingle")).repartition("shingle")
+    nodes = keys.groupBy("shingle", "node").agg(F.min("place").alias("place"))
+    holders = Window.partitionBy("shingle")
+    ends = [F.min("node").over(holders).alias("low"), F.max("node").over(holders).alias("high")]
+    met = nodes.select("node", "place", *ends, F.bit_xor(F.xxhash64("node")).over(holders).alias("band")).filter("low < high")
+    bands = met.groupBy("band", "node").agg(F.min("low").alias("low"), F.min("place").alias("place"))
+    return bands.join(sets.select("node", "size", *folded()).dropDuplicates(["node"]), "node")
 
 
 def may_be_similar(a: DataFrame, b: DataFrame, similarity: float, *more: Column) -> DataFrame:
@@ -262,16 +279,21 @@ def may_be_similar(a: DataFrame, b: DataFrame, similarity: float, *more: Column)
 
 
 def close_sketches(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``(a, b)`` whose sketches leave room for the similarity. No similar pair is lost, and no set has been moved yet.
+    """The pairs ``(a, b)`` whose sizes and sketches leave room for the similarity. No similar pair is lost, and no set has been moved yet.
 
-    At a Jaccard similarity of t two sets differ in at most ``(1 - t) / (1 + t)`` of the sum of their sizes.
+    At a Jaccard similarity of t two sets differ in at most ``(1 - t) / (1 + t)`` of the sum of their sizes. The longer sketch is folded to the shorter.
     """
     over, under = exact_share(similarity)
-    one = sets.groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    likely = flag(sets.select("node", "size", "sketch"), "node", "paired", sketch(nodes, "node")).filter("paired")
+    one = likely.dropDuplicates(["node"])
     side = lambda s: one.select(F.col("node").alias(s), F.col("size").alias(f"{s}_size"), F.col("sketch").alias(f"{s}_sketch"))
-    bits = F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    width = F.least(F.size("a_sketch"), F.size("b_sketch"))
+    level = lambda s: F.when(F.size(s) == width, F.col(s)).otherwise(F.transform(F.sequence(F.lit(1), width), lambda i: fold(s, i, width)))
+    bits = F.zip_with(level("a_sketch"), level("b_sketch"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     apart = F.aggregate(bits, F.lit(0), lambda t, n: t + n)
-    fits = apart * (under + over) <= (F.col("a_size") + F.col("b_size")) * (under - over)
+    sizes = [F.col("a_size"), F.col("b_size")]
+    fits = (F.least(*sizes) * under >= F.greatest(*sizes) * over) & (apart * (under + over) <= (sizes[0] + sizes[1]) * (under - over))
     return materialise(pairs.join(side("a"), "a").join(side("b"), "b").filter(fits).select("a", "b"), "simhash")
 
 
@@ -284,13 +306,13 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int
     texts = materialise(likely.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("row_key").alias("row_key")), "simhash")
     rows = docs.select(text_of(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{doc_id}`"), text_of(f"`{text}`")).alias("row_key"))
     rows = flag(rows, "row_key", "paired", sketch(texts, "row_key")).filter("paired").select("row_key", "text")
+    rows = rows.join(texts, "row_key").dropDuplicates(["row_key"]).select("node", "text")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [np.unique(shingle_hashes(body, words)).view(np.int64) for body in batch.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("row_key"), pa.array(found, pa.list_(pa.int64()))], ["row_key", "held"])
+        return pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "held"])
 
-    held = rows.mapInArrow(per_chunk(work, "text"), "row_key long, held array<long>")
-    held = materialise(held.join(texts, "row_key").dropDuplicates(["row_key"]).select("node", "held"), "simhash")
+    held = materialise(rows.mapInArrow(per_chunk(work, "text"), "node long, held array<long>"), "simhash")
     side = lambda s: held.select(F.col("node").alias(s), F.col("held").alias(f"{s}_held"))
     both = F.size(F.array_intersect("a_held", "b_held"))
     either = F.size("a_held") + F.size("b_held") - both
@@ -309,13 +331,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc
     """
     last = frequent_shingles(docs, words, text)
     sets = materialise(shingle_prefixes(docs, words, similarity, last, doc_id, text), "simhash")
-    # Equal sets are one node, and its prefix is the same.
-    keys = sets.select("node", "size", *folded(), F.posexplode("prefix").alias("place", "band"))
-    ends = keys.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("band", "low")
-    shared = materialise(ends, "simhash")
-    likely = flag(keys, "band", "shared", sketch(shared, "band")).filter("shared").drop("shared")
-    members = materialise(likely.join(shared, "band").dropDuplicates(["band", "node"]), "simhash")
-    discard(shared)
+    members = materialise(band_members(sets), "simhash")
     first = may_be_similar(members.filter("node = low"), members, similarity)
     pairs = materialise(proposed(sets).unionByName(first).distinct(), "simhash")
     found = similar_pairs(pairs, sets, docs, words, similarity, doc_id, text)

@@ -361,3 +361,24 @@ def test_texts_of_one_template_do_not_meet_in_squares(spark):
     sets = simhash_pivots.shingle_prefixes(docs, 5, 0.8, [], "doc_id", "text")
     keys = sets.select("node", "size", *simhash_pivots.folded(), F.posexplode("prefix").alias("place", "band")).localCheckpoint()
     assert simhash_pivots.may_be_similar(keys, keys, 0.8).count() < 150
+
+
+def test_shingles_of_the_same_texts_are_one_band(spark):
+    base = [f"b{i}" for i in range(200)]
+    docs = spark.createDataFrame([(i, " ".join([*base, *[f"e{j}" for j in range(i)]])) for i in range(3)] + [(9, "alone")], "doc_id long, text string")
+    sets = simhash_pivots.shingle_prefixes(docs, 5, 0.8, [], "doc_id", "text").localCheckpoint()
+    bands = simhash_pivots.band_members(sets).collect()
+    alone = next(r["node"] for r in sets.collect() if r["doc_id"] == 9)
+    # The prefixes have some forty shingles each; the nodes that hold them are at most the four sets of two or three of these texts.
+    assert len({r["band"] for r in bands}) <= 4 and len({r["node"] for r in bands}) == 3 and alone not in {r["node"] for r in bands}
+
+
+def test_sketches_tell_long_texts_apart_and_lose_no_pair(spark):
+    base = [f"l{i}" for i in range(6000)]
+    half = base[:4000] + [f"m{i}" for i in range(2000)]
+    rows = [(0, " ".join(base)), (1, " ".join(half)), (2, " ".join(base[:5000]))]
+    sets = simhash_pivots.shingle_prefixes(spark.createDataFrame(rows, "doc_id long, text string"), 5, 0.8, [], "doc_id", "text").localCheckpoint()
+    node = {r["doc_id"]: r["node"] for r in sets.collect()}
+    pairs = spark.createDataFrame([tuple(sorted((node[a], node[b]))) for a, b in ((0, 1), (0, 2), (1, 2))], "a long, b long")
+    got = {frozenset((r["a"], r["b"])) for r in simhash_pivots.close_sketches(pairs, sets, 0.8).collect()}
+    assert got == {frozenset((node[0], node[2]))}  # 0.83 alike; the others 0.5 and 0.57
