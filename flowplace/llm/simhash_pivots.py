@@ -36,7 +36,7 @@ PIVOTS = 16
 BLOCK = 1 << 16  # shingles whose bits are counted at once
 OFTEN = 8  # texts that make a shingle a frequent one
 SKETCH = 2  # bits per shingle, at least, of the sketch that bounds the difference of two sets from below
-FOLDED = 256  # bits of the sketch that go along where pairs meet, and its least size
+FOLDED = 256  # bits of the sketch that go along where pairs meet; its least size is twice that
 FREQUENT = 1 << 16  # frequent shingles that are told apart; the only thing of the near copies that tasks carry
 
 
@@ -205,7 +205,7 @@ def shingle_prefixes(docs: DataFrame, words: int, similarity: float, last: list[
         for i, body in enumerate(batch.column("text").to_pylist()):
             found = np.unique(shingle_hashes(body, words))
             bits[i] = majority(found)
-            wide = max(FOLDED, 1 << (SKETCH * len(found)).bit_length())
+            wide = max(2 * FOLDED, 1 << (SKETCH * len(found)).bit_length())
             parity = np.bincount((found % np.uint64(wide)).astype(np.int64), minlength=wide) % 2
             sketches.append(packed(parity.astype(bool)[None])[0])
             nodes.append(xxhash.xxh64_intdigest(found.tobytes(), SEED) - (1 << 63))
@@ -249,7 +249,7 @@ def folded() -> list[Column]:
 
 
 def band_members(sets: DataFrame) -> DataFrame:
-    """Nodes that meet others: band, node, low (the band's smallest node), place, size and folded sketch.
+    """Nodes that meet others: band, node, pivot (one of the band's nodes), place, size, folded sketch and the upper half of one twice as long.
 
     Shingles whose prefixes are the same nodes' bring the same pairs, so they are one band, named by a digest of its nodes. All sets are in one
     order, so the smallest places of two nodes in a band are those of the same shingle. Were two digests equal, more pairs would meet, and none less.
@@ -258,13 +258,26 @@ def band_members(sets: DataFrame) -> DataFrame:
     nodes = keys.groupBy("shingle", "node").agg(F.min("place").alias("place"))
     holders = Window.partitionBy("shingle")
     ends = [F.min("node").over(holders).alias("low"), F.max("node").over(holders).alias("high")]
-    met = nodes.select("node", "place", *ends, F.bit_xor(F.xxhash64("node")).over(holders).alias("band")).filter("low < high")
-    bands = met.groupBy("band", "node").agg(F.min("low").alias("low"), F.min("place").alias("place"))
-    return bands.join(sets.select("node", "size", *folded()).dropDuplicates(["node"]), "node")
+    # Pivots are drawn per shingle: with the smallest node a large group would have the same few in all its bands.
+    drawn = F.min(F.struct(F.xxhash64("shingle", "node").alias("draw"), F.col("node").alias("pivot"))).over(holders)
+    met = nodes.select("*", *ends, drawn.alias("drawn"), F.bit_xor(F.xxhash64("node")).over(holders).alias("band")).filter("low < high")
+    bands = met.groupBy("band", "node").agg(F.min("drawn").getField("pivot").alias("pivot"), F.min("place").alias("place"))
+    words = FOLDED // 64
+    upper = [fold("sketch", F.lit(words + i + 1), F.lit(2 * words)).alias(f"h{i}") for i in range(words)]
+    return bands.join(sets.select("node", "size", *folded(), *upper).dropDuplicates(["node"]), "node")
+
+
+def finer(similarity: float) -> Column:
+    """Sketches of twice FOLDED bits leave room for the similarity: ``h`` is the upper half, which folded onto the lower gives ``f``."""
+    over, under = exact_share(similarity)
+    words = range(FOLDED // 64)
+    upper = [F.col(f"a.h{i}").bitwiseXOR(F.col(f"b.h{i}")) for i in words]
+    lower = [F.col(f"a.f{i}").bitwiseXOR(F.col(f"b.f{i}")).bitwiseXOR(upper[i]) for i in words]
+    return sum(F.bit_count(x) for x in upper + lower) * (over + under) <= (F.col("a.size") + F.col("b.size")) * (under - over)
 
 
 def may_be_similar(a: DataFrame, b: DataFrame, similarity: float, *more: Column) -> DataFrame:
-    """Pairs ``(a, b)`` of nodes that share a band, are of like size, have enough shingles left behind the shared one and folded
+    """Pairs ``(a, b)``, ``a < b``, of nodes of two tables that share a band, are of like size, have enough shingles left behind the shared one and folded
     sketches that leave room for the similarity."""
     over, under = exact_share(similarity)
     a, b = a.alias("a"), b.alias("b")
@@ -274,8 +287,9 @@ def may_be_similar(a: DataFrame, b: DataFrame, similarity: float, *more: Column)
     fits = (least * under >= most * over) & (left * (over + under) >= (least + most) * over)
     apart = sum(F.bit_count(F.col(f"a.f{i}").bitwiseXOR(F.col(f"b.f{i}"))) for i in range(FOLDED // 64))
     fits = fits & (apart * (over + under) <= (least + most) * (under - over))
-    met = a.join(b, [F.col("a.band") == F.col("b.band"), F.col("a.node") < F.col("b.node"), fits, *more])
-    return met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    met = a.join(b, [F.col("a.band") == F.col("b.band"), F.col("a.node") != F.col("b.node"), fits, *more])
+    ends = [F.col("a.node"), F.col("b.node")]
+    return met.select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b")).distinct()
 
 
 def close_sketches(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -326,24 +340,25 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc
 
     Texts are similar when the Jaccard similarity of their sets of shingles is ``similarity`` or more. Texts with
     equal sets are one node. Close fingerprints propose pairs; nodes also meet by the shingles of their prefixes, which no similar pair can
-    miss; sketches discard pairs before any set is moved, and both whole sets decide. In each band every node is first held against the smallest one, then against all nodes
+    miss; sketches discard pairs before any set is moved, and both whole sets decide. In each band every node is first held against one of them, the pivot, then against all nodes
     that this has not put into its own group. Tables are deleted as soon as their successors are written.
     """
     last = frequent_shingles(docs, words, text)
     sets = materialise(shingle_prefixes(docs, words, similarity, last, doc_id, text), "simhash")
     members = materialise(band_members(sets), "simhash")
-    first = may_be_similar(members.filter("node = low"), members, similarity)
+    first = may_be_similar(members.filter("node = pivot"), members, similarity, finer(similarity))
     pairs = materialise(proposed(sets).unionByName(first).distinct(), "simhash")
     found = similar_pairs(pairs, sets, docs, words, similarity, doc_id, text)
     root = materialise(components(found), "simhash")
-    # All pairs with the smallest node are settled; of the others a band needs those of different groups.
-    inner = members.filter("node <> low").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # All pairs with the pivot are settled; of the others a band needs those of different groups.
+    inner = members.filter("node <> pivot").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     inner = materialise(inner, "simhash")
     discard(members)
     open_bands = inner.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("band")
     opened = materialise(inner.join(open_bands, "band", "left_semi"), "simhash")
     discard(inner)
-    rest = may_be_similar(opened, opened, similarity, F.col("a.root") != F.col("b.root")).join(pairs, ["a", "b"], "left_anti")
+    once = [F.col("a.node") < F.col("b.node"), F.col("a.root") != F.col("b.root"), finer(similarity)]
+    rest = may_be_similar(opened, opened, similarity, *once).join(pairs, ["a", "b"], "left_anti")
     rest = materialise(rest, "simhash")
     discard(opened, pairs)
     if not rest.isEmpty():

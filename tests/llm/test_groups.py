@@ -382,3 +382,20 @@ def test_sketches_tell_long_texts_apart_and_lose_no_pair(spark):
     pairs = spark.createDataFrame([tuple(sorted((node[a], node[b]))) for a, b in ((0, 1), (0, 2), (1, 2))], "a long, b long")
     got = {frozenset((r["a"], r["b"])) for r in simhash_pivots.close_sketches(pairs, sets, 0.8).collect()}
     assert got == {frozenset((node[0], node[2]))}  # 0.83 alike; the others 0.5 and 0.57
+
+
+def test_bands_of_one_group_have_different_pivots(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(40):
+        copy = [f"b{j}" for j in range(200)]
+        for at in rng.integers(0, 200, 10):
+            copy[at] = f"x{int(rng.integers(0, 10**9))}"
+        rows.append((i, " ".join(copy)))
+    sets = simhash_pivots.shingle_prefixes(spark.createDataFrame(rows, "doc_id long, text string"), 5, 0.8, [], "doc_id", "text")
+    bands = {}
+    for r in simhash_pivots.band_members(sets).collect():
+        bands.setdefault(r["band"], []).append(r)
+    # Each band has one pivot, a node of its own; the smallest node of the group is by far not the pivot of most.
+    assert all(len({r["pivot"] for r in rs}) == 1 and rs[0]["pivot"] in {r["node"] for r in rs} for rs in bands.values())
+    assert len({rs[0]["pivot"] for rs in bands.values()}) > 15
