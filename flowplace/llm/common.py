@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -147,17 +150,43 @@ def chunks(batch: pa.RecordBatch, column: str | int, limit: int = CHUNK) -> Iter
         yield batch.slice(start)
 
 
+def kept(operator: str, name: str, make: Callable[[], Any]) -> Any:
+    """``make()``, kept in the Python worker for later tasks of the same operator; a task of another one drops it."""
+    own = sys.__dict__.setdefault("_flowplace_kept", {}).setdefault(operator, {})
+    if name not in own:
+        own[name] = make()
+    return own[name]
+
+
+def make_room(operator: str | None = None) -> None:
+    """Drop what other operators keep in this Python worker and give memory that is not in use back to the system.
+
+    A worker lives on for the tasks of all stages and shares the executor's memory with the JVM.
+    """
+    held = sys.__dict__.get("_flowplace_kept", {})
+    others = [k for k in held if k != operator]
+    for k in others:
+        del held[k]
+    if others:
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):  # glibc alone has it
+        libc.malloc_trim(0)
+
+
 def per_chunk(
-    work: Callable[[pa.RecordBatch], pa.RecordBatch], column: str | int, limit: int = CHUNK
+    work: Callable[[pa.RecordBatch], pa.RecordBatch], column: str | int, limit: int = CHUNK, operator: str | None = None
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Apply ``work`` to bounded slices of every Arrow batch."""
+    """Apply ``work`` to bounded slices of every Arrow batch. ``operator`` names what :func:`kept` holds for ``work``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401 - binds pa.compute in the worker
 
+        make_room(operator)
         for batch in batches:
             for piece in chunks(batch, column, limit):
                 yield work(piece)
-        pa.default_memory_pool().release_unused()  # the worker lives on for other tasks
+        make_room(operator)  # the worker lives on for other tasks
 
     return run

@@ -23,7 +23,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowplace.llm.common import per_chunk, text_of
+from flowplace.llm.common import kept, per_chunk, text_of
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -31,6 +31,7 @@ MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 KNOWN = 400_000  # words, and pairs of pieces, that a worker remembers; it starts anew beyond
 CHUNK = 1 << 20  # bytes of text that are cut into words at once
+OPERATOR = "piece_trie"  # owner of what a worker keeps
 NO_SCORE = -1e9  # pieces at or below this score take no part in sums
 
 
@@ -161,11 +162,8 @@ class Trie:
 
 
 def worker_trie(path: str) -> Trie:
-    """One encoder per Python worker and model."""
-    kept = sys.__dict__.setdefault("_piece_trie_models", {})
-    if path not in kept:
-        kept[path] = Trie(path)
-    return kept[path]
+    """One encoder per Python worker and model, until the worker turns to another operator."""
+    return kept(OPERATOR, path, lambda: Trie(path))
 
 
 def encode_pieces(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -183,7 +181,7 @@ def encode_pieces(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str
         flat = np.concatenate([np.empty(0, np.int32), *found])
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(ends, pa.array(flat))], ["doc_id", "ids"])
 
-    return rows.mapInArrow(per_chunk(work, "text", CHUNK), rows.select("doc_id", F.array(F.lit(0)).alias("ids")).schema)
+    return rows.mapInArrow(per_chunk(work, "text", CHUNK, OPERATOR), rows.select("doc_id", F.array(F.lit(0)).alias("ids")).schema)
 
 
 def decode_pieces(rows: DataFrame, model: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -227,4 +225,4 @@ def round_trip(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str =
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     shape = f"doc_id {kind}, n_ids bigint, ids_sha256 string, text_sha256 string, lossless boolean"
-    return rows.mapInArrow(per_chunk(work, "text", CHUNK), shape)
+    return rows.mapInArrow(per_chunk(work, "text", CHUNK, OPERATOR), shape)

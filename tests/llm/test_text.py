@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from flowplace.llm import chat_trie, piece_trie, quality_pu, queries, secret_battery, token_blocks, url_markov
+from flowplace.llm import chat_trie, common, piece_trie, quality_pu, queries, secret_battery, token_blocks, url_markov
 from tests.conftest import SMALL
 
 from .conftest import ODD, PLAIN
@@ -482,6 +482,20 @@ def test_forward_table_takes_the_best_sum():
     assert {w: np.frombuffer(ids, np.int32).tolist() for w, ids in trie.words.items()} == {w: best(w) for w in words}
 
 
+def test_a_worker_drops_what_another_operator_keeps():
+    import gc
+    import weakref
+
+    batch = pa.RecordBatch.from_pydict({"text": [PLAIN]})
+    trie = weakref.ref(piece_trie.worker_trie(PIECES))
+    assert list(common.per_chunk(lambda b: b, "text")([batch])) == [batch]
+    gc.collect()
+    assert trie() is None
+    trie = weakref.ref(piece_trie.worker_trie(PIECES))
+    assert list(common.per_chunk(lambda b: b, "text", operator=piece_trie.OPERATOR)([batch])) == [batch]
+    assert trie() is piece_trie.worker_trie(PIECES)
+
+
 def test_pieces_of_odd_rows(odd, none):
     import sentencepiece
 
