@@ -29,8 +29,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-KNOWN = 400_000  # words, and pairs of pieces, that a worker remembers; it starts anew beyond
-CHUNK = 1 << 20  # bytes of text that are cut into words at once
+KNOWN = 1 << 16  # words after which a worker begins to forget those that have not come again; a chunk may go beyond
+SLOTS = (1 << 19) - 1  # places for remembered pairs of pieces, a prime; a later pair takes the place of an earlier one
+CHUNK = 1 << 18  # bytes of text that are cut into words at once
 OPERATOR = "piece_trie"  # owner of what a worker keeps
 NO_SCORE = -1e9  # pieces at or below this score take no part in sums
 
@@ -58,7 +59,8 @@ class Trie:
             self.plain[i] = bytes([value])
         self.plain[self.unknown] = " ⁇ ".encode()  # how the library shows it
         self.words: dict[str, bytes] = {}  # ids as packed i32
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.older: dict[str, bytes] = {}  # words of the round before; those that come again move on
+        self.pairs = array("q", [-1]) * SLOTS  # number of the pair, doubled, and whether its pieces stay apart
         self.ends = self.by_end()
 
     def by_end(self) -> dict:
@@ -94,12 +96,16 @@ class Trie:
 
     def apart(self, a: str, b: str) -> bool:
         """Whether ``a`` and ``b`` stay as they are next to each other."""
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) > KNOWN:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.merged(a + b) == [a, b]
-        return known
+        pair = self.number(a) * (len(self.pieces) + sys.maxunicode + 1) + self.number(b)
+        known = self.pairs[pair % SLOTS]
+        if known >> 1 != pair:
+            known = self.pairs[pair % SLOTS] = 2 * pair + (self.merged(a + b) == [a, b])
+        return bool(known & 1)
+
+    def number(self, piece: str) -> int:
+        """The id of a piece; a character that is none has a number beyond all ids."""
+        own = self.ids.get(piece)
+        return len(self.pieces) + ord(piece) if own is None else own
 
     def pieces_before(self, word: str, end: int) -> list[str]:
         """Pieces that end at a place of the word, longest first; the last character by itself if it is none."""
@@ -150,9 +156,12 @@ class Trie:
         """The ids of each text."""
         cut = [WORD.findall(self.normal(t)) for t in texts]
         if len(self.words) > KNOWN:
-            self.words.clear()
+            self.words, self.older = {}, self.words
         known = self.words
-        self.learn(sorted({w for words in cut for w in words if w not in known}))
+        new = {w for words in cut for w in words if w not in known}
+        again = new & self.older.keys()
+        known.update((w, self.older.pop(w)) for w in again)
+        self.learn(sorted(new - again))
         return [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in cut]
 
     def decode(self, ids: np.ndarray) -> str:

@@ -496,6 +496,45 @@ def test_a_worker_drops_what_another_operator_keeps():
     assert trie() is piece_trie.worker_trie(PIECES)
 
 
+def test_a_worker_remembers_a_bounded_number_of_words(monkeypatch):
+    """Of ever new words the early ones are forgotten; a word that comes again and again is learnt once."""
+    monkeypatch.setattr(piece_trie, "KNOWN", 50)
+    trie, learnt = piece_trie.Trie(PIECES), []
+    learn = trie.learn
+    monkeypatch.setattr(trie, "learn", lambda words: (learnt.extend(words), learn(words)))
+    whole = trie.model.encode
+    for i in range(40):
+        text = "again " + " ".join(f"w{i}x{j}" for j in range(20))
+        assert [ids.tolist() for ids in trie.encode([text])] == [whole(text)]
+        assert len(trie.words) + len(trie.older) <= 2 * (50 + 21)
+    assert learnt.count("▁again") == 1
+
+
+def test_remembered_pairs_take_fixed_room(monkeypatch):
+    """Pairs that fall on the same place push each other out and are asked again."""
+    monkeypatch.setattr(piece_trie, "SLOTS", 3)
+    trie = piece_trie.Trie(PIECES)
+    assert trie.encode([PLAIN])[0].tolist() == trie.model.encode(PLAIN)
+    assert len(trie.pairs) == 3
+
+
+def test_stages_take_small_batches_and_leave_the_session_alone(spark):
+    import corpus_pipeline
+    from flowplace import session
+
+    before = spark.conf.get(session.BATCH_CONF)
+    docs = spark.range(0, 3_000, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 800) AS text")
+    sizes = session.small_batches(docs).mapInArrow(
+        lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long"
+    )
+    assert max(r.n for r in sizes.collect()) <= 1.1 * session.BATCH
+    made = corpus_pipeline.pieces(spark, docs, SMALL).sparkSession
+    assert made.conf.get(session.BATCH_CONF) == str(session.BATCH)
+    assert made.conf.get("spark.sql.shuffle.partitions") == spark.conf.get("spark.sql.shuffle.partitions")
+    assert spark.conf.get(session.BATCH_CONF) == before
+    assert not [t for t in spark.catalog.listTables("global_temp") if t.name.startswith("flowplace_")]
+
+
 def test_pieces_of_odd_rows(odd, none):
     import sentencepiece
 
