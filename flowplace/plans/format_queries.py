@@ -147,7 +147,7 @@ def src03_file(spark, d):
     """The planted graph written as a graph file and read back."""
     path = new_path(spark, "graph-file")
     out.write_metis(materialise(L.edges_planted(spark, d), "links"), path)
-    return src.metis_adjacency(src.line_pieces(src.read_lines(spark, path)))
+    return src.metis_adjacency(src.read_metis(spark, path))
 
 
 @query(

@@ -9,11 +9,14 @@ from pyspark.sql.window import Window
 from flowplace import schemas
 from flowplace.functions import be_long, edge_ends
 from flowplace.functions.columns import config_value
+from flowplace.operators.metrics import div
+from flowplace.session import materialise
 
 # Physical interfaces, and where their byte counts stand in a line (from 0).
 INTERFACE = "en[0-9]+"
 IN_FIELD, OUT_FIELD = 6, 9
 EMITTED = "emitted_messages"
+WORDS_PER_CHUNK = 4_096  # of a graph file, between blanks
 
 
 def explode_reports(reports: DataFrame) -> DataFrame:
@@ -84,11 +87,12 @@ def split_lines(docs: DataFrame, column: str) -> DataFrame:
 
 
 def pairs(numbers: Column) -> Column:
-    """(nbr, w) of each two consecutive numbers."""
-    return F.transform(
+    """(nbr, w) of each two consecutive numbers; NULL if there are not two."""
+    found = F.transform(
         F.sequence(F.lit(0), F.size(numbers) - 2, F.lit(2)),
         lambda i: F.struct(F.get(numbers, i).cast("bigint").alias("nbr"), F.get(numbers, i + 1).cast("bigint").alias("w")),
     )
+    return F.when(F.size(numbers) >= 2, found)
 
 
 def line_pieces(lines: DataFrame) -> DataFrame:
@@ -143,6 +147,76 @@ def read_text_pieces(spark: SparkSession, path: str, separator: str = " ") -> Da
     return text.select("topology", F.col("value").alias("text"))
 
 
+def _numbers(text: Column) -> Column:
+    return F.filter(F.split(text, r"\s+"), lambda n: n != "")
+
+
+def read_metis(spark: SparkSession, path: str, words: int = WORDS_PER_CHUNK) -> DataFrame:
+    """Graph files in ``topology=…`` folders as pieces (topology, line_no, piece, text), as ``line_pieces`` gives whole lines.
+
+    The files of a folder are one text in name order, so a line may be of any length and go on in the next file: only line breaks
+    end it. Text is read from blank to blank and put together in chunks of so many words of a block of a file. What earlier chunks come to, a row each,
+    says in which line and at which number of it a chunk begins; a pair that two chunks share belongs to the first.
+    """
+    cut = spark.read.schema("value string, topology string").option("lineSep", " ").text(path).select(
+        "topology",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("seq"),
+        "value",
+    )
+    place = ["file", "start", "chunk"]
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda w: w["value"])
+    chunks = materialise(
+        cut.groupBy("topology", "file", "start", div(F.col("seq"), words).alias("chunk")).agg(F.array_join(ordered, " ").alias("text")), "chunks"
+    )
+    lines = F.split("text", "\n")
+    opening = _numbers(lines[0])
+    sizes = chunks.select(
+        "topology",
+        *place,
+        (F.size(lines) - 1).cast("bigint").alias("breaks"),
+        F.get(opening, F.lit(0)).alias("first"),
+        F.size(_numbers(F.element_at(lines, -1))).cast("bigint").alias("last"),  # numbers after the last line break
+    ).filter("breaks > 0 or last > 0")
+    order = Window.partitionBy("topology").orderBy(*place)
+    in_line = Window.partitionBy("topology", "opened").orderBy(*place)
+    begins = (
+        sizes.withColumn("opened", F.sum(F.when(F.col("breaks") > 0, 1).otherwise(0)).over(order))
+        .withColumn("upto", F.sum("last").over(in_line))
+        .select(
+            *place,
+            "breaks",
+            (F.sum("breaks").over(order) - F.col("breaks")).alias("begin"),
+            F.lag("upto", 1, 0).over(order).alias("before"),
+            F.lead("first").over(order).alias("next"),
+        )
+    )
+    found = chunks.join(begins, place).select("topology", "breaks", "begin", "before", "next", F.posexplode(lines).alias("n", "line"))
+    found = found.select(
+        "topology",
+        (F.col("begin") + F.col("n")).alias("line_no"),
+        F.when(F.col("n") == 0, F.col("before")).otherwise(0).alias("at"),  # numbers of the line in earlier chunks
+        _numbers(F.col("line")).alias("own"),
+        F.when(F.col("n") == F.col("breaks"), F.col("next")).alias("next"),
+    ).filter(F.size("own") > 0)
+    known = F.when(F.col("next").isNull(), F.col("own")).otherwise(F.concat("own", F.array("next")))
+    found = found.withColumn("known", known)
+    # The line's first number is the vertex's weight; after it the numbers at odd places are neighbours.
+    skip = F.when(F.col("at") == 0, 1).otherwise((F.col("at") + 1) % 2).cast("int")
+    whole = div(F.size("known") - skip, 2).cast("int") * 2
+    header, opens = F.col("line_no") == 0, F.col("at") == 0
+    text = F.array_join(F.slice("known", skip + 1, F.greatest(whole, F.lit(0))), " ")
+    parts = F.array(
+        F.struct(
+            F.lit(-1).cast("bigint").alias("piece"),
+            F.when(opens & header, F.array_join("known", " ")).when(opens, F.get("own", F.lit(0))).alias("text"),
+        ),
+        F.struct(F.col("at").alias("piece"), F.when(~header & (whole > 0), text).alias("text")),
+    )
+    return found.select("topology", "line_no", F.inline(parts)).filter(F.col("text").isNotNull())
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(topology, line_no from 0, line) of the text files in ``topology=…`` folders.
 

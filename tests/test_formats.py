@@ -69,6 +69,44 @@ def test_metis_round_trip(edges, rows, block):
         assert rows(src.metis_header(doc)) == [("x", 6, 3), ("y", 3, 1)]
 
 
+@pytest.mark.parametrize("words", [1, 2, 3, 4096])
+def test_graph_file_cut_anywhere(spark, rows, tmp_path, words):
+    """A line goes on in the next block and file, whichever number that begins with; a file may begin with a line break."""
+    text = "\n".join(METIS)
+    entries = [(1, 2, 7), (1, 4, 1), (1, 6, 1), (2, 1, 4), (4, 1, 2), (6, 1, 1)]
+    weights = [(1, 13), (2, 11), (3, 1), (4, 3), (5, 1), (6, 1)]
+    ends = [i for i, c in enumerate(text) if c in " \n"]
+    folders = {f"c{n}_{b}": [text[: n + 1 - b], text[n + 1 - b :]] for n in ends for b in (0, 1)}
+    folders["words"] = [w + " " for w in text.replace("\n", " \n").split(" ")]
+    for name, files in folders.items():
+        (tmp_path / "files" / f"topology={name}").mkdir(parents=True)
+        for i, part in enumerate(files):
+            (tmp_path / "files" / f"topology={name}" / f"part-{i:03}").write_text(part)
+    pieces = src.read_metis(spark, str(tmp_path / "files"), words)
+    assert rows(src.metis_adjacency(pieces)) == sorted((name, *e) for name in folders for e in entries)
+    assert rows(src.metis_vertices(pieces)) == sorted((name, *w) for name in folders for w in weights)
+    assert rows(src.metis_header(pieces)) == sorted((name, 6, 3) for name in folders)
+
+
+def test_hub_line_in_many_files(spark, rows, tmp_path):
+    """A hub's line, written over several files and read in small blocks, comes back whole and in no large row."""
+    links = spark.range(2, 3002).select(F.lit("x").alias("topology"), F.lit(1).cast("bigint").alias("source"), F.col("id").alias("target"), F.col("id").alias("value"))
+    links = links.unionByName(links.select("topology", F.col("target").alias("source"), (F.col("target") + 1).alias("target"), "value"))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        out.write_metis(links, str(tmp_path / "metis"), 64)
+        assert len(glob.glob(f"{tmp_path}/metis/topology=x/part-*")) > 1
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+        pieces = src.read_metis(spark, str(tmp_path / "metis"), 100)
+        assert rows(src.metis_adjacency(pieces)) == rows(g.symmetrise(links), "topology", "id", "nbr", "w")
+        assert rows(src.metis_vertices(pieces)) == rows(g.vertex_weights(links), "topology", "id", "vw")
+        assert pieces.agg(F.max(F.length("text"))).first()[0] < 2_000
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_written_files_are_in_order(spark, edges, tmp_path):
     out.write_metis(edges.filter("source <> target"), str(tmp_path / "metis"), 1)
     text = files_of(tmp_path / "metis", "x")
