@@ -1,3 +1,4 @@
+import glob
 import random
 
 import pytest
@@ -7,7 +8,7 @@ from flowplace.operators import graph as g
 from flowplace.operators import partition as p
 from flowplace.operators import quality as q
 from flowplace.operators import volume as vol
-from flowplace.session import materialise
+from flowplace.session import materialise, shared_dir
 
 EDGE = "topology string, source int, target int, value bigint"
 
@@ -159,6 +160,45 @@ def test_edges_stay_where_they_are(spark, rows, monkeypatch):
     assert "SortMergeJoin" in plan and plan.count("Exchange") == 1, plan
 
 
+def test_rounds_leave_vertices_where_they_are(spark):
+    """A round shuffles neither edges nor vertices and sorts no edges; one table of vertices is left, however many rounds there were."""
+    links = planted(spark).cache()
+    vertices, edges = g.vertex_weights(links).cache(), p.lay_out(g.undirected(links))
+    state = p._initial(vertices, edges, p.round_robin_partition(vertices, 4), 4, 10)
+    sent = materialise(state.select("topology", F.col("id").alias("nbr"), "part"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        plan = p.along(edges, sent, narrow=True)._jdf.queryExecution().executedPlan().toString()
+        beside = state.join(sent.withColumnRenamed("nbr", "id").drop("part").hint("shuffle_hash"), ["topology", "id"], "left")
+        assert beside._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert "Sort " not in plan and "SortMergeJoin" not in plan and plan.count("Exchange") == 1, plan
+    tables = lambda: set(glob.glob(f"{shared_dir(spark)}/flowplace/labels-*"))
+    old = tables()
+    p.propagate(vertices, edges, 4, rounds=3)
+    assert len(tables() - old) == 1
+
+
+def test_columns_and_maps_agree(spark, rows, monkeypatch):
+    """What a vertex has towards few partitions is kept in columns, else in a map; labels are the same. Labels beyond k take the map."""
+    links = planted(spark, seed=9).cache()
+    vertices, edges = g.vertex_weights(links).cache(), p.lay_out(g.undirected(links))
+    cut = p.propagate(vertices, edges, 4, rounds=3)
+    volume = vol.seek_volume(vertices, edges, cut, 4, rounds=2)
+    found = rows(cut), rows(volume)
+    monkeypatch.setattr(p, "WIDE", 0)
+    assert rows(p.propagate(vertices, edges, 4, rounds=3)) == found[0]
+    assert rows(vol.seek_volume(vertices, edges, cut, 4, rounds=2)) == found[1]
+    monkeypatch.undo()
+    strange = vertices.select("topology", F.col("id").alias("task_id"), (F.col("id") % 6).cast("int").alias("part"))
+    assert not p.Towards.of(p._initial(vertices, edges, strange, 4, 10)).wide
+
+
 def volume_of(edges, label):
     """Volume by looking at every vertex."""
     beside = {}
