@@ -10,6 +10,7 @@ from flowplace.streaming import debounce
 from flowplace.streaming.io import collect_changes, collect_rows
 from flowplace.streaming.keyed import CELL_SECS, follow
 
+SCHEDULE_CELL_SECS = 3_600  # topologies are few and report often, and a cell's rows are held by one task
 TASK_CELL_SECS = 4 * CELL_SECS  # tasks are many and report seldom: fewer cells, fewer groups of state
 
 
@@ -65,7 +66,7 @@ def metric_series(points: DataFrame, slices: int | None = None, cell_secs: int =
     return metrics.series_of_changes(known.rows("_known"), "_before", "_known", slices)
 
 
-def schedule_changes(versions: DataFrame, cell_secs: int = CELL_SECS) -> DataFrame:
+def schedule_changes(versions: DataFrame, cell_secs: int = SCHEDULE_CELL_SECS) -> DataFrame:
     """Schedule versions that differ from the one before, in the order of (ts, id)."""
     known = follow(versions, ["topology"], metrics.UPDATE_ORDER, {"_before": "text"}, "schedules", cell_secs)
     return known.rows("_known").filter("not _known or not text <=> _before").drop("_before", "_known")

@@ -2,9 +2,13 @@
 
 import os
 import random
+from inspect import signature
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowplace.operators import metrics as m
 from flowplace.operators import placement as pl
@@ -12,7 +16,7 @@ from flowplace.operators import projections as p
 from flowplace.operators import routing, tracking
 from flowplace.streaming import debounce, live
 from flowplace.streaming.io import collect_rows, run_available, stream_table
-from flowplace.streaming.keyed import CELL_SECS, PROVIDER_CONF, follow, keyed_session
+from flowplace.streaming.keyed import CELL_SECS, PROVIDER_CONF, Neighbours, follow, keyed_session
 
 POINT = "topology string, name string, task_id bigint, id bigint, value bigint"
 
@@ -111,6 +115,38 @@ def test_rows_that_come_twice_and_without_a_time(spark, tmp_path):
     assert nothing.rows("known").isEmpty()
 
 
+class Kept:
+    """A value and a list as a state store keeps them."""
+
+    def __init__(self):
+        self.value, self.entries = None, []
+        self.update = lambda v: setattr(self, "value", v)
+        self.appendValue = self.entries.append
+        self.put = lambda v: setattr(self, "entries", list(v))
+
+    def get(self):
+        return iter(self.entries) if self.entries else self.value
+
+
+def test_a_busy_cell_is_kept_in_small_entries():
+    """No entry of state holds more than a few thousand rows, equal texts are held once, and schedules lie in narrow cells."""
+    shape = T.StructType.fromDDL("topology string, ts bigint, id bigint, text string")
+    cell, kept = Neighbours(shape, ["ts", "id"], ["text"], ["before"], 3_600, False), [Kept(), Kept()]
+    cell.init(SimpleNamespace(getValueState=lambda *_: kept[0], getListState=lambda *_: kept[1]))
+    row = Row("topology", "ts", "id", "text")
+    ids = [i for i in range(10_000) if i != 77]
+    random.Random(4).shuffle(ids)
+    made = list(cell.handleInputRows(("x", 0), iter([row("x", i // 7, i, f"version {i // 900}") for i in ids]), None))
+    assert [r["id"] for r in made] == sorted(ids)
+    assert [r["before"] for r in made] == [None, *[r["text"] for r in made[:-1]]]
+    assert [len(cell.unpacked(e)) for e in kept[1].entries] == [4_096, 4_096, 1_807]
+    assert len({id(r["text"]) for r in made}) == 12
+    late = list(cell.handleInputRows(("x", 0), iter([row("x", 11, 77, "late"), row("x", 11, 78, "again")]), None))
+    assert [(r["id"], r["text"], r["before"]) for r in late] == [(77, "late", "version 0"), (78, "version 0", "late")]
+    assert [len(cell.unpacked(e)) for e in kept[1].entries] == [4_096, 4_096, 1_808]
+    assert signature(live.schedule_changes).parameters["cell_secs"].default <= 3_600
+
+
 def test_callers_session_is_left_alone(spark):
     before = spark.conf.get(PROVIDER_CONF, None)
     assert keyed_session(keyed_session(spark)).conf.get(PROVIDER_CONF) != before
